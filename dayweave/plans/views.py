@@ -103,3 +103,48 @@ SELECT person, unnest(range(lo-lo%30, hi-hi%30+30, 30)) AS ws FROM (SELECT perso
 view("dchg", """
 SELECT person, binding, room, m AS minute FROM (SELECT *, lag(num) OVER w AS pn, lag(m) OVER w AS pm FROM dense WHERE role IN ('presence','door') WINDOW w AS (PARTITION BY person, binding ORDER BY m))
 WHERE pm=m-1 AND abs(num-pn)>0.5""")
+
+view("tl", """
+SELECT *, smoothed AS state, CASE WHEN model_version LIKE 'fact%' THEN 'fact' WHEN model_version LIKE 'rules%' THEN 'rule' ELSE 'model' END AS basis,
+ strftime(make_timestamp(w*60000000), '%Y-%m-%d') AS date, isodow(make_timestamp(w*60000000))-1 AS dow, hour(make_timestamp(w*60000000)) AS hour FROM timeline""")
+
+view("epi", """
+SELECT person, state, min(w) AS start, max(w)+30 AS "end", count(*) AS windows FROM (SELECT *, sum(nw) OVER (PARTITION BY person ORDER BY w) AS run FROM
+ (SELECT *, CASE WHEN lag(w) OVER o + 30 = w AND lag(state) OVER o = state THEN 0 ELSE 1 END AS nw FROM tl WINDOW o AS (PARTITION BY person ORDER BY w))) GROUP BY person, run, state""")
+
+view("p5", """
+SELECT person, w, arg_max(smoothed, event_id) AS smoothed, arg_max(CAST(20+k%80 AS DOUBLE)/100, event_id) AS confidence FROM pred5 GROUP BY person, w""")
+
+view("runs5", """
+SELECT person, run, smoothed AS label, min(w) AS start, max(w) AS "end", max(w)-min(w)+5 AS minutes, avg(confidence) AS mean_conf, max(CASE WHEN i=n//2 THEN w END) AS mid FROM (
+ SELECT *, row_number() OVER (PARTITION BY person, run ORDER BY w)-1 AS i, count(*) OVER (PARTITION BY person, run) AS n FROM (
+ SELECT *, sum(nw) OVER (PARTITION BY person ORDER BY w) AS run FROM (SELECT *, CASE WHEN lag(smoothed) OVER o=smoothed AND w-lag(w) OVER o<=10 THEN 0 ELSE 1 END AS nw FROM p5 WINDOW o AS (PARTITION BY person ORDER BY w))))
+ GROUP BY person, run, smoothed""")
+
+view("ctr", """
+SELECT person, CASE event_type WHEN 'purchase' THEN 'daily_steps' ELSE 'distance_km' END AS signal, minute, ts,
+ CAST(sum(k) OVER (PARTITION BY person, event_type, minute//1440 ORDER BY ts) AS DOUBLE) AS value FROM ev WHERE event_type IN ('purchase','error')""")
+
+view("chg", """SELECT DISTINCT person, minute-minute%30 AS bucket FROM ev WHERE event_type='signup' AND k%4=0""")
+
+view("worn", """
+SELECT person, signal, bucket, amount FROM (SELECT person, signal, bucket, CASE WHEN value < p-abs(p)*0.5 THEN greatest(value,0) ELSE greatest(value-p,0) END AS amount, p FROM (
+ SELECT *, lag(value) OVER (PARTITION BY person, signal ORDER BY bucket) AS p FROM (SELECT person, signal, minute-minute%30 AS bucket, arg_max(value, ts) AS value FROM ctr GROUP BY ALL))) WHERE p IS NOT NULL
+ AND (person, bucket) NOT IN (SELECT person, bucket FROM chg)""")
+
+view("prim", """
+SELECT w.* FROM worn w JOIN (SELECT person, coalesce(min(signal) FILTER (WHERE signal LIKE '%step%'), min(signal)) AS prm FROM worn GROUP BY person) p ON p.person=w.person AND p.prm=w.signal""")
+
+view("domroom", """
+SELECT person, minute, arg_min(room, (-n)*1000+rk) AS room FROM (SELECT person, minute, room, count(*) AS n, min(CASE binding WHEN 'click_presence' THEN 1 WHEN 'error_presence' THEN 2 WHEN 'signup_door' THEN 3 ELSE 4 END) AS rk FROM dchg GROUP BY ALL) GROUP BY ALL""")
+
+view("mobil", """
+SELECT m.*, coalesce(s.sw,0) AS switches FROM (SELECT person, ws, count(*) AS rooms, CASE WHEN count(*)>1 THEN -sum(n/t*ln(n/t))/ln(count(*)) ELSE 0 END AS ent
+ FROM (SELECT *, sum(n) OVER (PARTITION BY person, ws) AS t FROM (SELECT person, minute-minute%30 AS ws, room, count(*) AS n FROM dchg GROUP BY ALL)) GROUP BY person, ws) m
+LEFT JOIN (SELECT person, ws, count(*) FILTER (WHERE p<>room) AS sw FROM (SELECT *, lag(room) OVER (PARTITION BY person, ws ORDER BY minute) AS p FROM (SELECT *, minute-minute%30 AS ws FROM domroom)) GROUP BY person, ws) s USING (person, ws)""")
+
+view("hourly", """
+SELECT person, h, coalesce(x,0) AS x FROM (SELECT person, unnest(range(min(w)//60, max(w)//60+1)) AS h FROM tl GROUP BY person) LEFT JOIN (SELECT person, w//60 AS h, sum(confidence) AS x FROM tl GROUP BY ALL) USING (person, h)""")
+
+view("mrec", """
+SELECT 'p'||(o_custkey%8) AS person, o_orderkey AS model_id, epoch_us(o_orderdate)//60000000 AS trained, round(o_totalprice/600000,3) AS headline, o_orderstatus<>'P' AS promoted, (o_orderkey*13)%29 AS confirmed FROM orders""")
