@@ -4,4 +4,5 @@ from . import views  # noqa: F401
 from . import src  # noqa: F401
 from . import windows_features  # noqa: F401
 from . import timelines  # noqa: F401
+from . import statistics  # noqa: F401
 from .catalog import COVERS, ORACLES, QUERIES  # noqa: F401

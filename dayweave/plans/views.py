@@ -148,3 +148,42 @@ SELECT person, h, coalesce(x,0) AS x FROM (SELECT person, unnest(range(min(w)//6
 
 view("mrec", """
 SELECT 'p'||(o_custkey%8) AS person, o_orderkey AS model_id, epoch_us(o_orderdate)//60000000 AS trained, round(o_totalprice/600000,3) AS headline, o_orderstatus<>'P' AS promoted, (o_orderkey*13)%29 AS confirmed FROM orders""")
+
+view("sp", """
+SELECT *, CASE WHEN predicted=y THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS correct FROM (SELECT *, greatest(p_F,p_O,p_P) AS conf, CASE WHEN p_F>=p_O AND p_F>=p_P THEN 'F' WHEN p_O>=p_P THEN 'O' ELSE 'P' END AS predicted FROM scored)""")
+
+view("lilong", """
+SELECT feature, CASE WHEN l_shipdate < TIMESTAMP '1998-06-01' THEN 'expected' ELSE 'actual' END AS side, value FROM (
+ UNPIVOT (SELECT l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME feature VALUE value)""")
+
+view("factrows", """
+SELECT person, w, CASE WHEN state='unknown' THEN NULL WHEN state='asleep' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS fact, basis='rule' AND hour BETWEEN 8 AND 21 AS contradiction, tr AS truth FROM tl
+LEFT JOIN (SELECT person, window_min-window_min%30 AS w, max(CASE WHEN label='home' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS tr FROM labelev WHERE provenance='confirmed' GROUP BY ALL) USING (person, w)""")
+
+view("nchg", """
+SELECT person AS home, binding AS sensor, minute FROM (SELECT *, lag(num) OVER (PARTITION BY person, binding ORDER BY minute) AS p FROM minutely WHERE num IS NOT NULL) WHERE abs(num-p)>1e-9""")
+
+view("frame", "SELECT person AS home, min(minute) AS first, max(minute) AS last FROM ev GROUP BY person")
+
+view("cb", "SELECT home, sensor, minute//5 AS bin, CAST(count(*) AS DOUBLE) AS x FROM nchg GROUP BY ALL")
+
+view("cs", "SELECT home, sensor, sum(x) AS sx, sum(x*x) AS sxx FROM cb GROUP BY ALL")
+
+view("coact", """
+SELECT home, a, b, CASE WHEN den>0 THEN (n*sxy-ax*bx)/sqrt(den) ELSE 0 END AS r FROM (SELECT *, (n*axx-ax*ax)*(n*bxx-bx*bx) AS den FROM (
+ SELECT a.home, a.sensor AS a, b.sensor AS b, any_value(a.sx) AS ax, any_value(a.sxx) AS axx, any_value(b.sx) AS bx, any_value(b.sxx) AS bxx, any_value(f.last//5-f.first//5+1) AS n, coalesce(any_value(x.sxy),0) AS sxy
+ FROM cs a JOIN cs b ON a.home=b.home AND a.sensor<b.sensor JOIN frame f ON f.home=a.home LEFT JOIN (SELECT p.home, p.sensor AS a, q.sensor AS b, sum(p.x*q.x) AS sxy FROM cb p JOIN cb q ON p.home=q.home AND p.bin=q.bin AND p.sensor<q.sensor GROUP BY ALL) x ON x.home=a.home AND x.a=a.sensor AND x.b=b.sensor GROUP BY a.home, a.sensor, b.sensor))""")
+
+view("lact", """
+SELECT home, sensor AS s, t, n, CAST(count(*) AS DOUBLE) AS x FROM (SELECT c.home, sensor, minute-first+unnest([0,1,2]) AS t, last-first+1 AS n FROM nchg c JOIN frame USING (home)) WHERE t<n GROUP BY ALL""")
+
+view("ledges", """
+SELECT home, from_sensor, to_sensor, lag_min, round(r,3) AS strength FROM (SELECT home, a AS from_sensor, b AS to_sensor, k AS lag_min, r, row_number() OVER (PARTITION BY home, least(a,b), greatest(a,b) ORDER BY r DESC, k, a<b DESC) AS rn FROM (
+ SELECT x.home, x.a, x.b, x.k, round(((n-x.k)*sxy-a1*b1)/sqrt(((n-x.k)*a2-a1*a1)*((n-x.k)*b2-b1*b1)),9) AS r FROM
+  (SELECT l.home, l.s AS a, m.s AS b, k, sum(l.x*m.x) AS sxy, any_value(l.n) AS n FROM (SELECT *, unnest(range(1,16)) AS k FROM lact) l JOIN lact m ON m.home=l.home AND m.t=l.t+l.k AND m.s<>l.s GROUP BY ALL) x
+  JOIN (SELECT home, s AS a, k, sum(x) FILTER (WHERE t<n-k) AS a1, sum(x*x) FILTER (WHERE t<n-k) AS a2 FROM (SELECT *, unnest(range(1,16)) AS k FROM lact) GROUP BY ALL) y ON y.home=x.home AND y.a=x.a AND y.k=x.k
+  JOIN (SELECT home, s AS b, k, sum(x) FILTER (WHERE t>=k) AS b1, sum(x*x) FILTER (WHERE t>=k) AS b2 FROM (SELECT *, unnest(range(1,16)) AS k FROM lact) GROUP BY ALL) z ON z.home=x.home AND z.b=x.b AND z.k=x.k) WHERE r>0) WHERE rn=1""")
+
+view("fires", "SELECT DISTINCT person, minute AS fire FROM ev WHERE event_type='click' AND k<40")
+
+view("moves", "SELECT person, w AS move FROM (SELECT person, w, state, lag(state) OVER (PARTITION BY person ORDER BY w) AS p FROM tl) WHERE state='asleep' AND p<>'asleep'")
