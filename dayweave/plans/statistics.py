@@ -201,12 +201,13 @@ def sta_reliability_verdict(spark, sf):
 
 
 @query("sta_awake_evidence", "STA-17", """
-SELECT person, ws AS window_start, coalesce(o.v>0.3,false) OR coalesce(f.v>0.5,false) OR coalesce(f2.v>0.3,false) OR coalesce(s.v,0)>60 OR ((ws%1440)//60 BETWEEN 5 AND 21 AND NOT (coalesce(b.v,0)>0 AND coalesce(s.v,0)<=60)) AS awake FROM grid
+SELECT person, ws AS window_start, coalesce(o.v>0.3,false) OR coalesce(f.v>0.5,false) OR coalesce(f2.v>0.3,false) OR coalesce(s.v,0)>60 OR mv.v IS NOT NULL OR ((ws%1440)//60 BETWEEN 5 AND 21 AND NOT (coalesce(b.v,0)>0 AND coalesce(s.v,0)<=60)) AS awake FROM grid
 LEFT JOIN (SELECT person, ws, greatest(avg(CAST(num>0 AS DOUBLE)), CAST(arg_max(num,m)>0 AS DOUBLE)) AS v FROM densewin WHERE role='light' GROUP BY ALL) o USING (person, ws)
 LEFT JOIN (SELECT person, ws, max(CAST(str IN ('playing','paused') AS DOUBLE)) AS v FROM densewin WHERE role='media' GROUP BY ALL) f USING (person, ws)
 LEFT JOIN (SELECT person, ws, CAST(arg_max(num,m)>0 AS DOUBLE) AS v FROM densewin WHERE role='focus' GROUP BY ALL) f2 USING (person, ws)
 LEFT JOIN (SELECT person, ws, CASE WHEN count(*)>=2 THEN greatest(arg_max(num,m)-arg_min(num,m),0) END AS v FROM densewin WHERE role='steps' GROUP BY ALL) s USING (person, ws)
-LEFT JOIN (SELECT person, ws, CASE WHEN count(*)>=2 THEN arg_max(num,m)-arg_min(num,m) END AS v FROM densewin WHERE role='battery' GROUP BY ALL) b USING (person, ws)""")
+LEFT JOIN (SELECT person, ws, CASE WHEN count(*)>=2 THEN arg_max(num,m)-arg_min(num,m) END AS v FROM densewin WHERE role='battery' GROUP BY ALL) b USING (person, ws)
+LEFT JOIN (SELECT DISTINCT person, minute-minute%30 AS ws, 1 AS v FROM dchg) mv USING (person, ws)""")
 def sta_awake_evidence(spark, sf):
     f = feature_table(spark, sf)
     return f.select("person", "window_start", X.awake_evidence(f.columns).alias("awake"))

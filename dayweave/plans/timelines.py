@@ -419,3 +419,8 @@ def seq_drift_trend(spark, sf):
     return got.select("person", F.array_join(F.transform("trend", lambda v: F.format_string("%.3f", v)), ",").alias("trend"))
 
 
+
+
+def fires_moves_events(spark, sf):
+    """Marker fires: click events with a low second field."""
+    return T.events(spark, sf).where("event_type = 'click' and k < 40").select("person", F.col("minute").alias("fire"))
