@@ -336,7 +336,7 @@ def sum_group_caption(spark, sf):
 
 
 @query("top_explanation", "TOP-02 FUN-04", """
-SELECT l_orderkey, l_linenumber, string_agg(f, ',' ORDER BY abs(v) DESC, f) AS top FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, id ORDER BY abs(v) DESC, f) AS rn FROM (SELECT l_orderkey, l_linenumber, l_partkey AS id, unnest(['quantity','discount','tax','price']) AS f, unnest([l_quantity-25, l_discount*400-20, 30-l_tax*900, l_extendedprice/5000-10]) AS v FROM lineitem)) WHERE rn<=3 GROUP BY l_orderkey, l_linenumber, id""")
+SELECT l_orderkey, l_linenumber, array_to_string(list_transform(list_sort([{'n':-abs(l_quantity-25),'f':'quantity'},{'n':-abs(l_discount*400-20),'f':'discount'},{'n':-abs(30-l_tax*900),'f':'tax'},{'n':-abs(l_extendedprice/5000-10),'f':'price'}])[1:3], lambda e: e.f), ',') AS top FROM lineitem""")
 def top_explanation(spark, sf):
     li = T.load(spark, sf, "lineitem")
     s = lambda n, c: F.struct(F.lit(n).alias("feature"), c.alias("weight"))
@@ -426,9 +426,9 @@ def jon_signature_contrast(spark, sf):
     return J.contrast(c, c.where("card % 4 = 0"))
 
 
-@query("set_new_devices", "SET-03", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity>=50)")
+@query("set_new_devices", "SET-03", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity>=50 AND l_discount>=0.1)")
 def set_new_devices(spark, sf):
-    return T.load(spark, sf, "supplier").select("s_suppkey").exceptAll(T.load(spark, sf, "lineitem").where("l_quantity >= 50").select(F.col("l_suppkey").alias("s_suppkey")).distinct())
+    return T.load(spark, sf, "supplier").select("s_suppkey").exceptAll(T.load(spark, sf, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1").select(F.col("l_suppkey").alias("s_suppkey")).distinct())
 
 
 @query("set_spec_merge", "SET-05", """
@@ -481,8 +481,8 @@ def ml_rolling_folds(spark, sf):
 
 
 @query("ml_strike_candidates", "ML-17", """
-WITH RECURSIVE r AS (SELECT l_linestatus AS node, epoch_us(l_shipdate)//60000000//43200*43200 AS at, 'f'||(l_suppkey%10) AS feature, avg(CASE WHEN l_suppkey%10<3 THEN 0 ELSE l_discount END) AS imp FROM lineitem GROUP BY ALL), t AS (SELECT DISTINCT node, at FROM r), tk AS (SELECT node, at, row_number() OVER (PARTITION BY node ORDER BY at DESC) AS k FROM t)
-SELECT node, feature, count(*) FILTER (WHERE imp<=1e-6) AS flags, count(*) AS seen FROM r JOIN tk USING (node, at) WHERE k<=4 GROUP BY ALL HAVING count(*) FILTER (WHERE imp<=1e-6)>=3 AND count(*)>=3""")
+WITH RECURSIVE r AS (SELECT l_linestatus AS node, epoch_us(l_shipdate)//60000000//43200*43200 AS mt, 'f'||(l_suppkey%10) AS feature, avg(CASE WHEN l_suppkey%10<3 THEN 0 ELSE l_discount END) AS imp FROM lineitem GROUP BY ALL), t AS (SELECT DISTINCT node, mt FROM r), tk AS (SELECT node, mt, row_number() OVER (PARTITION BY node ORDER BY mt DESC) AS k FROM t)
+SELECT node, feature, count(*) FILTER (WHERE imp<=1e-6) AS flags, count(*) AS seen FROM r JOIN tk USING (node, mt) WHERE k<=4 GROUP BY ALL HAVING count(*) FILTER (WHERE imp<=1e-6)>=3 AND count(*)>=3""")
 def ml_strike_candidates(spark, sf):
     li = T.load(spark, sf, "lineitem")
     m = F.expr("unix_micros(cast(l_shipdate as timestamp)) div 60000000")
@@ -550,13 +550,13 @@ def ml_rollback(spark, sf):
 
 
 @query("ml_earned_gates", "ML-39", """
-SELECT 'c'||p.ord AS person, 'f'||f.part_id AS fact_id, CASE WHEN f.part_id%3=0 THEN 'away' ELSE 'asleep' END AS gate FROM (SELECT *, ord%100 AS home FROM member) p JOIN (SELECT *, part_id%100 AS home FROM entity) f USING (home) WHERE f.part_id%7<>0 AND f.part_id%3<>0 AND f.price>1000 AND (f.part_id%2=0 OR 'c'||f.part_id='c'||p.ord)""")
+SELECT 'c'||p.ord AS person, 'f'||f.part_id AS fact_id, CASE WHEN f.part_id%3=0 THEN 'away' ELSE 'asleep' END AS gate FROM (SELECT *, ord%100 AS home FROM member) p JOIN (SELECT *, part_id%100 AS home FROM entity) f USING (home) WHERE f.part_id%7<>0 AND f.part_id%3<>0 AND f.price>950 AND (f.part_id%2=0 OR 'c'||f.part_id='c'||p.ord)""")
 def ml_earned_gates(spark, sf):
     e = T.entities(spark, sf)
     k = F.col("part_id")
     fid = F.concat(F.lit("f"), k.cast("string")).alias("fact_id")
     facts = e.select(fid, F.when(k % 3 == 0, "away").otherwise("asleep").alias("gate"), F.when(k % 2 == 1, F.concat(F.lit("c"), k.cast("string"))).alias("person_id"), (k % 100).alias("home"), (k % 7 != 0).alias("enabled"))
-    verd = e.select(fid, F.when(F.col("price") > 1000, "fact").otherwise("suspect").alias("decision"))
+    verd = e.select(fid, F.when(F.col("price") > 950, "fact").otherwise("suspect").alias("decision"))
     return C.earned_gates(facts, verd, T.persons(spark, sf).withColumn("home", F.col("ord") % 100))
 
 

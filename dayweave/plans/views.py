@@ -73,7 +73,7 @@ SELECT home, person, minute-minute%5 AS w, CASE event_type WHEN 'click' THEN 'co
  CASE WHEN event_id%3>0 THEN 'rf-3' END AS model, event_id, k, value FROM ev""")
 
 view("scored", """
-SELECT row_id, person, y, round(x/s,6) AS p_F, round(yy/s,6) AS p_O, round(z/s,6) AS p_P, provenance, gold, minute, amount FROM (
+SELECT row_id, person, y, round(x/s,4) AS p_F, round(yy/s,4) AS p_O, round(z/s,4) AS p_P, provenance, gold, minute, amount FROM (
  SELECT o_orderkey AS row_id, 'p'||(o_custkey%8) AS person, o_orderstatus AS y,
   (o_custkey*7+o_orderkey)%97+1 AS x, (o_orderkey*3+o_custkey)%89+1 AS yy, (o_orderkey*5)%83+1 AS z,
   CAST((o_custkey*7+o_orderkey)%97+1 + (o_orderkey*3+o_custkey)%89+1 + (o_orderkey*5)%83+1 AS DOUBLE) AS s,

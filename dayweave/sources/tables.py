@@ -266,9 +266,9 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("row_id"),
         F.concat(F.lit("p"), F.pmod("o_custkey", F.lit(PERSONS)).cast("string")).alias("person"),
         F.col("o_orderstatus").alias("y"),
-        F.round(x / s, 6).alias("p_F"),
-        F.round(y / s, 6).alias("p_O"),
-        F.round(z / s, 6).alias("p_P"),
+        F.round(x / s, 4).alias("p_F"),
+        F.round(y / s, 4).alias("p_O"),
+        F.round(z / s, 4).alias("p_P"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "confirmed")
         .when(F.col("o_orderpriority") == "2-HIGH", "discovered")
         .when(F.col("o_orderpriority") == "5-LOW", "llm")
