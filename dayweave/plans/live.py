@@ -27,7 +27,7 @@ WM6 = "(SELECT max(ts) - INTERVAL 6 HOUR FROM ev)"
 
 @query("str_sliding_windows", "STR-01", f"""
 SELECT person, binding, epoch_us(ws)//60000000/1.0 AS window_start, count(*) AS n, round(sum(num),6) AS total, max(num) AS vmax, arg_max(num, ts) AS last FROM (
- SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE*unnest(range(6)) AS ws FROM reading WHERE role IN ('bed','power')) WHERE ws + INTERVAL 30 MINUTE <= {WM6} GROUP BY ALL""")
+ SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE*unnest(range(6)) AS ws FROM reading WHERE role IN ('bed','power')) WHERE ws + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 6 HOUR FROM reading WHERE role IN ('bed','power')) GROUP BY ALL""")
 def str_sliding_windows(spark, sf):
     got = S.run_available(S.sliding_stats(reading_stream(spark, sf).where("role in ('bed', 'power')"), ["person", "binding"]))
     return got.withColumn("total", F.round("total", 6))
@@ -138,11 +138,8 @@ def str_live_scoring(spark, sf):
     return spark.read.parquet(path).drop("batch")
 
 
-@query("str_heartbeat", "STR-10", "SELECT event_type AS source, 'alive' AS status, count(*) AS rows FROM ev GROUP BY event_type")
+@query("str_heartbeat", "STR-10", """
+WITH m AS (SELECT DISTINCT person, minute FROM ev WHERE minute < (SELECT epoch_us(max(ts) - INTERVAL 10 MINUTE)//60000000 FROM ev)), g AS (SELECT person, minute, lag(minute) OVER (PARTITION BY person ORDER BY minute) AS p FROM m)
+SELECT person AS source, unnest(['silent','recovered']) AS status, unnest([p+180, minute]) AS minute FROM g WHERE minute-p>180""")
 def str_heartbeat(spark, sf):
-    import uuid
-
-    path = f"{ensure_checkpoint_dir(spark)}/beat-{uuid.uuid4().hex}"
-    beats = S.heartbeat_monitor(stream(spark, sf), "event_type", 3_600_000)
-    S.run_available(beats, "update", sink=lambda df, i: df.write.mode("append").parquet(path))
-    return spark.read.parquet(path)
+    return S.run_available(S.heartbeat_monitor(stream(spark, sf), "person", 180))

@@ -57,4 +57,4 @@ def broadcast_if_small(df, max_bytes: int = 64 << 20):
     from pyspark.sql import functions as F
 
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= max_bytes else df
+    return F.broadcast(df) if int(str(size)) <= max_bytes else df

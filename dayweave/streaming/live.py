@@ -100,8 +100,6 @@ class IntervalBuilder(StatefulProcessor):
         for pdf in rows:
             new = [(int(m), int(u), None if pd.isna(n) else float(n), None if s is None or s != s else str(s)) for m, u, n, s in zip(pdf["minute"], pdf["us"], pdf["num"], pdf["str"])]
             self.pending.appendList(new)
-            for m in {r[0] for r in new}:
-                self.handle.registerTimer((m + 1) * 60000)
         yield self._settle(key, stop)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -123,6 +121,8 @@ class IntervalBuilder(StatefulProcessor):
             current = None
         if ready:
             self.pending.put(later) if later else self.pending.clear()
+        if later:  # one timer per key: the next row to settle
+            self.handle.registerTimer((later[0][0] + 1) * 60000)
         if current is None:
             self.open.clear()
         else:
@@ -158,8 +158,6 @@ class Smoother(StatefulProcessor):
         for pdf in rows:
             new = [(int(w), str(p), float(c)) for w, p, c in zip(pdf["w"], pdf["predicted"], pdf["confidence"])]
             self.pending.appendList(new)
-            for r in new:
-                self.handle.registerTimer((r[0] + 1) * 60000)
         yield self._settle(key, stop)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -181,6 +179,8 @@ class Smoother(StatefulProcessor):
         if ready:
             self.pending.put(later) if later else self.pending.clear()
             self.last.update(last)
+        if later:
+            self.handle.registerTimer((later[0][0] + 1) * 60000)
         return pd.DataFrame(out, columns=["person", "w", "predicted", "published", "run_len"])
 
     def close(self) -> None:
@@ -195,40 +195,55 @@ def stream_smoothing(stream: DataFrame, changes_only: bool = False, late: str =
 
 
 class Heartbeat(StatefulProcessor):
-    """STR-10 / STR-03: an incident when a source is silent for `quiet_ms`, cleared on its return."""
+    """STR-10: a source silent for more than `quiet_min` minutes of event time is down until its next row."""
 
-    def __init__(self, quiet_ms: int):
-        self.quiet_ms = quiet_ms
+    def __init__(self, quiet_min: int):
+        self.quiet_min = quiet_min
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "due long, down boolean")
+        self.pending = handle.getListState("pending", "minute long")
+        self.state = handle.getValueState("state", "last long, down boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        n = sum(len(pdf) for pdf in rows)
-        now = timerValues.getCurrentProcessingTimeInMs()
-        down = self.state.exists() and self.state.get()[1]
-        due = now + self.quiet_ms
-        self.state.update((due, False))
-        self.handle.registerTimer(due)
-        yield pd.DataFrame([(key[0], "recovered" if down else "alive", n)], columns=["source", "status", "rows"])
+        for pdf in rows:
+            self.pending.appendList([(int(m),) for m in pdf["minute"].drop_duplicates()])
+        yield self._settle(key, timerValues.getCurrentWatermarkInMs() // 60000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due, down = self.state.get()
-        if expiredTimerInfo.getExpiryTimeInMs() == due and not down:
-            self.state.update((due, True))
-            yield pd.DataFrame([(key[0], "silent", 0)], columns=["source", "status", "rows"])
-        else:
-            yield pd.DataFrame([], columns=["source", "status", "rows"])
+        yield self._settle(key, timerValues.getCurrentWatermarkInMs() // 60000)
+
+    def _settle(self, key, stop):
+        waiting = sorted({r[0] for r in self.pending.get()})
+        ready, later = [m for m in waiting if m < stop], [m for m in waiting if m >= stop]
+        last, down = tuple(self.state.get()) if self.state.exists() else (None, False)
+        out = []
+        for m in ready:
+            if last is not None and not down and m - last > self.quiet_min:
+                out.append((key[0], "silent", last + self.quiet_min))
+                down = True
+            if down:
+                out.append((key[0], "recovered", m))
+            last, down = m, False
+        if last is not None and not down and not later and stop - last > self.quiet_min:
+            out.append((key[0], "silent", last + self.quiet_min))
+            down = True
+        if ready:
+            self.pending.put([(m,) for m in later]) if later else self.pending.clear()
+        if last is not None:
+            self.state.update((last, down))
+        due = later[0] + 1 if later else (last + self.quiet_min + 1 if last is not None and not down else None)
+        if due is not None and due > stop:
+            self.handle.registerTimer(due * 60000)
+        return pd.DataFrame(out, columns=["source", "status", "minute"])
 
     def close(self) -> None:
         pass
 
 
-def heartbeat_monitor(stream: DataFrame, source: str, quiet_ms: int = 300_000) -> DataFrame:
-    return stream.select(F.col(source).alias("source")).groupBy("source").transformWithStateInPandas(
-        Heartbeat(quiet_ms), "source string, status string, rows long", "Update", "ProcessingTime"
-    )
+def heartbeat_monitor(stream: DataFrame, source: str, quiet_min: int = 5, late: str = "10 minutes") -> DataFrame:
+    rows = stream.withWatermark("ts", late).select(F.col(source).alias("source"), "ts", "minute")
+    return rows.groupBy("source").transformWithStateInPandas(Heartbeat(quiet_min), "source string, status string, minute long", "Append", "EventTime")
 
 
 # --- sinks ---------------------------------------------------------------------------------------
