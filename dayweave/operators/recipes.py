@@ -291,12 +291,27 @@ def change_rows(iv: DataFrame) -> DataFrame:
 
 def event_dynamics(changes: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
     """AGG-30: events, active sensors and share of the busiest sensor per window."""
+    return window_dynamics(changes, keys, width).select(*keys, "window_start", "evt_count", "evt_active_sensors", "evt_dominant_share")
+
+
+def window_dynamics(changes: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
+    """AGG-30 and AGG-32 in one chain: changes per sensor, then per room, then per window."""
     ws = F.col("minute") - F.pmod("minute", F.lit(width))
-    per_sensor = changes.groupBy(*keys, ws.alias("window_start"), "binding").agg(F.count(F.lit(1)).alias("n"))
-    return per_sensor.groupBy(*keys, "window_start").agg(
-        F.sum("n").cast("double").alias("evt_count"),
-        F.count(F.lit(1)).cast("double").alias("evt_active_sensors"),
-        (F.max("n") / F.sum("n")).alias("evt_dominant_share"),
+    sensor = changes.groupBy(*keys, ws.alias("window_start"), "binding", "room").agg(F.count(F.lit(1)).alias("n"))
+    room = sensor.groupBy(*keys, "window_start", "room").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.count(F.lit(1)).alias("sensors"))
+    named = F.col("room").isNotNull()
+    in_room = F.when(named, F.col("n"))
+    per = room.groupBy(*keys, "window_start").agg(
+        F.sum("n").alias("_all"), F.sum("sensors").alias("_sensors"), F.max("top").alias("_top"),
+        F.sum(in_room).alias("_t"), F.count_if(named).alias("_r"), F.max(in_room).alias("_m"), F.sum(in_room * F.ln(in_room)).alias("_nln"),
+        F.min_by(F.col("room"), F.when(named, F.struct((-F.col("n")).alias("neg"), F.col("room")))).alias("dominant_room"),
+    )
+    # -Σ p ln p = ln t − Σ n ln n / t
+    entropy = F.when(F.col("_r") > 1, (F.ln("_t") - F.col("_nln") / F.col("_t")) / F.ln("_r")).otherwise(0.0)
+    return per.select(
+        *keys, "window_start", F.col("_all").cast("double").alias("evt_count"), F.col("_sensors").cast("double").alias("evt_active_sensors"),
+        (F.col("_top") / F.col("_all")).alias("evt_dominant_share"), F.col("_r").cast("double").alias("mob_rooms_active"),
+        F.coalesce(F.col("_m") / F.col("_t"), F.lit(0.0)).alias("mob_top_room_frac"), entropy.alias("mob_room_entropy"), "dominant_room",
     )
 
 
@@ -321,21 +336,8 @@ def idle_minutes(changes: DataFrame, grid: DataFrame, frame_end: DataFrame, keys
 
 def mobility_stats(changes: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
     """AGG-32: active rooms, share of the busiest, entropy over ln(active rooms)."""
-    ws = F.col("minute") - F.pmod("minute", F.lit(width))
-    rooms = changes.where(F.col("room").isNotNull()).groupBy(*keys, ws.alias("window_start"), "room").agg(F.count(F.lit(1)).alias("n"))
-    tot = rooms.groupBy(*keys, "window_start").agg(
-        F.sum("n").alias("t"),
-        F.count(F.lit(1)).alias("r"),
-        F.max("n").alias("m"),
-        F.sum(F.col("n") * F.ln("n")).alias("nln"),
-        F.min_by("room", F.struct((-F.col("n")).alias("neg"), "room")).alias("dominant_room"),
-    )
-    # -Σ p ln p = ln t − Σ n ln n / t
-    ent = F.when(F.col("r") > 1, (F.ln("t") - F.col("nln") / F.col("t")) / F.ln("r")).otherwise(0.0)
-    return tot.select(
-        *keys, "window_start", F.col("r").cast("double").alias("mob_rooms_active"),
-        (F.col("m") / F.col("t")).alias("mob_top_room_frac"), ent.alias("mob_room_entropy"), "dominant_room",
-    )
+    d = window_dynamics(changes.where(F.col("room").isNotNull()), keys, width)
+    return d.select(*keys, "window_start", "mob_rooms_active", "mob_top_room_frac", "mob_room_entropy", "dominant_room")
 
 
 def dominant_rooms(changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -408,6 +410,8 @@ def build_features(
     from .windows import to_windows
 
     keys = [key]
+    # read by five branches below: kept once instead of scanning the raw history five times
+    iv = iv.persist()
     win = to_windows(iv)
     stats = window_stats(win, [key, "binding"])
     wide = long_features(stats, [key, "binding"], tz=tz).groupBy(key, "window_start").pivot(
@@ -418,8 +422,7 @@ def build_features(
     frame_end = iv.groupBy(key).agg((F.max("frame_stop") - 1).alias("last_minute"))
     out = grid.join(wide, on, "left")
     for part in (
-        event_dynamics(changes, keys),
-        mobility_stats(changes, keys).drop("dominant_room"),
+        window_dynamics(changes, keys).drop("dominant_room"),
         room_switches(changes, keys),
         idle_minutes(changes, grid, frame_end, keys),
     ):

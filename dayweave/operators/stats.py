@@ -42,6 +42,8 @@ def psi(long: DataFrame, keys: list[str], bins: int = PSI_BINS) -> DataFrame:
     exp = rows.where(F.col("side") == "expected")
     names = {f"q{i}": i / bins for i in range(bins + 1)}
     q = quantiles(exp, keys, "value", names)
+    # equal values collapse before anything is moved
+    rows = rows.groupBy(*keys, "side", "value").agg(F.count(F.lit(1)).alias("_n"))
     edges = q.select(*keys, F.array_sort(F.array_distinct(F.array(*names))).alias("edges")).where(F.size("edges") >= 3)
     # one row of at most 11 edges per key: the row side is never the small one
     cut = rows.join(edges, keys)
@@ -52,9 +54,9 @@ def psi(long: DataFrame, keys: list[str], bins: int = PSI_BINS) -> DataFrame:
     )
     is_exp = F.col("side") == "expected"
     counts = cut.groupBy(*keys, idx.alias("bin"), F.size("edges").alias("m")).agg(
-        F.count_if(is_exp).alias("e"), F.count_if(~is_exp).alias("a")
+        F.sum(F.when(is_exp, F.col("_n")).otherwise(0)).alias("e"), F.sum(F.when(~is_exp, F.col("_n")).otherwise(0)).alias("a")
     )
-    tot = rows.groupBy(*keys).agg(F.count_if(is_exp).alias("ne"), F.count_if(~is_exp).alias("na"))
+    tot = rows.groupBy(*keys).agg(F.sum(F.when(is_exp, F.col("_n")).otherwise(0)).alias("ne"), F.sum(F.when(~is_exp, F.col("_n")).otherwise(0)).alias("na"))
     shape = edges.select(*keys, F.explode(F.sequence(F.lit(1), F.size("edges") - 1)).alias("bin"))
     full = shape.join(counts.where("bin is not null"), [*keys, "bin"], "left").join(tot, keys)
     pe = F.greatest(F.coalesce("e", F.lit(0)) / F.col("ne"), F.lit(1e-6))
@@ -374,12 +376,40 @@ def sensor_groups(corr: DataFrame, threshold: float = 0.7, min_sensors: int = 4)
     return corr.groupBy("home").applyInPandas(link, "home string, sensor string, group_id long")
 
 
+def _lagged_products(act: DataFrame, max_lag: int) -> DataFrame:
+    """Σ x_a(t)·x_b(t+k) for k = 1 … max_lag: one small matrix product per home, day and lag.
+
+    A day also gets the first max_lag minutes of the next one, to be looked at but not led from.
+    """
+    day = F.floor(F.col("t") / 1440)
+    days = F.when(F.col("t") % 1440 < max_lag, F.array(day, day - 1)).otherwise(F.array(day))
+
+    def products(pdf):
+        import numpy as np
+        import pandas as pd
+
+        names, col = np.unique(pdf["s"], return_inverse=True)
+        x = np.zeros((1440 + max_lag, len(names)))
+        x[(pdf["t"] - pdf["day"] * 1440).to_numpy(), col] = pdf["x"]
+        out = []
+        for k in range(1, max_lag + 1):
+            m = x[:1440].T @ x[k : 1440 + k]
+            np.fill_diagonal(m, 0.0)
+            i, j = np.nonzero(m)
+            out.append(pd.DataFrame({"home": pdf["home"].iloc[0], "a": names[i], "b": names[j], "k": k, "sxy": m[i, j]}))
+        return pd.concat(out)
+
+    parts = act.select("home", "s", "t", "x", F.explode(days).alias("day"))
+    got = parts.groupBy("home", "day").applyInPandas(products, "home string, a string, b string, k long, sxy double")
+    return got.groupBy("home", "a", "b", "k").agg(F.sum("sxy").alias("sxy"))
+
+
 def lead_lag(changes: DataFrame, frame: DataFrame, home: str = "home", sensor: str = "sensor", max_lag: int = 15,
              min_strength: float = 0.2, top: int = 24, max_sensors: int = 16) -> DataFrame:
     """STA-23 / JON-11 / TOP-08: directed sensor edges by best positive lagged correlation.
 
-    Activity is a three-minute rolling change count, kept sparse; a minute joins at most
-    max_sensors × max_lag others. frame: (home, first, last) minutes.
+    Activity is a three-minute rolling change count, kept sparse; the lagged products are small
+    matrix products per home and day. frame: (home, first, last) minutes.
     """
     fr = frame.select(F.col(home).alias("home"), "first", (F.col("last") - F.col("first") + 1).alias("n"))
     ch = changes.select(F.col(home).alias("home"), F.col(sensor).alias("s"), "minute").join(fr, "home")
@@ -390,14 +420,15 @@ def lead_lag(changes: DataFrame, frame: DataFrame, home: str = "home", sensor: s
     rank = F.row_number().over(Window.partitionBy("home").orderBy(F.col("sx").desc(), "s"))
     kept = busy.withColumn("_r", rank).where(F.col("_r") <= max_sensors).select("home", "s")
     act = act.join(kept, ["home", "s"])
-    lagged = act.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(max_lag).cast("long"))).alias("k"))
-    is_lead, is_lag = F.col("t") < F.col("n") - F.col("k"), F.col("t") >= F.col("k")
-    sums = lagged.groupBy("home", "s", "k", "n").agg(
-        *[F.sum(F.when(c, F.col("x") ** p).otherwise(0.0)).alias(f"{nm}{p}") for nm, c in (("lead", is_lead), ("lag", is_lag)) for p in (1, 2)]
-    )
-    left = lagged.where(is_lead).select("home", F.col("s").alias("a"), "k", (F.col("t") + F.col("k")).alias("t"), F.col("x").alias("xa"))
-    right = act.select("home", F.col("s").alias("b"), "t", F.col("x").alias("xb"))
-    cross = left.join(right, ["home", "t"]).where("a <> b").groupBy("home", "a", "b", "k").agg(F.sum(F.col("xa") * F.col("xb")).alias("sxy"))
+    ks = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(max_lag).cast("long"))).alias("k")
+    # sums without the first or last k minutes: totals minus the few rows at the frame's edges
+    totals = act.groupBy("home", "s", "n").agg(F.sum("x").alias("x1"), F.sum(F.col("x") ** 2).alias("x2"))
+    edge = act.where((F.col("t") >= F.col("n") - max_lag) | (F.col("t") < max_lag)).select("home", "s", "n", "t", "x", ks)
+    off = [F.sum(F.when(c, F.col("x") ** p).otherwise(0.0)).alias(f"{nm}{p}") for nm, c in (("end", F.col("t") >= F.col("n") - F.col("k")), ("begin", F.col("t") < F.col("k"))) for p in (1, 2)]
+    cut = edge.groupBy("home", "s", "k").agg(*off)
+    sums = totals.select("*", ks).join(cut, ["home", "s", "k"], "left").fillna(0.0, subset=["end1", "end2", "begin1", "begin2"])
+    sums = sums.select("home", "s", "k", "n", *[(F.col(f"x{p}") - F.col(f"end{p}")).alias(f"lead{p}") for p in (1, 2)], *[(F.col(f"x{p}") - F.col(f"begin{p}")).alias(f"lag{p}") for p in (1, 2)])
+    cross = _lagged_products(act, max_lag)
     sa = sums.select("home", F.col("s").alias("a"), "k", "n", F.col("lead1").alias("a1"), F.col("lead2").alias("a2"))
     sb = sums.select("home", F.col("s").alias("b"), "k", F.col("lag1").alias("b1"), F.col("lag2").alias("b2"))
     # pairs that never meet at a lag have no positive correlation there
