@@ -216,11 +216,12 @@ def permutation_importance(model: ClassModel, val: DataFrame, key: str, repeats:
     return every.groupBy("feature").agg(F.avg("acc").alias("acc")).select("feature", (acc - F.col("acc")).alias("importance"))
 
 
-def ablation(model: ClassModel, rows: DataFrame, key: str) -> DataFrame:
-    """ML-19: p(predicted) minus p(predicted) with a feature at its mean, per row and feature."""
+def ablation(model: ClassModel, rows: DataFrame, key: str, background: DataFrame | None = None) -> DataFrame:
+    """ML-19: p(predicted) minus p(predicted) with a feature at its background mean, per row and feature."""
     base = rows.withColumn("_x", vector_to_array("features"))
     n = len(model.columns)
-    means = base.agg(F.array(*[F.avg(F.col("_x")[i]) for i in range(n)])).scalar()
+    usual = base if background is None else background.withColumn("_x", vector_to_array("features"))
+    means = usual.agg(F.array(*[F.avg(F.col("_x")[i]) for i in range(n)])).scalar()
     top = stats.with_prediction(model.score(rows), model.classes).select(key, "predicted", "conf")
     spread = base.withColumn("_m", means).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     cut = F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.element_at("_m", F.col("_j") + 1)).otherwise(v))

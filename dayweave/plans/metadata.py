@@ -314,7 +314,7 @@ def customer_labels(spark, sf):
 
 @query("prd_alias_labels", "PRD-23", "SELECT c_custkey, coalesce(dst,label) AS label FROM clabel LEFT JOIN alias ON src=label")
 def prd_alias_labels(spark, sf):
-    return M.apply_alias(customer_labels(spark, sf), F.broadcast(aliases(spark, sf)), ["label"])
+    return M.apply_alias(customer_labels(spark, sf), aliases(spark, sf), ["label"])
 
 
 @query("prd_alias_probabilities", "PRD-23", """

@@ -250,11 +250,14 @@ def heartbeat_monitor(stream: DataFrame, source: str, quiet_min: int = 5, late:
 
 
 def raw_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """SRC-03 / SRC-10: append a micro-batch partitioned by date; a replayed batch rewrites its own folder."""
+    """SRC-03 / SRC-10: append a micro-batch to the date partitions it touches.
+
+    A batch replayed after a lost driver may land twice; readers take the last write per
+    (series, ts), so the copies collapse there.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        dated = batch.withColumns({"date": F.to_date("ts"), "batch": F.lit(batch_id)})
-        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "date").parquet(path)
+        batch.withColumns({"date": F.to_date("ts"), "batch_id": F.lit(batch_id)}).write.mode("append").partitionBy("date").parquet(path)
 
     return write
 

@@ -37,7 +37,7 @@ def test_importance_finds_bed_and_ignores_constants(world):
     model = N.fit_classifier(ready, COLS, **FAST)
     imp = {r.feature: r.importance for r in N.permutation_importance(model, ready, "row_id").collect()}
     assert imp["bed"] > 0.1 and imp["tv"] > 0.02 and imp["flat"] == pytest.approx(0.0)
-    att = N.ablation(model, ready.where("bed = 1"), "row_id").groupBy("feature").agg(F.avg("weight").alias("w"))
+    att = N.ablation(model, ready.where("bed = 1"), "row_id", ready).groupBy("feature").agg(F.avg("weight").alias("w"))
     w = {r.feature: r.w for r in att.collect()}
     assert max(w, key=w.get) == "bed" and abs(w["flat"]) < 1e-9
 
