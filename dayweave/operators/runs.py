@@ -217,8 +217,9 @@ def viterbi_relabel(rows: DataFrame, matrix: dict[str, dict[str, float]], keys:
         return out
 
     schema = ", ".join(f"{k} string" for k in keys) + ", w long, label string"
-    # a key holds one row per half hour, so its stretches share a task
-    return seg.groupBy(*keys).applyInPandas(decode, schema)
+    # whole stretches only, 64 to a group: a long history is decoded by many tasks
+    chunk = F.floor(F.col("segment") / 64).alias("chunk")
+    return seg.groupBy(*keys, chunk).applyInPandas(decode, schema)
 
 
 def published_run_length(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -140,6 +140,7 @@ def str_live_scoring(spark, sf):
 
 @query("str_heartbeat", "STR-10", """
 WITH m AS (SELECT DISTINCT person, minute FROM ev WHERE minute < (SELECT epoch_us(max(ts) - INTERVAL 10 MINUTE)//60000000 FROM ev)), g AS (SELECT person, minute, lag(minute) OVER (PARTITION BY person ORDER BY minute) AS p FROM m)
-SELECT person AS source, unnest(['silent','recovered']) AS status, unnest([p+180, minute]) AS minute FROM g WHERE minute-p>180""")
+SELECT person AS source, unnest(['silent','recovered']) AS status, unnest([p+180, minute]) AS minute FROM g WHERE minute-p>180
+UNION ALL SELECT person, 'silent', max(minute)+180 FROM m GROUP BY person HAVING (SELECT epoch_us(max(ts) - INTERVAL 10 MINUTE)//60000000 FROM ev)-max(minute)>180""")
 def str_heartbeat(spark, sf):
     return S.run_available(S.heartbeat_monitor(stream(spark, sf), "person", 180))

@@ -33,7 +33,7 @@ def sum_time_budget(spark, sf):
 
 
 @query("sum_day_totals", "SUM-02", """
-SELECT person, date, string_agg(state||'='||printf('%.1f', m), ',' ORDER BY state) FILTER (WHERE state<>'unknown') AS totals, coalesce(sum(m) FILTER (WHERE state='unknown'),0) AS unknown_min,
+SELECT person, date, coalesce(string_agg(state||'='||printf('%.1f', m), ',' ORDER BY state) FILTER (WHERE state<>'unknown'),'') AS totals, coalesce(sum(m) FILTER (WHERE state='unknown'),0) AS unknown_min,
  coalesce(sum(f) FILTER (WHERE state<>'unknown'),0) AS fact_min, coalesce(sum(m-f) FILTER (WHERE state<>'unknown'),0) AS inferred_min
 FROM (SELECT person, date, state, count(*)*30.0::DOUBLE AS m, count(*) FILTER (WHERE basis='fact')*30.0::DOUBLE AS f FROM tl GROUP BY ALL) GROUP BY person, date""")
 def sum_day_totals(spark, sf):
@@ -66,13 +66,15 @@ def sum_sessions(spark, sf):
 
 
 @query("sum_regularity", "SUM-08", """
-SELECT person, count(*) AS nights, CASE WHEN count(*)>=2 THEN CAST(round(avg(wk)) AS BIGINT) END AS wake_avg_min, CASE WHEN count(*)>=2 THEN CAST(round(stddev_pop(wk)) AS BIGINT) END AS wake_spread_min,
+SELECT person, count(*) AS nights, CASE WHEN count(*)>=2 THEN CAST(round(avg(wk)) AS DOUBLE) END AS wake_avg_min, CASE WHEN count(*)>=2 THEN CAST(round(stddev_pop(wk)) AS DOUBLE) END AS wake_spread_min,
  CASE WHEN count(*)>=2 THEN CASE WHEN stddev_pop(wk)<=20 THEN 'very regular' WHEN stddev_pop(wk)<=45 THEN 'fairly regular' WHEN stddev_pop(wk)<=90 THEN 'varies' ELSE 'irregular' END END AS wake_band,
- CASE WHEN count(*)>=2 THEN CAST(round((avg(bd)+1080)%1440) AS BIGINT) END AS bed_avg_min, CASE WHEN count(*)>=2 THEN CAST(round(stddev_pop(bd)) AS BIGINT) END AS bed_spread_min,
+ CASE WHEN count(*)>=2 THEN CAST(round((avg(bd)+1080)%1440) AS DOUBLE) END AS bed_avg_min, CASE WHEN count(*)>=2 THEN CAST(round(stddev_pop(bd)) AS DOUBLE) END AS bed_spread_min,
  CASE WHEN count(*)>=2 THEN CASE WHEN stddev_pop(bd)<=20 THEN 'very regular' WHEN stddev_pop(bd)<=45 THEN 'fairly regular' WHEN stddev_pop(bd)<=90 THEN 'varies' ELSE 'irregular' END END AS bed_band
 FROM (SELECT person, (start%1440-1080+1440)%1440 AS bd, "end"%1440 AS wk FROM epi WHERE state='asleep' AND "end"-start>=60) GROUP BY person""")
 def sum_regularity(spark, sf):
-    return S.regularity(tl(spark, sf), P, min_sleep_min=60.0)
+    r = S.regularity(tl(spark, sf), P, min_sleep_min=60.0)
+    # NULL below two nights, so the minutes travel as doubles
+    return r.withColumns({c: F.col(c).cast("double") for c in ("wake_avg_min", "wake_spread_min", "bed_avg_min", "bed_spread_min")})
 
 
 @query("sum_transitions", "SUM-09", """

@@ -225,16 +225,17 @@ class Heartbeat(StatefulProcessor):
             if down:
                 out.append((key[0], "recovered", m))
             last, down = m, False
-        if last is not None and not down and not later and stop - last > self.quiet_min:
+        # every row before the watermark has been seen, so this silence is certain
+        if last is not None and not down and stop - last > self.quiet_min:
             out.append((key[0], "silent", last + self.quiet_min))
             down = True
         if ready:
             self.pending.put([(m,) for m in later]) if later else self.pending.clear()
         if last is not None:
             self.state.update((last, down))
-        due = later[0] + 1 if later else (last + self.quiet_min + 1 if last is not None and not down else None)
-        if due is not None and due > stop:
-            self.handle.registerTimer(due * 60000)
+        due = ([later[0] + 1] if later else []) + ([last + self.quiet_min + 1] if last is not None and not down else [])
+        if due:
+            self.handle.registerTimer(max(min(due), stop + 1) * 60000)
         return pd.DataFrame(out, columns=["source", "status", "minute"])
 
     def close(self) -> None:
