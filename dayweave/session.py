@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -34,15 +36,41 @@ def local_session(cores: int | str = "*", app: str = "dayweave", shuffle_partiti
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return prepare(spark)
+    return ship(prepare(spark))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives the Python workers of this session the package, once per application.
+
+    A session started elsewhere need not have the package on its executors: Spark's own file
+    server sends a zip of the sources to them.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        top = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="dayweave-code-"), "dayweave.zip")
+        with zipfile.ZipFile(target, "w") as out:
+            for folder, _, names in os.walk(top):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(top)))
+        spark.sparkContext.addPyFile(target)
+        _shipped.add(app)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a scratch one only if none is named."""
+    """The shared checkpoint folder of the cluster; a scratch one only in local mode and if none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     folder = named or tempfile.mkdtemp(prefix="dayweave-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
