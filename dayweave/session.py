@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -76,6 +77,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint directory, which every executor and the driver see."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/dayweave/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df, name: str):
+    """Writes the rows to shared storage once and reads them back: no recomputation, no lineage before."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df, max_bytes: int = 64 << 20):
     """Broadcast hint only where the optimizer's own size bound proves the side small.
 
