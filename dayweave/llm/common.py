@@ -1,13 +1,11 @@
-"""Shared helpers of the training-data operators: row keys, scratch tables, fixed hashes."""
+"""Shared helpers of the training-data operators: row keys and fixed hashes."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialise, scratch_path  # noqa: F401
 
 #: Word characters of every contract: all but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,18 +17,5 @@ def row_key(doc_id: str | Column = "doc_id", text: str | Column = "text") -> Col
     return F.struct(doc_id.alias("id"), F.xxhash64(text).alias("h"))
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint directory, which every executor and the driver see."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/dayweave-llm/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to shared storage once and reads them back: no recomputation, no lineage before."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc32_of_id(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary"))

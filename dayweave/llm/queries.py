@@ -38,7 +38,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-@query("op1_line_frequency")
+@query(
+    "op1_line_frequency",
+    """
+    WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+    p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8),
+    g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM p),
+    r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+    c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, range(8) t(k) GROUP BY doc_id),
+    q AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+    u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM q WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+    l AS (
+        SELECT doc_id, source, trim(unnest(string_split(regexp_replace(regexp_replace(lower(text), '[0-9]+', '0', 'g'), '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g'), chr(10)))) AS line FROM d
+    ),
+    f AS (SELECT source, line, count(DISTINCT doc_id) AS held FROM l WHERE line <> '' GROUP BY ALL),
+    h AS (SELECT source, greatest(10, 0.05 * count(*)) AS most FROM d GROUP BY source),
+    above AS (SELECT f.source, line FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE held > most),
+    lost AS (
+        SELECT doc_id, count(*) AS n_removed_lines, sum(len(string_split(l.line, ' '))) AS n_removed_words
+        FROM l JOIN above a ON l.source IS NOT DISTINCT FROM a.source AND l.line = a.line GROUP BY doc_id
+    ),
+    base AS (
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+            length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+            coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+            coalesce(n_removed_lines, 0) AS n_removed_lines, CAST(coalesce(n_removed_words, 0) AS BIGINT) AS n_removed_words
+        FROM d JOIN w USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN lost USING (doc_id)
+    ),
+    v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_words - n_removed_words < 0.5 * n_words AS depleted FROM base)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT depleted AS kept, n_removed_lines, n_removed_words, depleted FROM v
+    """,
+)
 def op1_line_frequency(spark, sf_dir):
     got = line_rules.line_frequency(documents(spark, sf_dir))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "n_removed_words", "depleted")
@@ -90,9 +121,38 @@ def op6_orc_tokens(spark, sf_dir):
     return token_files.checksums(token_files.read_token_files(spark, path))
 
 
-@query("op7_entropy_mixing")
+@query(
+    "op7_entropy_mixing",
+    """
+    WITH RECURSIVE s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+    t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s GROUP BY source),
+    o AS (SELECT *, 2.0 * source_size / weight AS full_at, row_number() OVER (ORDER BY 2.0 * source_size / weight, source) AS j FROM t),
+    cut AS (
+        SELECT j, full_at, (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o
+    ),
+    lv AS (SELECT level FROM cut WHERE level <= full_at ORDER BY j LIMIT 1),
+    g AS (SELECT source, source_size, least(2.0 * source_size, weight * level) AS target FROM t, lv),
+    c AS (
+        SELECT s.source, s.size, count(*) AS n, any_value(target / g.source_size) AS rate, row_number() OVER (PARTITION BY s.source ORDER BY s.size DESC) AS i
+        FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source WHERE s.size > 0 GROUP BY s.source, s.size
+    ),
+    fold AS (
+        SELECT source, 0 AS i, CAST(0 AS DOUBLE) AS carry, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS k FROM t
+        UNION ALL
+        SELECT f.source, CAST(c.i AS INTEGER), c.rate * c.n * c.size + f.carry - greatest(0, least(2 * c.n, floor((c.rate * c.n * c.size + f.carry) / c.size + 0.5))) * c.size,
+            c.size, c.n, CAST(greatest(0, least(2 * c.n, floor((c.rate * c.n * c.size + f.carry) / c.size + 0.5))) AS BIGINT)
+        FROM fold f JOIN c ON c.source IS NOT DISTINCT FROM f.source AND c.i = f.i + 1
+    ),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source, size ORDER BY doc_id) AS place FROM s)
+    SELECT r.doc_id, r.size, g.source_size, g.target,
+        CASE WHEN r.size > 0 THEN f.k // f.n + CAST(r.place <= f.k % f.n AS BIGINT) ELSE CAST(floor(target / g.source_size + 0.5) AS BIGINT) END AS copies,
+        CASE WHEN r.size > 0 THEN (f.k // f.n + CAST(r.place <= f.k % f.n AS BIGINT)) * r.size ELSE 0 END AS taken
+    FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source LEFT JOIN fold f ON f.source IS NOT DISTINCT FROM r.source AND f.size = r.size AND f.i > 0
+    """,
+)
 def op7_entropy_mixing(spark, sf_dir):
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 @query("op8_simhash_trees")

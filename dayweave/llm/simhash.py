@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, row_key
-from .components import components
+from ..functions.components import components
 
 SAMPLE = 16_384
 LEAF = 1_024
