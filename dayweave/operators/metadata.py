@@ -534,12 +534,29 @@ def sync_inventory(live: DataFrame, bindings: DataFrame, pending: DataFrame) ->
 
 
 def approve_pending(pending: DataFrame, chosen: DataFrame, bindings: DataFrame) -> DataFrame:
-    """JON-19: chosen proposals with names made unique by _2, _3 … after those in use."""
-    take = pending.join(chosen.select("entity_id"), "entity_id", "left_semi")
-    used = bindings.select(F.col("name").alias("base")).distinct().withColumn("_used", F.lit(1))
-    rn = F.row_number().over(Window.partitionBy("base").orderBy("entity_id"))
-    n = take.withColumn("base", F.col("suggested_name")).join(used, "base", "left").withColumn("_n", rn + F.coalesce("_used", F.lit(0)))
-    return n.select("entity_id", "suggested_role", F.when(F.col("_n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("_n").cast("string"))).alias("name"))
+    """JON-19: chosen proposals named base, base_2, base_3 …, without the names in use.
+
+    The i-th proposal of a base takes the i-th free number: with the taken numbers sorted, that is i
+    plus how many taken ones lie at or below it, found over the (few) taken numbers of the base.
+    A free number of one base is still checked against names that other proposals bring themselves.
+    """
+    take = pending.join(chosen.select("entity_id"), "entity_id", "left_semi").withColumn("base", F.col("suggested_name"))
+    bases = take.select("base").distinct()
+    # numbers in use: the bare name is number 1
+    bare = bindings.select(F.col("name").alias("base"), F.lit(1).cast("long").alias("taken"))
+    stem, tail = F.regexp_extract("name", "^(.*)_([0-9]{1,9})$", 1), F.regexp_extract("name", "^(.*)_([0-9]{1,9})$", 2)
+    in_use = bindings.select(F.col("name")).union(bases)
+    numbered = in_use.where(tail != "").select(stem.alias("base"), tail.cast("long").alias("taken"), tail.alias("_t")).where((F.col("taken") > 1) & (F.col("taken").cast("string") == F.col("_t"))).drop("_t")
+    used = bare.union(numbered).join(bases, "base", "left_semi").distinct()
+    w = Window.partitionBy("base").orderBy("taken")
+    # gaps between taken numbers: how many free numbers lie below each taken one
+    free_below = used.withColumn("_below", F.col("taken") - F.row_number().over(w))
+    limits = free_below.groupBy("base").agg(F.array_sort(F.collect_list("_below")).alias("_belows"))
+    i = F.row_number().over(Window.partitionBy("base").orderBy("entity_id"))
+    n = take.withColumn("_i", i).join(limits, "base", "left")
+    number = F.col("_i") + F.coalesce(F.size(F.filter("_belows", lambda b: b < F.col("_i"))), F.lit(0))
+    return n.withColumn("_n", F.when(F.col("_belows").isNull(), F.col("_i")).otherwise(number)).select(
+        "entity_id", "suggested_role", F.when(F.col("_n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("_n").cast("string"))).alias("name"))
 
 
 def dismiss_pending(pending: DataFrame, chosen: DataFrame) -> DataFrame:

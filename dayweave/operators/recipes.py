@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import with_composites
 from ..functions.segments import last_known
+from ..session import materialise
 from .windows import EVENT_ROLES, RECIPES, WIDTH, with_time_features
 
 IDLE_CAP = 240
@@ -410,8 +411,8 @@ def build_features(
     from .windows import to_windows
 
     keys = [key]
-    # read by five branches below: kept once instead of scanning the raw history five times
-    iv = iv.persist()
+    # read by five branches below: written once instead of scanning the raw history five times
+    iv = materialise(iv, "intervals")
     win = to_windows(iv)
     stats = window_stats(win, [key, "binding"])
     wide = long_features(stats, [key, "binding"], tz=tz).groupBy(key, "window_start").pivot(

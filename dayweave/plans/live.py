@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, prepare
+from ..session import ensure_checkpoint_dir, materialise, prepare
 from ..sources import tables as T
 from ..streaming import live as S
 from .catalog import query
@@ -27,23 +27,23 @@ WM6 = "(SELECT max(ts) - INTERVAL 6 HOUR FROM ev)"
 
 @query("str_sliding_windows", "STR-01", f"""
 SELECT person, binding, epoch_us(ws)//60000000/1.0 AS window_start, count(*) AS n, round(sum(num),6) AS total, max(num) AS vmax, arg_max(num, ts) AS last FROM (
- SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE*unnest(range(6)) AS ws FROM reading WHERE role IN ('bed','power')) WHERE ws + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 6 HOUR FROM reading WHERE role IN ('bed','power')) GROUP BY ALL""")
+ SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE*unnest(range(6)) AS ws FROM reading) WHERE ws + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 6 HOUR FROM reading) GROUP BY ALL""")
 def str_sliding_windows(spark, sf):
-    got = S.run_available(S.sliding_stats(reading_stream(spark, sf).where("role in ('bed', 'power')"), ["person", "binding"]))
+    got = S.run_available(S.sliding_stats(reading_stream(spark, sf), ["person", "binding"]))
     return got.withColumn("total", F.round("total", 6))
 
 
-@query("str_deduplicated", "STR-08 SRC-01", "SELECT DISTINCT person, binding, minute FROM reading WHERE role='env'")
+@query("str_deduplicated", "STR-08 SRC-01", "SELECT DISTINCT person, binding, minute FROM reading")
 def str_deduplicated(spark, sf):
-    rows = reading_stream(spark, sf).where("role = 'env'")
-    again = rows.unionByName(reading_stream(spark, sf).where("role = 'env'"))  # every row delivered twice
+    rows = reading_stream(spark, sf)
+    again = rows.unionByName(reading_stream(spark, sf))  # every row delivered twice
     return S.run_available(S.deduplicate(again, ["person", "binding", "minute"]).select("person", "binding", "minute"))
 
 
 @query("str_fan_out", "STR-09", """
-SELECT r.write_seq, r.binding, m.member FROM (SELECT *, CASE WHEN role='person' THEN person END AS pid FROM reading WHERE role IN ('person','door')) r JOIN (SELECT DISTINCT home, person AS member FROM ev) m USING (home) WHERE pid IS NULL OR pid=m.member""")
+SELECT r.write_seq, r.binding, m.member FROM (SELECT *, CASE WHEN role='person' THEN person END AS pid FROM reading) r JOIN (SELECT DISTINCT home, person AS member FROM ev) m USING (home) WHERE pid IS NULL OR pid=m.member""")
 def str_fan_out(spark, sf):
-    rows = reading_stream(spark, sf).where("role in ('person', 'door')").withColumn("person_id", F.when(F.col("role") == "person", F.col("person")))
+    rows = reading_stream(spark, sf).withColumn("person_id", F.when(F.col("role") == "person", F.col("person")))
     members = T.events(spark, sf).select("home", F.col("person").alias("member")).distinct()
     return S.run_available(S.fan_out(rows, members).select("write_seq", "binding", "member"))
 
@@ -57,11 +57,12 @@ def str_sessions(spark, sf):
 
 
 @query("str_intervals", "STR-02", """
-SELECT person, binding, minute AS from_min, least(minute+CASE role WHEN 'bed' THEN 11 ELSE 6 END, nx) AS to_min, num, str FROM (SELECT *, lead(minute) OVER (PARTITION BY person, binding ORDER BY minute) AS nx FROM minutely WHERE role IN ('bed','media')), (SELECT epoch_us(max(ts) - INTERVAL 10 MINUTE)//60000000 AS wm FROM reading WHERE role IN ('bed','media'))
-WHERE minute < wm AND (nx < wm OR minute+CASE role WHEN 'bed' THEN 11 ELSE 6 END <= wm) AND least(minute+CASE role WHEN 'bed' THEN 11 ELSE 6 END, nx) IS NOT NULL""")
+SELECT person, binding, minute AS from_min, least(minute+keep, nx) AS to_min, num, str FROM (SELECT *, lead(minute) OVER (PARTITION BY person, binding ORDER BY minute) AS nx,
+ 1+CASE role WHEN 'presence' THEN 5 WHEN 'bed' THEN 10 WHEN 'power' THEN 10 WHEN 'light' THEN 240 WHEN 'media' THEN 5 WHEN 'env' THEN 120 WHEN 'person' THEN 10080 WHEN 'focus' THEN 10
+ WHEN 'alarm_time' THEN 10080 WHEN 'door' THEN 0 WHEN 'steps' THEN 30 WHEN 'battery' THEN 120 ELSE 30 END AS keep FROM minutely), (SELECT epoch_us(max(ts) - INTERVAL 10 MINUTE)//60000000 AS wm FROM reading)
+WHERE minute < wm AND (nx < wm OR minute+keep <= wm) AND least(minute+keep, nx) IS NOT NULL""")
 def str_intervals(spark, sf):
-    rows = reading_stream(spark, sf).where("role in ('bed', 'media')")
-    return S.run_available(S.stream_intervals(rows)).drop("role")
+    return S.run_available(S.stream_intervals(reading_stream(spark, sf))).drop("role")
 
 
 SMOOTH_SQL = """
@@ -124,18 +125,33 @@ def str_live_sink(spark, sf):
 
     path = f"{ensure_checkpoint_dir(spark)}/live-{uuid.uuid4().hex}"
     rows = stream(spark, sf).select("person", F.col("minute").alias("w"))
-    S.run_available(rows, sink=S.latest_sink(lambda df: df.write.mode("overwrite").parquet(path)))
-    return spark.read.parquet(path)
+    S.run_available(rows, sink=S.state_sink(path))
+    return S.current_state(spark, path)
 
 
-@query("str_live_scoring", "STR-04", "SELECT person, arg_max(event_type, ts) AS state FROM ev GROUP BY person")
+@query("str_live_scoring", "STR-04", """
+WITH n AS (SELECT event_type, minute%1440//60 AS hour, count(*) AS n FROM ev GROUP BY ALL),
+c AS (SELECT event_type, sum(n) AS total FROM n GROUP BY ALL), a AS (SELECT sum(n) AS everything FROM n),
+s AS (SELECT hour, event_type, (total/everything)*((n+1.0)/(total+24)) AS score FROM n JOIN c USING (event_type), a),
+m AS (SELECT hour, arg_min(event_type, struct_pack(s := -score, e := event_type)) AS state, round(max(score)/sum(score),6) AS confidence FROM s GROUP BY hour),
+l AS (SELECT person, max(epoch_us(ts)) AS us FROM ev GROUP BY person)
+SELECT person, us AS w, state, confidence FROM l JOIN m ON m.hour=us//3600000000%24""")
 def str_live_scoring(spark, sf):
     import uuid
 
+    # naive Bayes over the hour of day, fitted on the history and looked up by the current row's hour
+    n = T.events(spark, sf).groupBy("event_type", F.floor(F.col("minute") % 1440 / 60).alias("hour")).agg(F.count("*").alias("n"))
+    total = n.groupBy("event_type").agg(F.sum("n").alias("total"))
+    joint = n.join(total, "event_type").withColumn("score", F.col("total") / n.agg(F.sum("n")).scalar() * ((F.col("n") + 1.0) / (F.col("total") + 24)))
+    model = materialise(joint.groupBy("hour").agg(F.min_by("event_type", F.struct((-F.col("score")).alias("s"), F.col("event_type").alias("e"))).alias("state"), F.round(F.max("score") / F.sum("score"), 6).alias("confidence")), "hour-model")
+
+    def score(df):
+        return df.withColumn("hour", F.floor(F.col("w") / 3_600_000_000) % 24).join(model, "hour").select("person", "w", "state", "confidence")
+
     path = f"{ensure_checkpoint_dir(spark)}/score-{uuid.uuid4().hex}"
-    rows = stream(spark, sf).select("person", "event_type", F.unix_micros("ts").alias("w"))
-    S.run_available(rows, sink=S.scorer(lambda df: df.select("person", F.col("event_type").alias("state")), path))
-    return spark.read.parquet(path).drop("batch")
+    rows = stream(spark, sf).select("person", F.unix_micros("ts").alias("w"))
+    S.run_available(rows, sink=S.scorer(score, path))
+    return S.current_state(spark, path)
 
 
 @query("str_heartbeat", "STR-10", """

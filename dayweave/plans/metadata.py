@@ -97,9 +97,8 @@ UNION ALL SELECT 'sleeping', person_id, 20, '{{"all": [{{"feat": "'||name||'_occ
 UNION ALL SELECT 'cooking', NULL, 30, '{{"all": [{{"feat": "'||name||'_frac", "op": ">", "value": 0.3}}, {{"feat": "'||pn||'_on", "op": "==", "value": 1}}]}}' FROM b, pw WHERE role='presence' AND place LIKE '%kitchen%'
 UNION ALL SELECT 'movie', NULL, 40, '{{"all": [{{"feat": "'||name||'_playing", "op": "==", "value": 1}}, {{"feat": "'||rn||'_frac", "op": ">", "value": 0.2}}]}}' FROM b, pr WHERE role='media'""")
 def prd_starter_rules(spark, sf):
-    acts = T.activities(spark, sf).groupBy("slug").count().select("slug")
-    slugs = F.explode(F.array(*[F.lit(s) for s in ("away", "sleeping", "cooking", "movie", "eating")])).alias("slug")
-    return M.starter_rules(T.bindings(spark, sf), acts.limit(1).select(slugs))
+    acts = spark.createDataFrame([(s,) for s in ("away", "sleeping", "cooking", "movie", "eating")], "slug string")
+    return M.starter_rules(T.bindings(spark, sf), acts)
 
 
 view("sig", """
@@ -321,7 +320,7 @@ def prd_alias_labels(spark, sf):
 SELECT event_id, printf('cooking=%.6f,relax=%.6f', a, b+c) AS probs FROM pred5""")
 def prd_alias_probabilities(spark, sf):
     p = T.prediction_rows(spark, sf).select("event_id", "probs")
-    al = p.limit(1).select(F.explode(F.array(F.lit("movie"), F.lit("home"))).alias("src"), F.lit("relax").alias("dst"))
+    al = spark.createDataFrame([("movie", "relax"), ("home", "relax")], "src string, dst string")
     return M.alias_probabilities(p, al, ["event_id"]).select("event_id", map_text("probs").alias("probs"))
 
 
@@ -374,7 +373,7 @@ SELECT event_id, name, coalesce(CASE WHEN regexp_matches(cut,'^nation [0-9]+$')
 def prd_synonym_canonical(spark, sf):
     names = T.events(spark, sf).select("event_id", T._pick(SYN, F.col("k") % 9).alias("name"))
     acts = T.activities(spark, sf).select("slug")
-    reserved = acts.limit(1).select(F.explode(F.array(F.lit("away"), F.lit("asleep"), F.lit("home"))).alias("slug"))
+    reserved = spark.createDataFrame([("away",), ("asleep",), ("home",)], "slug string")
     return M.canonical_activity(names, acts.union(reserved), ["alex"])
 
 

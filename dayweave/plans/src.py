@@ -39,7 +39,7 @@ def src_gap_fill(spark, sf):
 
 
 @query("src_two_layout_import", "SRC-05", """
-WITH m AS (SELECT 'merged' AS layout, person, minute, ts, value FROM ev WHERE event_type IN ('click','view') AND k>=50),
+WITH m AS (SELECT 'merged' AS layout, person, minute, ts, value FROM ev WHERE event_type IN ('click','view')),
 d AS (SELECT 'default' AS layout, person, minute, ts, value FROM ev WHERE event_type='error'),
 f AS (SELECT person, CASE WHEN bool_or(layout='merged' AND c=mc) THEN 'merged' ELSE 'default' END AS pick FROM (
   SELECT person, layout, minute//(43200) AS c, min(minute//43200) OVER (PARTITION BY person) AS mc FROM (FROM m UNION ALL FROM d)) GROUP BY person)
@@ -48,7 +48,7 @@ FROM (FROM m UNION ALL FROM d) JOIN f USING (person) WHERE layout=pick GROUP BY
 def src_two_layout_import(spark, sf):
     ev = T.events(spark, sf)
     cols = ["person", "minute", "ts", "value"]
-    merged = ev.where(F.col("event_type").isin("click", "view") & (F.col("k") >= 50)).select(*cols)
+    merged = ev.where(F.col("event_type").isin("click", "view")).select(*cols)
     default = ev.where(F.col("event_type") == "error").select(*cols)
     return R.choose_layout(merged, default, ["person"])
 
@@ -97,13 +97,13 @@ def src_state_coercion(spark, sf):
 
 
 @query("src_raw_append_dedupe", "SRC-10 SRC-01", """
-SELECT person, binding, minute, arg_max(coalesce(str, CAST(num AS VARCHAR)), write_seq) AS v, count(*) AS n FROM reading WHERE role IN ('media','person') GROUP BY ALL""")
+SELECT person, binding, minute, arg_max(num, write_seq) AS num, arg_max(str, write_seq) AS str, count(*) AS n FROM reading GROUP BY ALL""")
 def src_raw_append_dedupe(spark, sf):
-    rd = T.readings(spark, sf).where(F.col("role").isin("media", "person"))
+    rd = T.readings(spark, sf)
     keys = ["person", "binding", "minute"]
-    last = R.latest_write(rd.select(*keys, "write_seq", F.coalesce("str", F.col("num").cast("string")).alias("v")), keys, "write_seq")
+    last = R.latest_write(rd.select(*keys, "write_seq", "num", "str"), keys, "write_seq")
     n = rd.groupBy(*keys).agg(F.count("*").alias("n"))
-    return last.join(n, keys).select(*keys, "v", "n")
+    return last.join(n, keys).select(*keys, "num", "str", "n")
 
 
 @query("src_read_raw_minutes", "SRC-11 WIN-01", f"""
@@ -125,12 +125,13 @@ def src_wide_minutes(spark, sf):
 
 
 @query("src_feature_read_pivot", "SRC-12 SRC-13", """
-SELECT person, w AS window_start, max(CASE WHEN event_type='click' THEN s END) AS click, max(CASE WHEN event_type='error' THEN s END) AS error, max(CASE WHEN event_type='view' THEN s END) AS "view"
-FROM (SELECT person, minute-minute%30 AS w, event_type, round(sum(value),6) AS s FROM ev GROUP BY ALL) WHERE event_type IN ('click','error','view') GROUP BY person, w""")
+SELECT person, w AS window_start, max(CASE WHEN event_type='click' THEN s END) AS click, max(CASE WHEN event_type='error' THEN s END) AS error, max(CASE WHEN event_type='view' THEN s END) AS "view",
+ max(CASE WHEN event_type='purchase' THEN s END) AS purchase, max(CASE WHEN event_type='signup' THEN s END) AS signup
+FROM (SELECT person, minute-minute%30 AS w, event_type, round(sum(value),6) AS s FROM ev GROUP BY ALL) GROUP BY person, w""")
 def src_feature_read_pivot(spark, sf):
-    ev = T.events(spark, sf).where(F.col("event_type").isin("click", "error", "view"))
+    ev = T.events(spark, sf)
     long = ev.groupBy("person", (F.col("minute") - F.col("minute") % 30).alias("window_start"), F.col("event_type").alias("feature")).agg(r6(F.sum("value")).alias("value"))
-    return R.widen_features(long, ["person", "window_start"], ["click", "error", "view"])
+    return R.widen_features(long, ["person", "window_start"], ["click", "error", "view", "purchase", "signup"])
 
 
 @query("src_last_feature_time", "SRC-14", """

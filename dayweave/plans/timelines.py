@@ -280,11 +280,11 @@ def seq_recap_picks(spark, sf):
 
 
 @query("seq_marker_flags", "SEQ-05", """
-WITH mk AS (SELECT o_custkey%5 AS a, o_orderkey%5 AS b, min(o_orderkey) AS ord FROM orders WHERE o_orderpriority='1-URGENT' GROUP BY ALL),
+WITH mk AS (SELECT o_custkey%5 AS a, o_orderkey%5 AS b, min(o_orderkey) AS ord FROM orders GROUP BY ALL),
 m AS (SELECT CASE WHEN a=0 THEN NULL ELSE ['any','cooking','movie','away','home'][a+1] END AS f, ['asleep','cooking','movie','away','home'][b+1] AS t, ord FROM mk)
 SELECT person, start, prev_state, state, 'm'||min(ord) AS marker FROM (SELECT *, lag(state) OVER (PARTITION BY person ORDER BY start) AS prev_state FROM epi) e JOIN m ON m.t=e.state AND (m.f IS NULL OR m.f=e.prev_state) WHERE prev_state IS NOT NULL GROUP BY ALL""")
 def seq_marker_flags(spark, sf):
-    o = T.load(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    o = T.load(spark, sf, "orders")
     m = o.groupBy((F.col("o_custkey") % 5).alias("a"), (F.col("o_orderkey") % 5).alias("b")).agg(F.min("o_orderkey").alias("ord"))
     markers = m.select(F.when(F.col("a") != 0, T._pick(["any", "cooking", "movie", "away", "home"], F.col("a"))).alias("from_state"),
                        T._pick(["asleep", "cooking", "movie", "away", "home"], F.col("b")).alias("to_state"), F.concat(F.lit("m"), F.col("ord").cast("string")).alias("marker"), "ord")
@@ -390,13 +390,13 @@ def seq_room_graph(spark, sf):
 
 
 @query("seq_hop_distance", "SEQ-18", """
-WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey AS k, 'r'||(c_custkey%11) AS a, 'r'||((c_custkey+c_nationkey)%11) AS b FROM customer JOIN nation ON c_nationkey=n_nationkey WHERE c_acctbal>8500),
+WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey AS k, 'r'||(c_custkey%11) AS a, 'r'||((c_custkey+c_nationkey)%11) AS b FROM customer JOIN nation ON c_nationkey=n_nationkey),
 g AS (SELECT k, a AS src, b AS dst FROM e WHERE a<>b UNION SELECT k, b, a FROM e WHERE a<>b), keys AS (SELECT DISTINCT k FROM g),
 r AS (SELECT k, 'r0' AS room, 0 AS hops FROM keys UNION SELECT g.k, g.src, r.hops+1 FROM r JOIN g ON g.k=r.k AND g.dst=r.room WHERE r.hops<5)
 SELECT CAST(k AS BIGINT) AS k, 'bed' AS anchor, room, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY ALL""")
 def seq_hop_distance(spark, sf):
     c, n = T.load(spark, sf, "customer"), T.load(spark, sf, "nation")
-    rows = c.where("c_acctbal > 8500").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("n_regionkey").cast("long").alias("k"), F.concat(F.lit("r"), (F.col("c_custkey") % 11).cast("string")).alias("a"),
         F.concat(F.lit("r"), ((F.col("c_custkey") + F.col("c_nationkey")) % 11).cast("string")).alias("b")).where("a <> b")
     edges = rows.select("k", F.col("a").alias("src"), F.col("b").alias("dst")).union(rows.select("k", "b", "a")).distinct()

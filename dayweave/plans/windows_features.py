@@ -27,6 +27,11 @@ def roles_iv(spark, sf, *roles):
     return iv.where(F.col("role").isin(*roles))
 
 
+def numeric_iv(spark, sf):
+    """Intervals of all numeric series."""
+    return iv_of(spark, sf).where(F.col("num").isNotNull())
+
+
 def binding_roles() -> list[tuple[str, str]]:
     return sorted((f"{t}_{s[0]}", s[0]) for t, ss in T._series().items() for s in ss)
 
@@ -53,18 +58,18 @@ def win_grid(spark, sf):
 
 
 @query("win_tumbling_mean", "WIN-04", """
-SELECT person, binding, ws AS window_start, count(*) AS minutes, round(avg(num),6) AS mean FROM densewin WHERE role IN ('bed','power','custom') GROUP BY ALL""")
+SELECT person, binding, ws AS window_start, count(*) AS minutes, round(avg(num),6) AS mean FROM densewin WHERE num IS NOT NULL GROUP BY ALL""")
 def win_tumbling_mean(spark, sf):
-    win = W.to_windows(roles_iv(spark, sf, "bed", "power", "custom"))
+    win = W.to_windows(numeric_iv(spark, sf))
     s = A.window_stats(win, SERIES)
     return s.select("person", "binding", "window_start", "minutes", r6(F.col("weighted") / F.col("minutes")).alias("mean"))
 
 
 @query("win_sliding_mean", "WIN-05", """
 SELECT person, binding, we-30 AS window_start, count(*) AS minutes, round(avg(num),6) AS mean FROM
- (SELECT *, (m//5+1)*5+5*unnest(range(0,6)) AS we FROM dense WHERE role='bed') WHERE we<=(fe//30)*30+30 GROUP BY ALL""")
+ (SELECT *, (m//5+1)*5+5*unnest(range(0,lb//5)) AS we FROM (SELECT *, CASE role WHEN 'presence' THEN 15 WHEN 'media' THEN 15 WHEN 'env' THEN 60 WHEN 'steps' THEN 180 WHEN 'battery' THEN 180 ELSE 30 END AS lb FROM dense WHERE num IS NOT NULL)) WHERE we<=(fe//30)*30+30 GROUP BY ALL""")
 def win_sliding_mean(spark, sf):
-    win = W.to_windows(roles_iv(spark, sf, "bed"), stride=5)
+    win = W.to_windows(numeric_iv(spark, sf), stride=5)
     s = A.window_stats(win, SERIES)
     return s.select("person", "binding", "window_start", "minutes", r6(F.col("weighted") / F.col("minutes")).alias("mean"))
 
@@ -192,9 +197,8 @@ SELECT person, binding, ws AS window_start, CAST(d AS DOUBLE) AS minutes_until,
 # --- named transforms ------------------------------------------------------------------------
 
 
-def transform_win(spark, sf, role="bed", look=30):
-    iv = roles_iv(spark, sf, role)
-    return W.to_windows(A.with_run_ids(A.with_positions(iv, SERIES), SERIES), lookback=look)
+def transform_win(spark, sf):
+    return W.to_windows(A.with_run_ids(A.with_positions(numeric_iv(spark, sf), SERIES), SERIES))
 
 
 @query("agg_transforms_numeric", "AGG-14 AGG-15 AGG-16 AGG-18 AGG-19 AGG-20 AGG-21", """
@@ -204,7 +208,7 @@ SELECT person, binding, ws AS window_start, round(avg(CAST(num>0.5 AS DOUBLE)),6
  round(avg(num),6) AS window_mean, max(num) AS window_max, min(num) AS window_minimum, round(arg_max(num,m)-arg_min(num,m),6) AS window_delta,
  round(CASE WHEN count(*)>=2 THEN regr_slope(num, rn) ELSE 0 END,6) AS window_slope,
  round(CASE WHEN count(*)>=2 AND arg_max(num,m)>=arg_min(num,m) THEN (arg_max(num,m)-arg_min(num,m))/(max(m)-min(m)) ELSE 0 END,6) AS counter_rate
-FROM (SELECT *, lag(num) OVER o AS pn, row_number() OVER o AS rn FROM densewin WHERE role='bed' """ + ORDERED + ") GROUP BY person, binding, ws")
+FROM (SELECT *, lag(num) OVER o AS pn, row_number() OVER o AS rn FROM densewin WHERE num IS NOT NULL """ + ORDERED + ") GROUP BY person, binding, ws")
 def agg_transforms_numeric(spark, sf):
     s = A.transform_stats(transform_win(spark, sf), SERIES)
     cols = {k: r6(v) for k, v in A.transform_columns().items()}
@@ -214,10 +218,10 @@ def agg_transforms_numeric(spark, sf):
 @query("agg_run_length_on", "AGG-17", """
 SELECT person, binding, ws AS window_start, CAST(max(r) AS DOUBLE) AS run_length_on FROM (
  SELECT person, binding, ws, g, sum(CASE WHEN num>0.5 THEN 1 ELSE 0 END) AS r FROM (
-  SELECT *, sum(CASE WHEN num>0.5 THEN 0 ELSE 1 END) OVER (PARTITION BY person, binding, ws ORDER BY m ROWS UNBOUNDED PRECEDING) AS g FROM densewin WHERE role='light')
+  SELECT *, sum(CASE WHEN num>0.5 THEN 0 ELSE 1 END) OVER (PARTITION BY person, binding, ws ORDER BY m ROWS UNBOUNDED PRECEDING) AS g FROM densewin WHERE num IS NOT NULL)
  GROUP BY ALL) GROUP BY ALL""")
 def agg_run_length_on(spark, sf):
-    return A.longest_on_run(transform_win(spark, sf, "light"), SERIES, SERIES)
+    return A.longest_on_run(transform_win(spark, sf), SERIES, SERIES)
 
 
 @query("agg_state_dwell", "AGG-22", """

@@ -143,15 +143,19 @@ def stream_intervals(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 class Smoother(StatefulProcessor):
-    """STR-05/06: hysteresis per person with memory of the last row, emitting changes only if asked."""
+    """STR-05/06: hysteresis per person, emitting changes only if asked.
 
-    def __init__(self, margin: float = 0.25, changes_only: bool = False):
-        self.margin, self.changes_only = margin, changes_only
+    The label changes when the last k predictions agree or the confidence jumps by the margin; runs
+    are counted on a grid of grid_min minutes.
+    """
+
+    def __init__(self, margin: float = 0.25, changes_only: bool = False, k: int = 2, grid_min: int = 30):
+        self.margin, self.changes_only, self.k, self.grid_min = margin, changes_only, k, grid_min
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pending = handle.getListState("pending", "w long, predicted string, confidence double")
-        self.last = handle.getValueState("last", "w long, predicted string, confidence double, published string, run_len long")
+        self.last = handle.getValueState("last", "w long, predicted string, confidence double, published string, run_len long, agreed long")
 
     def handleInputRows(self, key, rows, timerValues):
         stop = timerValues.getCurrentWatermarkInMs() // 60000
@@ -169,13 +173,14 @@ class Smoother(StatefulProcessor):
         last = tuple(self.last.get()) if self.last.exists() else None
         out = []
         for w, predicted, confidence in ready:
-            decisive = last is None or confidence >= last[2] + self.margin or predicted == last[1]
+            agreed = last[5] + 1 if last is not None and predicted == last[1] else 1
+            decisive = last is None or confidence >= last[2] + self.margin or agreed >= self.k
             published = predicted if decisive else last[3]
             same = last is not None and last[3] == published
-            run = last[4] + 1 if same and w - last[0] == 30 else 1
+            run = last[4] + 1 if same and w - last[0] == self.grid_min else 1
             if not (self.changes_only and same):
                 out.append((key[0], w, predicted, published, run))
-            last = (w, predicted, confidence, published, run)
+            last = (w, predicted, confidence, published, run, agreed)
         if ready:
             self.pending.put(later) if later else self.pending.clear()
             self.last.update(last)
@@ -187,11 +192,11 @@ class Smoother(StatefulProcessor):
         pass
 
 
-def stream_smoothing(stream: DataFrame, changes_only: bool = False, late: str = "10 minutes") -> DataFrame:
+def stream_smoothing(stream: DataFrame, changes_only: bool = False, late: str = "10 minutes", k: int = 2, grid_min: int = 30) -> DataFrame:
     """STR-05/06. stream: (person, ts, w, predicted, confidence)."""
     rows = stream.withWatermark("ts", late)
     schema = "person string, w long, predicted string, published string, run_len long"
-    return rows.groupBy("person").transformWithStateInPandas(Smoother(changes_only=changes_only), schema, "Append", "EventTime")
+    return rows.groupBy("person").transformWithStateInPandas(Smoother(changes_only=changes_only, k=k, grid_min=grid_min), schema, "Append", "EventTime")
 
 
 class Heartbeat(StatefulProcessor):
@@ -251,14 +256,14 @@ def heartbeat_monitor(stream: DataFrame, source: str, quiet_min: int = 5, late:
 
 
 def raw_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """SRC-03 / SRC-10: append a micro-batch to the date partitions it touches.
+    """SRC-03 / SRC-10: write a micro-batch into the (date, batch_id) partitions it owns.
 
-    A batch replayed after a lost driver may land twice; readers take the last write per
-    (series, ts), so the copies collapse there.
+    A batch replayed after a lost driver overwrites what it wrote before, so no row lands twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumns({"date": F.to_date("ts"), "batch_id": F.lit(batch_id)}).write.mode("append").partitionBy("date").parquet(path)
+        dated = batch.withColumns({"date": F.to_date("ts"), "batch_id": F.lit(batch_id)})
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch_id").parquet(path)
 
     return write
 
@@ -272,16 +277,52 @@ def latest_sink(publish: Callable[[DataFrame], None]) -> Callable[[DataFrame, in
     return write
 
 
-def scorer(score: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
-    """STR-04: score the current window of the people a micro-batch touched."""
+def _versions(spark, path: str) -> list[int]:
+    """Finished versions of a current-state table, oldest first; one folder per micro-batch that is kept."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jvm.Path(path)):
+        return []
+    found = [f.getPath() for f in fs.listStatus(jvm.Path(path))]
+    return sorted(int(f.getName()) for f in found if f.getName().isdigit() and fs.exists(jvm.Path(f, "_SUCCESS")))
+
+
+def state_sink(path: str, change: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """SRC-29 / STR-03: a merged table of the current state, one row per person by event time.
+
+    Every micro-batch writes the next version: the version before, and where a person of the batch
+    has a later row, that row. People absent from the batch keep theirs, late rows lose by their
+    event time, and a replayed batch starts from the same version before it. Two versions are kept.
+    change: applied to the latest rows of a batch before they are merged.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        current = latest_write(batch, ["person"], F.col("w"))
-        score(current).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        spark = batch.sparkSession
+        before = [v for v in _versions(spark, path) if v < batch_id]
+        fresh = latest_write(batch, ["person"], F.col("w"))
+        fresh = change(fresh) if change is not None else fresh
+        merged = fresh
+        if before:
+            merged = latest_write(spark.read.parquet(f"{path}/{before[-1]}").unionByName(fresh), ["person"], F.col("w"))
+        merged.write.mode("overwrite").parquet(f"{path}/{batch_id}")
+        jvm = spark._jvm.org.apache.hadoop.fs
+        for old in before[:-1]:
+            gone = jvm.Path(f"{path}/{old}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return write
 
 
+def current_state(spark, path: str) -> DataFrame:
+    """The newest finished version of a merged state table."""
+    return spark.read.parquet(f"{path}/{_versions(spark, path)[-1]}")
+
+
+def scorer(score: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """STR-04: score the current window of the people a micro-batch touched into the merged state table."""
+    return state_sink(path, score)
+
+
 def run_available(stream: DataFrame, mode: str = "append", sink: Callable | None = None) -> DataFrame | None:
     """Drain what is there, into a table in the shared folder; the result is read back from it."""
     spark = stream.sparkSession
