@@ -68,7 +68,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     # one row per file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(totals, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    # as many rows as files, which the driver lists anyway
+    return rows.join(F.broadcast(totals), "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def find_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
