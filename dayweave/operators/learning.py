@@ -160,20 +160,29 @@ def fit_calibrators(scored: DataFrame, classes: list[str]) -> dict[str, Model]:
     return out
 
 
+def _knot_value(x: Column, bx: list[float], by: list[float]) -> Column:
+    """Linear interpolation between sorted knots. The knots are array literals, searched in two steps of
+    about the square root of their number, so the expression does not grow with the fit."""
+    n = len(bx)
+    if n == 1:
+        return F.lit(by[0])
+    step = max(1, int(n ** 0.5))
+    xs, ys = F.array(*map(F.lit, bx)), F.array(*map(F.lit, by))
+    coarse = F.array(*[F.lit(v) for v in bx[::step]])
+    begin = F.greatest(F.lit(0), F.size(F.filter(coarse, lambda v: v < x)) - 1) * step
+    # index (from 0) of the first knot that is not below x
+    at = begin + F.size(F.filter(F.slice(xs, begin + 1, F.lit(step + 1)), lambda v: v < x))
+    x0, x1 = F.element_at(xs, F.greatest(at, F.lit(1)).cast("int")), F.element_at(xs, (F.least(at, F.lit(n - 1)) + 1).cast("int"))
+    y0, y1 = F.element_at(ys, F.greatest(at, F.lit(1)).cast("int")), F.element_at(ys, (F.least(at, F.lit(n - 1)) + 1).cast("int"))
+    between = F.when(x1 > x0, y0 + (y1 - y0) * (x - x0) / (x1 - x0)).otherwise(y1)
+    return F.when(at == 0, by[0]).when(at >= n, by[-1]).otherwise(between)
+
+
 def calibrate(scored: DataFrame, models: dict[str, Model]) -> DataFrame:
-    """ML-15: isotonic per class, clipped to [.001, .999], renormalised. The fitted curve is a short
-    list of knots, so it becomes a column expression instead of one pass per class."""
+    """ML-15: isotonic per class, clipped to [.001, .999], renormalised; the fitted curve becomes a column."""
     cols = {}
     for c, m in models.items():
-        bx, by = m.boundaries.toArray().tolist(), m.predictions.toArray().tolist()
-        x = F.col(f"p_{c}")
-        if len(bx) == 1:
-            val = F.lit(by[0])
-        else:
-            val = F.when(x <= bx[0], by[0])
-            for x0, y0, x1, y1 in zip(bx, by, bx[1:], by[1:]):
-                val = val.when(x <= x1, y0 + (y1 - y0) * (x - x0) / (x1 - x0) if x1 > x0 else F.lit(y1))
-            val = val.otherwise(by[-1])
+        val = _knot_value(F.col(f"p_{c}"), m.boundaries.toArray().tolist(), m.predictions.toArray().tolist())
         cols[f"c_{c}"] = F.least(F.lit(0.999), F.greatest(F.lit(0.001), val))
     raw = scored.withColumns(cols)
     total = reduce(lambda a, b: a + b, [F.col(k) for k in cols])
@@ -222,14 +231,16 @@ def ablation(model: ClassModel, rows: DataFrame, key: str, background: DataFrame
     n = len(model.columns)
     usual = base if background is None else background.withColumn("_x", vector_to_array("features"))
     means = usual.agg(F.array(*[F.avg(F.col("_x")[i]) for i in range(n)])).scalar()
-    top = stats.with_prediction(model.score(rows), model.classes).select(key, "predicted", "conf")
+    top = stats.with_prediction(model.score(rows), model.classes).select(key, F.col("predicted").alias("_predicted"), F.col("conf").alias("_conf"))
+    # the prediction travels with the row, so only whole rows are joined and the spread ones never move
+    base = base.join(top, key)
     spread = base.withColumn("_m", means).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     cut = F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.element_at("_m", F.col("_j") + 1)).otherwise(v))
     names = F.array(*map(F.lit, model.columns))
     moved = spread.withColumns({"features": array_to_vector(cut), "feature": F.element_at(names, F.col("_j") + 1)}).drop("_x", "_m", "_j")
-    scored = model.score(moved).join(top, key)
-    after = F.coalesce(*[F.when(F.col("predicted") == c, F.col(f"p_{c}")) for c in model.classes])
-    return scored.select(key, "feature", (F.col("conf") - after).alias("weight"))
+    scored = model.score(moved)
+    after = F.coalesce(*[F.when(F.col("_predicted") == c, F.col(f"p_{c}")) for c in model.classes])
+    return scored.select(key, "feature", (F.col("_conf") - after).alias("weight"))
 
 
 def prune_trial(train: DataFrame, val: DataFrame, columns: list[str], candidates: list[str], min_columns: int = 20, margin: float = 0.02, **kw) -> DataFrame:
@@ -273,48 +284,98 @@ def reduce_dims(df: DataFrame, n_columns: int, variance: float = 0.9, most: int
     return model.transform(df).withColumn(out, array_to_vector(cut)).drop("_pc"), k
 
 
-def density_clusters(df: DataFrame, key: str, cell: float, min_points: int, col: str = "reduced", dims: int = 3, max_rounds: int = 50) -> DataFrame:
-    """ML-30: density clusters on a grid of the leading components; noise is −1.
+def _near(pdf, radius: float):
+    """Index pairs within the radius of one task: a block against itself, or two blocks."""
+    import numpy as np
+
+    x, side = np.stack(pdf["x"].to_numpy()), pdf["side"].to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    right = right if len(right) else left
+    for at in range(0, len(left), 512):
+        rows = left[at : at + 512]
+        d = np.sqrt(np.maximum(((x[rows, None, :] - x[None, right, :]) ** 2).sum(-1), 0)) if x.shape[1] <= 4 else np.sqrt(np.maximum((x[rows] ** 2).sum(1)[:, None] + (x[right] ** 2).sum(1)[None] - 2 * x[rows] @ x[right].T, 0))
+        i, j = np.nonzero(d <= radius)
+        yield rows[i], right[j], d[i, j], right is left
+
 
-    Points fall into cells of side `cell`; a cell with min_points is dense, dense neighbours belong
-    together, and a sparse cell beside a dense one joins it. Work is per occupied cell and each cell
-    meets only its 3^dims neighbours, so copies and crowded spots cost nothing and no point pairs
-    are formed. Cells are linked by repeated minimum labels, written out after each round.
+def density_clusters(df: DataFrame, key: str, radius: float, min_points: int, col: str = "reduced", min_cluster: int = 1, block: int = 2_000) -> DataFrame:
+    """ML-30: density clusters over all components of `col`, whatever their number; noise is −1.
+
+    A row with min_points rows within the radius (itself included, copies counted) is a core; cores
+    within the radius belong together; another row joins its nearest core within the radius. Clusters
+    of fewer than min_cluster rows are noise. The number of a cluster is its smallest core key.
+
+    Rows meet in cells of side `radius` over the two leading components, which never hides a pair, and
+    distances are over all of them. Equal vectors are one row, crowded cells are cut into blocks, a task
+    compares two blocks, and reports counts and a spanning forest, never the pairs.
     """
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    x = F.slice(vector_to_array(col), 1, dims)
-    pts = df.withColumn("_cell", F.transform(x, lambda v: F.floor(v / cell)))
-    occupied = pts.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"))
-    dense = occupied.where(F.col("n") >= min_points).select(F.col("_cell").alias("cell"))
-    steps = [[]]
-    for _ in range(dims):
-        steps = [s + [d] for s in steps for d in (-1, 0, 1)]
-    moves = F.array(*[F.array(*map(F.lit, s)) for s in steps])
-    shift = lambda c: F.explode(F.transform(moves, lambda m: F.zip_with(c, m, lambda a, b: a + b)))
-    near = dense.select("cell", shift(F.col("cell")).alias("other"))
-    links = near.join(dense.select(F.col("cell").alias("other")), "other").checkpoint()
-    labels = dense.withColumn("root", F.array_join("cell", ",")).checkpoint()
-    for _ in range(max_rounds):
-        nxt = links.join(labels.select(F.col("cell").alias("other"), "root"), "other").groupBy("cell").agg(F.min("root").alias("root"))
-        # jump to the label of the label, so a chain shortens quickly
-        jump = labels.select(F.array_join("cell", ",").alias("root"), F.col("root").alias("_up"))
-        nxt = nxt.join(jump, "root", "left").select("cell", F.least("root", F.coalesce("_up", "root")).alias("root")).checkpoint()
-        changed = nxt.join(labels.withColumnRenamed("root", "old"), "cell").where(F.col("root") != F.col("old")).limit(1).count()
-        labels = nxt
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"cells still merging after {max_rounds} rounds")
-    # a sparse cell takes the smallest root among its dense neighbours
-    reach = labels.select("root", shift(F.col("cell")).alias("_cell")).groupBy("_cell").agg(F.min("root").alias("root"))
-    own = labels.select(F.col("cell").alias("_cell"), F.col("root").alias("own"))
-    tagged = pts.join(own, "_cell", "left").join(reach, "_cell", "left").withColumn("root", F.coalesce("own", "root"))
-    ids = labels.select("root").distinct()
-    number = ids.select("root", F.xxhash64("root").alias("cluster"))
-    out = tagged.join(number, "root", "left")
-    return out.withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long"))).drop("_cell", "root", "own")
+    import pandas as pd
+
+    from ..functions.components import components
+    from ..session import materialise
+
+    rows = df.withColumn("_x", vector_to_array(col))
+    cell = F.transform(F.slice("_x", 1, 2), lambda v: F.floor(v / radius).cast("long"))
+    points = rows.groupBy("_x").agg(F.min(F.col(key).cast("long")).alias("node"), F.count(F.lit(1)).alias("n")).withColumn("cell", cell)
+    sized = points.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    placed = materialise(points.join(sized, "cell").select("node", "n", F.col("_x").alias("x"), F.struct("cell", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("b")).alias("home")), "points")
+    # one row per pair of neighbouring blocks
+    blocks = sized.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"))
+    moves = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
+    around = F.when(F.size("cell") == 1, F.transform(moves, lambda i: F.array(F.element_at("cell", 1) + i))).otherwise(
+        F.flatten(F.transform(moves, lambda i: F.transform(moves, lambda j: F.array(F.element_at("cell", 1) + i, F.element_at("cell", 2) + j)))))
+    pairs = blocks.select(F.struct("cell", "b").alias("one"), F.explode(around).alias("cell")).join(blocks.withColumnRenamed("b", "b2"), "cell").select("one", F.struct("cell", F.col("b2").alias("b")).alias("two")).where("one <= two")
+    tasks = materialise(pairs.select(F.xxhash64("one", "two").alias("task"), F.explode(F.when(F.col("one") == F.col("two"), F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("home")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("home")), F.struct(F.lit(1).alias("side"), F.col("two").alias("home"))))).alias("m")).select("task", "m.*"), "block-pairs")
+
+    def counts(pdf):
+        import numpy as np
+
+        n, total = pdf["n"].to_numpy(), np.zeros(len(pdf))
+        for i, j, _, same in _near(pdf, radius):
+            np.add.at(total, i, n[j])
+            if not same:
+                np.add.at(total, j, n[i])
+        return pd.DataFrame({"node": pdf["node"], "held": total.astype("int64")})
+
+    def links(pdf):
+        import numpy as np
+
+        node, core = pdf["node"].to_numpy(), pdf["core"].to_numpy()
+        up = np.arange(len(pdf))
+
+        def root(k):
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        tree, near = [], {}
+        for i, j, d, same in _near(pdf, radius):
+            both = core[i] & core[j] & (i != j)
+            for x, y in zip(i[both].tolist(), j[both].tolist()):
+                x, y = root(x), root(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    tree.append((node[x], node[y]))
+            for x, y in ((i, j),) if same else ((i, j), (j, i)):
+                one = ~core[x] & core[y]
+                for k, c, v in zip(node[x[one]].tolist(), node[y[one]].tolist(), d[one].tolist()):
+                    near[k] = min(near.get(k, (v, c)), (v, c))
+        out = [(max(x, y), min(x, y), None) for x, y in tree] + [(k, c, v) for k, (v, c) in near.items()]
+        return pd.DataFrame(out, columns=["a", "b", "d"])
+
+    held = placed.join(tasks, "home").groupBy("task").applyInPandas(counts, "node long, held long").groupBy("node").agg(F.sum("held").alias("held"))
+    cored = materialise(placed.join(held, "node").withColumn("core", F.col("held") >= min_points), "cores")
+    found = materialise(cored.join(tasks, "home").groupBy("task").applyInPandas(links, "a long, b long, d double"), "core-links")
+    roots = components(found.where("d is null").select("a", "b"))
+    cores = cored.where("core").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("cluster"))
+    borders = found.where("d is not null").groupBy(F.col("a").alias("border")).agg(F.min_by("b", F.struct("d", "b")).alias("node")).join(cores, "node").select(F.col("border").alias("node"), "cluster")
+    named = placed.select("node", "x").join(cores.unionByName(borders), "node").select(F.col("x").alias("_x"), "cluster")
+    tagged = rows.join(named, "_x", "left").drop("_x")
+    large = named.join(points.select("_x", "n"), "_x").groupBy("cluster").agg(F.sum("n").alias("_rows")).where(F.col("_rows") >= min_cluster).select("cluster", F.lit(True).alias("_ok"))
+    kept = F.when(F.col("_ok"), F.col("cluster")).otherwise(F.lit(-1).cast("long"))
+    return tagged.join(large, "cluster", "left").withColumn("cluster", kept).drop("_ok")
 
 
 def mixture_rescue(df: DataFrame, floor: int, max_k: int = 6, col: str = "reduced", seed: int = 42) -> DataFrame:
@@ -342,8 +403,8 @@ def mixture_rescue(df: DataFrame, floor: int, max_k: int = 6, col: str = "reduce
     return df.where(F.col("cluster") != -1).withColumn("rescued", F.lit(False)).unionByName(fresh)
 
 
-def pattern_cards(clustered: DataFrame, columns: list[str], minute: str = "minute", most: int = 1000) -> DataFrame:
-    """ML-32: per cluster its size, signature, hour histogram and at most `most` member windows."""
+def pattern_cards(clustered: DataFrame, columns: list[str], minute: str = "minute", most: int | None = None) -> DataFrame:
+    """ML-32: per cluster its size, signature, hour histogram and member windows (the first `most`, all if None)."""
     from . import insight, topk
 
     known = clustered.where(F.col("cluster") != -1)
@@ -352,9 +413,11 @@ def pattern_cards(clustered: DataFrame, columns: list[str], minute: str = "minut
     hist = insight.hour_histogram(known, ["cluster"], F.floor(F.col(minute) / 60) % 24)
     from pyspark.sql import Window
 
-    # rank-limited, so a huge cluster still sends only its first windows to the array
-    r = F.row_number().over(Window.partitionBy("cluster").orderBy(minute))
-    members = known.select("cluster", minute).withColumn("_r", r).where(F.col("_r") <= most).groupBy("cluster").agg(F.array_sort(F.collect_list(minute)).alias("members"))
+    listed = known.select("cluster", minute)
+    if most is not None:
+        # rank-limited before the array is built
+        listed = listed.withColumn("_r", F.row_number().over(Window.partitionBy("cluster").orderBy(minute))).where(F.col("_r") <= most)
+    members = listed.groupBy("cluster").agg(F.array_sort(F.collect_list(minute)).alias("members"))
     size = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("windows"))
     return size.join(sig, "cluster").join(hist, "cluster").join(members, "cluster")
 

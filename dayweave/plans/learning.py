@@ -10,13 +10,13 @@ from ..operators import stats as X
 from ..sources import tables as T
 from .catalog import query
 
-COLS = [f"d{i}" for i in range(16)]
+COLS = [f"d{i}" for i in range(64)]
 FAST = {"numTrees": 10, "maxDepth": 6}
 LABELS = ["l0", "l1", "l2"]
 
 
 def rows(spark, sf):
-    """Embedding rows as windows: 16 named features, three activities, a half-hour clock."""
+    """Embedding rows as windows: 64 named features, three activities, a half-hour clock."""
     e = T.load(spark, sf, "embeddings")
     v = F.col("vec_id")
     return e.select(
@@ -120,7 +120,7 @@ def ml_permutation_importance(spark, sf):
 @query("ml_prune_trial", "ML-18")
 def ml_prune_trial(spark, sf):
     train, val = split(spark, sf)
-    return N.prune_trial(train, val, COLS, ["d14", "d15"], min_columns=10, **FAST)
+    return N.prune_trial(train, val, COLS, ["d62", "d63"], **FAST)
 
 
 @query("ml_row_attribution", "ML-19")
@@ -129,13 +129,13 @@ def ml_row_attribution(spark, sf):
     return N.ablation(N.fit_classifier(train, COLS, **FAST), val, "row_id").withColumn("weight", r6("weight"))
 
 
-@query("ml_standardise", "ML-28", "SELECT vec_id AS row_id, " + ", ".join(f"round((embedding[{i + 1}]-avg(CAST(embedding[{i + 1}] AS DOUBLE)) OVER ())/stddev_samp(CAST(embedding[{i + 1}] AS DOUBLE)) OVER (),5) AS z{i}" for i in range(3)) + " FROM embeddings")
+@query("ml_standardise", "ML-28", "SELECT vec_id AS row_id, " + ", ".join(f"round((embedding[{i + 1}]-avg(CAST(embedding[{i + 1}] AS DOUBLE)) OVER ())/stddev_samp(CAST(embedding[{i + 1}] AS DOUBLE)) OVER (),5) AS z{i}" for i in range(64)) + " FROM embeddings")
 def ml_standardise(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     z, _ = N.standardise(rows(spark, sf), COLS)
     a = vector_to_array("scaled")
-    return z.select("row_id", *[F.round(a[i], 5).alias(f"z{i}") for i in range(3)])
+    return z.select("row_id", *[F.round(a[i], 5).alias(f"z{i}") for i in range(64)])
 
 
 @query("ml_pca", "ML-29")
@@ -150,7 +150,7 @@ def ml_pca(spark, sf):
 def clustered(spark, sf):
     z, kept = N.standardise(rows(spark, sf), COLS)
     red, _ = N.reduce_dims(z, len(kept))
-    return N.density_clusters(red, "row_id", 0.75, 5)
+    return N.density_clusters(red, "row_id", 6.0, 5)
 
 
 @query("ml_density_clusters", "ML-30")
@@ -160,7 +160,7 @@ def ml_density_clusters(spark, sf):
 
 @query("ml_mixture_rescue", "ML-31")
 def ml_mixture_rescue(spark, sf):
-    return N.mixture_rescue(clustered(spark, sf), 20, 3).select("row_id", "cluster", "rescued")
+    return N.mixture_rescue(clustered(spark, sf), 20).select("row_id", "cluster", "rescued")
 
 
 @query("ml_pattern_cards", "ML-32")

@@ -68,13 +68,71 @@ def test_density_recovers_planted_clusters(spark):
     copies = spark.range(600, 900).select(F.col("id").alias("row_id"), F.array(F.lit(5.0), F.lit(5.0)).alias("x"), F.lit("b").alias("g"))
     far = spark.range(900, 903).select(F.col("id").alias("row_id"), F.array(F.lit(50.0) + F.col("id"), F.lit(0.0)).alias("x"), F.lit("n").alias("g"))
     df = a.union(b).union(copies).union(far).withColumn("reduced", array_to_vector("x"))
-    got = N.density_clusters(df, "row_id", 0.5, 5, dims=2)
+    got = N.density_clusters(df, "row_id", 0.5, 5)
     top = got.groupBy("g", "cluster").count().toPandas()
     main = top.sort_values("count").groupby("g").tail(1).set_index("g")
     assert main.loc["a", "cluster"] != main.loc["b", "cluster"] and main.loc["n", "cluster"] == -1
     assert main.loc["a", "count"] > 270 and main.loc["b", "count"] > 570
 
 
+def brute_clusters(points, radius, min_points):
+    """{key: cluster} by plain loops; points: {key: vector}."""
+    import numpy as np
+
+    keys = list(points)
+    x = np.array([points[k] for k in keys], dtype=float)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = (d <= radius).sum(1) >= min_points
+    label = {}
+    for i in np.flatnonzero(core):
+        if keys[i] in label:
+            continue
+        todo, group = [i], {i}
+        while todo:
+            near = [j for j in np.flatnonzero((d[todo.pop()] <= radius) & core) if j not in group]
+            group |= set(near)
+            todo += near
+        low = min(keys[j] for j in group)
+        label |= {keys[j]: low for j in group}
+    for i in np.flatnonzero(~core):
+        hit = [j for j in np.flatnonzero((d[i] <= radius) & core)]
+        label[keys[i]] = label[keys[min(hit, key=lambda j: (d[i, j], keys[j]))]] if hit else -1
+    return label
+
+
+@pytest.mark.parametrize("dims, block", [(1, 2000), (2, 40), (5, 60)])
+def test_density_equals_brute_force_in_any_dimension(spark, dims, block):
+    import numpy as np
+
+    rng = np.random.default_rng(dims)
+    x = np.concatenate([rng.normal(c, 0.35, (90, dims)) for c in (0.0, 4.0)] + [rng.uniform(-3, 7, (60, dims))])
+    if dims == 5:  # two groups that only the fourth component tells apart
+        x[:90, :3] = x[90:180, :3]
+        x[90:180, 3] += 10
+    points = {int(i): v.tolist() for i, v in enumerate(x)}
+    df = spark.createDataFrame([(i, v) for i, v in points.items()], "row_id long, x array<double>").withColumn("reduced", array_to_vector("x"))
+    got = N.density_clusters(df, "row_id", 0.8, 5, block=block).select("row_id", "cluster").collect()
+    want = brute_clusters(points, 0.8, 5)
+    assert {r.row_id: r.cluster for r in got} == want
+    if dims == 5:
+        assert len({want[i] for i in range(180) if want[i] >= 0}) >= 2
+    small = N.density_clusters(df, "row_id", 0.8, 5, min_cluster=1000, block=block)
+    assert small.where("cluster <> -1").count() == 0
+
+
+def test_a_large_cluster_keeps_all_its_windows(spark):
+    df = spark.range(1500).select("id", (F.col("id") * 30).alias("minute"), F.lit(7).cast("long").alias("cluster"), F.col("id").cast("double").alias("v"))
+    r = N.pattern_cards(df, ["v"]).first()
+    assert r.windows == 1500 and len(r.members) == 1500
+
+
+def test_row_weights_reach_boosting(world):
+    weighted = world.withColumn("wt", F.when(F.col("y") == "movie", 0.0001).otherwise(1.0)).withColumn("tv", F.lit(0.0)).withColumn("bed", F.lit(0.0))
+    even = N.fit_classifier(weighted, ["noise"], "boosting", maxIter=2).score(weighted).agg(F.avg("p_movie")).first()[0]
+    low = N.fit_classifier(weighted, ["noise"], "boosting", weight="wt", maxIter=2).score(weighted).agg(F.avg("p_movie")).first()[0]
+    assert low < even - 0.03
+
+
 def test_two_co_firing_groups_are_separated(spark):
     import numpy as np
 
