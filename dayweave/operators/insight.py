@@ -138,14 +138,15 @@ def reliability_verdict(p: dict[str, Column]) -> Column:
     )
 
 
-def catalog(entities: DataFrame, history: DataFrame, key: str, share: bool, samples: int = 5) -> DataFrame:
-    """SUM-23: metadata always; recent samples only with consent. history: (key, ts, state)."""
+def catalog(entities: DataFrame, history: DataFrame, key: str, share: bool, samples: int = 5, chars: int | None = None) -> DataFrame:
+    """SUM-23: metadata always; recent samples only with consent, cut to `chars` if given. history: (key, ts, state)."""
     if not share:
         return entities.withColumn("samples", F.lit(None).cast("array<string>"))
     w = Window.partitionBy(key).orderBy(F.col("ts").desc())
     # rank-limited before the shuffle, so only a few rows per entity travel
     last = history.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= samples)
-    text = F.array_sort(F.collect_list(F.struct("ts", F.substring("state", 1, 32).alias("state"))))
+    state = F.col("state") if chars is None else F.substring("state", 1, chars)
+    text = F.array_sort(F.collect_list(F.struct("ts", state.alias("state"))))
     got = last.groupBy(key).agg(F.transform(text, lambda e: e["state"]).alias("samples"))
     return entities.join(got, key, "left")
 

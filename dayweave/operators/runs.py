@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cols import local_ts, part_of_day
+from ..functions.segments import with_previous
 
 # Fixed values of the label sequences.
 GRID_MIN = 30
@@ -235,17 +236,22 @@ def published_run_length(rows: DataFrame, keys: list[str]) -> DataFrame:
 def improvement_streak(records: DataFrame, keys: list[str], eps: float = 0.005, burst: int = 10) -> DataFrame:
     """SEQ-15: latest runs in a row that neither beat the best promoted headline nor got new labels.
 
-    records: (keys, trained, headline, promoted, confirmed, model_id).
+    records: (keys, trained, headline, promoted, confirmed, model_id). Runs are ordered inside a day
+    only; the best of earlier days comes from one row per day.
     """
-    w = Window.partitionBy(*keys).orderBy("trained", "model_id")
-    best = F.max(F.when(F.col("promoted"), F.col("headline"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    order, day = ["trained", "model_id"], F.floor(F.col("trained") / 1440)
+    rows = with_previous(records, keys, order, ["confirmed"], day).withColumn("_day", day)
+    won = F.when(F.col("promoted"), F.col("headline"))
+    earlier = lambda by, *cols: Window.partitionBy(*keys, *by).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(*keys, "_day").agg(F.max(won).alias("_top"))
+    before = tops.select(*keys, "_day", F.max("_top").over(earlier([], "_day")).alias("_before"))
+    best = F.greatest(F.col("_inside"), F.col("_before"))
     better = F.col("promoted") & F.col("headline").isNotNull() & (best.isNull() | (F.col("headline") > best + eps))
-    reset = better | F.coalesce(F.col("confirmed") - F.lag("confirmed").over(w) >= burst, F.lit(False))
-    ranked = records.withColumns({"_reset": reset, "_i": F.row_number().over(w)})
-    return ranked.groupBy(*keys).agg(
-        (F.max("_i") - F.coalesce(F.max(F.when(F.col("_reset"), F.col("_i"))), F.lit(0))).cast("long").alias("streak"),
-        F.max("trained").alias("last_trained"),
-    )
+    reset = better | F.coalesce(F.col("confirmed") - F.col("prev_confirmed") >= burst, F.lit(False))
+    marked = rows.withColumn("_inside", F.max(won).over(earlier(["_day"], *order))).join(before, [*keys, "_day"]).select(*keys, F.struct(*order).alias("_at"), "trained", reset.alias("_reset"))
+    last = marked.groupBy(*keys).agg(F.max(F.when(F.col("_reset"), F.col("_at"))).alias("_last"))
+    after = F.col("_last").isNull() | (F.col("_at") > F.col("_last"))
+    return marked.join(last, keys).groupBy(*keys).agg(F.count_if(after).alias("streak"), F.max("trained").alias("last_trained"))
 
 
 def training_due(streaks: DataFrame, now: Column) -> DataFrame:

@@ -270,8 +270,8 @@ def pin_overrides(preds: DataFrame, overrides: DataFrame, on: list[str], now: Co
 
 
 def card_labels(cards: DataFrame, slug: Column) -> DataFrame:
-    """ML-33: a discovered label for every member window. cards: (card_id, person, members)."""
-    return cards.select("card_id", "person", F.explode("members").alias("window_min"), slug.alias("label"), F.lit("discovered").alias("provenance"))
+    """ML-33: a discovered label for every member window. cards: (card_id, person, window_min), one row per member."""
+    return cards.select("card_id", "person", "window_min", slug.alias("label"), F.lit("discovered").alias("provenance"))
 
 
 def bulk_labels(ranges: DataFrame, width: int = 30) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import local_ts, part_of_day
 from ..functions.ranks import quantiles, value_cdf
+from ..session import materialise
 
 PSI_BINS = 10
 
@@ -345,7 +346,21 @@ def co_activation(changes: DataFrame, frame: DataFrame, home: str = "home", sens
 
 
 def sensor_groups(corr: DataFrame, threshold: float = 0.7, min_sensors: int = 4) -> DataFrame:
-    """STA-22: average linkage on distance 1 − r, cut at the threshold; one group of sensors per home."""
+    """STA-22: average linkage on distance 1 − r, cut at the threshold; group numbers per home.
+
+    Two groups merge only if some pair between them is nearer than the threshold, so merges stay
+    inside the components of near pairs: those are found first, and each is linked on its own.
+    A pair absent from corr has distance 1. Groups are numbered by their smallest sensor.
+    """
+    from ..functions.components import components
+
+    node = lambda s: F.concat_ws("\u0001", "home", s)
+    a, b = node("a"), node("b")
+    near = corr.where(1 - F.col("r") < threshold).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    roots = components(near)
+    part = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    own = corr.withColumns({"_a": a, "_b": b}).join(part.select(F.col("node").alias("_a"), F.col("root").alias("part")), "_a")
+    inside = own.join(part.select(F.col("node").alias("_b"), F.col("root").alias("part")), ["_b", "part"]).select("home", "part", "a", "b", "r")
 
     def link(pdf):
         import numpy as np
@@ -359,10 +374,14 @@ def sensor_groups(corr: DataFrame, threshold: float = 0.7, min_sensors: int = 4)
         np.fill_diagonal(d, np.inf)
         size, member = np.ones(len(names)), [[k] for k in range(len(names))]
         alive = np.ones(len(names), dtype=bool)
+        # nearest partner of every row, so that a merge costs one pass over the rows
+        best = d.argmin(axis=1)
         while alive.sum() > 1:
-            i, j = np.unravel_index(np.argmin(d), d.shape)
-            if d[i, j] >= threshold:
+            at = d[np.arange(len(names)), best]
+            i = int(at.argmin())
+            if at[i] >= threshold:
                 break
+            i, j = sorted((i, int(best[i])))
             merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
             d[i], d[:, i] = merged, merged
             d[i, i] = np.inf
@@ -370,10 +389,19 @@ def sensor_groups(corr: DataFrame, threshold: float = 0.7, min_sensors: int = 4)
             member[i] += member[j]
             size[i] += size[j]
             alive[j] = False
-        out = [(pdf["home"].iloc[0], names[k], g) for g, root in enumerate(np.flatnonzero(alive)) for k in member[root]]
-        return pd.DataFrame(out if len(names) >= min_sensors else [], columns=["home", "sensor", "group_id"])
+            stale = np.flatnonzero((best == i) | (best == j) | (d[:, i] < d[np.arange(len(names)), best]))
+            for k in {*stale.tolist(), i, j}:
+                best[k] = int(d[k].argmin())
+        out = [(pdf["home"].iloc[0], names[k], min(names[m] for m in member[root])) for root in np.flatnonzero(alive) for k in member[root]]
+        return pd.DataFrame(out, columns=["home", "sensor", "lead"])
 
-    return corr.groupBy("home").applyInPandas(link, "home string, sensor string, group_id long")
+    linked = inside.groupBy("home", "part").applyInPandas(link, "home string, sensor string, lead string")
+    every = corr.select("home", F.explode(F.array("a", "b")).alias("sensor")).distinct()
+    large = every.groupBy("home").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_sensors).select("home")
+    named = every.join(large, "home", "left_semi").join(linked, ["home", "sensor"], "left").withColumn("lead", F.coalesce("lead", "sensor"))
+    # one row per group
+    number = named.select("home", "lead").distinct().withColumn("group_id", (F.row_number().over(Window.partitionBy("home").orderBy("lead")) - 1).cast("long"))
+    return named.join(number, ["home", "lead"]).select("home", "sensor", "group_id")
 
 
 def _lagged_products(act: DataFrame, max_lag: int) -> DataFrame:
@@ -405,21 +433,24 @@ def _lagged_products(act: DataFrame, max_lag: int) -> DataFrame:
 
 
 def lead_lag(changes: DataFrame, frame: DataFrame, home: str = "home", sensor: str = "sensor", max_lag: int = 15,
-             min_strength: float = 0.2, top: int = 24, max_sensors: int = 16) -> DataFrame:
+             min_strength: float = 0.2, top: int | None = None, max_sensors: int | None = None) -> DataFrame:
     """STA-23 / JON-11 / TOP-08: directed sensor edges by best positive lagged correlation.
 
     Activity is a three-minute rolling change count, kept sparse; the lagged products are small
-    matrix products per home and day. frame: (home, first, last) minutes.
+    matrix products per home and day. frame: (home, first, last) minutes. max_sensors: only the
+    busiest sensors of a home; top: only its strongest edges.
     """
     fr = frame.select(F.col(home).alias("home"), "first", (F.col("last") - F.col("first") + 1).alias("n"))
     ch = changes.select(F.col(home).alias("home"), F.col(sensor).alias("s"), "minute").join(fr, "home")
     t0 = F.col("minute") - F.col("first")
     roll = ch.select("home", "s", "n", F.explode(F.sequence(t0, F.least(t0 + 2, F.col("n") - 1))).alias("t"))
     act = roll.groupBy("home", "s", "n", "t").agg(F.count(F.lit(1)).cast("double").alias("x"))
-    busy = act.groupBy("home", "s").agg(F.sum("x").alias("sx"))
-    rank = F.row_number().over(Window.partitionBy("home").orderBy(F.col("sx").desc(), "s"))
-    kept = busy.withColumn("_r", rank).where(F.col("_r") <= max_sensors).select("home", "s")
-    act = act.join(kept, ["home", "s"])
+    if max_sensors is not None:
+        busy = act.groupBy("home", "s").agg(F.sum("x").alias("sx"))
+        rank = F.row_number().over(Window.partitionBy("home").orderBy(F.col("sx").desc(), "s"))
+        act = act.join(busy.withColumn("_r", rank).where(F.col("_r") <= max_sensors).select("home", "s"), ["home", "s"])
+    # read by the totals, the edges and the products
+    act = materialise(act, "lagged-activity")
     ks = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(max_lag).cast("long"))).alias("k")
     # sums without the first or last k minutes: totals minus the few rows at the frame's edges
     totals = act.groupBy("home", "s", "n").agg(F.sum("x").alias("x1"), F.sum(F.col("x") ** 2).alias("x2"))
@@ -444,7 +475,8 @@ def lead_lag(changes: DataFrame, frame: DataFrame, home: str = "home", sensor: s
     edges = best.where(F.col("e.r") >= min_strength).select(
         "home", F.col("e.a").alias("from_sensor"), F.col("e.b").alias("to_sensor"), F.col("e.k").alias("lag_min"), F.round("e.r", 3).alias("strength"))
     w = Window.partitionBy("home").orderBy(F.col("strength").desc(), "from_sensor", "to_sensor")
-    return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    ranked = edges.withColumn("rank", F.row_number().over(w))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 # --- markers (STA-24..27, JON-08) --------------------------------------------------------------

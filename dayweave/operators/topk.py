@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.cols import ranked_entries
+from ..functions.ranks import value_cdf
 
 
 def signature(long: DataFrame, keys: list[str], k: int = 6) -> DataFrame:
@@ -29,12 +30,19 @@ def top_classes(probs: Column, k: int = 5) -> Column:
     return F.slice(ranked_entries(probs), 1, k)
 
 
-def cap_flags(flags: DataFrame, total: DataFrame, keys: list[str], share: float = 0.10, ledger: int = 200) -> DataFrame:
-    """TOP-04: the worst ceil(share · rows) flags per key, at most `ledger`; total: (keys, n_rows)."""
-    w = Window.partitionBy(*keys).orderBy("self_conf", "row_id")
-    ranked = flags.withColumn("rank", F.row_number().over(w)).join(total, keys)
-    limit = F.least(F.greatest(F.lit(1), F.ceil(F.col("n_rows") * share)), F.lit(ledger))
-    return ranked.where(F.col("rank") <= limit).drop("n_rows")
+def cap_flags(flags: DataFrame, total: DataFrame, keys: list[str], share: float = 0.10, ledger: int | None = None) -> DataFrame:
+    """TOP-04: the worst ceil(share · rows) flags per key, at most `ledger` if given; total: (keys, n_rows).
+
+    The rank of a flag is the number of flags of its key with a smaller value, counted over buckets,
+    plus its place among the flags of the same value, so a key is never ordered by one task.
+    """
+    below = value_cdf(flags, keys, "self_conf").select(*keys, "self_conf", F.col("n_before").alias("_before"))
+    limit = F.greatest(F.lit(1), F.ceil(F.col("n_rows") * share))
+    limit = limit if ledger is None else F.least(limit, F.lit(ledger))
+    near = flags.join(below, [*keys, "self_conf"]).join(total, keys).where(F.col("_before") < limit)
+    same = Window.partitionBy(*keys, "self_conf").orderBy("row_id")
+    ranked = near.withColumn("rank", (F.col("_before") + F.row_number().over(same)).cast("int"))
+    return ranked.where(F.col("rank") <= limit).select(*flags.columns, "rank")
 
 
 def suspects_to_ask(ledger: DataFrame, keys: list[str], k: int = 2) -> DataFrame:
@@ -62,9 +70,14 @@ def next_options(order: Column, asked: Column, buttons: int = 3) -> tuple[Column
     return F.when(more, F.slice(rest, 1, buttons - 1)).otherwise(rest), more
 
 
-def merge_cards(source_windows: Column, target_windows: Column, source_hist: Column, target_hist: Column) -> tuple[Column, Column]:
-    """SET-01: united windows (the target's first) and the element-wise sum of the histograms."""
-    return F.array_union(target_windows, source_windows), F.zip_with(target_hist, source_hist, lambda a, b: a + b)
+def merge_cards(members: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:
+    """SET-01: member windows after merging cards, each window once: (keys, card, w, hour).
+
+    members: (keys, card, w, hour), one row per member window; merges: (card, into). Windows stay
+    rows, so a card of any size is never gathered.
+    """
+    moved = members.join(merges, "card", "left").withColumn("card", F.coalesce("into", "card")).drop("into")
+    return moved.select(*keys, "card", "w", "hour").distinct()
 
 
 def shared_features(a: Column, b: Column, top: int = 4) -> Column:

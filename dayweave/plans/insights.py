@@ -361,7 +361,7 @@ def ml_confident_flags(spark, sf):
     return C.confident_flags(sp(spark, sf), T.CLASSES, P)
 
 
-@query("top_flag_cap", "TOP-04", f"""WITH {FLAG_SQL} SELECT person, row_id, self_conf, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY self_conf, row_id) AS rank FROM fl) JOIN (SELECT person, count(*) AS n FROM sp GROUP BY person) USING (person) WHERE rank<=least(greatest(1,ceil(n*0.1)),200)""")
+@query("top_flag_cap", "TOP-04", f"""WITH {FLAG_SQL} SELECT person, row_id, self_conf, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY self_conf, row_id) AS rank FROM fl) JOIN (SELECT person, count(*) AS n FROM sp GROUP BY person) USING (person) WHERE rank<=greatest(1,ceil(n*0.1))""")
 def top_flag_cap(spark, sf):
     rows = sp(spark, sf)
     return K.cap_flags(C.confident_flags(rows, T.CLASSES, P), rows.groupBy("person").agg(F.count("*").alias("n_rows")), P).select("person", "row_id", "self_conf", "rank")
@@ -392,16 +392,15 @@ def top_option_ranking(spark, sf):
 
 
 @query("set_card_merge", "SET-01", """
-WITH c AS (SELECT person, state, count(*) AS n FROM tl WHERE state IN ('cooking','movie') GROUP BY ALL) SELECT person, CAST(sum(n) AS BIGINT) AS windows, (SELECT string_agg(n, ',' ORDER BY h) FROM (SELECT h, count(t.w) AS n FROM (SELECT unnest(range(24)) AS h) LEFT JOIN tl t ON t.hour=h AND t.person=c.person AND t.state IN ('cooking','movie') GROUP BY h)) AS hist FROM c GROUP BY person""")
+WITH c AS (SELECT DISTINCT person, CASE state WHEN 'movie' THEN 'cooking' ELSE state END AS card, w, hour FROM tl),
+n AS (SELECT person, card, hour, count(*) AS n FROM c GROUP BY ALL), k AS (SELECT person, card, count(*) AS windows FROM c GROUP BY ALL)
+SELECT k.person, k.card, any_value(windows) AS windows, string_agg(coalesce(n,0), ',' ORDER BY h) AS hist FROM (SELECT *, unnest(range(24)) AS h FROM k) k LEFT JOIN n ON n.person=k.person AND n.card=k.card AND n.hour=h GROUP BY k.person, k.card""")
 def set_card_merge(spark, sf):
-    rows = tl(spark, sf)
-    hist = I.hour_histogram(rows, ["person", "state"], F.col("hour"))
-    win = rows.groupBy("person", "state").agg(F.array_sort(F.collect_list("w")).alias("ws"))
-    card = win.join(hist, ["person", "state"])
-    a = card.where("state = 'cooking'").select("person", F.col("ws").alias("wa"), F.col("hist").alias("ha"))
-    b = card.where("state = 'movie'").select("person", F.col("ws").alias("wb"), F.col("hist").alias("hb"))
-    w, h = K.merge_cards(F.col("wa"), F.col("wb"), F.col("ha"), F.col("hb"))
-    return a.join(b, "person").select("person", F.size(w).cast("long").alias("windows"), F.array_join(F.transform(h, lambda v: v.cast("string")), ",").alias("hist"))
+    members = tl(spark, sf).select("person", F.col("state").alias("card"), "w", "hour")
+    merged = K.merge_cards(members, spark.createDataFrame([("movie", "cooking")], "card string, into string"), ["person"])
+    hist = I.hour_histogram(merged, ["person", "card"], F.col("hour"))
+    size = merged.groupBy("person", "card").agg(F.count("*").alias("windows"))
+    return size.join(hist, ["person", "card"]).select("person", "card", "windows", F.array_join(F.transform("hist", lambda v: v.cast("string")), ",").alias("hist"))
 
 
 view("card", """SELECT s_suppkey AS card, list_distinct(['f'||(s_suppkey%7), 'f'||(s_nationkey%7), 'f'||((s_suppkey//7)%7), 'f'||((s_suppkey+s_nationkey*3)%7)]) AS f FROM supplier""")
@@ -442,12 +441,12 @@ def set_spec_merge(spark, sf):
 
 
 @query("fun_text_tokens", "FUN-01", """
-SELECT lang, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens, max(substr(title,1,32)) AS top_title FROM (SELECT lang, len(list_distinct(list_filter(regexp_split_to_array(lower(text),'[^a-z0-9]+'), lambda x: x<>''))) AS n, trim(regexp_replace(lower(source),'[^a-z0-9]+','_','g')) AS title FROM documents) GROUP BY lang""")
+SELECT lang, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens, max(title) AS top_title FROM (SELECT lang, len(list_distinct(list_filter(regexp_split_to_array(lower(text),'[^a-z0-9]+'), lambda x: x<>''))) AS n, trim(regexp_replace(lower(source),'[^a-z0-9]+','_','g')) AS title FROM documents) GROUP BY lang""")
 def fun_text_tokens(spark, sf):
     from ..functions.cols import slugify, tokens
 
     d = T.load(spark, sf, "documents")
-    return d.select("lang", F.size(tokens(F.col("text"))).alias("n"), F.substring(slugify(F.col("source")), 1, 32).alias("title")).groupBy("lang").agg(
+    return d.select("lang", F.size(tokens(F.col("text"))).alias("n"), slugify(F.col("source")).alias("title")).groupBy("lang").agg(
         F.count("*").alias("docs"), F.sum("n").cast("long").alias("tokens"), F.max("title").alias("top_title"))
 
 
@@ -607,10 +606,9 @@ def ml_override_pin(spark, sf):
     return C.pin_overrides(T.timeline(spark, sf), o, ["person", "w"], now_min(spark, sf)).select("person", "w", "smoothed", "confidence", "model_version", "labels")
 
 
-@query("ml_card_labels", "ML-33", "SELECT person, state AS card_id, w AS window_min, 'hobby' AS label, 'discovered' AS provenance FROM tl WHERE state IN ('cooking','movie')")
+@query("ml_card_labels", "ML-33", "SELECT person, state AS card_id, w AS window_min, 'hobby' AS label, 'discovered' AS provenance FROM tl")
 def ml_card_labels(spark, sf):
-    card = tl(spark, sf).where("state in ('cooking', 'movie')").groupBy("person", F.col("state").alias("card_id")).agg(F.collect_list("w").alias("members"))
-    return C.card_labels(card, F.lit("hobby"))
+    return C.card_labels(tl(spark, sf).select("person", F.col("state").alias("card_id"), F.col("w").alias("window_min")), F.lit("hobby"))
 
 
 view("ranges", "SELECT person, minute AS s, minute+k*5 AS e, CASE WHEN value>50 THEN 'reading' ELSE 'working' END AS slug FROM ev WHERE event_type='purchase'")

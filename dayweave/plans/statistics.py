@@ -240,7 +240,7 @@ def sta_sensor_groups(spark, sf):
     return X.sensor_groups(X.co_activation(*sensor_changes(spark, sf)), threshold=0.97)
 
 
-@query("sta_lead_lag_edges", "STA-23 JON-11 TOP-08", "SELECT *, CAST(row_number() OVER (PARTITION BY home ORDER BY strength DESC, from_sensor, to_sensor) AS INTEGER) AS rank FROM ledges WHERE strength>=0.02 QUALIFY rank<=24")
+@query("sta_lead_lag_edges", "STA-23 JON-11 TOP-08", "SELECT *, CAST(row_number() OVER (PARTITION BY home ORDER BY strength DESC, from_sensor, to_sensor) AS INTEGER) AS rank FROM ledges WHERE strength>=0.02")
 def sta_lead_lag_edges(spark, sf):
     return X.lead_lag(*sensor_changes(spark, sf), min_strength=0.0195)
 
@@ -249,7 +249,7 @@ def sta_lead_lag_edges(spark, sf):
 WITH b AS (SELECT DISTINCT binding AS name, role FROM reading), a AS (SELECT DISTINCT smoothed AS slug FROM timeline), ex AS (SELECT DISTINCT binding AS from_sensor, 'asleep' AS to_state FROM reading WHERE role='env')
 SELECT home, from_sensor, to_sensor, CASE role WHEN 'bed' THEN 'asleep' ELSE 'away' END AS to_state, lag_min, strength FROM ledges JOIN b ON b.name=to_sensor AND role IN ('bed','person') WHERE strength>=0.02 AND CASE role WHEN 'bed' THEN 'asleep' ELSE 'away' END IN (FROM a) AND (from_sensor, CASE role WHEN 'bed' THEN 'asleep' ELSE 'away' END) NOT IN (FROM ex)""")
 def sta_marker_suggestions(spark, sf):
-    edges = X.lead_lag(*sensor_changes(spark, sf), min_strength=0.0195, top=10**6)
+    edges = X.lead_lag(*sensor_changes(spark, sf), min_strength=0.0195)
     b = T.readings(spark, sf).select(F.col("binding").alias("name"), "role").distinct()
     acts = T.timeline(spark, sf).select(F.col("smoothed").alias("slug")).distinct()
     existing = b.where("role = 'env'").select(F.col("name").alias("from_sensor"), F.lit("asleep").alias("to_state"))
