@@ -46,8 +46,11 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offs in T.runs(batch.column(0)):
             h, row = _terms(data, offs)
             n_docs, n_words = n_docs + len(offs) - 1, n_words + len(h)
-            pairs = np.unique(row << DF_BITS | (h >> np.uint64(64 - DF_BITS)).astype(np.int64))
-            held += np.bincount(pairs & ((1 << DF_BITS) - 1), minlength=1 << DF_BITS)
+            bucket = (h >> np.uint64(64 - DF_BITS)).astype(np.int64)
+            bounds = np.searchsorted(row, np.arange(len(offs)))
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                # buffered: a bucket that a document names often still rises by one
+                held[bucket[lo:hi]] += 1
     seen = np.flatnonzero(held)
     for at in range(0, len(seen) or 1, 1 << 16):
         part = seen[at : at + (1 << 16)]
@@ -75,7 +78,7 @@ class Index:
         length = np.bincount(row, minlength=self.n)
         weight = idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)]
         h, row, weight = h[weight > 0], row[weight > 0], weight[weight > 0]
-        order = np.lexsort((row, h))
+        order = np.argsort(h, kind="stable")  # rows rise already
         h, row, weight = h[order], row[order], weight[order]
         fresh = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])) if len(h) else np.zeros(0, bool)
         first = np.flatnonzero(fresh)
