@@ -90,7 +90,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bl
     facts = rows.select("key", F.char_length("body").cast("long").alias("n_chars"), F.sha2("norm", 256).alias("text_sha256"))
     named = materialise(facts.join(identity, "key").dropDuplicates(["key"]), "identity")
     best = F.struct(F.col("n_chars"), F.col("key.id").isNotNull(), -F.col("key.id"), F.col("key.h"))
-    groups = named.groupBy("n", "name").agg(F.max_by("key", best).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join below has two plain shuffles and a group of many copies can be split
+    groups = materialise(named.groupBy("n", "name").agg(F.max_by("key", best).alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups")
     return named.join(groups, ["n", "name"]).select(
         F.col("key.id").alias("doc_id"),
         "key",

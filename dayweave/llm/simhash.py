@@ -297,5 +297,5 @@ def near_groups(docs: DataFrame, shingle: int = 3, reach: int = 2, parts: int =
     )
     # two fingerprints share a node only if rows repeat an id: they are one document then
     found = near_links(first.select("node", "bits", "size"), reach, ratio) if not minima else shard_links(first, parts, reach, ratio)
-    named = first.join(components(found), "node", "left").select("bits", F.coalesce("root", "node").alias("root"))
+    named = materialise(first.join(components(found), "node", "left").select("bits", F.coalesce("root", "node").alias("root")), "roots")
     return prints.join(named, "bits").select("key", "doc_id", "bits", "root", F.when(F.col("root") < LOOSE, F.col("root")).alias("component_id"))
