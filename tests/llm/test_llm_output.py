@@ -48,7 +48,7 @@ def test_token_files_have_indexes(spark, docs):
 
     path = scratch_path(spark, "test")
     token_files.write_token_files(docs, path, tokenizer("word_bpe_49k.json"))
-    files = [orc.ORCFile(f) for f in sorted(glob.glob(f"{path}/*.orc"))]
+    files = [orc.ORCFile(f) for f in sorted(glob.glob(path.removeprefix("file:") + "/*.orc"))]
     assert sum(f.nrows for f in files) == docs.count() and all(f.compression == "ZSTD" for f in files)
     ranges = [(min(v), max(v)) for v in (f.read(["doc_id"])["doc_id"].to_pylist() for f in files) if v]
     assert all(a[1] < b[0] for a, b in zip(sorted(ranges), sorted(ranges)[1:]))
@@ -135,7 +135,7 @@ def test_mixing_meets_targets(docs, texts):
     assert (got["taken"] <= 2 * got["size"]).all()
     for source, own in got.groupby("source"):
         target = own.target.iloc[0]
-        assert abs(own.taken.sum() - target) <= max(own["size"].min(), 1) and target <= 2 * size[source] + 1e-6
+        assert abs(own.taken.sum() - target) <= max(own["size"].min(), 0.005 * target) and target <= 2 * size[source] + 1e-6
     assert abs(got.groupby("source").target.first().sum() - 1.5 * size.sum()) < 1e-3
     again = mixing.mix(docs.repartition(7)).toPandas()
     assert dict(zip(got.doc_id, got.taken)) == dict(zip(again.doc_id, again.taken))
