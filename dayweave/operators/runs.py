@@ -165,12 +165,13 @@ def forward_filter(probs: Column, prior_row: Column) -> Column:
     return F.when(prior_row.isNull() | (total <= 0), probs).otherwise(F.transform_values(mixed, lambda c, v: v / total))
 
 
-def hysteresis(preds: DataFrame, keys: list[str], k: int = 2, margin: float = 0.25) -> DataFrame:
+def hysteresis(preds: DataFrame, keys: list[str], k: int = 2, margin: float = 0.25, force: Column | None = None) -> DataFrame:
     """SEQ-12: published label.
 
     A row is decisive when it is first, wins by the margin over the previous confidence, or the
     k − 1 rows before agree with it. Every other row keeps the label in force, so the published
-    label is the prediction of the last decisive row: no sequential fold is needed.
+    label is the prediction of the last decisive row: no sequential fold is needed. force: rows that
+    are decisive in any case, such as facts.
     """
     w = Window.partitionBy(*keys).orderBy("w")
     agree = F.lit(True)
@@ -179,6 +180,7 @@ def hysteresis(preds: DataFrame, keys: list[str], k: int = 2, margin: float = 0.
     first = F.lag("predicted").over(w).isNull()
     jump = F.col("confidence") >= F.lag("confidence").over(w) + margin
     decisive = first | F.coalesce(jump, F.lit(False)) | F.coalesce(agree, F.lit(False))
+    decisive = decisive if force is None else decisive | F.coalesce(force, F.lit(False))
     marked = preds.withColumn("_d", F.when(decisive, F.col("predicted")))
     return marked.withColumn(
         "published", F.last("_d", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
