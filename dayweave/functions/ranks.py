@@ -22,14 +22,15 @@ def _cuts_below(cuts: str, v):
     return blocks + F.size(F.filter(near, lambda s: s < v))
 
 
-def value_cdf(df: DataFrame, keys: list[str], value: str, extra=None) -> DataFrame:
+def value_cdf(df: DataFrame, keys: list[str], value: str, extra=None, weight: str | None = None) -> DataFrame:
     """One row per (keys, value): n rows, n_before rows with a smaller value, n_total of the key.
 
-    extra: further sums as {name: column}; each also gets a running `<name>_before`.
+    extra: further sums as {name: column}; each also gets a running `<name>_before`. weight: column with
+    the number of rows that a row stands for.
     """
     extra = extra or {}
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in extra.items()]
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("n"), *[F.sum(c).alias(k) for k, c in extra.items()]
     )
     probs = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
     sketch = counted.groupBy(*keys).agg(
@@ -66,9 +67,9 @@ def value_cdf(df: DataFrame, keys: list[str], value: str, extra=None) -> DataFra
     )
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], weight: str | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per key."""
-    cdf = value_cdf(df, keys, value)
+    cdf = value_cdf(df, keys, value, weight=weight)
     aggs = []
     for name, p in probs.items():
         pos = (F.col("n_total") - 1) * F.lit(float(p))

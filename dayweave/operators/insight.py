@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import quantiles
 from ..functions.segments import with_previous
+from ..session import materialise
 
 ENUM_MAX = 12
 # Which sensor to suggest first for a room.
@@ -47,9 +48,11 @@ def entity_profile(history: DataFrame, keys: list[str], end: Column, days: int)
     and the quantiles come from exact distributed ranks; no entity is ever sorted in one task.
     """
     day = F.floor(F.col("minute") / 1440)
+    # the history is read once; each of the two tables below is then read by several branches
+    history = materialise(history.select(*keys, "minute", "sec", "state"), "history")
     p = with_previous(history, keys, ["sec"], ["sec", "state"], day)
     gap, num, pnum = F.col("sec") - F.col("prev_sec"), F.col("state").try_cast("double"), F.col("prev_state").try_cast("double")
-    rows = p.withColumns({"gap": gap.cast("double"), "num": num})
+    rows = materialise(p.withColumns({"gap": gap.cast("double"), "num": num}), "history-gaps")
     a = rows.groupBy(*keys).agg(
         F.round(F.count_if(F.col("state") != F.col("prev_state")) / days, 3).alias("changes_per_day"),
         F.coalesce(F.max("gap"), F.lit(0.0)).alias("_long"), F.min("sec").alias("_first"), F.max("sec").alias("_last"),

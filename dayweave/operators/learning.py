@@ -464,18 +464,6 @@ def score_windows(model: ClassModel, rows: DataFrame, gate: Column, presence: Co
     return both.withColumn("smoothed", scoring.abstain(F.col("published"), F.col("confidence"), F.col("pred_set"), threshold)).drop("published")
 
 
-def stretches(rows: DataFrame, keys: list[str], per_chunk: int = 64) -> DataFrame:
-    """Adds `chunk`: whole runs of windows without a gap, so many of them to a task."""
-    from pyspark.sql import Window
-
-    from .runs import GRID_MIN
-
-    w = Window.partitionBy(*keys).orderBy("w")
-    new = F.coalesce(F.col("w") - F.lag("w").over(w) != GRID_MIN, F.lit(True)).cast("long")
-    run = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.withColumn("chunk", F.floor(F.col("_run") / per_chunk)).drop("_new", "_run")
-
-
 def filtered_states(rows: DataFrame, matrices: DataFrame, hazards: DataFrame) -> DataFrame:
     """SEQ-10 · SEQ-11 · STA-27: the coarse state of every window, given the state before it.
 
@@ -486,7 +474,7 @@ def filtered_states(rows: DataFrame, matrices: DataFrame, hazards: DataFrame) ->
     stretch is one small fold; stretches are dealt over tasks. Gives (person, w, coarse,
     coarse_confidence, probs as filtered).
     """
-    from .runs import GRID_MIN, MAX_RUN, STAY_MAX, STAY_MIN, UNIFORM_MIX
+    from .runs import GRID_MIN, MAX_RUN, STAY_MAX, STAY_MIN, UNIFORM_MIX, stretches
 
     chunked = stretches(rows, ["person"]).select("person", "chunk", "w", "part", "gate", F.to_json("probs").alias("probs"), F.to_json("fired").alias("fired"))
     text = lambda df, *cols: df.groupBy("person").agg(F.to_json(F.collect_list(F.struct(*cols))).alias("rows"))

@@ -39,12 +39,11 @@ def psi(long: DataFrame, keys: list[str], bins: int = PSI_BINS) -> DataFrame:
     long: (keys, side in {expected, actual}, value). Values outside the expected range fall in no
     bin but stay in the denominator.
     """
-    rows = long.where(F.col("value").isNotNull())
+    # equal values collapse once; quantiles, totals and bins are read from what is left
+    rows = materialise(long.where(F.col("value").isNotNull()).groupBy(*keys, "side", "value").agg(F.count(F.lit(1)).alias("_n")), "drift-values")
     exp = rows.where(F.col("side") == "expected")
     names = {f"q{i}": i / bins for i in range(bins + 1)}
-    q = quantiles(exp, keys, "value", names)
-    # equal values collapse before anything is moved
-    rows = rows.groupBy(*keys, "side", "value").agg(F.count(F.lit(1)).alias("_n"))
+    q = quantiles(exp, keys, "value", names, weight="_n")
     edges = q.select(*keys, F.array_sort(F.array_distinct(F.array(*names))).alias("edges")).where(F.size("edges") >= 3)
     # one row of at most 11 edges per key: the row side is never the small one
     cut = rows.join(edges, keys)

@@ -350,13 +350,25 @@ def seq_hysteresis(spark, sf):
     return Q.hysteresis(tl(spark, sf), P).select("person", "w", "predicted", "published")
 
 
-@query("seq_viterbi", "SEQ-13")
+@query("seq_viterbi", "SEQ-13", f"""
+WITH RECURSIVE {PAIR_SQL}, m AS (SELECT person, a, b, 0.85*(coalesce(n,0)+1)/sum(coalesce(n,0)+1) OVER (PARTITION BY person, a)+0.05 AS p FROM shape LEFT JOIN (SELECT person, a, b, count(*) AS n FROM pairs GROUP BY ALL) USING (person, a, b)),
+cls AS (SELECT unnest(['cooking','movie','home']) AS c, unnest([1,2,3]) AS i),
+t AS (SELECT q.person, list(ln(coalesce(p, 0.85/3+0.05)) ORDER BY x.i) FILTER (y.i=1) AS c1, list(ln(coalesce(p, 0.85/3+0.05)) ORDER BY x.i) FILTER (y.i=2) AS c2, list(ln(coalesce(p, 0.85/3+0.05)) ORDER BY x.i) FILTER (y.i=3) AS c3
+ FROM (SELECT DISTINCT person FROM pred5) q, cls x, cls y LEFT JOIN m ON m.person=q.person AND m.a=x.c AND m.b=y.c GROUP BY q.person),
+r AS (SELECT person, w-w%30 AS w, avg(a) AS e1, avg(b) AS e2, avg(c) AS e3 FROM pred5 GROUP BY ALL),
+s AS (SELECT *, sum(nw) OVER (PARTITION BY person ORDER BY w) AS seg FROM (SELECT *, CASE WHEN lag(w) OVER (PARTITION BY person ORDER BY w)+30=w THEN 0 ELSE 1 END AS nw FROM r)),
+n AS (SELECT person, seg, w, row_number() OVER (PARTITION BY person, seg ORDER BY w) AS i, count(*) OVER (PARTITION BY person, seg) AS len, [ln(greatest(e1,1e-9)), ln(greatest(e2,1e-9)), ln(greatest(e3,1e-9))] AS e FROM s),
+f AS (SELECT person, seg, i, w, len, e AS s, [0,0,0]::BIGINT[] AS back FROM n WHERE i=1
+ UNION ALL SELECT person, seg, i, w, len, [list_max(k1)+e[1], list_max(k2)+e[2], list_max(k3)+e[3]], [list_position(k1,list_max(k1)), list_position(k2,list_max(k2)), list_position(k3,list_max(k3))]::BIGINT[] FROM (
+  SELECT n.*, [f.s[1]+c1[1],f.s[2]+c1[2],f.s[3]+c1[3]] AS k1, [f.s[1]+c2[1],f.s[2]+c2[2],f.s[3]+c2[3]] AS k2, [f.s[1]+c3[1],f.s[2]+c3[2],f.s[3]+c3[3]] AS k3 FROM f JOIN n ON n.person=f.person AND n.seg=f.seg AND n.i=f.i+1 JOIN t ON t.person=f.person)),
+b AS (SELECT person, seg, i, w, CAST(list_position(s, list_max(s)) AS BIGINT) AS idx, back FROM f WHERE i=len
+ UNION ALL SELECT f.person, f.seg, f.i, f.w, b.back[b.idx], f.back FROM b JOIN f ON f.person=b.person AND f.seg=b.seg AND f.i=b.i-1)
+SELECT person, w, ['cooking','movie','home'][idx] AS label FROM b""")
 def seq_viterbi(spark, sf):
     p = T.prediction_rows(spark, sf)
     slot = F.col("w") - F.col("w") % 30
     rows = p.groupBy("person", slot.alias("w")).agg(*[F.avg(F.col("probs")[c]).alias(f"p_{c}") for c in ("cooking", "movie", "home")])
-    sticky = {a: {b: 0.8 if a == b else 0.1 for b in ("cooking", "movie", "home")} for a in ("cooking", "movie", "home")}
-    return Q.viterbi_relabel(rows, sticky, P, ["cooking", "movie", "home"])
+    return Q.viterbi_relabel(rows, Q.transition_matrix(tl(spark, sf), P), P, ["cooking", "movie", "home"])
 
 
 @query("seq_published_run_length", "SEQ-14", """

@@ -90,8 +90,8 @@ def test_hysteresis_equals_a_sequential_fold(spark):
 def test_viterbi_fixes_a_blip(spark):
     p = [("a", 30 * i, 0.45 if i == 3 else 0.9, 0.55 if i == 3 else 0.1) for i in range(7)]
     df = spark.createDataFrame(p, "person string, w long, p_x double, p_y double")
-    sticky = {"x": {"x": 0.95, "y": 0.05}, "y": {"x": 0.05, "y": 0.95}}
-    assert {r.label for r in runs.viterbi_relabel(df, sticky, ["person"], ["x", "y"]).collect()} == {"x"}
+    sticky_rows = spark.createDataFrame([("a", x, y, 0.95 if x == y else 0.05) for x in "xy" for y in "xy"], "person string, a string, b string, p double")
+    assert {r.label for r in runs.viterbi_relabel(df, sticky_rows, ["person"], ["x", "y"]).collect()} == {"x"}
 
 
 def test_only_ended_runs_count(spark):
