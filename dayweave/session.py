@@ -90,13 +90,12 @@ def materialise(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df, max_bytes: int = 64 << 20):
-    """Broadcast hint only where the optimizer's own size bound proves the side small.
+def broadcast_if_small(df, most_rows: int = 100_000):
+    """Broadcast hint only where a count of the rows themselves proves the side small.
 
-    The bound is Catalyst's size estimate of the optimized plan, an upper bound for
-    filters and projections over files; anything larger keeps the shuffle join.
+    For narrow rows such as bindings and members. The count stops one row past the bound; a larger
+    side keeps the shuffle join.
     """
     from pyspark.sql import functions as F
 
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= max_bytes else df
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
