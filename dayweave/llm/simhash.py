@@ -8,8 +8,9 @@ one of them. Inside a shard the tree is continued in numpy down to small leaves,
 compared exactly. A task reports links as a spanning forest, never all pairs.
 
 Copies collapse to one fingerprint before the search. The tree is built from a bounded sample
-(SAMPLE fingerprints by smallest hash); only where it cuts depends on the sample, not which pairs
-are found. Its number of leaves follows the number of fingerprints up to MOST_LEAVES.
+(SAMPLE fingerprints a leaf, by smallest hash); only where it cuts depends on the sample, not which pairs
+are found. Its number of leaves follows the number of fingerprints up to MOST_LEAVES; beyond that, a
+shard is dealt over tasks that share its fingerprints and split the queries.
 
 At a large radius, where triangle bounds exclude nothing, shards of equal smallest shingles take the
 place of the outer tree (`minima`); inside a shard the search is the same.
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import materialise, row_key
 from ..functions.components import components
 
-SAMPLE = 16_384
+SAMPLE = 8
 LEAF = 1_024
-MOST_LEAVES = 4_096
+MOST_LEAVES = 1 << 15
 SMALL = 256
 
 
@@ -178,8 +179,8 @@ def search(points: np.ndarray, sizes: np.ndarray, homes: np.ndarray, queries: np
             found.join(a[other], b[other])
 
 
-def _route(tree: Tree, reach: int):
-    """(shard, home, node, words, size): a fingerprint in its home shard, and as a query in later shards."""
+def _route(tree: Tree, reach: int, salts: int):
+    """(shard, salt, home, asks, node, bits, size): a fingerprint in its home shard, and as a query in later shards."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,11 +189,18 @@ def _route(tree: Tree, reach: int):
             at, leaf = tree.visits(parts, reach)
             # a pair meets once: the one with the earlier home asks in the later one
             ahead = leaf > home[at]
-            at, leaf = np.concatenate((np.arange(len(home)), at[ahead])), np.concatenate((home, leaf[ahead]))
+            stay = np.tile(np.arange(len(home)), salts)
+            at, leaf = np.concatenate((stay, at[ahead])), np.concatenate((home[stay], leaf[ahead]))
+            turn = batch.column(0).to_numpy()[at] % salts
             own = np.zeros(len(at), bool)
-            own[: len(home)] = True
+            own[: len(stay)] = True
+            # in its home shard a fingerprint is found in every salt and asks in one
+            salt = np.where(own, np.append(np.repeat(np.arange(salts), len(home)), np.zeros(ahead.sum(), np.int64)), turn)
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(own), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take)], names=["shard", "home", "node", "bits", "size"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(leaf), pa.array(salt), pa.array(own), pa.array(salt == turn), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take)],
+                names=["shard", "salt", "home", "asks", "node", "bits", "size"],
+            )
 
     return rows
 
@@ -207,20 +215,20 @@ def _links(reach: int, ratio: float):
         table = table.combine_chunks()
         node = table.column("node").to_numpy()
         points = _matrix(table.column("bits").combine_chunks())
-        home = table.column("home").to_numpy(zero_copy_only=False)
+        home, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("home", "asks"))
         sizes = table.column("size").to_numpy()
         # searched in one order, so retries report the same links
         order = np.argsort(node, kind="stable")
-        node, points, home, sizes = node[order], points[order], home[order], sizes[order]
+        node, points, home, asks, sizes = node[order], points[order], home[order], asks[order], sizes[order]
         found = Forest(len(node))
-        search(points, sizes, np.flatnonzero(home), np.arange(len(node)), reach, ratio, found)
+        search(points, sizes, np.flatnonzero(home), np.flatnonzero(asks), reach, ratio, found)
         a, b = np.array(found.links, np.int64).reshape(-1, 2).T
         return pa.table({"a": np.maximum(node[a], node[b]), "b": np.minimum(node[a], node[b])})
 
     return rows
 
 
-def near_links(nodes: DataFrame, reach: int, ratio: float = 0.0, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def near_links(nodes: DataFrame, reach: int, ratio: float = 0.0, leaf: int = LEAF, sample: int = SAMPLE, most_leaves: int = MOST_LEAVES) -> DataFrame:
     """(a, b), a > b: links that connect what is connected by pairs of fingerprints within reach.
 
     nodes: node (long, unique), bits (array of longs, unique), size (long).
@@ -228,14 +236,15 @@ def near_links(nodes: DataFrame, reach: int, ratio: float = 0.0, leaf: int = LEA
     spark = nodes.sparkSession
     n = nodes.count()
     depth = 0
-    while (1 << depth) < MOST_LEAVES and n > leaf << depth:
+    while (1 << depth) < most_leaves and n > leaf << depth:
         depth += 1
-    # bounded: at most `sample` fingerprints reach the driver, and the tree has MOST_LEAVES nodes
-    picked = nodes.orderBy(F.xxhash64("bits"), "node").limit(sample).select("bits").toArrow() if depth else None
+    salts = max(1, -(-n // (4 * leaf << depth)))
+    # bounded: `sample` fingerprints for each of most_leaves leaves reach the driver, and the tree has as many nodes
+    picked = nodes.orderBy(F.xxhash64("bits"), "node").limit(sample << depth).select("bits").toArrow() if depth else None
     grid = _matrix(picked.column("bits").combine_chunks()) if picked is not None else np.zeros((0, 1), np.uint64)
     tree = Tree(grid, depth)
-    dealt = nodes.select("node", "bits", "size").mapInArrow(_route(tree, reach), "shard long, home boolean, node long, bits array<long>, size long")
-    return dealt.groupBy("shard").applyInArrow(_links(reach, ratio), "a long, b long")
+    dealt = nodes.select("node", "bits", "size").mapInArrow(_route(tree, reach, salts), "shard long, salt long, home boolean, asks boolean, node long, bits array<long>, size long")
+    return dealt.groupBy("shard", "salt").applyInArrow(_links(reach, ratio), "a long, b long")
 
 
 def _shard_links(parts: int, reach: int, ratio: float):

@@ -82,8 +82,8 @@ def test_simhash_against_all_pairs(docs, texts):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
-@pytest.mark.parametrize("reach", [1, 2, 5])
-def test_trees_find_every_planted_link(spark, reach):
+@pytest.mark.parametrize("reach, leaves", [(1, 1 << 15), (2, 1 << 15), (2, 4), (5, 8)])
+def test_trees_find_every_planted_link(spark, reach, leaves):
     rng = np.random.default_rng(reach)
     points = set(rng.integers(0, 1 << 62, 1500).tolist())
     for p in list(points)[:300]:
@@ -92,7 +92,7 @@ def test_trees_find_every_planted_link(spark, reach):
             points.add(p ^ int(sum(1 << int(f) for f in flips)))
     prints = dict(enumerate(sorted(points)))
     nodes = spark.createDataFrame([(i, [p], 1) for i, p in prints.items()], "node long, bits array<long>, size long")
-    got = components(simhash.near_links(nodes, reach, leaf=64)).toPandas()
+    got = components(simhash.near_links(nodes, reach, leaf=64 if leaves > 100 else 16, most_leaves=leaves)).toPandas()
     mine = {i: i for i in prints} | dict(zip(got.node, got.root))
     assert mine == linked(prints, reach)
 
