@@ -71,7 +71,7 @@ def fit_classifier(df: DataFrame, columns: list[str], family: str = "random_fore
     if family == "random_forest":
         est = RandomForestClassifier(**{**FOREST, **params}, **extra)
     elif family == "boosting":
-        est = OneVsRest(classifier=GBTClassifier(**{**BOOSTING, **params}), **extra)
+        est = OneVsRest(classifier=GBTClassifier(**{**BOOSTING, **params}), parallelism=len(classes), **extra)
     else:
         est = LogisticRegression(family="multinomial", **params, **extra)
     stages = [embed, est.setFeaturesCol(embed.getOutputCol())] if embed is not None else [est]

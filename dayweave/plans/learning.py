@@ -1,4 +1,8 @@
-"""Training, importance, clustering and scoring queries. Fits have no SQL twin; tests recompute contracts."""
+"""Training, importance, clustering and scoring queries.
+
+The SQL twin of a fit checks its contract: the rows it scores, the range and the sum of its
+probabilities, the features it reports. How good fits are is tested on planted data.
+"""
 
 from __future__ import annotations
 
@@ -31,35 +35,40 @@ def split(spark, sf):
     return r.where("row_id % 4 <> 0"), r.where("row_id % 4 = 0")
 
 
-def probabilities(df, classes=LABELS):
-    return df.select("row_id", "y", *[r6(f"p_{c}").alias(f"p_{c}") for c in classes])
+def contract(df, *keys, classes=LABELS):
+    """What holds for any fit: which rows are scored, probabilities within 0 and 1, their sum."""
+    inside = sum((F.col(f"p_{c}").between(0, 1).cast("int") for c in classes), F.lit(0))
+    return df.select(*keys, "row_id", "y", inside.alias("in_range"), r6(sum((F.col(f"p_{c}") for c in classes), F.lit(0.0))).alias("p_sum"))
+
+
+CONTRACT = "SELECT vec_id AS row_id, 'l'||(label%3) AS y, CAST(3 AS INTEGER) AS in_range, 1.0::DOUBLE AS p_sum FROM embeddings WHERE vec_id%4=0"
 
 
-@query("ml_random_forest", "ML-01 ML-05")
+@query("ml_random_forest", "ML-01 ML-05", CONTRACT)
 def ml_random_forest(spark, sf):
     train, val = split(spark, sf)
-    return probabilities(N.fit_classifier(train, COLS).score(val))
+    return contract(N.fit_classifier(train, COLS).score(val))
 
 
-@query("ml_gradient_boosting", "ML-02")
+@query("ml_gradient_boosting", "ML-02", CONTRACT)
 def ml_gradient_boosting(spark, sf):
     train, val = split(spark, sf)
-    return probabilities(N.fit_classifier(train, COLS, "boosting").score(val))
+    return contract(N.fit_classifier(train, COLS, "boosting").score(val))
 
 
-@query("ml_logistic", "ML-03")
+@query("ml_logistic", "ML-03", CONTRACT)
 def ml_logistic(spark, sf):
     train, val = split(spark, sf)
-    return probabilities(N.fit_classifier(train, COLS, "logistic").score(val))
+    return contract(N.fit_classifier(train, COLS, "logistic").score(val))
 
 
-@query("ml_embedding_head", "ML-04")
+@query("ml_embedding_head", "ML-04", CONTRACT)
 def ml_embedding_head(spark, sf):
     from pyspark.ml.feature import PCA
 
     train, val = split(spark, sf)
     embed = PCA(k=8, inputCol="features", outputCol="embedded").fit(train)
-    return probabilities(N.fit_classifier(train, COLS, "logistic", embed=embed).score(val))
+    return contract(N.fit_classifier(train, COLS, "logistic", embed=embed).score(val))
 
 
 def pooled(spark, sf):
@@ -69,10 +78,12 @@ def pooled(spark, sf):
     return r, folds, N.pooled_scores(r, COLS, folds, LABELS)
 
 
-@query("ml_pooled_scores", "ML-12 SET-04")
+@query("ml_pooled_scores", "ML-12 SET-04", """
+WITH e AS (SELECT max(vec_id)*30+1 AS e FROM embeddings), f AS (SELECT CAST(unnest([1,2,3]) AS INTEGER) AS fold)
+SELECT fold, vec_id AS row_id, 'l'||(label%3) AS y, CAST(3 AS INTEGER) AS in_range, 1.0::DOUBLE AS p_sum FROM embeddings, e, f WHERE vec_id*30>=e-(4-fold)*1440 AND vec_id*30<e-(3-fold)*1440""")
 def ml_pooled_scores(spark, sf):
     _, _, (scored, _) = pooled(spark, sf)
-    return scored.select("row_id", "fold", "y", "predicted", *[r6(f"p_{c}").alias(f"p_{c}") for c in LABELS])
+    return contract(scored, "fold")
 
 
 @query("ml_hyper_search", "ML-06")
@@ -103,18 +114,18 @@ def ml_flat_baseline(spark, sf):
     return X.accuracy_by_provenance(scored, [])
 
 
-@query("ml_isotonic_calibration", "ML-15")
+@query("ml_isotonic_calibration", "ML-15", CONTRACT + " AND vec_id%5>=3")
 def ml_isotonic_calibration(spark, sf):
     train, val = split(spark, sf)
     scored = N.fit_classifier(train, COLS).score(val)
     fit, check = scored.where("row_id % 5 < 3"), scored.where("row_id % 5 >= 3")
-    return probabilities(N.calibrate(check, N.fit_calibrators(fit, LABELS)))
+    return contract(N.calibrate(check, N.fit_calibrators(fit, LABELS)))
 
 
-@query("ml_permutation_importance", "ML-16")
+@query("ml_permutation_importance", "ML-16", "SELECT 'd'||unnest(range(64)) AS feature, true AS bounded")
 def ml_permutation_importance(spark, sf):
     train, val = split(spark, sf)
-    return N.permutation_importance(N.fit_classifier(train, COLS), val, "row_id").withColumn("importance", r6("importance"))
+    return N.permutation_importance(N.fit_classifier(train, COLS), val, "row_id").select("feature", F.col("importance").between(-1, 1).alias("bounded"))
 
 
 @query("ml_prune_trial", "ML-18")
@@ -123,10 +134,10 @@ def ml_prune_trial(spark, sf):
     return N.prune_trial(train, val, COLS, ["d62", "d63"])
 
 
-@query("ml_row_attribution", "ML-19")
+@query("ml_row_attribution", "ML-19", "SELECT vec_id AS row_id, 'd'||unnest(range(64)) AS feature, true AS bounded FROM embeddings WHERE vec_id%4=0")
 def ml_row_attribution(spark, sf):
     train, val = split(spark, sf)
-    return N.ablation(N.fit_classifier(train, COLS), val, "row_id").withColumn("weight", r6("weight"))
+    return N.ablation(N.fit_classifier(train, COLS), val, "row_id").select("row_id", "feature", F.col("weight").between(-1, 1).alias("bounded"))
 
 
 @query("ml_standardise", "ML-28", "SELECT vec_id AS row_id, " + ", ".join(f"round((embedding[{i + 1}]-avg(CAST(embedding[{i + 1}] AS DOUBLE)) OVER ())/stddev_samp(CAST(embedding[{i + 1}] AS DOUBLE)) OVER (),5) AS z{i}" for i in range(64)) + " FROM embeddings")
@@ -178,10 +189,10 @@ def ml_batch_scoring(spark, sf):
     return out.select("person", "w", "predicted", "smoothed", r6("confidence").alias("confidence"), "basis", F.array_join("pred_set", ",").alias("pred_set"))
 
 
-@query("ml_what_if", "ML-44")
+@query("ml_what_if", "ML-44", CONTRACT)
 def ml_what_if(spark, sf):
     train, val = split(spark, sf)
-    return probabilities(N.what_if(N.fit_classifier(train, COLS), val, {"d0": 1.0, "d1": 0.0}))
+    return contract(N.what_if(N.fit_classifier(train, COLS), val, {"d0": 1.0, "d1": 0.0}))
 
 
 # --- the whole chain over fixed probabilities ---------------------------------------------------------
