@@ -132,7 +132,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, stop: float = 2.0,
     copies = class_copies(rated.select("source", "size", "prior", "rate", "n"), int(stop))
     plan = materialise(rated.select("source", "size", "prior", "n", "rate", "source_size", "target").join(copies.drop("n"), ["source", "size", "prior"], "left"), "copies")
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET)).cast("long")
-    placed = sizes.join(plan, ["source", "size", "prior"]).withColumn("bucket", F.pmod(F.xxhash64("key"), buckets))
+    # written, so that a class is dealt by its buckets from here on and not kept together by the join
+    placed = materialise(sizes.join(plan, ["source", "size", "prior"]).withColumn("bucket", F.pmod(F.xxhash64("key"), buckets)), "placed")
     kinds = ["source", "size", "prior", "bucket"]
     # at most n / BUCKET rows per class
     ahead = placed.where("k is not null").groupBy(*kinds).agg(F.count(F.lit(1)).alias("in_bucket"))
