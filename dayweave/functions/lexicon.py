@@ -170,3 +170,9 @@ FEATURE_SUFFIXES = [
     "frac", "any", "transitions", "mean", "max", "occupied", "on", "max_w", "on_last", "on_frac", "playing", "paused", "active",
     "delta", "home_last", "home_frac", "minutes_until", "imminent", "opened_any", "open_count",
 ]
+
+# Words of room names that stand for an anchor without a sensor of its own.
+ANCHOR_ROOMS = {
+    "bed": "bed|bedroom|slaap",
+    "door": r"\bhall\b|hallway|entr|entree|foyer|porch|voordeur",
+}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions.cols import local_ts, part_of_day
 from ..functions.segments import with_previous
 
@@ -304,14 +305,11 @@ def hop_distance(edges: DataFrame, targets: DataFrame, keys: list[str], cap: int
 
 def anchor_rooms(bindings: DataFrame, keys: list[str]) -> DataFrame:
     """SEQ-19: room of the first bed / door sensor, else the first room whose name hints at it."""
-    hints = {"bed": "bed|bedroom|slaap", "door": r"\bhall\b|hallway|entr|entree|foyer|porch|voordeur"}
     rooms = bindings.where(F.col("room").isNotNull())
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("anchor"), F.lit(rx).alias("rx")) for k, rx in hints.items()])).alias("h")
-    tagged = rooms.select(*keys, "binding_id", "role", "room", kinds).select(*keys, "binding_id", "role", "room", "h.anchor", "h.rx")
+    tagged = rooms.select(*keys, "binding_id", "role", "room", F.explode(F.array(*map(F.lit, L.ANCHOR_ROOMS))).alias("anchor"))
+    hinted = F.coalesce(*[F.when(F.col("anchor") == k, F.lower("room").rlike(rx)) for k, rx in L.ANCHOR_ROOMS.items()])
     by_role = F.when(F.col("role") == F.col("anchor"), F.struct(F.lit(0).alias("o"), F.col("binding_id").alias("i"), F.lit("").alias("n")))
-    by_name = F.when(F.lower("room").rlike("bed|bedroom|slaap") & (F.col("anchor") == "bed")
-                     | F.lower("room").rlike(hints["door"]) & (F.col("anchor") == "door"),
-                     F.struct(F.lit(1).alias("o"), F.lit(0).cast("long").alias("i"), F.col("room").alias("n")))
+    by_name = F.when(hinted, F.struct(F.lit(1).alias("o"), F.lit(0).cast("long").alias("i"), F.col("room").alias("n")))
     order = F.coalesce(by_role, by_name)
     return tagged.withColumn("_o", order).where(F.col("_o").isNotNull()).groupBy(*keys, "anchor").agg(F.min_by("room", "_o").alias("room"))
 

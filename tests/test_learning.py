@@ -158,3 +158,38 @@ def test_leading_sensor_is_found(spark):
     frame = spark.createDataFrame([("h", 0, 4010)], "home string, first long, last long")
     e = X.lead_lag(ch, frame).where("rank = 1").first()
     assert (e.from_sensor, e.to_sensor, e.lag_min) == ("a", "b", 4) and e.strength > 0.8
+
+
+def linkage(pairs, threshold):
+    """{sensor: smallest sensor of its group} by naive average linkage over all pairs."""
+    names = sorted({s for p in pairs for s in p})
+    dist = lambda a, b: min(max(1 - pairs.get((min(a, b), max(a, b)), 0.0), 0.0), 2.0)
+    groups = [[s] for s in names]
+    while len(groups) > 1:
+        mean = lambda x, y: sum(dist(a, b) for a in x for b in y) / (len(x) * len(y))
+        d, i, j = min((mean(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        if d >= threshold:
+            break
+        groups[i] += groups.pop(j)
+    return {s: min(g) for g in groups for s in g}
+
+
+def test_sensor_groups_equal_linkage_over_all_pairs(spark):
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for home in ("h1", "h2"):
+        names = [f"s{k:02d}" for k in range(14)]
+        pairs = {(a, b): float(np.round(rng.uniform(0.2, 0.95) if int(a[1:]) % 4 == int(b[1:]) % 4 else rng.uniform(-0.2, 0.45), 6)) for a, b in itertools.combinations(names, 2)}
+        rows += [(home, a, b, r) for (a, b), r in pairs.items()]
+        want[home] = linkage(pairs, 0.7)
+    rows.append(("small", "a", "b", 0.9))
+    got = X.sensor_groups(spark.createDataFrame(rows, "home string, a string, b string, r double")).toPandas()
+    assert set(got.home) == {"h1", "h2"}
+    for home, own in got.groupby("home"):
+        lead = own.groupby("group_id").sensor.min()
+        assert dict(zip(own.sensor, own.group_id.map(lead))) == want[home]
+        assert lead.is_monotonic_increasing
