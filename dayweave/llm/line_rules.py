@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import row_key
+from .common import materialise, row_key
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -60,8 +60,9 @@ def text_counts(column: pa.Array) -> pa.Array:
 
 
 def base_counts(text: Column) -> Column:
-    # the function is made here, as a session must exist first
-    return F.arrow_udf(text_counts, _STATS)(text.cast("binary"))
+    # the function is made here, as a session must exist first; nondeterministic only in name, so that a
+    # filter on the counts does not compute them a second time
+    return F.arrow_udf(text_counts, _STATS).asNondeterministic()(text.cast("binary"))
 
 
 def normalised_lines(text: Column) -> Column:
@@ -87,11 +88,13 @@ def line_frequency(
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(F.col(host)).alias("host"), row_key(doc_id, text).alias("key"))
     marked = F.transform(normalised_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("w")))
-    lines = (
+    # a few numbers per line, read by the count and by the look-up below
+    lines = materialise(
         rows.select("key", "host", F.explode(marked).alias("l"))
         .where("l.w > 0")
         .groupBy("key", "host", "l.line")
-        .agg(F.sum("l.w").alias("w"), F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("l.w").alias("w"), F.count(F.lit(1)).alias("n")),
+        "lines",
     )
     hosts = rows.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count(F.lit(1)) * max_share).alias("limit"))
     above = (

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
 from . import block_names, chat, language, line_rules, masked_lm, mixing, packing, quality_model, simhash, token_files
-from .common import crc32_of_id, scratch_path
+from .common import crc32_of_id, ready, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +17,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(ship(spark), sf_dir)
+            return fn(ready(spark), sf_dir)
 
         QUERIES[name] = run
         if sql is not None:
