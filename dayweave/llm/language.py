@@ -122,7 +122,8 @@ def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     share = F.pmod(place, F.lit(1_000_003)) / 1_000_003.0
     picked = known.join(sizes, "lang").where(share * F.col("n") < per_language).select("doc_id", place.alias("place"), "lang").orderBy("place", "doc_id").limit(most_rows).dropDuplicates(["doc_id"])
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).where(F.col("text").isNotNull())
-    found = picked.join(texts, "doc_id").select("place", "lang", "text").mapInArrow(_training_rows, "place long, lang string, bucket array<int>, x array<float>")
+    # most_rows narrow rows at most
+    found = texts.join(F.broadcast(picked), "doc_id").select("place", "lang", "text").mapInArrow(_training_rows, "place long, lang string, bucket array<int>, x array<float>")
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by("place")

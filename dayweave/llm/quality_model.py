@@ -95,7 +95,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
         .orderBy("place", "doc_id").limit(most_rows)
     )
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    found = known.join(texts, "doc_id").select("place", "label", "text").mapInArrow(_training_rows, "place long, label double, bucket array<int>, x array<float>")
+    # most_rows narrow rows at most
+    found = texts.join(F.broadcast(known), "doc_id").select("place", "label", "text").mapInArrow(_training_rows, "place long, label double, bucket array<int>, x array<float>")
     # one task, bounded by most_rows
     got = found.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_fit, "weights binary").first()
     return np.frombuffer(got[0], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
