@@ -1,9 +1,14 @@
 """Lexical retrieval packing: BM25 neighbours of a seed document fill its window.
 
 Document frequencies come from all documents: words are hashed to 2^DF_BITS buckets and counted with
-partial aggregation, so the table that tasks get has a fixed size. The inverted index is sharded: a
-shard is a run of neighbouring rows of one input partition, of at most SHARD_BYTES text or one longer
-document, and its postings, scores and windows live in one task only as long as the shard lasts.
+partial aggregation, so the table that tasks get has a fixed size. Neighbours are looked for in all
+documents: every text posts the rarer quarter of its words (by the counts above, LEAST_TERMS at least), and
+these postings nominate, for every text, the one with the highest BM25 score over its TERMS rarest shared
+words (posted by at most RARE texts, counted exactly); texts with an equal smallest shingle are tied too,
+so large groups of near copies need no pairs. Documents are dealt and sorted by the
+components of these ties, wherever they lay in the input. The inverted index is sharded: a shard is a run
+of neighbouring rows in this order, of at most SHARD_BYTES text or one longer document, and its
+postings, scores and windows live in one task only as long as the shard lasts.
 The seed is the first unused document; its BM25 scores rank the unused documents of the shard, which
 are appended until the window is full. A document that is cut becomes the seed of the next window.
 An open window passes to the next shard of the partition; the last one is split into lengths that are
@@ -11,7 +16,9 @@ powers of two, so no sequence needs padding.
 
 Cases: null and empty texts have only their end id; documents without shared words follow in row
 order; a text of any length is cut freely; rows with equal ids are packed each; an empty table gives
-no rows; further columns are not read. Rerun on the same files gives the same sequences.
+no rows; further columns are not read. Equal texts are one text for the ties and lie side by side; a
+component that is longer than a shard or meets the end of a partition is cut. Where partitions are cut
+follows a sample of the order, so another run may cut sequences elsewhere.
 """
 
 from __future__ import annotations
@@ -27,9 +34,16 @@ from pyspark.sql import functions as F
 
 from . import ids as I
 from . import text as T
+from .common import materialise
+from ..functions.components import components
 
 DF_BITS = 18
 SHARD_BYTES = 2 << 20
+RARE = 64
+TERMS = 8
+LEAST_TERMS = 64
+SHINGLE = 3
+PART_WORDS = 2_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -57,8 +71,8 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(part, [-1, -2] if at == 0 else []).astype(np.int64)), pa.array(np.append(held[part], [n_docs, n_words] if at == 0 else []).astype(np.int64))], names=["bucket", "n"])
 
 
-def term_weights(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, float]:
-    """BM25 idf of every hash bucket over all documents (0 where it is not positive), and the mean length."""
+def term_weights(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, float, int]:
+    """BM25 idf of every hash bucket over all documents (0 where it is not positive), the mean length, and the number of documents."""
     table = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).mapInArrow(_count_terms, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = table["bucket"].to_numpy(), table["n"].to_numpy()
     total = {int(b): int(v) for b, v in zip(bucket[bucket < 0], n[bucket < 0])}
@@ -66,7 +80,83 @@ def term_weights(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, float
     held[bucket[bucket >= 0]] = n[bucket >= 0]
     n_docs = total.get(-1, 0)
     idf = np.log((n_docs - held + 0.5) / (held + 0.5), where=held > 0, out=np.zeros(1 << DF_BITS))
-    return np.maximum(idf, 0).astype(np.float32), total.get(-2, 0) / max(n_docs, 1)
+    return np.maximum(idf, 0).astype(np.float32), total.get(-2, 0) / max(n_docs, 1), n_docs
+
+
+def _postings(idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
+    """(node, term, part): the share of every word in a BM25 score of its text, without the idf. A row with
+    part 0 has the smallest shingle of the text. Words of more than RARE texts of one run are left out, and
+    all but the rarer quarter of a text's words."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            for first, data, offs in T.runs(batch.column(1)):
+                own = node[first : first + len(offs) - 1]
+                h, row = _terms(data, offs)
+                if not len(h):
+                    continue
+                length = np.bincount(row, minlength=len(own))
+                gram, step = h, np.uint64(0xC2B2AE3D27D4EB4F)
+                for k in range(1, min(SHINGLE, len(h))):
+                    gram = T.mix(gram[:-1] * step + h[k:])
+                whole = np.flatnonzero(row[len(row) - len(gram) :] == row[: len(gram)])
+                least = np.full(len(own), np.iinfo(np.uint64).max)
+                np.minimum.at(least, row[whole], gram[whole])
+                tied = np.flatnonzero(least < np.iinfo(np.uint64).max)
+                order = np.lexsort((row, h))
+                h, row = h[order], row[order]
+                at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])))
+                tf = np.diff(np.append(at, len(h)))
+                h, row = h[at], row[at]
+                term = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
+                # copies in a run are one text
+                _, place = np.unique(own, return_inverse=True)
+                apart = np.unique(term * len(own) + place[row]) // len(own)
+                rare = np.bincount(apart)[term] <= RARE
+                h, row, tf = h[rare], row[rare], tf[rare]
+                held = np.bincount(row, minlength=len(own))
+                order = np.lexsort((h, -idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)], row))
+                h, row, tf = h[order], row[order], tf[order]
+                top = np.arange(len(h)) - (np.cumsum(held) - held)[row] < np.maximum(held // 4, LEAST_TERMS)[row]
+                h, row, tf = h[top], row[top], tf[top]
+                part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / max(mean, 1e-9)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(own[row], own[tied])), pa.array(np.append(h, least[tied]).view(np.int64)), pa.array(np.append(part, np.zeros(len(tied))).astype(np.float32))],
+                    names=["node", "term", "part"],
+                )
+
+    return rows
+
+
+def neighbours(texts: DataFrame, idf: np.ndarray, mean: float, n_docs: int) -> DataFrame:
+    """(node, hub, best): what ties a text to others of the whole table; null where nothing does.
+
+    texts: node (hash of the text), text (binary). hub is the smallest text with the same smallest
+    shingle, best the text with the highest score over the rarest shared words.
+    """
+    spread = texts.mapInArrow(_postings(idf, mean), "node long, term long, part float").repartition("term")
+    posts = materialise(spread.groupBy("term", "node").agg(F.max("part").alias("part")), "postings")
+    words = posts.where("part > 0")
+    held = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, RARE))
+    shared = materialise(words.join(held, "term"), "shared-words")
+    picked = shared.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term"))), 1, TERMS).alias("t")).select(F.col("node").alias("a"), F.explode("t.term").alias("term"))
+    scored = picked.join(shared, "term").where("a <> node").groupBy("a", "node").agg(F.sum(F.log((F.lit(n_docs) + 1.0) / F.col("n")) * F.col("part")).alias("score"))
+    best = scored.groupBy("a").agg(F.max_by("node", F.struct("score", "node")).alias("best")).withColumnRenamed("a", "node")
+    grams = posts.where("part = 0")
+    hubs = grams.groupBy("term").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return grams.join(hubs, "term").select("node", "hub").join(best, "node", "full_outer")
+
+
+def routed(docs: DataFrame, idf: np.ndarray, mean: float, n_docs: int) -> DataFrame:
+    """doc_id, text in an order in which ties of the whole table lie side by side, over partitions of about PART_WORDS words."""
+    named = docs.withColumn("node", F.xxhash64("text"))
+    ties = materialise(neighbours(named.select("node", "text"), idf, mean, n_docs), "ties")
+    edges = ties.select("node", F.explode(F.array("hub", "best")).alias("to")).where("to <> node").select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b"))
+    places = ties.join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("hub", F.least("node", "best")).alias("hub"))
+    order = [F.coalesce("root", "node"), F.coalesce("hub", "node"), F.col("node"), F.col("doc_id")]
+    parts = max(1, round(mean * n_docs / PART_WORDS))
+    return named.join(places, "node", "left").repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
 
 class Index:
@@ -195,5 +285,6 @@ def pack_rows(tokenizer: str, end: int, most: int, idf: np.ndarray, mean: float,
 
 def pack(docs: DataFrame, tokenizer: str, end: int = 0, most: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: which ids of which document lie where in which sequence."""
-    idf, mean = term_weights(docs, text)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).mapInArrow(pack_rows(tokenizer, end, most, idf, mean), SCHEMA)
+    idf, mean, n_docs = term_weights(docs, text)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    return routed(rows, idf, mean, n_docs).mapInArrow(pack_rows(tokenizer, end, most, idf, mean), SCHEMA)

@@ -129,6 +129,21 @@ def test_packing_puts_neighbours_together(spark):
     assert mixed.mean() < 1.6
 
 
+def test_packing_finds_neighbours_in_all_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_WORDS", 10_000, raising=False)
+    rng = np.random.default_rng(12)
+    common = [f"c{v}" for v in range(300)]
+    pairs = [[f"p{k}w{v}" for v in range(12)] for k in range(400)]
+    rows = [(400 * half + k, " ".join(rng.permutation([*pairs[k], *rng.choice(common, 60)]))) for half in range(2) for k in range(400)]
+    # partners lie in different partitions; a third of all rows are copies of one text
+    rows += [(1000 + i, rows[7][1]) for i in range(400)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id"), tokenizer("byte_bpe_50k.json")).toPandas()
+    # a partition is one task's shards
+    own = (got.sequence_id // (1 << 40)).groupby(got.doc_id).agg(set)
+    assert got.doc_id.nunique() == 1200 and len(set.union(*own)) > 4
+    assert np.mean([bool(own[k] & own[400 + k]) for k in range(400)]) > 0.93
+
+
 def test_mixing_meets_targets(docs, texts):
     got = mixing.mix(docs).toPandas()
     size = got.groupby("source")["size"].sum()
