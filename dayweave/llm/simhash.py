@@ -247,22 +247,23 @@ def near_links(nodes: DataFrame, reach: int, ratio: float = 0.0, leaf: int = LEA
     return dealt.groupBy("shard", "salt").applyInArrow(_links(reach, ratio), "a long, b long")
 
 
-def _shard_links(parts: int, reach: int, ratio: float):
-    """Links inside every shard (key, salt) of one bucket of shards."""
+def _shard_links(reach: int, ratio: float):
+    """Links of every task (shard, one, two) of one bucket of tasks: inside a block, or between two."""
 
     def rows(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        node, key, salt = (table.column(c).to_numpy() for c in ("node", "shard", "salt"))
+        node, key, one, two, block = (table.column(c).to_numpy() for c in ("node", "shard", "one", "two", "block"))
         points = _matrix(table.column("bits").combine_chunks())
         sizes = table.column("size").to_numpy()
-        order = np.lexsort((node, salt, key))
-        node, key, salt, points, sizes = node[order], key[order], salt[order], points[order], sizes[order]
-        cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
+        order = np.lexsort((node, two, one, key))
+        node, key, one, two, block, points, sizes = node[order], key[order], one[order], two[order], block[order], points[order], sizes[order]
+        cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
         links = []
         for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(key)).tolist()):
             if hi - lo > 1:
-                found, own = Forest(hi - lo), np.arange(hi - lo)
-                search(points[lo:hi], sizes[lo:hi], own, own, reach, ratio, found)
+                found = Forest(hi - lo)
+                homes, asks = np.flatnonzero(block[lo:hi] == one[lo]), np.flatnonzero(block[lo:hi] == two[lo])
+                search(points[lo:hi], sizes[lo:hi], homes, asks, reach, ratio, found)
                 links += [(node[lo + x], node[lo + y]) for x, y in found.links]
         a, b = np.array(links, np.int64).reshape(-1, 2).T
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
@@ -270,20 +271,29 @@ def _shard_links(parts: int, reach: int, ratio: float):
     return rows
 
 
-def shard_links(nodes: DataFrame, parts: int, reach: int, ratio: float, block: int = 4_096, pivots: int = 64) -> DataFrame:
+def shard_links(nodes: DataFrame, parts: int, reach: int, ratio: float, block: int = 4_096, pivots: int = 0) -> DataFrame:
     """(a, b), a > b: links of fingerprints that share a smallest shingle, for radii at which the tree cannot prune.
 
-    nodes: node, bits, minima (array of longs), size. A shard is one smallest shingle of one order; a
-    shard of over `block` rows is dealt by hash over blocks that share about `pivots` of its rows.
+    nodes: node, bits, minima (array of longs), size. A shard is one smallest shingle of one order; a shard
+    of over `block` rows is dealt by hash over blocks, and a task compares two of them (or one with itself),
+    so all pairs of a shard are compared at any size. pivots is not needed any more.
     """
     keyed = nodes.select("node", "bits", "size", F.posexplode("minima").alias("order", "least")).withColumn("shard", F.xxhash64("order", "least")).drop("order", "least")
     held = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keyed.join(held, "shard")
-    salts = F.ceil(F.col("n") / block).cast("long")
-    pivot = (salts > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")) < pivots)
-    dealt = met.withColumn("salt", F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), salts)))))
-    buckets = max(1, nodes.count() // 10_000)
-    return dealt.withColumn("bucket", F.pmod(F.xxhash64("shard", "salt"), F.lit(buckets))).groupBy("bucket").applyInArrow(_shard_links(parts, reach, ratio), "a long, b long")
+    blocks = F.ceil(F.col("n") / block).cast("long")
+    met = keyed.join(held, "shard").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    # a member goes to the tasks of its block with every block
+    other = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    buckets = F.lit(max(1, nodes.count() // 10_000))
+    # the tasks of a cut shard get groups of their own
+    whole = F.col("blocks") == 1
+    dealt = other.select(
+        "node", "bits", "size", "shard", "block",
+        F.least("block", "other").alias("one"),
+        F.greatest("block", "other").alias("two"),
+        F.when(whole, F.pmod(F.xxhash64("shard"), buckets)).otherwise(F.xxhash64("shard", F.least("block", "other"), F.greatest("block", "other"))).alias("bucket"),
+    )
+    return dealt.groupBy("bucket").applyInArrow(_shard_links(reach, ratio), "a long, b long")
 
 
 #: Nodes of rows without an id lie above all ids.

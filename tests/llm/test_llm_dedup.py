@@ -150,3 +150,13 @@ def test_hot_shard_is_cut_into_blocks(spark):
     links = simhash.shard_links(nodes, 2, 4, 0.0, block=200, pivots=64)
     got = components(links).toPandas()
     assert len(got) == 2999 and set(got.root) == {0}
+
+
+def test_cut_shard_compares_all_pairs(spark):
+    # 400 pairs that meet in one shard only, by a shared passage; nothing else is near
+    rng = np.random.default_rng(6)
+    points = rng.integers(0, 1 << 62, (400, 2))
+    rows = [(2 * k + c, [int(a) ^ c, int(b)], [5], 1) for k, (a, b) in enumerate(points.tolist()) for c in range(2)]
+    nodes = spark.createDataFrame(rows, "node long, bits array<long>, minima array<long>, size long")
+    got = components(simhash.shard_links(nodes, 2, 4, 0.0, block=20)).toPandas()
+    assert dict(zip(got.node, got.root)) == {2 * k + 1: 2 * k for k in range(400)}
