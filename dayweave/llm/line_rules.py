@@ -79,26 +79,31 @@ def line_frequency(
     min_left: float = 0.5,
     doc_id: str = "doc_id",
     text: str = "text",
+    copies: bool = True,
 ) -> DataFrame:
     """Base counts, removed lines and verdict of every document.
 
     A line is above the limit of its host if more than max(min_docs, max_share x documents of
-    the host) documents of that host hold it. Result: row (all input columns), doc_id, the base
+    the host) documents of that host hold it. copies=False: documents of a host that are equal but
+    for white space count as one, for a line and for the host. Result: row (all input columns), doc_id, the base
     counts, base_failed, n_removed_lines, n_removed_words, depleted, kept, clean_text.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(F.col(host)).alias("host"), row_key(doc_id, text).alias("key"))
+    if not copies:
+        rows = rows.withColumn("body", F.xxhash64(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", "")))
+    own = [] if copies else ["body"]
     marked = F.transform(normalised_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("w")))
     # a few numbers per line, read by the count and by the look-up below
     lines = materialise(
-        rows.select("key", "host", F.explode(marked).alias("l"))
+        rows.select("key", "host", *own, F.explode(marked).alias("l"))
         .where("l.w > 0")
-        .groupBy("key", "host", "l.line")
+        .groupBy("key", "host", *own, "l.line")
         .agg(F.sum("l.w").alias("w"), F.count(F.lit(1)).alias("n")),
         "lines",
     )
-    hosts = rows.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count(F.lit(1)) * max_share).alias("limit"))
+    hosts = (rows if copies else rows.select("host", "body").distinct()).groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count(F.lit(1)) * max_share).alias("limit"))
     above = (
-        lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("held"))
+        (lines if copies else lines.select("host", "line", "body").distinct()).groupBy("host", "line").agg(F.count(F.lit(1)).alias("held"))
         .where(F.col("held") > min_docs)
         .join(hosts, "host")
         .where("held > limit")
@@ -109,7 +114,7 @@ def line_frequency(
         .groupBy("key")
         .agg(F.sum("w").alias("lost_words"), F.sum("n").alias("lost_lines"), F.collect_set("line").alias("lost"))
     )
-    counted = rows.withColumn("c", base_counts(F.col("text")))
+    counted = rows.drop(*own).withColumn("c", base_counts(F.col("text")))
     joined = counted.join(lost, "key", "left")
     removed = F.coalesce("lost_words", F.lit(0)).cast("long")
     failed = (F.col("c.n_words") < 20) | (100 * F.col("c.n_repeat_words") > 30 * F.col("c.n_words"))

@@ -52,6 +52,19 @@ def test_line_rules_against_loops(docs, odd, limit):
     assert mine == sorted(verdicts(rows, limit[0], limit[1], 0.5), key=str)
 
 
+def test_copies_do_not_make_their_lines_boilerplate(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    fresh = lambda: " ".join(f"w{chr(97 + v % 26)}{chr(97 + v // 26)}" for v in rng.integers(0, 676, 40))
+    one = f"{fresh()}\n{fresh()}"
+    rows = [(i, one if i % 2 else one.replace(" ", "  "), "h") for i in range(30)] + [(100 + i, f"{fresh()}\nthe same footer", "h") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.char_length("text").cast("long"))
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, sf_dir).collect()}
+    assert len(got) == 60 and all(got[i] == rows[i][1] for i in range(30))
+    assert not [t for t in got.values() if "footer" in t]
+
+
 def test_line_rules_carry_clashing_columns(odd, empty, odd_rows):
     got = line_rules.line_frequency(odd)
     assert got.count() == len(odd_rows) and got.select("row.kept", "row.row").first() == (1, "x")
