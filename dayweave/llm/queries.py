@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_names, chat, language, line_rules, masked_lm, mixing, packing, quality_model, simhash, token_files
-from .common import crc32_of_id, ready, scratch_path
+from . import block_names, chat, hard_negatives, language, line_rules, masked_lm, mixing, packing, quality_model, set_sketch, simhash, token_files, vector_codes
+from .common import crc32_of_id, materialise, ready, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -189,3 +189,68 @@ def op9_perspective_chat(spark, sf_dir):
 @query("op10_bm25_packing")
 def op10_bm25_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+@query(
+    "op11_coordinate_negatives",
+    """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+    """,
+)
+def op11_coordinate_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(embeddings(spark, sf_dir), F.col("id") % 100 == 0, label=label)
+
+
+@query(
+    "op12_set_sketch",
+    """
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    p AS (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0),
+    g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM p),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    e AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+    r AS (SELECT doc_id AS d, doc_id AS c FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.d WHERE r.c < e.b),
+    m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
+    SELECT doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, doc_id = m.c AS kept FROM w LEFT JOIN n USING (doc_id) JOIN m ON m.d = doc_id
+    """,
+)
+def op12_set_sketch(spark, sf_dir):
+    return set_sketch.near_groups(documents(spark, sf_dir))
+
+
+@query(
+    "op13_anchor_trees",
+    """
+    WITH k AS (SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    parts AS (SELECT vec_id, p, q[4 * p + 1:4 * p + 4] AS v FROM k, range(16) t(p)),
+    c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM parts QUALIFY e < 64),
+    a0 AS (SELECT vec_id, x.p, x.v, arg_min(e, (x.v[1] - c.v[1]) ** 2 + (x.v[2] - c.v[2]) ** 2 + (x.v[3] - c.v[3]) ** 2 + (x.v[4] - c.v[4]) ** 2 + e / 64.0) AS e FROM parts x JOIN c0 c USING (p) GROUP BY ALL),
+    m0 AS (SELECT p, e, CAST(floor(sum(v[1]) / count(*)) AS BIGINT) AS x1, CAST(floor(sum(v[2]) / count(*)) AS BIGINT) AS x2, CAST(floor(sum(v[3]) / count(*)) AS BIGINT) AS x3, CAST(floor(sum(v[4]) / count(*)) AS BIGINT) AS x4 FROM a0 GROUP BY p, e),
+    c1 AS (SELECT p, e, CASE WHEN x1 IS NULL THEN v ELSE [x1, x2, x3, x4] END AS v FROM c0 LEFT JOIN m0 USING (p, e)),
+    a1 AS (SELECT vec_id, x.p, x.v, arg_min(e, (x.v[1] - c.v[1]) ** 2 + (x.v[2] - c.v[2]) ** 2 + (x.v[3] - c.v[3]) ** 2 + (x.v[4] - c.v[4]) ** 2 + e / 64.0) AS e FROM parts x JOIN c1 c USING (p) GROUP BY ALL),
+    m1 AS (SELECT p, e, CAST(floor(sum(v[1]) / count(*)) AS BIGINT) AS x1, CAST(floor(sum(v[2]) / count(*)) AS BIGINT) AS x2, CAST(floor(sum(v[3]) / count(*)) AS BIGINT) AS x3, CAST(floor(sum(v[4]) / count(*)) AS BIGINT) AS x4 FROM a1 GROUP BY p, e),
+    c2 AS (SELECT p, e, CASE WHEN x1 IS NULL THEN v ELSE [x1, x2, x3, x4] END AS v FROM c1 LEFT JOIN m1 USING (p, e)),
+    f AS (SELECT vec_id, x.p, min((x.v[1] - c.v[1]) ** 2 + (x.v[2] - c.v[2]) ** 2 + (x.v[3] - c.v[3]) ** 2 + (x.v[4] - c.v[4]) ** 2 + e / 64.0) AS best FROM parts x JOIN c2 c USING (p) GROUP BY ALL),
+    g AS (SELECT vec_id, string_agg(lower(lpad(to_hex(CAST((best - floor(best)) * 64 AS BIGINT)), 2, '0')), '' ORDER BY p) AS code, CAST(sum(floor(best)) AS BIGINT) AS error FROM f GROUP BY vec_id),
+    h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c2)
+    SELECT k.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN g USING (vec_id), h
+    """,
+)
+def op13_anchor_trees(spark, sf_dir):
+    coded, books = vector_codes.encode(embeddings(spark, sf_dir))
+    got = vector_codes.with_label_error(materialise(coded, "codes"))
+    return got.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
