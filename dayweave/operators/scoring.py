@@ -12,6 +12,8 @@ from .stats import wilson
 # Fixed values of training and scoring.
 SUSPECT_WEIGHT, CHAMPION_BOOST, HALF_LIFE_DAYS, BALANCE_CAP = 0.3, 1.25, 21.0, 8.0
 ALPHA, MIN_CAL, MIN_CAL_HUMAN, MIN_CONFIRMED = 0.10, 30, 50, 30
+#: Rounding allowed where a probability meets a conformal threshold.
+TOLERANCE = 1e-12
 MARGIN, CHURN_MAX, DECISIVE_GAIN, CHAMPION_FLOOR = 0.02, 0.25, 0.02, 0.05
 RULE_CONFIDENCE, WEAK_SHARE, WEAK_CAP, ABSTAIN_AT = 0.55, 0.25, 0.70, 0.4
 STRIKE_ROUNDS, STRIKES, STRIKE_GAP_DAYS, STRIKE_EPS = 4, 3, 3, 1e-6
@@ -109,15 +111,16 @@ def conformal_threshold(rows: DataFrame, classes: list[str], keys: list[str], al
     # numpy's "higher" rule: index ceil((n − 1) · level), zero based
     idx = F.ceil(F.round((n - 1) * level, 9))
     q = cdf.where((F.col("n_before") <= idx) & (idx < F.col("n_before") + F.col("n")) & (n >= MIN_CAL)).select(*keys, F.col("score").alias("qhat"), n.alias("n_cal"))
-    size = sum(((F.col(f"p_{c}") >= 1 - F.col("qhat") - 1e-12).cast("int") for c in classes), F.lit(0))
-    hit = (F.col("p_true") >= 1 - F.col("qhat") - 1e-12).cast("double")
+    size = sum(((F.col(f"p_{c}") >= 1 - F.col("qhat") - TOLERANCE).cast("int") for c in classes), F.lit(0))
+    hit = (F.col("p_true") >= 1 - F.col("qhat") - TOLERANCE).cast("double")
     use = scored.join(q, keys).groupBy(*keys, "qhat", "n_cal").agg(F.round(F.avg(size), 2).alias("avg_set_size"), F.round(F.avg(hit), 4).alias("coverage"))
     return use.withColumn("qhat", F.round("qhat", 4))
 
 
 def prediction_set(probs: Column, qhat: Column) -> Column:
-    """ML-23: classes at least as probable as 1 − q̂, most likely first; may be empty."""
-    kept = F.filter(ranked_entries(probs), lambda e: e["p"] >= 1 - qhat)
+    """ML-23: classes at least as probable as 1 − q̂, most likely first; may be empty. The tolerance is
+    that of the calibration, so a class on the threshold counts in both."""
+    kept = F.filter(ranked_entries(probs), lambda e: e["p"] >= 1 - qhat - TOLERANCE)
     return F.transform(kept, lambda e: e["k"])
 
 

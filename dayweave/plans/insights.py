@@ -501,7 +501,7 @@ def ml_conformal_threshold(spark, sf):
 
 
 @query("ml_prediction_set", "ML-23", """
-SELECT event_id, coalesce(string_agg(c, ',' ORDER BY p DESC, c) FILTER (WHERE p>=1-0.6),'') AS pred_set FROM (SELECT event_id, unnest(['cooking','movie','home']) AS c, unnest([a,b,c]) AS p FROM pred5) GROUP BY event_id""")
+SELECT event_id, coalesce(string_agg(c, ',' ORDER BY p DESC, c) FILTER (WHERE p>=1-0.6::DOUBLE-1e-12::DOUBLE),'') AS pred_set FROM (SELECT event_id, unnest(['cooking','movie','home']) AS c, unnest([a,b,c]) AS p FROM pred5) GROUP BY event_id""")
 def ml_prediction_set(spark, sf):
     return T.prediction_rows(spark, sf).select("event_id", F.array_join(C.prediction_set(F.col("probs"), F.lit(0.6)), ",").alias("pred_set"))
 

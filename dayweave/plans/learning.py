@@ -206,7 +206,7 @@ durs AS (SELECT person, state, least(n,48) AS d, count(*) AS runs FROM (SELECT *
 haz AS (SELECT person, state, d, (runs+1)/(sum(runs) OVER (PARTITION BY person, state ORDER BY d DESC)+2) AS hazard FROM durs QUALIFY sum(runs) OVER (PARTITION BY person, state)>=5),
 wide AS (SELECT person, part, a, max(CASE WHEN b='cooking' THEN p END) AS tc, max(CASE WHEN b='home' THEN p END) AS th, max(CASE WHEN b='movie' THEN p END) AS tm, sum(CASE WHEN b<>a THEN p ELSE 0 END) AS off FROM mat GROUP BY ALL),
 l AS (SELECT person, w-w%30 AS w, max(event_id) AS event_id FROM pred5 GROUP BY ALL),
-x AS (SELECT l.person, l.w, a AS pc, c AS ph, b AS pm, k, value, CASE WHEN k%13=0 THEN 'away' END AS gate, (k%10)/10.0 AS direct, k%7=0 AS fired,
+x AS (SELECT l.person, l.w, a AS pc, c AS ph, b AS pm, k, value, CASE WHEN k%13=0 THEN 'away' END AS gate, (k%10)/10.0::DOUBLE AS direct, k%7=0 AS fired,
   CASE WHEN (l.w//60)%24<5 OR (l.w//60)%24>=22 THEN '0' WHEN (l.w//60)%24<11 THEN '1' WHEN (l.w//60)%24<17 THEN '2' ELSE '3' END AS part, row_number() OVER (PARTITION BY l.person ORDER BY l.w) AS i FROM l JOIN pred5 USING (event_id)),
 ch AS (
  SELECT person, i, w, CAST(NULL AS VARCHAR) AS prev, CAST(0 AS BIGINT) AS prun, coalesce(gate, CASE WHEN pc>=ph AND pc>=pm THEN 'cooking' WHEN ph>=pm THEN 'home' ELSE 'movie' END) AS coarse, pc, ph, pm, CAST(1 AS BIGINT) AS run FROM x WHERE i=1
@@ -214,22 +214,22 @@ ch AS (
  SELECT person, i, w, prev, prun, coarse, pc, ph, pm, CASE WHEN coarse=prev THEN prun+1 ELSE CAST(1 AS BIGINT) END FROM (
   SELECT *, coalesce(gate, CASE WHEN pc>=ph AND pc>=pm THEN 'cooking' WHEN ph>=pm THEN 'home' ELSE 'movie' END) AS coarse FROM (
    SELECT person, i, w, prev, prun, gate, CASE WHEN mk THEN mc/(mc+mh+mm) ELSE mc END AS pc, CASE WHEN mk THEN mh/(mc+mh+mm) ELSE mh END AS ph, CASE WHEN mk THEN mm/(mc+mh+mm) ELSE mm END AS pm FROM (
-    SELECT *, fired AND prev IS NOT NULL AS mk, CASE WHEN fired AND prev='cooking' THEN fc*0.65 ELSE fc END AS mc, CASE WHEN fired AND prev='home' THEN fh*0.65 ELSE fh END AS mh, CASE WHEN fired AND prev IS NOT NULL THEN fm*3.5+1e-6 ELSE fm END AS mm FROM (
+    SELECT *, fired AND prev IS NOT NULL AS mk, CASE WHEN fired AND prev='cooking' THEN fc*0.65::DOUBLE ELSE fc END AS mc, CASE WHEN fired AND prev='home' THEN fh*0.65::DOUBLE ELSE fh END AS mh, CASE WHEN fired AND prev IS NOT NULL THEN fm*3.5::DOUBLE+1e-6::DOUBLE ELSE fm END AS mm FROM (
      SELECT *, CASE WHEN ok THEN xc/(xc+xh+xm) ELSE pc END AS fc, CASE WHEN ok THEN xh/(xc+xh+xm) ELSE ph END AS fh, CASE WHEN ok THEN xm/(xc+xh+xm) ELSE pm END AS fm FROM (
       SELECT *, rowed AND pc*kc+ph*kh+pm*km>0 AS ok, pc*kc AS xc, ph*kh AS xh, pm*km AS xm FROM (
-       SELECT *, 0.85*coalesce(ac,1.0/3)+0.05 AS kc, 0.85*coalesce(ah,1.0/3)+0.05 AS kh, 0.85*coalesce(am,1.0/3)+0.05 AS km FROM (
+       SELECT *, 0.85::DOUBLE*coalesce(ac,1.0::DOUBLE/3)+0.05::DOUBLE AS kc, 0.85::DOUBLE*coalesce(ah,1.0::DOUBLE/3)+0.05::DOUBLE AS kh, 0.85::DOUBLE*coalesce(am,1.0::DOUBLE/3)+0.05::DOUBLE AS km FROM (
         SELECT x.person, x.i, x.w, q.prev, q.prun, x.gate, x.fired, x.pc, x.ph, x.pm, wide.a IS NOT NULL AS rowed,
-         CASE WHEN hz.hazard IS NULL OR off<=0 THEN tc WHEN q.prev='cooking' THEN least(greatest(1-hz.hazard,0.05),0.98) ELSE (1-least(greatest(1-hz.hazard,0.05),0.98))*tc/off END AS ac,
-         CASE WHEN hz.hazard IS NULL OR off<=0 THEN th WHEN q.prev='home' THEN least(greatest(1-hz.hazard,0.05),0.98) ELSE (1-least(greatest(1-hz.hazard,0.05),0.98))*th/off END AS ah,
-         CASE WHEN hz.hazard IS NULL OR off<=0 THEN tm WHEN q.prev='movie' THEN least(greatest(1-hz.hazard,0.05),0.98) ELSE (1-least(greatest(1-hz.hazard,0.05),0.98))*tm/off END AS am
+         CASE WHEN hz.hazard IS NULL OR off<=0 THEN tc WHEN q.prev='cooking' THEN least(greatest(1-hz.hazard,0.05::DOUBLE),0.98::DOUBLE) ELSE (1-least(greatest(1-hz.hazard,0.05::DOUBLE),0.98::DOUBLE))*tc/off END AS ac,
+         CASE WHEN hz.hazard IS NULL OR off<=0 THEN th WHEN q.prev='home' THEN least(greatest(1-hz.hazard,0.05::DOUBLE),0.98::DOUBLE) ELSE (1-least(greatest(1-hz.hazard,0.05::DOUBLE),0.98::DOUBLE))*th/off END AS ah,
+         CASE WHEN hz.hazard IS NULL OR off<=0 THEN tm WHEN q.prev='movie' THEN least(greatest(1-hz.hazard,0.05::DOUBLE),0.98::DOUBLE) ELSE (1-least(greatest(1-hz.hazard,0.05::DOUBLE),0.98::DOUBLE))*tm/off END AS am
         FROM (SELECT ch.person, ch.i, ch.w, ch.coarse, ch.run, CASE WHEN y.w-ch.w=30 THEN ch.coarse END AS prev, CASE WHEN y.w-ch.w=30 THEN ch.run ELSE 0 END AS prun FROM ch JOIN x y ON y.person=ch.person AND y.i=ch.i+1) q
         JOIN x ON x.person=q.person AND x.i=q.i+1 LEFT JOIN wide ON wide.person=x.person AND wide.part=x.part AND wide.a=q.prev LEFT JOIN haz hz ON hz.person=x.person AND hz.state=q.prev AND hz.d=least(q.prun,48))))))))),
 f AS (SELECT ch.person, ch.w, ch.i, gate, k, value, direct, coarse, ch.pc, ch.ph, ch.pm, gate IS NULL AND coarse='home' AS fine, CASE WHEN coarse='cooking' THEN ch.pc WHEN coarse='home' THEN ch.ph WHEN coarse='movie' THEN ch.pm ELSE 1 END AS cc, round(value/(value+60),6) AS e FROM ch JOIN x USING (person, i)),
-g AS (SELECT *, CASE WHEN fine THEN CASE WHEN e>=1-e THEN 'eating' ELSE 'home' END ELSE coarse END AS predicted, CASE WHEN gate IS NOT NULL THEN 1 ELSE CASE WHEN direct<0.25 AND CASE WHEN fine THEN greatest(e,1-e) ELSE cc END>0.7 THEN 0.7 ELSE CASE WHEN fine THEN greatest(e,1-e) ELSE cc END END END AS confidence,
- CASE WHEN gate IS NOT NULL THEN 1 WHEN fine THEN CAST(e>=0.4 AS INT)+CAST(1-e>=0.4 AS INT) ELSE CAST(pc>=0.3 AS INT)+CAST(ph>=0.3 AS INT)+CAST(pm>=0.3 AS INT) END AS set_size FROM f),
-d AS (SELECT *, CASE WHEN gate IS NOT NULL OR lag(predicted) OVER o IS NULL OR coalesce(confidence>=lag(confidence) OVER o+0.25, false) OR lag(predicted) OVER o=predicted THEN predicted END AS hit FROM g WINDOW o AS (PARTITION BY person ORDER BY w)),
+g AS (SELECT *, CASE WHEN fine THEN CASE WHEN e>=1-e THEN 'eating' ELSE 'home' END ELSE coarse END AS predicted, CASE WHEN gate IS NOT NULL THEN 1 ELSE CASE WHEN direct<0.25::DOUBLE AND CASE WHEN fine THEN greatest(e,1-e) ELSE cc END>0.7::DOUBLE THEN 0.7::DOUBLE ELSE CASE WHEN fine THEN greatest(e,1-e) ELSE cc END END END AS confidence,
+ CASE WHEN gate IS NOT NULL THEN 1 WHEN fine THEN CAST(e>=0.4::DOUBLE-1e-12::DOUBLE AS INT)+CAST(1-e>=0.4::DOUBLE-1e-12::DOUBLE AS INT) ELSE CAST(pc>=0.3::DOUBLE-1e-12::DOUBLE AS INT)+CAST(ph>=0.3::DOUBLE-1e-12::DOUBLE AS INT)+CAST(pm>=0.3::DOUBLE-1e-12::DOUBLE AS INT) END AS set_size FROM f),
+d AS (SELECT *, CASE WHEN gate IS NOT NULL OR lag(predicted) OVER o IS NULL OR coalesce(confidence>=lag(confidence) OVER o+0.25::DOUBLE, false) OR lag(predicted) OVER o=predicted THEN predicted END AS hit FROM g WINDOW o AS (PARTITION BY person ORDER BY w)),
 h AS (SELECT *, last_value(hit IGNORE NULLS) OVER (PARTITION BY person ORDER BY w ROWS UNBOUNDED PRECEDING) AS published FROM d)
-SELECT person, w, CASE WHEN k%17=0 THEN 'pinned' WHEN gate IS NOT NULL THEN published WHEN set_size=0 OR confidence<0.4 THEN 'unknown' ELSE published END AS smoothed, predicted, round(CASE WHEN k%17=0 THEN 1 ELSE confidence END,6) AS confidence,
+SELECT person, w, CASE WHEN k%17=0 THEN 'pinned' WHEN gate IS NOT NULL THEN published WHEN set_size=0 OR confidence<0.4::DOUBLE THEN 'unknown' ELSE published END AS smoothed, predicted, round(CASE WHEN k%17=0 THEN 1 ELSE confidence END,6) AS confidence,
  CASE WHEN k%17=0 THEN 'override' WHEN gate IS NOT NULL THEN 'fact' ELSE 'model' END AS model_version, CASE WHEN fine AND predicted<>coarse THEN coarse END AS parent, set_size FROM h"""
 
 

@@ -234,7 +234,8 @@ def agg_state_dwell(spark, sf):
 SELECT person, binding, ws AS window_start, s AS last_state, CAST(s='playing' AS DOUBLE) AS is_playing, CAST(s='paused' AS DOUBLE) AS is_paused, CAST(s='idle' AS DOUBLE) AS is_idle
 FROM (SELECT person, binding, ws, arg_max(str,m) AS s FROM densewin WHERE role='media' GROUP BY ALL)""")
 def agg_state_one_hot(spark, sf):
-    s = A.transform_stats(transform_win(spark, sf, "media", 15), SERIES)
+    media = A.with_run_ids(A.with_positions(roles_iv(spark, sf, "media"), SERIES), SERIES)
+    s = A.transform_stats(W.to_windows(media), SERIES)
     return A.one_hot_state(s, SERIES, ["playing", "paused", "idle"])
 
 

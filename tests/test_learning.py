@@ -17,7 +17,9 @@ def world(spark):
     df = spark.range(14 * 48).select(
         F.col("id").alias("row_id"), (F.col("id") * 30).alias("minute"), bed.alias("bed"), tv.alias("tv"), ((F.xxhash64("id") % 100) / 100.0).alias("noise"), F.lit(1.0).alias("flat"),
     )
-    return df.withColumn("y", F.when(F.col("bed") == 1, "sleeping").when(F.col("tv") == 1, "movie").otherwise("home")).cache()
+    labelled = df.withColumn("y", F.when(F.col("bed") == 1, "sleeping").when(F.col("tv") == 1, "movie").otherwise("home")).cache()
+    yield labelled
+    labelled.unpersist()
 
 
 COLS = ["bed", "tv", "noise", "flat"]
