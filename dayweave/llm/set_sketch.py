@@ -64,7 +64,7 @@ def shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[n
     first = np.concatenate(([0], np.cumsum(held)))[:-1]
     n = len(word)
     total = np.zeros(n, np.uint64)
-    for j in range(size):  # a row with fewer words has one element, all its words
+    for j in range(min(size, n)):  # a row with fewer words has one element, all its words
         total[: n - j] += np.where(row[j:] == row[: n - j], word[j:] * _PLACE[j], np.uint64(0))
     span = np.minimum(held, size)
     at = np.flatnonzero(np.arange(n) - first[row] <= (held - span)[row])
@@ -113,7 +113,7 @@ def sketch(text: Column) -> Column:
 
 
 def shingle_set(text: Column) -> Column:
-    """The distinct shingle hashes of a text as a sorted array of longs."""
+    """The distinct shingle hashes of a text as an array of longs, in unsigned order."""
 
     def rows(column: pa.Array) -> pa.Array:
         values, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
@@ -233,7 +233,7 @@ def _bucket_links(percent: int):
         node, bucket, one, two, block, root, size = (table.column(c).to_numpy() for c in ("node", "bucket", "one", "two", "block", "root", "size"))
         items = table.column("items").combine_chunks()
         regs = _register_matrix(table.column("registers").combine_chunks())
-        flat, cut = items.flatten().to_numpy(), np.concatenate(([0], np.cumsum(size)))
+        flat, cut = items.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(size)))
         edges = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
         links = []
         for lo, hi in zip(edges.tolist(), np.append(edges[1:], len(node)).tolist()):
