@@ -43,7 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.special = [a.content.encode() for a in self.library.get_added_tokens_decoder().values()]
         self.spaced = spaced
         self.clear()
 
@@ -94,12 +94,21 @@ class Encoder:
         total = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.pool[np.arange(total[-1]) + np.repeat(begin - total[:-1], sizes)]
         bounds = total[np.searchsorted(row, np.arange(n + 1), side="left")]
-        if self.spaced and len(wide := wide_blanks(data)):
-            return self._whole(data, offs, ids, bounds, np.unique(np.searchsorted(offs, wide, side="right") - 1))
-        return ids, bounds
+        at = np.concatenate((self._literals(data, offs), wide_blanks(data) if self.spaced else np.zeros(0, np.int64)))
+        return self._whole(data, offs, ids, bounds, np.unique(np.searchsorted(offs, at, side="right") - 1)) if len(at) else (ids, bounds)
+
+    def _literals(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """A place in every row that spells out one of the tokenizer's added tokens."""
+        raw, found = data.tobytes(), []
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                found.append(at)
+                at = raw.find(token, int(offs[np.searchsorted(offs, at, side="right")]))
+        return np.array(found, np.int64)
 
     def _whole(self, data, offs, ids, bounds, rows):
-        """Rows with white space beyond ASCII are encoded without cuts."""
+        """Rows with white space beyond ASCII or literal added tokens are encoded without cuts."""
         raw = data.tobytes()
         fresh = self.library.encode_batch_fast([raw[offs[r] : offs[r + 1]].decode("utf-8", "replace") for r in rows], add_special_tokens=False)
         parts = [ids[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1)]

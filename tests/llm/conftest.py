@@ -31,6 +31,7 @@ def odd_rows():
         (None, "no id but some words in the text", "en", "c"),
         (None, "another text without an id", "en", None),
         (10, "### $$$ %%% &&& ||| <<< >>> ***", "en", "c"),
+        (11, "a<|endoftext|>b <|startoftext|> <|ENDOFTEXT|>\n<|endoftext|>", "en", "c"),
     ]
     return [(*r, None, "x", 3, 7, 1, "k", 5) for r in rows]
 

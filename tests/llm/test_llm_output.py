@@ -18,7 +18,6 @@ def encoded(name, texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer(name))
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
 
 
