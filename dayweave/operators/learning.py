@@ -464,79 +464,6 @@ def score_windows(model: ClassModel, rows: DataFrame, gate: Column, presence: Co
     return both.withColumn("smoothed", scoring.abstain(F.col("published"), F.col("confidence"), F.col("pred_set"), threshold)).drop("published")
 
 
-def filtered_states(rows: DataFrame, matrices: DataFrame, hazards: DataFrame) -> DataFrame:
-    """SEQ-10 · SEQ-11 · STA-27: the coarse state of every window, given the state before it.
-
-    rows: (person, w, part, gate, probs, fired); matrices: (person, part, a, b, p) with part "all" as
-    the fallback; hazards: (person, state, d, hazard). A gated window is its gate. Otherwise the
-    probabilities are multiplied by the transition row of the previous window's state, whose stay
-    decays with the length of its run, and by the markers that fired. A gap starts afresh. Each
-    stretch is one small fold; stretches are dealt over tasks. Gives (person, w, coarse,
-    coarse_confidence, probs as filtered).
-    """
-    from .runs import GRID_MIN, MAX_RUN, STAY_MAX, STAY_MIN, UNIFORM_MIX, stretches
-
-    chunked = stretches(rows, ["person"]).select("person", "chunk", "w", "part", "gate", F.to_json("probs").alias("probs"), F.to_json("fired").alias("fired"))
-    text = lambda df, *cols: df.groupBy("person").agg(F.to_json(F.collect_list(F.struct(*cols))).alias("rows"))
-    # classes squared rows per person
-    tables = text(matrices, "part", "a", "b", "p").withColumnRenamed("rows", "moves").join(text(hazards, "state", "d", "hazard").withColumnRenamed("rows", "ends"), "person", "full")
-    given = chunked.groupBy(F.col("person").alias("_p"), F.col("chunk").alias("_c")).agg(F.lit(0).alias("_")).join(tables.withColumnRenamed("person", "_p"), "_p", "left")
-
-    def fold(pdf, mats):
-        import json
-
-        import pandas as pd
-
-        move, end = {}, {}
-        for r in json.loads(mats["moves"].iloc[0] or "[]") if len(mats) else []:
-            move.setdefault(r["part"], {}).setdefault(r["a"], {})[r["b"]] = r["p"]
-        for r in json.loads(mats["ends"].iloc[0] or "[]") if len(mats) else []:
-            end[r["state"], r["d"]] = r["hazard"]
-        out, last, prev, run = [], None, None, 0
-        for r in pdf.sort_values("w").itertuples(index=False):
-            if last is None or r.w - last != GRID_MIN:
-                prev, run = None, 0
-            if isinstance(r.gate, str):
-                state, conf, probs = r.gate, 1.0, {r.gate: 1.0}
-            else:
-                probs = json.loads(r.probs)
-                if prev is not None:
-                    probs = step(probs, prev, run, move.get(r.part, move.get("all", {})), end)
-                    for m in json.loads(r.fired) if isinstance(r.fired, str) else []:
-                        probs = mark(probs, prev, m)
-                state = min(probs, key=lambda c: (-probs[c], c))
-                conf = probs[state]
-            run = run + 1 if state == prev else 1
-            prev, last = state, r.w
-            out.append((r.person, r.w, state, conf, json.dumps(probs)))
-        return pd.DataFrame(out, columns=["person", "w", "coarse", "coarse_confidence", "probs"])
-
-    def step(probs, prev, run, move, end):
-        row = move.get(prev)
-        if row is None:
-            return probs
-        h = end.get((prev, min(run, MAX_RUN)))
-        off = sum(p for b, p in row.items() if b != prev)
-        if h is not None and off > 0:
-            stay = min(max(1 - h, STAY_MIN), STAY_MAX)
-            row = {b: stay if b == prev else (1 - stay) * p / off for b, p in row.items()}
-        n = len(probs)
-        mixed = {c: p * ((1 - UNIFORM_MIX) * row.get(c, 1.0 / n) + UNIFORM_MIX / n) for c, p in probs.items()}
-        total = sum(mixed.values())
-        return {c: p / total for c, p in mixed.items()} if total > 0 else probs
-
-    def mark(probs, prev, m, boost=6.0, damp=0.3):
-        s, to = max(0.0, min(1.0, m["strength"])), m["to_state"]
-        if m.get("from_state") not in (None, prev) or to not in probs or s <= 0:
-            return probs
-        moved = {c: p * (1 + (boost - 1) * s) + 1e-6 if c == to else p * (1 - (1 - damp) * s) if c == prev else p for c, p in probs.items()}
-        total = sum(moved.values())
-        return {c: p / total for c, p in moved.items()} if total > 0 else probs
-
-    got = chunked.groupBy("person", "chunk").cogroup(given.groupBy("_p", "_c")).applyInPandas(fold, "person string, w long, coarse string, coarse_confidence double, probs string")
-    return got.withColumn("probs", F.from_json("probs", "map<string,double>"))
-
-
 def scoring_chain(rows: DataFrame, matrices: DataFrame, hazards: DataFrame, overrides: DataFrame, now: Column, threshold: float = scoring.ABSTAIN_AT) -> DataFrame:
     """ML-36: one row per published window through every stage of scoring.
 
@@ -546,6 +473,7 @@ def scoring_chain(rows: DataFrame, matrices: DataFrame, hazards: DataFrame, over
     prediction set, hysteresis, abstention, override.
     """
     from ..functions.cols import ranked_entries
+    from .chains import filtered_states
     from .runs import hysteresis
 
     masked = rows.withColumn("probs", scoring.presence_gate(F.col("probs"), F.col("presence")))

@@ -188,56 +188,6 @@ def hysteresis(preds: DataFrame, keys: list[str], k: int = 2, margin: float = 0.
     ).drop("_d")
 
 
-def stretches(rows: DataFrame, keys: list[str], per_chunk: int = 64) -> DataFrame:
-    """Adds `segment`, the runs of windows without a gap, and `chunk`, so many whole segments to a task."""
-    w = Window.partitionBy(*keys).orderBy("w")
-    new = F.coalesce(F.col("w") - F.lag("w").over(w) != GRID_MIN, F.lit(True)).cast("long")
-    run = rows.withColumn("_new", new).withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.withColumn("chunk", F.floor(F.col("segment") / per_chunk)).drop("_new")
-
-
-def viterbi_relabel(rows: DataFrame, matrix: DataFrame, keys: list[str], classes: list[str]) -> DataFrame:
-    """SEQ-13: most likely path per contiguous stretch of a key, by the transition matrix of that key.
-
-    rows: (keys, w, p_<class>); matrix: (keys, a, b, p). A pair without an entry counts as uniform.
-    """
-    n = len(classes)
-    entry = F.struct(F.concat_ws("\u0001", "a", "b").alias("k"), F.col("p").alias("v"))
-    # classes squared numbers per key travel with its rows
-    known = matrix.where(F.col("a").isin(classes) & F.col("b").isin(classes)).groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
-    cells = F.array(*[(1 - UNIFORM_MIX) * F.coalesce(F.element_at("_m", f"{a}\u0001{b}"), F.lit(1.0 / n)) + UNIFORM_MIX / n for a in classes for b in classes])
-    seg = stretches(rows, keys).join(known, keys, "left").withColumn("_prior", cells).drop("_m")
-
-    def decode(pdf):
-        import numpy as np
-        import pandas as pd
-
-        step = np.log(np.asarray(pdf["_prior"].iloc[0], dtype=float)).reshape(n, n)
-        return pd.concat([best_path(part, step) for _, part in pdf.groupby("segment")])
-
-    def best_path(pdf, step):
-        import numpy as np
-
-        pdf = pdf.sort_values("w")
-        emit = np.log(np.clip(pdf[[f"p_{c}" for c in classes]].to_numpy(dtype=float), 1e-9, None))
-        back = np.zeros(emit.shape, dtype=int)
-        score = emit[0]
-        for t in range(1, len(emit)):
-            cand = score[:, None] + step
-            back[t] = cand.argmax(axis=0)
-            score = cand.max(axis=0) + emit[t]
-        path = [int(score.argmax())]
-        for t in range(len(emit) - 1, 0, -1):
-            path.append(int(back[t][path[-1]]))
-        out = pdf[[*keys, "w"]].copy()
-        out["label"] = [classes[i] for i in reversed(path)]
-        return out
-
-    schema = ", ".join(f"{k} string" for k in keys) + ", w long, label string"
-    # whole stretches only: a long history is decoded by many tasks
-    return seg.groupBy(*keys, "chunk").applyInPandas(decode, schema)
-
-
 def published_run_length(rows: DataFrame, keys: list[str]) -> DataFrame:
     """SEQ-14: windows the state has held on a contiguous grid, counting this one."""
     w = Window.partitionBy(*keys).orderBy("w")

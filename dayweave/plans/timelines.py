@@ -9,6 +9,7 @@ from ..functions.cols import map_text, r6
 from ..operators import recipes as A
 from ..operators import runs as Q
 from ..operators import timeline as S
+from ..operators.chains import viterbi_relabel
 from ..sources import tables as T
 from .catalog import query
 from .windows_features import iv_of
@@ -368,7 +369,7 @@ def seq_viterbi(spark, sf):
     p = T.prediction_rows(spark, sf)
     slot = F.col("w") - F.col("w") % 30
     rows = p.groupBy("person", slot.alias("w")).agg(*[F.avg(F.col("probs")[c]).alias(f"p_{c}") for c in ("cooking", "movie", "home")])
-    return Q.viterbi_relabel(rows, Q.transition_matrix(tl(spark, sf), P), P, ["cooking", "movie", "home"])
+    return viterbi_relabel(rows, Q.transition_matrix(tl(spark, sf), P), P, ["cooking", "movie", "home"])
 
 
 @query("seq_published_run_length", "SEQ-14", """

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dayweave.functions import ranks, segments
 from dayweave.functions.predicates import compile_predicate, with_composites
-from dayweave.operators import insight, joins, recipes, runs, scoring, stats, timeline, windows
+from dayweave.operators import chains, insight, joins, recipes, runs, scoring, stats, timeline, windows
 
 
 def minute_rows(spark, rows):
@@ -91,7 +91,7 @@ def test_viterbi_fixes_a_blip(spark):
     p = [("a", 30 * i, 0.45 if i == 3 else 0.9, 0.55 if i == 3 else 0.1) for i in range(7)]
     df = spark.createDataFrame(p, "person string, w long, p_x double, p_y double")
     sticky_rows = spark.createDataFrame([("a", x, y, 0.95 if x == y else 0.05) for x in "xy" for y in "xy"], "person string, a string, b string, p double")
-    assert {r.label for r in runs.viterbi_relabel(df, sticky_rows, ["person"], ["x", "y"]).collect()} == {"x"}
+    assert {r.label for r in chains.viterbi_relabel(df, sticky_rows, ["person"], ["x", "y"]).collect()} == {"x"}
 
 
 def test_only_ended_runs_count(spark):
