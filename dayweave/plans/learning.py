@@ -233,23 +233,34 @@ SELECT person, w, CASE WHEN k%17=0 THEN 'pinned' WHEN gate IS NOT NULL THEN publ
  CASE WHEN k%17=0 THEN 'override' WHEN gate IS NOT NULL THEN 'fact' ELSE 'model' END AS model_version, CASE WHEN fine AND predicted<>coarse THEN coarse END AS parent, set_size FROM h"""
 
 
-@query("ml_scoring_chain", "ML-36 ML-40 ML-41 ML-42 ML-43 SEQ-10 SEQ-11 SEQ-12 STA-27", CHAIN_SQL)
-def ml_scoring_chain(spark, sf):
+def chain_rows(spark, sf):
+    """One row per person and half hour with everything the chain reads, and k for the overrides."""
     from ..functions.cols import local_ts, part_of_day
-    from ..operators import runs as Q
-    from .timelines import tl
 
     p = T.prediction_rows(spark, sf).withColumn("w", F.col("w") - F.col("w") % 30)
     last = p.groupBy("person", "w").agg(F.max_by(F.struct("probs", "k", "event_id"), "event_id").alias("r")).select("person", "w", "r.*")
     x = last.join(T.events(spark, sf).select("event_id", "value"), "event_id")
     k, e = F.col("k"), F.round(F.col("value") / (F.col("value") + 60), 6)
-    rows = materialise(x.select(
+    return materialise(x.select(
         "person", "w", part_of_day(F.hour(local_ts(F.col("w"), "UTC"))).cast("int").cast("string").alias("part"),
         F.when(k % 13 == 0, "away").alias("gate"), F.lit(None).cast("string").alias("presence"), ((k % 10) / 10.0).alias("direct"), "probs",
         F.when(k % 7 == 0, F.array(F.struct(F.lit(None).cast("string").alias("from_state"), F.lit("movie").alias("to_state"), F.lit(0.5).alias("strength")))).alias("fired"),
         F.create_map(F.lit("home"), F.create_map(F.lit("eating"), e, F.lit("home"), 1 - e)).alias("child"),
         F.create_map(F.lit("root"), F.lit(0.7), F.lit("home"), F.lit(0.6)).alias("qhat"), "k"), "chain-rows")
+
+
+def chain_tables(spark, sf):
+    """Transition matrices by part of day and duration hazards of every person."""
+    from ..operators import runs as Q
+    from .timelines import tl
+
     t = tl(spark, sf)
-    pinned = rows.where(k % 17 == 0).select("person", "w", F.lit("pinned").alias("activity"), F.col("w").alias("set_at"))
-    got = N.scoring_chain(rows, Q.daypart_matrices(t, ["person"]), Q.duration_hazard(Q.duration_histogram(t, ["person"]), ["person"]), pinned, F.lit(0))
+    return Q.daypart_matrices(t, ["person"]), Q.duration_hazard(Q.duration_histogram(t, ["person"]), ["person"])
+
+
+@query("ml_scoring_chain", "ML-36 ML-40 ML-41 ML-42 ML-43 SEQ-10 SEQ-11 SEQ-12 STA-27", CHAIN_SQL)
+def ml_scoring_chain(spark, sf):
+    rows = chain_rows(spark, sf)
+    pinned = rows.where(F.col("k") % 17 == 0).select("person", "w", F.lit("pinned").alias("activity"), F.col("w").alias("set_at"))
+    got = N.scoring_chain(rows, *chain_tables(spark, sf), pinned, F.lit(0))
     return got.select("person", "w", "smoothed", "predicted", r6("confidence").alias("confidence"), "model_version", "parent", F.size("pred_set").alias("set_size"))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, materialise, prepare
+from ..operators.chains import model_texts
+from ..session import ensure_checkpoint_dir, materialise, prepare, scratch_path
 from ..sources import tables as T
+from ..streaming import alarms, corrections
 from ..streaming import live as S
+from ..streaming.filtering import stream_filter
 from .catalog import query
+from .learning import CHAIN_SQL, chain_rows, chain_tables
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -160,3 +164,71 @@ SELECT person AS source, unnest(['silent','recovered']) AS status, unnest([p+180
 UNION ALL SELECT person, 'silent', max(minute)+180 FROM m GROUP BY person HAVING (SELECT epoch_us(max(ts) - INTERVAL 10 MINUTE)//60000000 FROM ev)-max(minute)>180""")
 def str_heartbeat(spark, sf):
     return S.run_available(S.heartbeat_monitor(stream(spark, sf), "person", 180))
+
+
+# --- clocks, corrections and the forward filter in state ----------------------------------------------
+
+
+@query("str_silence_alarm", "STR-10", "SELECT DISTINCT person AS source, 'silent' AS status FROM ev")
+def str_silence_alarm(spark, sf):
+    """All rows arrive at once and nothing after them: every source falls silent by the clock alone."""
+    people = T.events(spark, sf).select("person").distinct().count()
+    log = alarms.run_until(alarms.silence_alarm(stream(spark, sf), "person", quiet_s=3, renew_s=None), lambda df: df.count() >= people)
+    return log.select("source", "status")
+
+
+@query("str_debounce", "STR-03", """
+WITH RECURSIVE e AS (SELECT person, epoch_ms(ts) AS ms, count(*) AS c FROM ev GROUP BY ALL), wm AS (SELECT max(ms)-600000 AS w FROM e),
+f AS (SELECT person, ms, min(ms) OVER (PARTITION BY person ORDER BY ms RANGE BETWEEN 1800000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx,
+ sum(c) OVER (PARTITION BY person ORDER BY ms RANGE BETWEEN CURRENT ROW AND 1799999 FOLLOWING) AS n FROM e, wm WHERE ms < w),
+b AS (SELECT f.person, f.ms, nx, n FROM f JOIN (SELECT person, min(ms) AS ms FROM f GROUP BY person) USING (person, ms) UNION ALL SELECT f.person, f.ms, f.nx, f.n FROM b JOIN f ON f.person=b.person AND f.ms=b.nx)
+SELECT person, ms+1800000 AS at_ms, 'burst' AS reason, CAST(n AS BIGINT) AS n FROM b, wm WHERE ms+1800000<=w
+UNION ALL SELECT person, ms+1800000+21600000*unnest(range(1, (least(coalesce(nx, w), w)-ms-1800000)//21600000+1)), 'tick', 0 FROM b, wm WHERE ms+1800000<=w""")
+def str_debounce(spark, sf):
+    return S.run_available(alarms.debounce(stream(spark, sf), wait_s=1800, tick_s=21_600, late="10 minutes"))
+
+
+# the last write of every (person, binding, ts): a correction doubles each fifth number
+LAST_SQL = """w AS (SELECT person, binding, ts, num, str, write_seq FROM reading UNION ALL SELECT person, binding, ts, num*2, str, write_seq+1000000000 FROM reading WHERE write_seq%5=0),
+l AS (SELECT person, binding, ts, arg_max(struct_pack(num := num, str := str), write_seq) AS r FROM w GROUP BY ALL)"""
+
+
+def corrected_stream(spark, sf):
+    """Readings, then corrections of some of them, then a part of both once more: three deliveries, one micro-batch each."""
+    rows = T.readings(spark, sf).select("person", "binding", "ts", "num", "str", "write_seq")
+    later = rows.where("write_seq % 5 = 0").withColumns({"num": F.col("num") * 2, "write_seq": F.col("write_seq") + 1_000_000_000})
+    path = scratch_path(spark, "deliveries")
+    for i, part in enumerate((rows, later, rows.where("write_seq % 3 = 0").unionByName(later.where("write_seq % 2 = 0")))):
+        part.coalesce(1).write.parquet(f"{path}/{i}")
+    S.use_rocksdb(spark)
+    return S.file_source(spark, f"{path}/*", rows.schema, files_per_trigger=1)
+
+
+@query("str_corrected_readings", "STR-08", f"WITH {LAST_SQL} SELECT person, binding, epoch_us(ts) AS us, r.num AS num, r.str AS str FROM l")
+def str_corrected_readings(spark, sf):
+    return corrections.folded(S.run_available(corrections.corrected_readings(corrected_stream(spark, sf), keep="3650 days")))
+
+
+@query("str_corrected_windows", "STR-08 STR-01", f"""
+WITH {LAST_SQL} SELECT person, binding, epoch_us(ts)//60000000//30*30 AS window_start, count(*) AS n, round(sum(r.num),6) AS total, max(r.num) AS vmax, arg_max(r.num, ts) AS last FROM l GROUP BY ALL""")
+def str_corrected_windows(spark, sf):
+    path = scratch_path(spark, "corrected")
+    S.run_available(corrections.corrected_windows(corrected_stream(spark, sf), keep="3650 days"), sink=alarms.log_sink(path))
+    got = corrections.newest(spark.read.parquet(path), ["person", "binding", "window_start"], ["batch_id"])
+    return got.select("person", "binding", "window_start", "n", F.round("total", 6).alias("total"), "vmax", "last")
+
+
+def flat_windows(rows):
+    """Windows of the scoring chain as a stream delivers them."""
+    return rows.select("person", F.timestamp_seconds(F.col("w") * 60).alias("ts"), "w", "part", "gate", F.to_json("probs").alias("probs"), F.to_json("fired").alias("fired"))
+
+
+@query("str_forward_filter", "STR-06 SEQ-10 SEQ-11", CHAIN_SQL[: CHAIN_SQL.index("f AS (SELECT ch.person")].rstrip().rstrip(",") + """
+SELECT person, w, coarse, round(CASE coarse WHEN 'cooking' THEN pc WHEN 'home' THEN ph WHEN 'movie' THEN pm ELSE 1 END, 6) AS confidence FROM ch WHERE w < (SELECT max(w)-10 FROM x)""")
+def str_forward_filter(spark, sf):
+    models = materialise(model_texts(*chain_tables(spark, sf)), "models")
+    windows, path = flat_windows(chain_rows(spark, sf)), scratch_path(spark, "windows")
+    windows.write.parquet(path)
+    S.use_rocksdb(spark)
+    got = S.run_available(stream_filter(S.file_source(spark, path, windows.schema), models))
+    return got.select("person", "w", "coarse", F.round("coarse_confidence", 6).alias("confidence"))

@@ -323,10 +323,13 @@ def scorer(score: Callable[[DataFrame], DataFrame], path: str) -> Callable[[Data
     return state_sink(path, score)
 
 
-def run_available(stream: DataFrame, mode: str = "append", sink: Callable | None = None) -> DataFrame | None:
-    """Drain what is there, into a table in the shared folder; the result is read back from it."""
+def run_available(stream: DataFrame, mode: str = "append", sink: Callable | None = None, base: str | None = None) -> DataFrame | None:
+    """Drain what is there, into a table in the shared folder; the result is read back from it.
+
+    base: folder of an earlier run of the same stream, whose checkpoint it goes on from.
+    """
     spark = stream.sparkSession
-    base = f"{ensure_checkpoint_dir(spark)}/live-{uuid.uuid4().hex}"
+    base = base or f"{ensure_checkpoint_dir(spark)}/live-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
     if sink is not None:
         writer.foreachBatch(sink).start().awaitTermination()
