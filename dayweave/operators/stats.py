@@ -347,60 +347,34 @@ def co_activation(changes: DataFrame, frame: DataFrame, home: str = "home", sens
 def sensor_groups(corr: DataFrame, threshold: float = 0.7, min_sensors: int = 4) -> DataFrame:
     """STA-22: average linkage on distance 1 − r, cut at the threshold; group numbers per home.
 
-    Two groups merge only if some pair between them is nearer than the threshold, so merges stay
-    inside the components of near pairs: those are found first, and each is linked on its own.
-    A pair absent from corr has distance 1. Groups are numbered by their smallest sensor.
+    A round merges all pairs of groups that are each other's nearest, as average linkage never
+    brings a merged group nearer to a third one than the nearer of its halves was; the merges are those
+    of taking the nearest pair one by one. Between two groups the sum of r over their pairs is kept, and the
+    mean follows from the sizes; a pair absent from corr counts with r = 0. Ties go to the
+    smaller names. No group or home is brought into one task. Groups are numbered by their smallest sensor.
     """
-    from ..functions.components import components
+    from ..session import materialise
 
-    node = lambda s: F.concat_ws("\u0001", "home", s)
-    a, b = node("a"), node("b")
-    near = corr.where(1 - F.col("r") < threshold).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    roots = components(near)
-    part = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
-    own = corr.withColumns({"_a": a, "_b": b}).join(part.select(F.col("node").alias("_a"), F.col("root").alias("part")), "_a")
-    inside = own.join(part.select(F.col("node").alias("_b"), F.col("root").alias("part")), ["_b", "part"]).select("home", "part", "a", "b", "r")
-
-    def link(pdf):
-        import numpy as np
-        import pandas as pd
-
-        names = sorted(set(pdf["a"]) | set(pdf["b"]))
-        pos = {s: i for i, s in enumerate(names)}
-        d = np.ones((len(names), len(names)))
-        i, j = pdf["a"].map(pos).to_numpy(), pdf["b"].map(pos).to_numpy()
-        d[i, j] = d[j, i] = np.clip(1 - pdf["r"].to_numpy(), 0, 2)
-        np.fill_diagonal(d, np.inf)
-        size, member = np.ones(len(names)), [[k] for k in range(len(names))]
-        alive = np.ones(len(names), dtype=bool)
-        # nearest partner of every row, so that a merge costs one pass over the rows
-        best = d.argmin(axis=1)
-        while alive.sum() > 1:
-            at = d[np.arange(len(names)), best]
-            i = int(at.argmin())
-            if at[i] >= threshold:
-                break
-            i, j = sorted((i, int(best[i])))
-            merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-            d[i], d[:, i] = merged, merged
-            d[i, i] = np.inf
-            d[j], d[:, j] = np.inf, np.inf
-            member[i] += member[j]
-            size[i] += size[j]
-            alive[j] = False
-            stale = np.flatnonzero((best == i) | (best == j) | (d[:, i] < d[np.arange(len(names)), best]))
-            for k in {*stale.tolist(), i, j}:
-                best[k] = int(d[k].argmin())
-        out = [(pdf["home"].iloc[0], names[k], min(names[m] for m in member[root])) for root in np.flatnonzero(alive) for k in member[root]]
-        return pd.DataFrame(out, columns=["home", "sensor", "lead"])
-
-    linked = inside.groupBy("home", "part").applyInPandas(link, "home string, sensor string, lead string")
     every = corr.select("home", F.explode(F.array("a", "b")).alias("sensor")).distinct()
     large = every.groupBy("home").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_sensors).select("home")
-    named = every.join(large, "home", "left_semi").join(linked, ["home", "sensor"], "left").withColumn("lead", F.coalesce("lead", "sensor"))
+    member = materialise(every.join(large, "home", "left_semi").withColumn("lead", F.col("sensor")), "sensors")
+    sums = corr.join(large, "home", "left_semi").where("r <> 0 and a <> b").groupBy("home", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.sum("r").alias("s"))
+    links = materialise(sums, "linkage")
+    while True:
+        size = member.groupBy("home", "lead").agg(F.count(F.lit(1)).alias("n"))
+        near = links.join(size.withColumnsRenamed({"lead": "lo", "n": "n_lo"}), ["home", "lo"]).join(size.withColumnsRenamed({"lead": "hi", "n": "n_hi"}), ["home", "hi"])
+        near = near.withColumn("d", 1 - F.col("s") / (F.col("n_lo") * F.col("n_hi"))).where(F.col("d") < threshold)
+        best = near.select("home", F.explode(F.array("lo", "hi")).alias("lead"), F.struct("d", "lo", "hi").alias("p")).groupBy("home", "lead").agg(F.min("p").alias("p"))
+        pairs = materialise(best.groupBy("home", "p.lo", "p.hi").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("home", F.col("hi").alias("old"), F.col("lo").alias("new")), "merges")
+        if not pairs.head(1):
+            break
+        moved = lambda df, c: df.join(pairs.withColumnRenamed("old", c), ["home", c], "left").withColumn(c, F.coalesce("new", c)).drop("new")
+        member = materialise(moved(member, "lead"), "sensors")
+        both = moved(moved(links, "lo"), "hi").where("lo <> hi")
+        links = materialise(both.groupBy("home", F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).agg(F.sum("s").alias("s")), "linkage")
     # one row per group
-    number = named.select("home", "lead").distinct().withColumn("group_id", (F.row_number().over(Window.partitionBy("home").orderBy("lead")) - 1).cast("long"))
-    return named.join(number, ["home", "lead"]).select("home", "sensor", "group_id")
+    number = member.select("home", "lead").distinct().withColumn("group_id", (F.row_number().over(Window.partitionBy("home").orderBy("lead")) - 1).cast("long"))
+    return member.join(number, ["home", "lead"]).select("home", "sensor", "group_id")
 
 
 def _lagged_products(act: DataFrame, max_lag: int) -> DataFrame:

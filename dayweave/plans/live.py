@@ -178,7 +178,7 @@ def str_silence_alarm(spark, sf):
 
 
 @query("str_debounce", "STR-03", """
-WITH RECURSIVE e AS (SELECT person, epoch_ms(ts) AS ms, count(*) AS c FROM ev GROUP BY ALL), wm AS (SELECT max(ms)-600000 AS w FROM e),
+WITH RECURSIVE e AS (SELECT person, epoch_us(ts)//1000 AS ms, count(*) AS c FROM ev GROUP BY ALL), wm AS (SELECT max(ms)-600000 AS w FROM e),
 f AS (SELECT person, ms, min(ms) OVER (PARTITION BY person ORDER BY ms RANGE BETWEEN 1800000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx,
  sum(c) OVER (PARTITION BY person ORDER BY ms RANGE BETWEEN CURRENT ROW AND 1799999 FOLLOWING) AS n FROM e, wm WHERE ms < w),
 b AS (SELECT f.person, f.ms, nx, n FROM f JOIN (SELECT person, min(ms) AS ms FROM f GROUP BY person) USING (person, ms) UNION ALL SELECT f.person, f.ms, f.nx, f.n FROM b JOIN f ON f.person=b.person AND f.ms=b.nx)

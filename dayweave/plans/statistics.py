@@ -235,7 +235,20 @@ def sta_co_activation(spark, sf):
     return X.co_activation(*sensor_changes(spark, sf)).withColumn("r", r6("r"))
 
 
-@query("sta_sensor_groups", "STA-22")
+# the nearest two groups of a home are merged one by one; sums of r over the pairs of two groups
+LINKAGE_SQL = """
+WITH RECURSIVE c AS MATERIALIZED (SELECT * FROM coact), big AS (SELECT home FROM (SELECT home, a AS s FROM c UNION SELECT home, b FROM c) GROUP BY home HAVING count(*)>=4),
+st AS (SELECT home, sensor, sensor AS lead, 0 AS i FROM (SELECT home, a AS sensor FROM c UNION SELECT home, b FROM c) JOIN big USING (home)
+ UNION ALL SELECT s.home, s.sensor, CASE WHEN s.lead=m.hi THEN m.lo ELSE s.lead END, s.i+1 FROM st s JOIN (
+  SELECT home, arg_min(lo, struct_pack(d := d, lo := lo, hi := hi)) AS lo, arg_min(hi, struct_pack(d := d, lo := lo, hi := hi)) AS hi FROM (
+   SELECT home, lo, hi, 1-s/(x.n*y.n) AS d FROM (
+    SELECT c.home, least(p.lead, q.lead) AS lo, greatest(p.lead, q.lead) AS hi, sum(r) AS s FROM c JOIN st p ON p.home=c.home AND p.sensor=c.a JOIN st q ON q.home=c.home AND q.sensor=c.b WHERE p.lead<>q.lead AND r<>0 GROUP BY ALL)
+   JOIN (SELECT home, lead, count(*) AS n FROM st GROUP BY ALL) x USING (home) JOIN (SELECT home, lead, count(*) AS n FROM st GROUP BY ALL) y USING (home) WHERE x.lead=lo AND y.lead=hi) WHERE d<0.97 GROUP BY home) m USING (home)),
+f AS (SELECT home, sensor, arg_max(lead, i) AS lead FROM st GROUP BY ALL)
+SELECT home, sensor, dense_rank() OVER (PARTITION BY home ORDER BY lead)-1 AS group_id FROM f"""
+
+
+@query("sta_sensor_groups", "STA-22", LINKAGE_SQL)
 def sta_sensor_groups(spark, sf):
     return X.sensor_groups(X.co_activation(*sensor_changes(spark, sf)), threshold=0.97)
 
