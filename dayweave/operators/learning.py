@@ -10,19 +10,20 @@ import hashlib
 from functools import reduce
 
 from pyspark.ml import Model, Pipeline, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import PCA, QuantileDiscretizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scoring, stats
+from .boosting import SoftmaxBooster
 
 # Fixed values of the estimators.
 FOREST = {"numTrees": 300, "minInstancesPerNode": 5, "maxDepth": 20, "seed": 42}
-BOOSTING = {"maxIter": 200, "stepSize": 0.05, "maxDepth": 3, "seed": 42}
+BOOSTING = {"maxIter": 200, "stepSize": 0.05, "maxDepth": 3}
 MIN_CHILD_WINDOWS, MIN_CHILD_FINE = 60, 20
 TEMPORAL = ["hour_of_day", "day_of_week", "is_weekend", "time_bucket"]
 
@@ -46,19 +47,13 @@ def classes_of(df: DataFrame, label: str = "y") -> list[str]:
 class ClassModel:
     """A fitted classifier with its classes and columns; scoring yields p_<class> columns."""
 
-    def __init__(self, model: Model, classes: list[str], columns: list[str], margin: bool = False):
-        self.model, self.classes, self.columns, self.margin = model, classes, columns, margin
+    def __init__(self, model: Model, classes: list[str], columns: list[str]):
+        self.model, self.classes, self.columns = model, classes, columns
 
     def score(self, df: DataFrame) -> DataFrame:
         ready = df if "features" in df.columns else align(df, self.columns)
         got = self.model.transform(ready)
-        if self.margin:  # one-vs-rest gives margins: logistic link, then normalised
-            raw = F.transform(vector_to_array("rawPrediction"), lambda v: 1 / (1 + F.exp(-2 * v)))
-            total = F.aggregate(raw, F.lit(0.0), lambda a, v: a + v)
-            probs = F.transform(raw, lambda v: v / total)
-        else:
-            probs = vector_to_array("probability")
-        wide = got.withColumn("_p", probs).withColumns({f"p_{c}": F.col("_p")[i] for i, c in enumerate(self.classes)})
+        wide = got.withColumn("_p", vector_to_array("probability")).withColumns({f"p_{c}": F.col("_p")[i] for i, c in enumerate(self.classes)})
         return wide.drop("_p", "rawPrediction", "probability", "prediction", "label")
 
 
@@ -71,12 +66,12 @@ def fit_classifier(df: DataFrame, columns: list[str], family: str = "random_fore
     if family == "random_forest":
         est = RandomForestClassifier(**{**FOREST, **params}, **extra)
     elif family == "boosting":
-        est = OneVsRest(classifier=GBTClassifier(**{**BOOSTING, **params}), parallelism=len(classes), **extra)
+        est = SoftmaxBooster(numClasses=len(classes), **{**BOOSTING, **params}, **extra)
     else:
         est = LogisticRegression(family="multinomial", **params, **extra)
     stages = [embed, est.setFeaturesCol(embed.getOutputCol())] if embed is not None else [est]
     model = Pipeline(stages=stages).fit(ready)
-    return ClassModel(model, classes, columns, margin=family == "boosting")
+    return ClassModel(model, classes, columns)
 
 
 def logistic_importance(model: ClassModel) -> dict[str, float]:
@@ -124,18 +119,52 @@ def draw_params(i: int, seed: int = 42) -> dict:
     return {"numTrees": pick(0, [100, 200, 300]), "maxDepth": pick(1, [6, 10, 20]), "minInstancesPerNode": pick(2, [2, 5, 10]), "subsamplingRate": pick(3, [0.7, 0.85, 1.0])}
 
 
-def search(df: DataFrame, columns: list[str], folds: list[dict], n_draws: int = 15, trees: int | None = None) -> tuple[dict, float]:
-    """ML-06: seeded random draws judged by macro F1 over the rolling folds."""
-    classes, best = classes_of(df), None
-    for i in range(n_draws):
-        params = draw_params(i)
-        if trees:
-            params["numTrees"] = trees
-        scored, _ = pooled_scores(df, columns, folds, classes, **params)
-        f1 = macro_f1(scored).first()[0]
-        if best is None or f1 > best[1]:
-            best = (params, f1)
-    return best
+def binned_folds(df: DataFrame, columns: list[str], folds: list[dict], classes: list[str], bins: int = 32) -> list[tuple[DataFrame, DataFrame]]:
+    """Training and validation rows of every fold, their columns cut into bins of the training rows once and written.
+
+    A tree looks for splits between bins of its columns in any case; here all fits of a search share them.
+    """
+    from ..session import materialise
+
+    named = [f"{c}_bin" for c in columns]
+    out = []
+    for f in folds:
+        train, val = (align(part, columns).select("y", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in part.columns else F.lit(0.0).alias(c) for c in columns]) for part in fold_parts(df, f))
+        cut = QuantileDiscretizer(numBuckets=bins, inputCols=columns, outputCols=named, relativeError=0.001).fit(train)
+        ready = lambda part: index_labels(align(cut.transform(part).drop(*columns), named), classes).where(F.col("label").isNotNull()).select("y", "label", "features")
+        out.append((materialise(ready(train), "fold-train"), materialise(ready(val), "fold-val")))
+    return out
+
+
+def search(df: DataFrame, columns: list[str], folds: list[dict], n_draws: int = 15, trees: int | None = None, parallelism: int = 4) -> tuple[dict, float]:
+    """ML-06: seeded random draws judged by macro F1 over the rolling folds.
+
+    `parallelism` draws are fitted at the same time on the binned folds; Spark shares its executors among
+    them. Ties go to the earlier draw. trees: overrides the drawn number.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+
+    classes = classes_of(df)
+    parts = binned_folds(df, columns, folds, classes)
+
+    def judge(i: int) -> tuple[dict, float]:
+        params = draw_params(i) | ({"numTrees": trees} if trees else {})
+        scored = []
+        for train, val in parts:
+            seen = classes_of(train)
+            model = ClassModel(Pipeline(stages=[RandomForestClassifier(**{**FOREST, **params})]).fit(train), classes, [])
+            scored.append(model.score(val.where(F.col("y").isin(seen))))
+        pooled = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scored)
+        return params, macro_f1(stats.with_prediction(pooled, classes)).first()[0]
+
+    pool = ThreadPool(parallelism)
+    try:
+        got = pool.map(inheritable_thread_target(df.sparkSession)(judge), range(n_draws))
+    finally:
+        pool.close()
+    return max(got, key=lambda r: r[1])
 
 
 def train_nodes(df: DataFrame, columns: list[str], parents: DataFrame, min_windows: int = MIN_CHILD_WINDOWS, min_fine: int = MIN_CHILD_FINE, **kw) -> dict[str, ClassModel]:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.cols import r6
 from ..operators import learning as N
 from ..operators import stats as X
+from ..operators.attribution import path_attribution
+from ..operators.density import density_tree
 from ..session import materialise
 from ..sources import tables as T
 from .catalog import query
@@ -90,8 +92,9 @@ def ml_pooled_scores(spark, sf):
 def ml_hyper_search(spark, sf):
     r = materialise(rows(spark, sf), "learning-rows")
     folds = N.folds_of(r, r.agg(F.max("minute")).first()[0] + 1, 1, 3)
-    params, f1 = N.search(r, COLS, folds, trees=20)
-    return r.groupBy("y").agg(F.count("*").alias("n")).withColumns({"max_depth": F.lit(params["maxDepth"]), "macro_f1": F.lit(round(f1, 6))})
+    params, f1 = N.search(r, COLS, folds)
+    chosen = {"num_trees": "numTrees", "max_depth": "maxDepth", "min_rows": "minInstancesPerNode", "sampling": "subsamplingRate"}
+    return r.groupBy("y").agg(F.count("*").alias("n")).withColumns({c: F.lit(params[k]) for c, k in chosen.items()} | {"macro_f1": F.lit(round(f1, 6))})
 
 
 def parents(df):
@@ -101,7 +104,7 @@ def parents(df):
 @query("ml_node_training", "ML-13 ML-40")
 def ml_node_training(spark, sf):
     train, val = split(spark, sf)
-    models = N.train_nodes(train, COLS, parents(train), 20, 10)
+    models = N.train_nodes(train, COLS, parents(train))
     root = models["root"].score(val).select("row_id", "p_home", "p_l2")
     child = models["home"].score(val).select("row_id", F.lit("home").alias("node"), F.col("p_l0").alias("q_l0"), F.col("p_l1").alias("q_l1"))
     got = N.top_down(root, child, ["row_id"], ["home", "l2"], ["l0", "l1"])
@@ -140,6 +143,15 @@ def ml_row_attribution(spark, sf):
     return N.ablation(N.fit_classifier(train, COLS), val, "row_id").select("row_id", "feature", F.col("weight").between(-1, 1).alias("bounded"))
 
 
+@query("ml_path_attribution", "ML-19", "SELECT vec_id AS row_id, CAST(64 AS INTEGER) AS columns, 0.0::DOUBLE AS gap FROM embeddings WHERE vec_id%4=0")
+def ml_path_attribution(spark, sf):
+    """The weights of a row's columns and the mean of the roots make up its probability."""
+    train, val = split(spark, sf)
+    got = path_attribution(N.fit_classifier(train, COLS), val, "row_id")
+    whole = F.aggregate("weights", F.col("base"), lambda a, v: a + v)
+    return got.select("row_id", F.size("weights").alias("columns"), r6(F.abs(whole - F.col("confidence"))).alias("gap"))
+
+
 @query("ml_standardise", "ML-28", "SELECT vec_id AS row_id, " + ", ".join(f"round((embedding[{i + 1}]-avg(CAST(embedding[{i + 1}] AS DOUBLE)) OVER ())/stddev_samp(CAST(embedding[{i + 1}] AS DOUBLE)) OVER (),5) AS z{i}" for i in range(64)) + " FROM embeddings")
 def ml_standardise(spark, sf):
     from pyspark.ml.functions import vector_to_array
@@ -169,6 +181,14 @@ def ml_density_clusters(spark, sf):
     return clustered(spark, sf).select("row_id", "cluster")
 
 
+@query("ml_density_tree", "ML-30")
+def ml_density_tree(spark, sf):
+    """Clusters of every person's own rows, of at least a fortieth of them."""
+    z, kept = N.standardise(rows(spark, sf), COLS)
+    red, _ = N.reduce_dims(z, len(kept))
+    return density_tree(red, "row_id", "person").select("person", "row_id", "cluster")
+
+
 @query("ml_mixture_rescue", "ML-31")
 def ml_mixture_rescue(spark, sf):
     return N.mixture_rescue(clustered(spark, sf), 20).select("row_id", "cluster", "rescued")
