@@ -5,6 +5,7 @@ of label and probability. Columns are cut into bins once. For a level of the tre
 gradients, curvatures and weights of its rows by class, node, column and bin; the sums are what travels, and
 their number depends on the trees, not on the rows. The leaves follow from the sums of the last level, so a
 round takes `maxDepth` passes. Scores are written every `keep` rounds, so a pass adds few trees to them.
+A table counted to have at most `fewRows` rows is not worth passes: one task does all rounds, by the same functions.
 
 Estimator and model are stages of a pipeline and can be saved and loaded; the trees are a parameter of the model.
 """
@@ -68,11 +69,12 @@ class SoftmaxBooster(Estimator, HasFeaturesCol, HasLabelCol, HasWeightCol, HasMa
     maxBins = Param(Params._dummy(), "maxBins", "bins of a column", TypeConverters.toInt)
     numClasses = Param(Params._dummy(), "numClasses", "number of classes", TypeConverters.toInt)
     keep = Param(Params._dummy(), "keep", "rounds between written scores", TypeConverters.toInt)
+    fewRows = Param(Params._dummy(), "fewRows", "rows up to which one task does all rounds", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, numClasses=2, maxIter=200, stepSize=0.05, maxDepth=3, maxBins=32, keep=25, featuresCol="features", labelCol="label", weightCol=None):
+    def __init__(self, *, numClasses=2, maxIter=200, stepSize=0.05, maxDepth=3, maxBins=32, keep=25, fewRows=20_000, featuresCol="features", labelCol="label", weightCol=None):
         super().__init__()
-        self._setDefault(numClasses=2, maxIter=200, stepSize=0.05, maxDepth=3, maxBins=32, keep=25, featuresCol="features", labelCol="label")
+        self._setDefault(numClasses=2, maxIter=200, stepSize=0.05, maxDepth=3, maxBins=32, keep=25, fewRows=20_000, featuresCol="features", labelCol="label")
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def setFeaturesCol(self, value):
@@ -93,10 +95,15 @@ class SoftmaxBooster(Estimator, HasFeaturesCol, HasLabelCol, HasWeightCol, HasMa
         now = materialise(rows.select(cut(F.col("x")).alias("x"), "y", "w", F.array(*map(F.lit, start)).alias("scores")), "boosting-bins")
         rounds: list[list[list[dict]]] = []
         fresh: list[list[list[dict]]] = []
-        for turn in range(get("maxIter") if width and total else 0):
+        turns = get("maxIter") if width and total else 0
+        if turns and now.limit(get("fewRows") + 1).count() <= get("fewRows"):
+            one = now.groupBy().applyInArrow(_whole(classes, depth, turns, rate, edges), "trees string")
+            rounds, turns = json.loads(one.first().trees), 0
+        for _ in range(turns):
             trees: list[list[dict]] = [[{}] for _ in range(classes)]
             for level in range(depth):
-                if not _split(trees, level, now.mapInArrow(_histograms(fresh, trees, classes, level), "k int, node int, col int, bin int, g double, h double, n double"), edges, rate, level == depth - 1):
+                sums = now.mapInArrow(_histograms(fresh, trees, level), "k int, node int, col int, bin int, g double, h double, n double")
+                if not split_nodes(trees, collected(sums, width), edges, rate, level == depth - 1):
                     break
             rounds.append(trees)
             fresh.append(trees)
@@ -120,64 +127,102 @@ def _bins(column: pa.Array, edges: list[list[float]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel().astype(np.int32)))
 
 
-def _histograms(fresh, trees, classes: int, level: int):
+def level_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, scores: np.ndarray, trees: list[list[dict]], level: int) -> dict[tuple[int, int], np.ndarray]:
+    """Gradients, curvatures and weights by (class, open node): an array (3, columns, 256 bins)."""
+    sums, p, width = {}, softmax(scores), x.shape[1]
+    for k, tree in enumerate(trees):
+        r = (y == k) - p[:, k]
+        at = leaf_of(tree, x, True)
+        for node in np.unique(at).tolist():
+            if "open" in tree[node] or level == 0:
+                own = np.flatnonzero(at == node)
+                place = (x[own] + np.arange(width) * 256).ravel()
+                parts = [np.bincount(place, np.repeat(v[own], width), width * 256) for v in (w * r, w * np.abs(r) * (1 - np.abs(r)), w)]
+                sums[k, node] = np.stack(parts).reshape(3, width, 256)
+    return sums
+
+
+def _histograms(fresh, trees, level: int):
+    """The sums of a task as rows."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            x, y, w = _matrix(batch.column(0), int), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            p = softmax(add_trees(_matrix(batch.column(3), float).copy(), x, fresh, True))
-            width = x.shape[1]
-            for k in range(classes):
-                r = (y == k) - p[:, k]
-                at = leaf_of(trees[k], x, True)
-                for node in np.unique(at).tolist():
-                    if "open" in trees[k][node] or level == 0:
-                        own = np.flatnonzero(at == node)
-                        place = x[own] + np.arange(width) * 256
-                        stacked = np.stack([np.bincount(place.ravel(), np.repeat(v[own], width), width * 256) for v in (w * r, w * np.abs(r) * (1 - np.abs(r)), w)])
-                        sums[k, node] = sums.get((k, node), 0) + stacked
-        out = []
-        for (k, node), s in sorted(sums.items()):
-            at = np.flatnonzero(s[2])
-            out += [(k, node, a // 256, a % 256, *s[:, a].tolist()) for a in at.tolist()]
-        names = ["k", "node", "col", "bin", "g", "h", "n"]
+            x, scores = _matrix(batch.column(0), int), _matrix(batch.column(3), float).copy()
+            for at, part in level_sums(x, batch.column(1).to_numpy(), batch.column(2).to_numpy(), add_trees(scores, x, fresh, True), trees, level).items():
+                sums[at] = sums.get(at, 0) + part
+        parts = []
+        for (k, node), part in sorted(sums.items()):
+            col, at = np.nonzero(part[2])
+            parts.append([np.full(len(col), k), np.full(len(col), node), col, at, *part[:, col, at]])
+        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0)] * 7
         kinds = [pa.int32()] * 4 + [pa.float64()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t, safe=False) for c, t in zip(columns, kinds)], names=["k", "node", "col", "bin", "g", "h", "n"])
 
     return rows
 
 
-def _split(trees: list[list[dict]], level: int, sums: DataFrame, edges: list[list[float]], rate: float, last: bool) -> bool:
+def collected(rows: DataFrame, width: int) -> dict[tuple[int, int], np.ndarray]:
+    """The sums over all tasks; their number is that of open nodes times columns times bins."""
+    got = rows.groupBy("k", "node", "col", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]).toArrow()
+    k, node, col, at, *values = (got.column(c).to_numpy() for c in ("k", "node", "col", "bin", "g", "h", "n"))
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for key in sorted(set(zip(k.tolist(), node.tolist()))):
+        own = (k == key[0]) & (node == key[1])
+        sums[key] = np.zeros((3, width, 256))
+        sums[key][:, col[own], at[own]] = [v[own] for v in values]
+    return sums
+
+
+def split_nodes(trees: list[list[dict]], sums: dict[tuple[int, int], np.ndarray], edges: list[list[float]], rate: float, last: bool) -> bool:
     """Splits the open nodes by the sums over all rows; True if a node stays open for the next level."""
-    got = sums.groupBy("k", "node", "col", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]).toPandas()
     classes, more = len(trees), False
 
     def value(g: float, h: float) -> float:
-        return rate * (classes - 1) / classes * g / h if abs(h) > 1e-150 else 0.0
+        return float(rate * (classes - 1) / classes * g / h) if abs(h) > 1e-150 else 0.0
 
-    for (k, node), part in got.groupby(["k", "node"]):
-        tree, best = trees[k], None
-        g, h, n = (part.loc[part["col"] == part["col"].iloc[0], c].sum() for c in ("g", "h", "n"))
+    for (k, node), part in sums.items():
+        tree = trees[k]
         tree[node].pop("open", None)
-        for col, own in part.groupby("col"):
-            own = own.sort_values("bin")
-            cg, ch, cn = (own[c].cumsum().to_numpy()[:-1] for c in ("g", "h", "n"))
-            if not len(cg):
-                continue
-            gain = cg**2 / cn + (g - cg) ** 2 / (n - cn) - g**2 / n
-            top = int(np.argmax(np.round(gain, 10)))
-            if best is None or round(gain[top], 10) > best[0]:
-                best = (round(gain[top], 10), int(col), int(own["bin"].iloc[top]), (cg[top], ch[top]), (g - cg[top], h - ch[top]))
-        if best is None or best[0] <= LEAST_GAIN * n:
+        g, h, n = part[:, 0].sum(axis=1)
+        left = part.cumsum(axis=2)
+        # a split lies after a bin with rows, but for the last such bin
+        held = part[2] > 0
+        open_ = held & (np.cumsum(held[:, ::-1], axis=1)[:, ::-1] > 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = left[0] ** 2 / left[2] + (g - left[0]) ** 2 / (n - left[2]) - g**2 / n
+        gain = np.where(open_, np.round(gain, 10), -np.inf)
+        col, at = np.unravel_index(int(gain.argmax()), gain.shape)
+        if gain[col, at] <= LEAST_GAIN * n:
             tree[node]["value"] = value(g, h)
             continue
-        tree[node] |= {"column": best[1], "bin": best[2], "edge": edges[best[1]][best[2]], "left": len(tree)}
-        for side in best[3:]:
+        gl, hl, _ = left[:, col, at]
+        tree[node] |= {"column": int(col), "bin": int(at), "edge": edges[col][at], "left": len(tree)}
+        for side in ((gl, hl), (g - gl, h - hl)):
             tree.append({"value": value(*side)} if last else {"value": value(*side), "open": True})
             more |= not last
     return more
 
 
+def _whole(classes: int, depth: int, turns: int, rate: float, edges: list[list[float]]):
+    """All rounds over one table of few rows, by the same sums and splits."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        x, scores = (_matrix(table.column(c).combine_chunks(), t) for c, t in (("x", int), ("scores", float)))
+        y, w, rounds = table.column("y").to_numpy(), table.column("w").to_numpy(), []
+        for _ in range(turns):
+            trees: list[list[dict]] = [[{}] for _ in range(classes)]
+            for level in range(depth):
+                if not split_nodes(trees, level_sums(x, y, w, scores, trees, level), edges, rate, level == depth - 1):
+                    break
+            rounds.append(trees)
+            scores = add_trees(scores.copy(), x, [trees], True)
+        return pa.table({"trees": [json.dumps(rounds)]})
+
+    return rows
+
+
 def _moved(fresh):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

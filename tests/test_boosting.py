@@ -63,11 +63,11 @@ def log_loss(scores, y, w):
     return -(w * np.log((e / e.sum(1, keepdims=True))[np.arange(len(y)), y])).sum() / w.sum()
 
 
-@pytest.mark.parametrize("depth, keep", [(1, 25), (3, 2)])
-def test_boosting_equals_plain_loops(spark, depth, keep):
+@pytest.mark.parametrize("depth, keep, few", [(1, 25, 0), (3, 2, 0), (3, 25, 1000)])
+def test_boosting_equals_plain_loops(spark, depth, keep, few):
     x, y, w = data()
     df = frame(spark, x, y, w)
-    model = SoftmaxBooster(numClasses=3, maxIter=5, stepSize=0.3, maxDepth=depth, maxBins=250, keep=keep, weightCol="weight").fit(df)
+    model = SoftmaxBooster(numClasses=3, maxIter=5, stepSize=0.3, maxDepth=depth, maxBins=250, keep=keep, fewRows=few, weightCol="weight").fit(df)
     got = {r.id: r.p for r in model.transform(df).select("id", vector_to_array("probability").alias("p")).collect()}
     want = plain(x, y, w, 5, 0.3, depth, 3)
     e = np.exp(want[-1] - want[-1].max(1, keepdims=True))
