@@ -9,13 +9,13 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
-from pyspark.ml import Model, Pipeline, Transformer
+from pyspark.ml import Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, QuantileDiscretizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scoring, stats
@@ -56,6 +56,17 @@ class ClassModel:
         wide = got.withColumn("_p", vector_to_array("probability")).withColumns({f"p_{c}": F.col("_p")[i] for i, c in enumerate(self.classes)})
         return wide.drop("_p", "rawPrediction", "probability", "prediction", "label")
 
+    def save(self, path: str) -> None:
+        """Writes the fitted pipeline with its classes and columns to a new folder of shared storage."""
+        self.model.write().save(f"{path}/pipeline")
+        spark = SparkSession.active()
+        spark.createDataFrame([(self.classes, self.columns)], "classes array<string>, columns array<string>").coalesce(1).write.parquet(f"{path}/names")
+
+    @classmethod
+    def load(cls, path: str) -> ClassModel:
+        names = SparkSession.active().read.parquet(f"{path}/names").first()
+        return cls(PipelineModel.load(f"{path}/pipeline"), list(names.classes), list(names.columns))
+
 
 def fit_classifier(df: DataFrame, columns: list[str], family: str = "random_forest", label: str = "y", weight: str | None = None,
                    embed: Transformer | None = None, **params) -> ClassModel:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+from typing import NamedTuple
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -397,6 +402,39 @@ def impute(df: DataFrame, bindings: list[tuple[str, str]], keys: list[str]) -> D
     return out.fillna(0.0, subset=rest)
 
 
+class UserRecipe(NamedTuple):
+    """A feature of one role, computed by a function of a window's values and the minutes they held."""
+
+    role: str
+    suffix: str
+    fn: Callable[[pd.Series, pd.Series], float]
+    absence: float = 0.0
+
+
+def user_recipe(role: str, suffix: str, absence: float = 0.0) -> Callable[[Callable[[pd.Series, pd.Series], float]], UserRecipe]:
+    """Decorator: makes a recipe of a function (values, minutes) → number, for `build_features(recipes=…)`."""
+    if role not in RECIPES:
+        raise ValueError(f"unknown role {role}")
+    return lambda fn: UserRecipe(role, suffix, fn, absence)
+
+
+def user_features(win: DataFrame, keys: list[str], recipes: list[UserRecipe]) -> DataFrame:
+    """(keys, window_start, feature, value) by grouped Arrow aggregation; a group is a series' intervals in one window."""
+
+    def aggregate(fn):
+        def value(num: pd.Series, minutes: pd.Series) -> float:
+            return float(fn(num, minutes))
+
+        return F.pandas_udf(value, "double")
+
+    parts = []
+    for r in recipes:
+        own = win.where((F.col("role") == r.role) & F.col("num").isNotNull())
+        got = own.groupBy(*keys, "window_start").agg(aggregate(r.fn)(F.col("num").cast("double"), F.col("n").cast("double")).alias("value"))
+        parts.append(got.select(*keys, "window_start", F.concat_ws("_", "binding", F.lit(r.suffix)).alias("feature"), "value"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def build_features(
     iv: DataFrame,
     grid: DataFrame,
@@ -406,8 +444,12 @@ def build_features(
     lags=(),
     granularity: str = "coarse",
     tz: str = "UTC",
+    recipes: Sequence[UserRecipe] = (),
 ) -> DataFrame:
-    """AGG-37: recipes → dynamics → mobility → composites → lags → imputation; one row per window."""
+    """AGG-37: recipes → dynamics → mobility → composites → lags → imputation; one row per window.
+
+    recipes: further ones of the caller, each giving a column binding_suffix for the bindings of its role.
+    """
     from .windows import to_windows
 
     keys = [key]
@@ -415,13 +457,15 @@ def build_features(
     iv = materialise(iv, "intervals")
     win = to_windows(iv)
     stats = window_stats(win, [key, "binding"])
-    wide = long_features(stats, [key, "binding"], tz=tz).groupBy(key, "window_start").pivot(
-        "feature", feature_names(bindings)
-    ).agg(F.max("value"))
+    long = long_features(stats, [key, "binding"], tz=tz)
+    own = {f"{name}_{r.suffix}": r.absence for name, role in bindings for r in recipes if r.role == role}
+    if own:
+        long = long.unionByName(user_features(win, [key, "binding"], list(recipes)))
+    wide = long.groupBy(key, "window_start").pivot("feature", [*feature_names(bindings), *own]).agg(F.max("value"))
     changes = change_rows(iv)
     on = [key, "window_start"]
     frame_end = iv.groupBy(key).agg((F.max("frame_stop") - 1).alias("last_minute"))
-    out = grid.join(wide, on, "left")
+    out = grid.join(wide, on, "left").fillna(own) if own else grid.join(wide, on, "left")
     for part in (
         window_dynamics(changes, keys).drop("dominant_room"),
         room_switches(changes, keys),

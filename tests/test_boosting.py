@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -85,11 +85,12 @@ def test_boosting_as_classifier_family_learns_and_can_be_saved(spark):
     scored = model.score(df)
     hit = F.greatest("p_home", "p_movie", "p_sleeping") == F.coalesce(*[F.when(F.col("y") == c, F.col(f"p_{c}")) for c in model.classes])
     assert scored.agg(F.avg(hit.cast("int"))).first()[0] > 0.95
-    path = scratch_path(spark, "model")
-    model.model.write().save(path)
-    again = N.ClassModel(PipelineModel.load(path), model.classes, cols)
     key = lambda m: sorted(map(tuple, m.score(df).select("id", "p_home", "p_movie", "p_sleeping").collect()))
-    assert key(again) == key(model)
+    for fitted in (model, N.fit_classifier(df, cols, numTrees=3), N.fit_classifier(df, cols, "logistic", maxIter=5)):
+        path = scratch_path(spark, "model")
+        fitted.save(path)
+        again = N.ClassModel.load(path)
+        assert (again.classes, again.columns) == (model.classes, cols) and key(again) == key(fitted)
 
 
 def test_estimator_in_a_pipeline_survives_disk(spark):

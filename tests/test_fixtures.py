@@ -181,3 +181,21 @@ def test_split_windows_match_plain_ones(spark):
     assert b.exceptAll(df.withColumn("l", F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))).count() == 0
     c = segments.running_count(df, ["k"], ["t"], F.col("v").isNotNull(), seg, "n")
     assert c.exceptAll(df.withColumn("n", F.count("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))).count() == 0
+
+
+def test_a_user_recipe_is_a_column_of_the_features(spark):
+    rows = [("p", "sofa", "presence", None, 300 + i, None, float(i % 3), None) for i in range(60)] + [("p", "bed", "bed", None, 330, None, 2.0, None)]
+    m = spark.createDataFrame(rows, "person string, binding string, role string, room string, minute long, ts timestamp, num double, str string").select("person", "binding", "role", "room", "minute", "num", "str")
+    grid = windows.window_grid(windows.data_bounds(m, ["person"]), ["person"])
+
+    @recipes.user_recipe("presence", "weighted_square", absence=-5.0)
+    def weighted_square(values, minutes):
+        return (values**2 * minutes).sum() / minutes.sum()
+
+    iv = windows.intervals(m, ["person"], ["person", "binding"])
+    got = recipes.build_features(iv, grid, [("sofa", "presence"), ("bed", "bed"), ("gone", "presence")], recipes=[weighted_square])
+    assert {"sofa_weighted_square", "gone_weighted_square", "sofa_frac"} <= set(got.columns) and "bed_weighted_square" not in got.columns
+    out = {r.window_start: r for r in got.collect()}
+    assert out[300].sofa_weighted_square == pytest.approx(sum((i % 3) ** 2 for i in range(30)) / 30) and out[300].gone_weighted_square == -5.0
+    with pytest.raises(ValueError):
+        recipes.user_recipe("nothing", "x")
