@@ -25,6 +25,8 @@ from .boosting import SoftmaxBooster
 FOREST = {"numTrees": 300, "minInstancesPerNode": 5, "maxDepth": 20, "seed": 42}
 BOOSTING = {"maxIter": 200, "stepSize": 0.05, "maxDepth": 3}
 MIN_CHILD_WINDOWS, MIN_CHILD_FINE = 60, 20
+#: Rows of a partition of a fold.
+FOLD_ROWS = 20_000
 TEMPORAL = ["hour_of_day", "day_of_week", "is_weekend", "time_bucket"]
 
 
@@ -143,7 +145,9 @@ def binned_folds(df: DataFrame, columns: list[str], folds: list[dict], classes:
         train, val = (align(part, columns).select("y", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in part.columns else F.lit(0.0).alias(c) for c in columns]) for part in fold_parts(df, f))
         cut = QuantileDiscretizer(numBuckets=bins, inputCols=columns, outputCols=named, relativeError=0.001).fit(train)
         ready = lambda part: index_labels(align(cut.transform(part).drop(*columns), named), classes).where(F.col("label").isNotNull()).select("y", "label", "features")
-        out.append((materialise(ready(train), "fold-train"), materialise(ready(val), "fold-val")))
+        # every partition of the training rows holds the sums of all open nodes: no more partitions than rows call for
+        few = max(1, train.count() // FOLD_ROWS)
+        out.append((materialise(ready(train).coalesce(few), "fold-train"), materialise(ready(val).coalesce(few), "fold-val")))
     return out
 
 
