@@ -13,7 +13,9 @@ are found. Its number of leaves follows the number of fingerprints up to MOST_LE
 shard is dealt over tasks that share its fingerprints and split the queries.
 
 At a large radius, where triangle bounds exclude nothing, shards of equal smallest shingles take the
-place of the outer tree (`minima`); inside a shard the search is the same.
+place of the outer tree (`minima`); inside a shard the search is the same. There the bits may only
+nominate (`similar`): texts with a partner within reach meet once more, with their shingle sets, and the
+similarity of the sets decides every pair whose rows no earlier pair has joined.
 
 Cases: null or wordless texts have fingerprint 0 and are linked like any other; texts with fewer
 words than a shingle are one shingle; rows with equal ids are one node each and share a component
@@ -81,6 +83,25 @@ def fingerprint(text: Column, size: int, parts: int = 1, minima: int = 0) -> Col
     return F.arrow_udf(rows, "array<long>")(text.cast("binary"))
 
 
+def shingle_sets(text: Column, size: int) -> Column:
+    """Array of longs: the distinct 64-bit hashes of the shingles, sorted; empty without words."""
+
+    def one(text: bytes | None) -> np.ndarray:
+        import xxhash
+
+        words = text.lower().split() if text else []
+        k = min(size, len(words))
+        hashed = (xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1 if words else 0))
+        return np.unique(np.fromiter(hashed, np.uint64).view(np.int64))
+
+    def rows(column: pa.Array) -> pa.Array:
+        sets = [one(x.as_py()) for x in column]
+        ends = np.cumsum([0] + [len(x) for x in sets])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+
+    return F.arrow_udf(rows, "array<long>")(text.cast("binary"))
+
+
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hamming distance along the last axis of 64-bit parts."""
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
@@ -145,6 +166,47 @@ class Forest:
                 self.links.append((x, y))
 
 
+class Proven(Forest):
+    """Joins only rows whose sets have 100 * intersection >= percent * union; two empty sets are equal."""
+
+    def __init__(self, starts: np.ndarray, flat: np.ndarray, percent: int):
+        super().__init__(len(starts) - 1)
+        self.starts, self.flat, self.percent = starts, flat, percent
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        r = self.up[x]
+        while (self.up[r] != r).any():
+            r = self.up[r]
+        self.up[x] = r
+        return r
+
+    def similar(self, a: int, others: np.ndarray) -> np.ndarray:
+        """Whether a is similar enough to each of the others; their sets are laid end to end, few at a time."""
+        own = self.flat[self.starts[a] : self.starts[a + 1]]
+        sizes = self.starts[others + 1] - self.starts[others]
+        both = np.zeros(len(others), np.int64)
+        # sizes that far apart exclude the similarity
+        fit = np.flatnonzero(100 * np.minimum(sizes, len(own)) >= self.percent * np.maximum(sizes, len(own)))
+        for at in range(0, len(fit) if len(own) else 0, 256):
+            some = fit[at : at + 256]
+            ends = np.cumsum(sizes[some])
+            laid = np.arange(ends[-1]) + np.repeat(self.starts[others[some]] - ends + sizes[some], sizes[some])
+            values = self.flat[laid]
+            place = np.minimum(np.searchsorted(own, values), len(own) - 1)
+            both[some] = np.diff(np.append(0, np.cumsum(own[place] == values)[ends - 1]))
+        return 100 * both >= self.percent * (sizes + len(own) - both)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """a is in ascending order, as tiles are searched row by row."""
+        cut = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else []
+        for lo, hi in zip(cut, np.append(cut[1:], len(a)).tolist() if len(a) else []):
+            left = b[lo:hi]
+            left = left[self.roots(left) != self.root(int(a[lo]))]
+            if len(left):
+                found = left[self.similar(int(a[lo]), left)]
+                super().join(np.full(len(found), a[lo]), found)
+
+
 def search(points: np.ndarray, sizes: np.ndarray, homes: np.ndarray, queries: np.ndarray, reach: int, ratio: float, found: Forest) -> None:
     """Links every query to the points within reach, by a vantage-point tree over the points.
 
@@ -247,8 +309,11 @@ def near_links(nodes: DataFrame, reach: int, ratio: float = 0.0, leaf: int = LEA
     return dealt.groupBy("shard", "salt").applyInArrow(_links(reach, ratio), "a long, b long")
 
 
-def _shard_links(reach: int, ratio: float):
-    """Links of every task (shard, one, two) of one bucket of tasks: inside a block, or between two."""
+def _shard_links(reach: int, ratio: float, percent: int = 0):
+    """Links of every task (shard, one, two) of one bucket of tasks: inside a block, or between two.
+
+    percent > 0: the column set holds the sorted shingle hashes of a row, and their similarity decides.
+    """
 
     def rows(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -257,11 +322,19 @@ def _shard_links(reach: int, ratio: float):
         sizes = table.column("size").to_numpy()
         order = np.lexsort((node, two, one, key))
         node, key, one, two, block, points, sizes = node[order], key[order], one[order], two[order], block[order], points[order], sizes[order]
+        if percent:
+            sets = table.column("set").combine_chunks()
+            flat = sets.values.to_numpy()
+            begin, end = sets.offsets.to_numpy()[:-1][order], sets.offsets.to_numpy()[1:][order]
         cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
         links = []
         for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(key)).tolist()):
             if hi - lo > 1:
-                found = Forest(hi - lo)
+                if percent:
+                    starts = np.append(0, np.cumsum(end[lo:hi] - begin[lo:hi]))
+                    found = Proven(starts, np.concatenate([flat[x:y] for x, y in zip(begin[lo:hi].tolist(), end[lo:hi].tolist())]), percent)
+                else:
+                    found = Forest(hi - lo)
                 homes, asks = np.flatnonzero(block[lo:hi] == one[lo]), np.flatnonzero(block[lo:hi] == two[lo])
                 search(points[lo:hi], sizes[lo:hi], homes, asks, reach, ratio, found)
                 links += [(node[lo + x], node[lo + y]) for x, y in found.links]
@@ -271,16 +344,20 @@ def _shard_links(reach: int, ratio: float):
     return rows
 
 
-def shard_links(nodes: DataFrame, parts: int, reach: int, ratio: float, block: int = 4_096, pivots: int = 0) -> DataFrame:
+def shard_links(nodes: DataFrame, parts: int, reach: int, ratio: float, block: int = 4_096, pivots: int = 0, percent: int = 0, held_hashes: int = 1 << 22) -> DataFrame:
     """(a, b), a > b: links of fingerprints that share a smallest shingle, for radii at which the tree cannot prune.
 
     nodes: node, bits, minima (array of longs), size. A shard is one smallest shingle of one order; a shard
     of over `block` rows is dealt by hash over blocks, and a task compares two of them (or one with itself),
-    so all pairs of a shard are compared at any size. pivots is not needed any more.
+    so all pairs of a shard are compared at any size. pivots is not needed any more. percent > 0: nodes have
+    the column set as well, and only pairs of such a similarity are linked; a block then holds about
+    held_hashes hashes.
     """
-    keyed = nodes.select("node", "bits", "size", F.posexplode("minima").alias("order", "least")).withColumn("shard", F.xxhash64("order", "least")).drop("order", "least")
-    held = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("long")
+    carried = ["node", "bits", "size", *(["set"] if percent else [])]
+    keyed = nodes.select(*carried, F.posexplode("minima").alias("order", "least")).withColumn("shard", F.xxhash64("order", "least")).drop("order", "least")
+    hashes = F.sum(F.size("set").cast("long")) if percent else F.lit(0)
+    held = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), hashes.alias("hashes")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("hashes") / held_hashes)).cast("long")
     met = keyed.join(held, "shard").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     # a member goes to the tasks of its block with every block
     other = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -288,33 +365,48 @@ def shard_links(nodes: DataFrame, parts: int, reach: int, ratio: float, block: i
     # the tasks of a cut shard get groups of their own
     whole = F.col("blocks") == 1
     dealt = other.select(
-        "node", "bits", "size", "shard", "block",
+        *carried, "shard", "block",
         F.least("block", "other").alias("one"),
         F.greatest("block", "other").alias("two"),
         F.when(whole, F.pmod(F.xxhash64("shard"), buckets)).otherwise(F.xxhash64("shard", F.least("block", "other"), F.greatest("block", "other"))).alias("bucket"),
     )
-    return dealt.groupBy("bucket").applyInArrow(_shard_links(reach, ratio), "a long, b long")
+    return dealt.groupBy("bucket").applyInArrow(_shard_links(reach, ratio, percent), "a long, b long")
+
+
+def _proven_links(docs: DataFrame, first: DataFrame, nominated: DataFrame, parts: int, reach: int, ratio: float, shingle: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Links by shingle sets among the nodes with a partner within reach; only their texts are read again."""
+    members = nominated.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = materialise(first.join(members, "node"), "members")
+    texts = docs.select(row_key(doc_id, text).alias("key"), F.col(text).alias("text")).join(asked.select("key", "node"), "key")
+    # rows of one key have one text
+    sets = materialise(texts.select("node", shingle_sets(F.col("text"), shingle).alias("set")).groupBy("node").agg(F.min("set").alias("set")), "shingle-sets")
+    return shard_links(asked.join(sets, "node"), parts, reach, ratio, percent=percent)
 
 
 #: Nodes of rows without an id lie above all ids.
 LOOSE = 1 << 62
 
 
-def near_groups(docs: DataFrame, shingle: int = 3, reach: int = 2, parts: int = 1, minima: int = 0, ratio: float = 0.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 3, reach: int = 2, parts: int = 1, minima: int = 0, ratio: float = 0.0, percent: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """key, doc_id, bits, root, component_id: the smallest document id that links of fingerprints reach.
 
     minima = 0: shards of the vantage-point tree, every pair within reach is linked. minima > 0: shards
     of equal smallest shingles in so many orders; a pair of similarity s shares none with chance
-    (1 - s) ** minima. ratio: smallest allowed ratio of the numbers of shingles.
+    (1 - s) ** minima. ratio: smallest allowed ratio of the numbers of shingles. percent (with minima): pairs
+    within reach are linked only if the sets of their distinct shingles have that similarity.
     """
+    alike = ["bits", "minima", "size"] if percent else ["bits"]
     rows = docs.select(row_key(doc_id, text).alias("key"), F.col(doc_id).cast("long").alias("doc_id"), fingerprint(F.col(text), shingle, parts, minima).alias("all"))
     prints = materialise(rows.select("key", "doc_id", F.slice("all", 1, parts).alias("bits"), F.slice("all", parts + 1, minima).alias("minima"), F.element_at("all", -1).alias("size")), "fingerprints")
-    loose = F.lit(LOOSE) + F.shiftrightunsigned(F.xxhash64("bits"), 2)
+    loose = F.lit(LOOSE) + F.shiftrightunsigned(F.xxhash64(*alike), 2)
+    rest = {"minima": F.min("minima"), "size": F.min("size"), "key": F.min("key")}
     first = materialise(
-        prints.groupBy("bits").agg(F.min("doc_id").alias("least"), F.min("minima").alias("minima"), F.min("size").alias("size")).withColumn("node", F.coalesce("least", loose)),
+        prints.groupBy(*alike).agg(F.min("doc_id").alias("least"), *[v.alias(c) for c, v in rest.items() if c not in alike]).withColumn("node", F.coalesce("least", loose)),
         "distinct-fingerprints",
     )
     # two fingerprints share a node only if rows repeat an id: they are one document then
     found = near_links(first.select("node", "bits", "size"), reach, ratio) if not minima else shard_links(first, parts, reach, ratio)
-    named = materialise(first.join(components(found), "node", "left").select("bits", F.coalesce("root", "node").alias("root")), "roots")
-    return prints.join(named, "bits").select("key", "doc_id", "bits", "root", F.when(F.col("root") < LOOSE, F.col("root")).alias("component_id"))
+    if percent:
+        found = _proven_links(docs, first, materialise(found, "nominated"), parts, reach, ratio, shingle, percent, doc_id, text)
+    named = materialise(first.join(components(found), "node", "left").select(*alike, F.coalesce("root", "node").alias("root")), "roots")
+    return prints.join(named, alike).select("key", "doc_id", "bits", "root", F.when(F.col("root") < LOOSE, F.col("root")).alias("component_id"))

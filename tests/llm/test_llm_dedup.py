@@ -120,6 +120,8 @@ def test_components_of_a_chain(spark):
 def test_simhash_of_odd_rows(odd, odd_rows, empty):
     got = simhash.near_groups(odd).collect()
     assert len(got) == len(odd_rows)
+    proven = simhash.near_groups(odd, shingle=5, reach=34, parts=2, minima=6, percent=80)
+    assert proven.count() == len(odd_rows) and simhash.near_groups(empty, minima=6, parts=2, percent=80).count() == 0
     blank = {r.component_id for r in got if r.doc_id in (2, 3, 4)}
     assert blank == {2} and {r.component_id for r in got if r.doc_id in (7, 8)} == {7}
     assert len({r.root for r in got if r.doc_id is None}) == 2 and all(r.component_id is None for r in got if r.doc_id is None)
@@ -145,6 +147,50 @@ def test_minimum_shards_join_near_copies_only(spark):
     assert {r.doc_id: r.component_id for r in got} == near
 
 
+def jaccard_groups(rows, percent):
+    """{id: smallest id} over links of five-word shingle sets, by comparing all pairs."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in ((i, t.lower().split()) for i, t in rows)}
+    lead = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and lead[a] != lead[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                one, two = sorted((lead[a], lead[b]))
+                lead.update({i: one for i, r in lead.items() if r == two})
+    return lead
+
+
+def test_shingle_sets_decide_at_the_limit(spark):
+    """Stars and chains with similarities on both sides of 0.8, repeated passages, order, case and blanks."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(50):
+        words = [f"w{v}" for v in rng.integers(0, 1 << 30, 300)]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(4):
+            copy = list(words)
+            at = int(rng.integers(0, 200))
+            size = int(rng.integers(20, 45))  # similarities of about 0.72 to 0.86
+            copy[at : at + size] = [f"x{v}" for v in rng.integers(0, 1 << 30, size)]
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000, rows[0][1].upper()), (1001, rows[5][1] + "  " + rows[5][1]), (1002, "few words"), (1003, "Few\tWORDS "), (1004, "few other words"), (1005, ""), (1006, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = simhash.near_groups(docs, shingle=5, reach=34, parts=2, minima=6, percent=80).collect()
+    want = jaccard_groups(rows, 80)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert 100 < len(set(want.values())) < 240  # links and refusals both occur
+
+
+def test_shingle_sets_inside_cut_shards(spark):
+    """A shared passage brings all rows into one shard; blocks bounded by hashes still compare all pairs."""
+    rng = np.random.default_rng(9)
+    flat = [np.unique(rng.integers(0, 1 << 40, 50)) for _ in range(60)]
+    rows = [(3 * k + j, [0], [5], 50, sorted({*x[c:].tolist(), *range(c)})) for k, x in enumerate(flat) for j, c in enumerate((0, 2, 30))]
+    nodes = spark.createDataFrame(rows, "node long, bits array<long>, minima array<long>, size long, set array<long>")
+    got = components(simhash.shard_links(nodes, 1, 2, 0.0, block=40, percent=80, held_hashes=1000)).toPandas()
+    assert dict(zip(got.node, got.root)) == {3 * k + 1: 3 * k for k in range(60)}
+    assert components(simhash.shard_links(nodes, 1, 2, 0.0, block=40)).count() == 179  # the bits alone link all
+
+
 def test_hot_shard_is_cut_into_blocks(spark):
     nodes = spark.range(3000).selectExpr("id as node", "array(id % 7, 0L) as bits", "array(5L) as minima", "1L as size")
     links = simhash.shard_links(nodes, 2, 4, 0.0, block=200, pivots=64)

@@ -262,8 +262,12 @@ def test_every_stage_of_the_pipeline(spark, docs, texts, sf_dir):
     left = {r.doc_id: r.text for r in apart.collect()}
     shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((r.doc_id, r.text.lower().split()) for r in once.collect())}
     near = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
-    assert not [(a, b) for a in left for b in left if a < b and near(a, b) >= 0.85]
-    assert all(max(near(a, b) for b in left) >= 0.5 for a in set(shingles) - set(left))
+    # one row stays of what links of 0.8 or more connect, and nothing else goes
+    lead = {i: i for i in shingles}
+    for a, b in ((a, b) for a in shingles for b in shingles if a < b and near(a, b) >= 0.8):
+        one, two = sorted((lead[a], lead[b]))
+        lead.update({i: one for i, r in lead.items() if r == two})
+    assert set(left) == set(lead.values())
     mixed = materialise(stages["source_mixing"](spark, apart, sf_dir), "t")
     copies = Counter(r.doc_id for r in mixed.collect())
     assert set(copies.values()) <= {1, 2} and set(copies) <= set(left) and mixed.columns == docs.columns
