@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, row_key
+from ..session import broadcast_if_small
 from ..functions.components import components
 
 SAMPLE = 8
@@ -344,24 +345,26 @@ def _shard_links(reach: int, ratio: float, percent: int = 0):
     return rows
 
 
-def shard_links(nodes: DataFrame, parts: int, reach: int, ratio: float, block: int = 4_096, pivots: int = 0, percent: int = 0, held_hashes: int = 1 << 22) -> DataFrame:
+def shard_links(nodes: DataFrame, parts: int, reach: int, ratio: float, block: int = 4_096, pivots: int = 0, percent: int = 0, sets: DataFrame | None = None, held_hashes: int = 1 << 21) -> DataFrame:
     """(a, b), a > b: links of fingerprints that share a smallest shingle, for radii at which the tree cannot prune.
 
     nodes: node, bits, minima (array of longs), size. A shard is one smallest shingle of one order; a shard
     of over `block` rows is dealt by hash over blocks, and a task compares two of them (or one with itself),
-    so all pairs of a shard are compared at any size. pivots is not needed any more. percent > 0: nodes have
-    the column set as well, and only pairs of such a similarity are linked; a block then holds about
-    held_hashes hashes.
+    so all pairs of a shard are compared at any size. pivots is not needed any more. percent > 0: sets
+    gives the set of every node, and only pairs of such a similarity are linked; a block and a group of
+    whole shards then hold about held_hashes hashes.
     """
     carried = ["node", "bits", "size", *(["set"] if percent else [])]
-    keyed = nodes.select(*carried, F.posexplode("minima").alias("order", "least")).withColumn("shard", F.xxhash64("order", "least")).drop("order", "least")
-    hashes = F.sum(F.size("set").cast("long")) if percent else F.lit(0)
+    keyed = nodes.select("node", "bits", "size", F.posexplode("minima").alias("order", "least")).withColumn("shard", F.xxhash64("order", "least")).drop("order", "least")
+    hashes = F.sum("size") if percent else F.lit(0)
     held = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), hashes.alias("hashes")).where("n > 1")
     blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("hashes") / held_hashes)).cast("long")
-    met = keyed.join(held, "shard").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    full = keyed.join(held, "shard")
+    met = (full.join(sets, "node") if percent else full).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     # a member goes to the tasks of its block with every block
     other = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    buckets = F.lit(max(1, nodes.count() // 10_000))
+    n, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("size") * F.size("minima")), F.lit(0))).first()
+    buckets = F.lit(max(1, n // 10_000, total // held_hashes if percent else 0))
     # the tasks of a cut shard get groups of their own
     whole = F.col("blocks") == 1
     dealt = other.select(
@@ -374,13 +377,19 @@ def shard_links(nodes: DataFrame, parts: int, reach: int, ratio: float, block: i
 
 
 def _proven_links(docs: DataFrame, first: DataFrame, nominated: DataFrame, parts: int, reach: int, ratio: float, shingle: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Links by shingle sets among the nodes with a partner within reach; only their texts are read again."""
-    members = nominated.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = materialise(first.join(members, "node"), "members")
-    texts = docs.select(row_key(doc_id, text).alias("key"), F.col(text).alias("text")).join(asked.select("key", "node"), "key")
+    """Links by shingle sets inside the components of nominated links; only texts of their nodes are read again.
+
+    A component takes the place of a shard, so a set is sent once, and once a block where the component is cut.
+    """
+    named = components(nominated)
+    # a root is in no row of its own
+    members = materialise(named.unionByName(named.select(F.col("root").alias("node"), "root").distinct()), "member-roots")
+    asked = materialise(first.drop("minima").join(members, "node").select("node", "bits", "size", "key", F.array("root").alias("minima")), "members")
+    texts = docs.select(row_key(doc_id, text).alias("key"), F.col(text).alias("text")).join(broadcast_if_small(asked.select("key", "node")), "key")
     # rows of one key have one text
-    sets = materialise(texts.select("node", shingle_sets(F.col("text"), shingle).alias("set")).groupBy("node").agg(F.min("set").alias("set")), "shingle-sets")
-    return shard_links(asked.join(sets, "node"), parts, reach, ratio, percent=percent)
+    once = texts.groupBy("node").agg(F.min("text").alias("text"))
+    sets = once.select("node", shingle_sets(F.col("text"), shingle).alias("set"))
+    return shard_links(asked, parts, reach, ratio, percent=percent, sets=sets)
 
 
 #: Nodes of rows without an id lie above all ids.

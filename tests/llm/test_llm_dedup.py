@@ -186,7 +186,8 @@ def test_shingle_sets_inside_cut_shards(spark):
     flat = [np.unique(rng.integers(0, 1 << 40, 50)) for _ in range(60)]
     rows = [(3 * k + j, [0], [5], 50, sorted({*x[c:].tolist(), *range(c)})) for k, x in enumerate(flat) for j, c in enumerate((0, 2, 30))]
     nodes = spark.createDataFrame(rows, "node long, bits array<long>, minima array<long>, size long, set array<long>")
-    got = components(simhash.shard_links(nodes, 1, 2, 0.0, block=40, percent=80, held_hashes=1000)).toPandas()
+    sets = nodes.select("node", "set")
+    got = components(simhash.shard_links(nodes, 1, 2, 0.0, block=40, percent=80, sets=sets, held_hashes=1000)).toPandas()
     assert dict(zip(got.node, got.root)) == {3 * k + 1: 3 * k for k in range(60)}
     assert components(simhash.shard_links(nodes, 1, 2, 0.0, block=40)).count() == 179  # the bits alone link all
 
