@@ -7,8 +7,9 @@ document from the dedup stage on; null texts and ids follow the rules of the ope
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from dayweave.llm import block_names, line_rules, mixing, packing, simhash
 from dayweave.llm.common import materialise, ready, row_key
@@ -18,25 +19,32 @@ from dayweave.llm.queries import documents, tokenizer
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, text: str | Column = "text") -> DataFrame:
+    """key and row: all columns of a document in one struct, so none of their names can clash."""
+    return docs.select(row_key("doc_id", text).alias("key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+
+
+def _once(keyed: DataFrame) -> DataFrame:
+    """One row of every key: that with the smallest hash, should repeated rows differ in further columns."""
+    flat = [F.col("row").getField(f.name) for f in keyed.schema["row"].dataType if not isinstance(f.dataType, (MapType, VariantType))]
+    return keyed.groupBy("key").agg(F.min_by("row", F.xxhash64(*flat)).alias("row"))
+
+
+def _only(keyed: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows whose key is in kept, once each."""
-    keyed = docs.withColumn("_key", row_key())
-    return keyed.join(kept.select(F.col("key").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    return _once(keyed.join(kept.select("key"), "key", "left_semi")).select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines above the limit of their host go; rejected documents go. Copies count as one document, as all but one go later."""
     judged = line_rules.line_frequency(docs, copies=False).where("kept")
     fresh = {"text": F.col("clean_text"), "n_chars": F.char_length("clean_text").cast("long")}
-    return judged.select(*[fresh.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    return judged.select(*[fresh.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
-    body = docs.withColumn("_body", F.coalesce("text", F.lit("")))
-    kept = block_names.exact_groups(docs).where("kept").select("key")
-    keyed = body.withColumn("_key", row_key("doc_id", "_body"))
-    return keyed.join(kept.withColumnRenamed("key", "_key"), "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    return _only(_keyed(docs, F.coalesce("text", F.lit(""))), block_names.exact_groups(docs).where("kept"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,14 +55,14 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     near = simhash.near_groups(docs, shingle=5, reach=34, parts=2, minima=6, percent=80)
     groups = materialise(near.select("key", "root"), "near-groups")
     kept = groups.groupBy("root").agg(F.min_by("key", F.struct(F.col("key.id").isNull(), "key.id", "key.h")).alias("key"))
-    return _only(docs, kept)
+    return _only(_keyed(docs), kept)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's rate asks for."""
-    plan = mixing.mix(docs).groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    once = docs.withColumn("_key", row_key()).dropDuplicates(["_key"])
-    return once.join(plan, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(docs.columns)
+    plan = mixing.mix(docs).groupBy("key").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    taken = _once(_keyed(docs)).join(plan, "key")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def bm25_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
