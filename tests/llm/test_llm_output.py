@@ -286,6 +286,26 @@ def test_pipeline_stages_take_odd_rows(spark, odd, empty, sf_dir):
             docs = after
 
 
+def test_pipeline_keeps_clashing_columns_and_picks_repeated_rows_alike(spark, sf_dir):
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(i, body(i), lang, "a", 0, f"k{i}", 7, "r", "d") for i in range(6) for lang in (("en", "de", None) if i == 3 else ("en",))]
+    columns = ["doc_id", "text", "lang", "source", "n_chars", "_key", "_copies", "row", "a.b"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _key string, _copies int, row string, `a.b` string"
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        seen = set()
+        for parts in (1, 5):
+            docs = spark.createDataFrame(rows[::-1] if parts == 5 else rows, schema).repartition(parts)
+            after = materialise(stage(spark, docs, sf_dir), name)
+            assert after.columns == columns
+            got = after.collect()
+            assert {r.doc_id for r in got} == (set(range(6)) if name != "source_mixing" else {r.doc_id for r in got})
+            assert {(r[5], r[6], r[7], r[8]) for r in got} <= {(f"k{i}", 7, "r", "d") for i in range(6)}
+            if name in ("exact_dedup", "simhash_near_dedup"):
+                assert len(got) == 6
+            seen.add(tuple(sorted(map(str, got))))
+        assert len(seen) == 1 or name == "source_mixing"
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_query_gives_one_schema(spark, sf_dir, name):
     got = QUERIES[name](spark, sf_dir)
