@@ -3,8 +3,8 @@
 The vocabulary holds the KNOWN most frequent words of all documents; other words share hashed
 ids. A small window network (position-weighted embeddings of the REACH words on either side, one
 tanh layer, class-factored softmax) gives each token a conditional probability; a score is the sum of
-their logarithms. Training data grows with the corpus: every input partition fits a copy on its share of documents
-(one in SHARE by id hash), the copies are averaged weighted by tokens, in ROUNDS rounds; a model has a fixed size.
+their logarithms. Every document is learned from: they are dealt to ROUNDS rounds by a hash, in a round every input partition fits a
+copy on its documents, and the copies are averaged weighted by tokens; a model has a fixed size.
 
 Cases: null and wordless texts have no tokens, sum 0 and a null mean; long texts are scored whole, in
 blocks; rows with equal ids are scored each; an empty table gives no rows; other columns are not read.
@@ -28,7 +28,6 @@ KNOWN = VOCAB - 1024
 REACH = 3
 DIMS = 24
 HIDDEN = 32
-SHARE = 16
 ROUNDS = 2
 STEP = 4096
 
@@ -193,11 +192,11 @@ def _fit_share(flat: np.ndarray, known: np.ndarray, rate: float):
     return rows
 
 
-def train(docs: DataFrame, known: np.ndarray, share: int = SHARE, rounds: int = ROUNDS, rate: float = 0.1, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
-    """Averaged weights; what is learned from and what is shuffled grow with the corpus."""
+def train(docs: DataFrame, known: np.ndarray, share: int = 1, rounds: int = ROUNDS, rate: float = 0.1, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
+    """Averaged weights, learned from all documents, or from one in `share` by hash."""
     flat = start_model()
     place = F.xxhash64(F.col(doc_id), F.octet_length(text))
-    picked = materialise(docs.where(F.col(text).isNotNull() & (F.pmod(place, F.lit(share)) == 0)).select(F.pmod(F.shiftright(place, 20), F.lit(rounds)).alias("round"), F.col(text).cast("binary").alias("text")), "lm-share")
+    picked = docs.where(F.col(text).isNotNull() & (F.pmod(place, F.lit(share)) == 0)).select(F.pmod(F.shiftright(place, 20), F.lit(rounds)).alias("round"), F.col(text).cast("binary").alias("text"))
     for turn in range(rounds):
         own = picked.where(F.col("round") == turn).select("text")
         mean = own.mapInArrow(_fit_share(flat, known, rate), "place long, sum double, tokens double").groupBy("place").agg((F.sum("sum") / F.sum("tokens")).alias("w")).toArrow()

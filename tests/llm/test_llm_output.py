@@ -236,6 +236,13 @@ def test_masked_lm_prefers_word_order(spark):
     assert got[1] > got[2] + 0.5
 
 
+def test_masked_lm_learns_from_every_document(spark):
+    """A table of any one document gives a model; none is left out of training by its id."""
+    for i in range(4):
+        one = spark.createDataFrame([(i, "the cat sat on the mat " * (i + 1))], "doc_id long, text string")
+        assert (masked_lm.train(one, masked_lm.vocabulary(one)) != masked_lm.start_model()).any()
+
+
 def test_masked_lm_of_odd_rows(odd, empty, odd_rows):
     known = masked_lm.vocabulary(odd)
     model = masked_lm.train(odd, known, share=1, rounds=1)
