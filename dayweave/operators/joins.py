@@ -92,10 +92,22 @@ def flow_state(persons: DataFrame, windows: DataFrame, labels: DataFrame, preds:
 
 
 def contrast(cards: DataFrame, named: DataFrame) -> DataFrame:
-    """JON-22: for each card the named card with most shared top features, two at least."""
-    from .topk import signature_overlaps
-
-    hits = signature_overlaps(cards, named, "card", 2)
-    return hits.groupBy(F.col("a").alias("card")).agg(F.max("shared").alias("shared"), F.min_by("b", F.struct((-F.col("shared")).alias("neg"), "b")).alias("like"))
-
+    """JON-22: for each card the named card with most shared top features, two at least.
 
+    Cards of one set of features have the same candidates, but for themselves: the two best named cards of a set do.
+    """
+    from .topk import carded, set_overlaps
+
+    left, right = carded(cards, "card", "a"), carded(named, "card", "b")
+    # of the named cards of a set only the two with the smallest keys can be among the two best
+    first = right.groupBy("set_b").agg(F.min("b").alias("b"))
+    second = right.join(first.withColumnRenamed("b", "_b"), "set_b").where("b > _b").groupBy("set_b").agg(F.min("b").alias("b"))
+    hits = set_overlaps(left, right, 2).join(first.unionByName(second), "set_b")
+    # a named card may have several sets: its best one counts
+    order = F.struct((-F.col("shared")).alias("neg"), "b")
+    ranked = hits.groupBy("set_a", "b").agg(F.max("shared").alias("shared"))
+    best = ranked.groupBy("set_a").agg(F.min(order).alias("_one"))
+    next_ = ranked.join(best, "set_a").where(F.col("b") != F.col("_one.b")).groupBy("set_a").agg(F.min(order).alias("_two"))
+    found = left.join(best.join(next_, "set_a", "left"), "set_a").withColumn("_hit", F.when(F.col("_one.b") != F.col("a"), F.col("_one")).otherwise(F.col("_two")))
+    whole = found.where(F.col("_hit").isNotNull()).groupBy(F.col("a").alias("card")).agg(F.min("_hit").alias("_hit"))
+    return whole.select("card", (-F.col("_hit.neg")).alias("shared"), F.col("_hit.b").alias("like"))
