@@ -2,8 +2,8 @@
 
 All classes share one softmax: a round fits one small regression tree for each class to the difference
 of label and probability. Columns are cut into bins once. For a level of the trees every task adds up
-gradients, curvatures and weights of its rows by class, node, column and bin; the sums are what travels, and
-their number depends on the trees, not on the rows. The leaves follow from the sums of the last level, so a
+gradients, curvatures and weights of its rows by class, node, column and bin; the sums are what travels to the task
+that picks the split of a node, and their number depends on the trees, not on the rows. The leaves follow from the sums of the last level, so a
 round takes `maxDepth` passes. Scores are written every `keep` rounds, so a pass adds few trees to them.
 A table counted to have at most `fewRows` rows is not worth passes: one task does all rounds, by the same functions.
 
@@ -103,7 +103,7 @@ class SoftmaxBooster(Estimator, HasFeaturesCol, HasLabelCol, HasWeightCol, HasMa
             trees: list[list[dict]] = [[{}] for _ in range(classes)]
             for level in range(depth):
                 sums = now.mapInArrow(_histograms(fresh, trees, level), "k int, node int, col int, bin int, g double, h double, n double")
-                if not split_nodes(trees, collected(sums, width), edges, rate, level == depth - 1):
+                if not split_nodes(trees, node_splits(sums, width), edges, rate, level == depth - 1):
                     break
             rounds.append(trees)
             fresh.append(trees)
@@ -162,42 +162,53 @@ def _histograms(fresh, trees, level: int):
     return rows
 
 
-def collected(rows: DataFrame, width: int) -> dict[tuple[int, int], np.ndarray]:
-    """The sums over all tasks; their number is that of open nodes times columns times bins."""
-    got = rows.groupBy("k", "node", "col", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]).toArrow()
-    k, node, col, at, *values = (got.column(c).to_numpy() for c in ("k", "node", "col", "bin", "g", "h", "n"))
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for key in sorted(set(zip(k.tolist(), node.tolist()))):
-        own = (k == key[0]) & (node == key[1])
-        sums[key] = np.zeros((3, width, 256))
-        sums[key][:, col[own], at[own]] = [v[own] for v in values]
-    return sums
+#: Columns of the best split of a node: column and bin, its gain, the sums of the node and those left of the split.
+SPLIT = "k int, node int, col int, bin int, gain double, g double, h double, n double, gl double, hl double"
+
+
+def best_split(part: np.ndarray) -> tuple:
+    """(column, bin, gain, gradient, curvature and weight of the node, gradient and curvature left of the split)."""
+    g, h, n = part[:, 0].sum(axis=1)
+    left = part.cumsum(axis=2)
+    # a split lies after a bin with rows, but for the last such bin
+    held = part[2] > 0
+    open_ = held & (np.cumsum(held[:, ::-1], axis=1)[:, ::-1] > 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = left[0] ** 2 / left[2] + (g - left[0]) ** 2 / (n - left[2]) - g**2 / n
+    gain = np.where(open_, np.round(gain, 10), -np.inf)
+    col, at = np.unravel_index(int(gain.argmax()), gain.shape)
+    return int(col), int(at), gain[col, at], g, h, n, *left[:2, col, at]
+
+
+def node_splits(sums: DataFrame, width: int) -> dict[tuple[int, int], tuple]:
+    """The best split of every open node over all tasks, found by one task a node: a row a node reaches the driver."""
+
+    def best(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        part = np.zeros((3, width, 256))
+        part[:, table["col"].to_numpy(), table["bin"].to_numpy()] = [table[c].to_numpy() for c in ("g", "h", "n")]
+        names = [c.split()[0] for c in SPLIT.split(", ")]
+        kinds = [pa.int32() if c.endswith("int") else pa.float64() for c in SPLIT.split(", ")]
+        row = [key[0].as_py(), key[1].as_py(), *best_split(part)]
+        return pa.table([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
+
+    whole = sums.groupBy("k", "node", "col", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
+    return {(r.k, r.node): tuple(r)[2:] for r in whole.groupBy("k", "node").applyInArrow(best, SPLIT).collect()}
 
 
-def split_nodes(trees: list[list[dict]], sums: dict[tuple[int, int], np.ndarray], edges: list[list[float]], rate: float, last: bool) -> bool:
-    """Splits the open nodes by the sums over all rows; True if a node stays open for the next level."""
+def split_nodes(trees: list[list[dict]], found: dict[tuple[int, int], tuple], edges: list[list[float]], rate: float, last: bool) -> bool:
+    """Splits the open nodes by their best splits over all rows; True if a node stays open for the next level."""
     classes, more = len(trees), False
 
     def value(g: float, h: float) -> float:
         return float(rate * (classes - 1) / classes * g / h) if abs(h) > 1e-150 else 0.0
 
-    for (k, node), part in sums.items():
+    for (k, node), (col, at, gain, g, h, n, gl, hl) in sorted(found.items()):
         tree = trees[k]
         tree[node].pop("open", None)
-        g, h, n = part[:, 0].sum(axis=1)
-        left = part.cumsum(axis=2)
-        # a split lies after a bin with rows, but for the last such bin
-        held = part[2] > 0
-        open_ = held & (np.cumsum(held[:, ::-1], axis=1)[:, ::-1] > 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = left[0] ** 2 / left[2] + (g - left[0]) ** 2 / (n - left[2]) - g**2 / n
-        gain = np.where(open_, np.round(gain, 10), -np.inf)
-        col, at = np.unravel_index(int(gain.argmax()), gain.shape)
-        if gain[col, at] <= LEAST_GAIN * n:
+        if gain <= LEAST_GAIN * n:
             tree[node]["value"] = value(g, h)
             continue
-        gl, hl, _ = left[:, col, at]
-        tree[node] |= {"column": int(col), "bin": int(at), "edge": edges[col][at], "left": len(tree)}
+        tree[node] |= {"column": col, "bin": at, "edge": edges[col][at], "left": len(tree)}
         for side in ((gl, hl), (g - gl, h - hl)):
             tree.append({"value": value(*side)} if last else {"value": value(*side), "open": True})
             more |= not last
@@ -214,7 +225,8 @@ def _whole(classes: int, depth: int, turns: int, rate: float, edges: list[list[f
         for _ in range(turns):
             trees: list[list[dict]] = [[{}] for _ in range(classes)]
             for level in range(depth):
-                if not split_nodes(trees, level_sums(x, y, w, scores, trees, level), edges, rate, level == depth - 1):
+                found = {at: best_split(part) for at, part in level_sums(x, y, w, scores, trees, level).items()}
+                if not split_nodes(trees, found, edges, rate, level == depth - 1):
                     break
             rounds.append(trees)
             scores = add_trees(scores.copy(), x, [trees], True)
