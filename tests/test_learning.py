@@ -195,3 +195,25 @@ def test_sensor_groups_equal_linkage_over_all_pairs(spark):
         lead = own.groupby("group_id").sensor.min()
         assert dict(zip(own.sensor, own.group_id.map(lead))) == want[home]
         assert lead.is_monotonic_increasing
+
+
+def test_folds_are_fitted_at_the_same_time(spark):
+    """Every fit waits for the other two; one after the other they would never meet."""
+    import threading
+
+    class Sure:
+        classes = ["a", "b"]
+
+        def score(self, df):
+            return df.withColumns({"p_a": F.lit(1.0), "p_b": F.lit(0.0)})
+
+    met = threading.Barrier(3)
+
+    def fit(train, columns):
+        met.wait(30)
+        return Sure()
+
+    rows = spark.createDataFrame([(m, "a") for m in range(40)], "minute long, y string")
+    folds = [{"fold": i, "val_start": 10 * i, "val_end": 10 * i + 10} for i in (1, 2, 3)]
+    scored, _ = N.pooled_scores(rows, [], folds, ["a", "b"], fit=fit)
+    assert sorted((r.fold, r.n) for r in scored.groupBy("fold").agg(F.count("*").alias("n")).collect()) == [(1, 10), (2, 10), (3, 10)]
