@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -50,11 +51,16 @@ class Nodes:
 
 def node_table(model, spark) -> Nodes:
     """The nodes of the forest inside a fitted classifier. Its size is that of the model, which Spark also sends to every task."""
-    path = scratch_path(spark, "forest")
-    model.model.stages[-1].write().save(path)
-    stored = spark.read.parquet(f"{path}/data")
-    flat = stored.select("treeID", "nodeData.*") if "nodeData" in stored.columns else stored
-    pdf = flat.select("treeID", "id", "split.featureIndex", F.get("split.leftCategoriesOrThreshold", 0).alias("threshold"), "leftChild", "rightChild", "impurityStats").toPandas()
+    parts, before = [], 0
+    for forest in model.forests():
+        path = scratch_path(spark, "forest")
+        forest.write().save(path)
+        stored = spark.read.parquet(f"{path}/data")
+        flat = stored.select("treeID", "nodeData.*") if "nodeData" in stored.columns else stored
+        part = flat.select("treeID", "id", "split.featureIndex", F.get("split.leftCategoriesOrThreshold", 0).alias("threshold"), "leftChild", "rightChild", "impurityStats").toPandas()
+        parts.append(part.assign(treeID=part["treeID"] + before))
+        before += forest.getNumTrees
+    pdf = pd.concat(parts, ignore_index=True)
     stat = np.stack(pdf["impurityStats"].to_numpy()).astype(float)
     inner = pdf["leftChild"].to_numpy() >= 0
     whole = lambda c: np.where(inner, pdf[c].to_numpy(), -1).astype(int)

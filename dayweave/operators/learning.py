@@ -10,7 +10,7 @@ import hashlib
 from functools import reduce
 
 from pyspark.ml import Model, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, QuantileDiscretizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -27,6 +27,8 @@ BOOSTING = {"maxIter": 200, "stepSize": 0.05, "maxDepth": 3}
 MIN_CHILD_WINDOWS, MIN_CHILD_FINE = 60, 20
 #: Rows of a partition of a fold.
 FOLD_ROWS = 20_000
+#: Up to so many rows a forest is one fit; beyond that groups of so many trees are fitted at the same time.
+ONE_FIT_ROWS, TREE_GROUP = 1_000, 25
 TEMPORAL = ["hour_of_day", "day_of_week", "is_weekend", "time_bucket"]
 
 
@@ -55,9 +57,19 @@ class ClassModel:
     def score(self, df: DataFrame) -> DataFrame:
         ready = df if "features" in df.columns else align(df, self.columns)
         got = self.model.transform(ready)
+        parts = self.forests()
+        if len(parts) > 1:
+            # a tree's votes sum to 1, so the votes of all groups over all trees are the shares of the whole forest
+            trees, votes = sum(m.getNumTrees for m in parts), {f"_v{g}": vector_to_array(m.getRawPredictionCol()) for g, m in enumerate(parts)}
+            wide = got.withColumns(votes).withColumns({f"p_{c}": reduce(lambda a, b: a + b, [F.col(v)[i] for v in votes]) / trees for i, c in enumerate(self.classes)})
+            return wide.drop(*votes, *[c for m in parts for c in (m.getRawPredictionCol(), m.getProbabilityCol(), m.getPredictionCol())], "label")
         wide = got.withColumn("_p", vector_to_array("probability")).withColumns({f"p_{c}": F.col("_p")[i] for i, c in enumerate(self.classes)})
         return wide.drop("_p", "rawPrediction", "probability", "prediction", "label")
 
+    def forests(self) -> list[RandomForestClassificationModel]:
+        """The groups of trees of a forest, in order."""
+        return [m for m in self.model.stages if isinstance(m, RandomForestClassificationModel)]
+
     def save(self, path: str) -> None:
         """Writes the fitted pipeline with its classes and columns to a new folder of shared storage."""
         self.model.write().save(f"{path}/pipeline")
@@ -77,8 +89,9 @@ def fit_classifier(df: DataFrame, columns: list[str], family: str = "random_fore
     ready = index_labels(df if "features" in df.columns else align(df, columns), classes, label).where(F.col("label").isNotNull())
     extra = {"weightCol": weight} if weight else {}
     if family == "random_forest":
-        est = RandomForestClassifier(**{**FOREST, **params}, **extra)
-    elif family == "boosting":
+        first = [embed] if embed is not None else []
+        return ClassModel(fit_forest(ready, first, **{**FOREST, **params}, **extra), classes, columns)
+    if family == "boosting":
         est = SoftmaxBooster(numClasses=len(classes), **{**BOOSTING, **params}, **extra)
     else:
         est = LogisticRegression(family="multinomial", **params, **extra)
@@ -87,6 +100,27 @@ def fit_classifier(df: DataFrame, columns: list[str], family: str = "random_fore
     return ClassModel(model, classes, columns)
 
 
+def fit_forest(ready: DataFrame, first: list[Transformer], **params) -> PipelineModel:
+    """A forest behind fitted stages; with many rows as one stage for each group of trees.
+
+    Trees do not need each other, but one fit of Spark finds the splits of all trees in as many tasks as
+    the rows have partitions, and every further partition sends sums of all nodes. So groups of trees, with seeds of
+    their own, are fitted at the same time on few partitions.
+    """
+    trees = params["numTrees"]
+    if trees <= TREE_GROUP or (rows := ready.count()) <= ONE_FIT_ROWS:
+        est = RandomForestClassifier(**params)
+        return Pipeline(stages=[*first, est.setFeaturesCol(first[-1].getOutputCol()) if first else est]).fit(ready)
+    from ..session import materialise
+
+    features = first[-1].getOutputCol() if first else "features"
+    named = [features, "label", *([params["weightCol"]] if "weightCol" in params else [])]
+    held = materialise(reduce(lambda df, t: t.transform(df), first, ready).select(*named).coalesce(max(1, rows // FOLD_ROWS)), "forest-rows")
+    jobs = [RandomForestClassifier(**{**params, "numTrees": min(TREE_GROUP, trees - at), "seed": params["seed"] + g}, featuresCol=features, rawPredictionCol=f"_raw{g}", probabilityCol=f"_prob{g}", predictionCol=f"_pred{g}")
+            for g, at in enumerate(range(0, trees, TREE_GROUP))]
+    return PipelineModel([*first, *at_once([lambda e=e: e.fit(held) for e in jobs], ready.sparkSession, len(jobs))])
+
+
 def logistic_importance(model: ClassModel) -> dict[str, float]:
     """ML-03: mean absolute coefficient per column; a matrix of classes × columns."""
     m = model.model.stages[-1].coefficientMatrix.toArray()
@@ -282,7 +316,7 @@ def ablation(model: ClassModel, rows: DataFrame, key: str, background: DataFrame
     means = usual.agg(F.array(*[F.avg(F.col("_x")[i]) for i in range(n)])).scalar()
     top = stats.with_prediction(model.score(rows), model.classes).select(key, F.col("predicted").alias("_predicted"), F.col("conf").alias("_conf"))
     # the prediction travels with the row, so only whole rows are joined and the spread ones never move
-    base = base.join(top, key)
+    base = base.join(top, key).repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, key)
     spread = base.withColumn("_m", means).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     cut = F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.element_at("_m", F.col("_j") + 1)).otherwise(v))
     names = F.array(*map(F.lit, model.columns))

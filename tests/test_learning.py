@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dayweave.operators import learning as N
 from dayweave.operators import stats as X
+from dayweave.operators.attribution import path_attribution
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +45,28 @@ def test_importance_finds_bed_and_ignores_constants(world):
     assert max(w, key=w.get) == "bed" and abs(w["flat"]) < 1e-9
 
 
+def test_trees_of_many_rows_are_fitted_in_groups(world, monkeypatch, tmp_path):
+    params = {"numTrees": 60, "maxDepth": 4}
+    assert len(N.fit_classifier(world, COLS, **params).forests()) == 1
+    monkeypatch.setattr(N, "ONE_FIT_ROWS", 100)
+    model = N.fit_classifier(world, COLS, **params)
+    # all trees are there, and no two groups draw the same
+    assert [m.getNumTrees for m in model.forests()] == [25, 25, 10]
+    assert len({m.toDebugString.split("\n", 1)[1] for m in model.forests()}) == 3
+    scored = model.score(world)
+    share = F.col("p_home") + F.col("p_movie") + F.col("p_sleeping")
+    r = X.with_prediction(scored, model.classes).agg(F.avg("correct"), F.min(share), F.max(share), F.count("*")).first()
+    assert r[0] > 0.95 and r[1] == pytest.approx(1.0) and r[2] == pytest.approx(1.0) and r[3] == world.count()
+    assert not [c for c in scored.columns if c.startswith("_")]
+    model.save(f"{tmp_path}/forest")
+    again = N.ClassModel.load(f"{tmp_path}/forest")
+    key = lambda df: df.orderBy("row_id").select("p_home", "p_movie", "p_sleeping").collect()
+    assert key(again.score(world)) == key(scored)
+    got = path_attribution(model, N.align(world, COLS), "row_id")
+    gap = F.abs(F.aggregate("weights", F.col("base"), lambda a, v: a + v) - F.col("confidence"))
+    assert got.agg(F.max(gap)).first()[0] < 1e-9
+
+
 def test_calibrated_rows_sum_to_one(world):
     model = N.fit_classifier(world, COLS, "logistic", maxIter=10)
     scored = model.score(world)
