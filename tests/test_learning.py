@@ -1,5 +1,8 @@
 """Contracts of the fitted operators."""
 
+import threading
+import time
+
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -67,6 +70,44 @@ def test_trees_of_many_rows_are_fitted_in_groups(world, monkeypatch, tmp_path):
     assert got.agg(F.max(gap)).first()[0] < 1e-9
 
 
+def test_search_judges_every_draw_on_every_fold(world, monkeypatch):
+    running, most, guard = [0], [0], threading.Lock()
+    real = N.RandomForestClassifier
+
+    def counted(**params):
+        est = real(**params)
+        fit = est.fit
+
+        def slow(df):
+            with guard:
+                running[0] += 1
+                most[0] = max(most[0], running[0])
+            try:
+                time.sleep(0.5)
+                return fit(df)
+            finally:
+                with guard:
+                    running[0] -= 1
+
+        est.fit = slow
+        return est
+
+    class Single:
+        def __init__(self, stages):
+            self.est = stages[0]
+
+        def fit(self, df):
+            return N.PipelineModel([self.est.fit(df)])
+
+    monkeypatch.setattr(N, "RandomForestClassifier", counted)
+    monkeypatch.setattr(N, "Pipeline", Single)
+    folds = N.folds_of(world, 14 * 1440, 2, 3)
+    params, f1 = N.search(world, COLS, folds, n_draws=2, trees=3, parallelism=6)
+    assert params["numTrees"] == 3 and 0.9 < f1 <= 1
+    # folds of one draw do not wait for each other
+    assert most[0] > 2
+
+
 def test_calibrated_rows_sum_to_one(world):
     model = N.fit_classifier(world, COLS, "logistic", maxIter=10)
     scored = model.score(world)
