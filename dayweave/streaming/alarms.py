@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -72,12 +73,17 @@ def silence_alarm(stream: DataFrame, source: str, quiet_s: float = 21_600, renew
     return rows.transformWithStateInPandas(SilenceAlarm(quiet_s, renew_s), "source string, status string, at_ms long, seen_ms long", "Append", "ProcessingTime", initialState=first)
 
 
+#: Changes that wait for the watermark are held in blocks of so many milliseconds.
+BLOCK_MS = 600_000
+
+
 class Debounce(StatefulProcessor):
     """STR-03: one row per person for a burst of changes, and one for every quiet interval.
 
     The first change opens a burst; `wait_s` seconds later the person is handed on once, with the number
     of changes that came meanwhile. `tick_s` seconds after a person was handed on without a change since,
-    it is handed on again. Only counts by time are held, and one timer per person.
+    it is handed on again. Only counts by time are held, and one timer per person. The counts of a block of time are
+    one entry of the state, so the calls to it grow with the time that waits and not with the changes.
     """
 
     def __init__(self, wait_s: float, tick_s: float | None, event_time: bool):
@@ -85,39 +91,52 @@ class Debounce(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # changes that the watermark has not passed yet
-        self.waiting = handle.getMapState("waiting", "at long", "n long")
+        # changes that the watermark has not passed yet, in order
+        self.waiting = handle.getMapState("waiting", "block long", "at array<long>, n array<long>")
         self.state = handle.getValueState("state", "opened long, n long, out long, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got: dict[int, int] = {}
-        for pdf in rows:
-            for at, n in pdf["ms"].value_counts().items():
-                got[int(at)] = got.get(int(at), 0) + int(n)
+        got = pd.concat([pdf["ms"].value_counts() for pdf in rows]).groupby(level=0).sum()
         if not self.event_time:
             now = timerValues.getCurrentProcessingTimeInMs()
-            yield self._settle(key, [(now, sum(got.values()))], now)
+            yield self._settle(key, [(now, int(got.sum()))], now)
             return
         upto = timerValues.getCurrentWatermarkInMs()
-        for at, n in got.items():
-            held = self.waiting.getValue((at,))[0] if self.waiting.containsKey((at,)) else 0
-            self.waiting.updateValue((at,), (held + n,))
-        yield self._settle(key, self._passed(upto), upto)
+        held = {k[0] for k in self.waiting.keys()}
+        for block, part in got.groupby(got.index.astype("int64") // BLOCK_MS):
+            fresh = dict(zip(part.index.astype("int64").tolist(), part.tolist()))
+            if block in held:
+                for at, n in zip(*self.waiting.getValue((int(block),))):
+                    fresh[int(at)] = fresh.get(int(at), 0) + int(n)
+            times = sorted(fresh)
+            self.waiting.updateValue((int(block),), (times, [fresh[t] for t in times]))
+        changes, later = self._passed(upto)
+        yield self._settle(key, changes, upto, later)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
-        yield self._settle(key, self._passed(upto) if self.event_time else [], upto)
-
-    def _passed(self, upto: int) -> list[tuple[int, int]]:
-        ready = sorted((k[0], v[0]) for k, v in self.waiting.iterator() if k[0] < upto)
-        for at, _ in ready:
-            self.waiting.removeKey((at,))
-        return ready
+        changes, later = self._passed(upto) if self.event_time else ([], -1)
+        yield self._settle(key, changes, upto, later)
+
+    def _passed(self, upto: int) -> tuple[list[tuple[int, int]], int]:
+        """Changes before the watermark, taken out of the state, and the time of the first that stays (−1: none)."""
+        ready: list[tuple[int, int]] = []
+        for block in sorted(k[0] for k in self.waiting.keys()):
+            times, counts = ([int(v) for v in held] for held in self.waiting.getValue((block,)))
+            cut = bisect_left(times, upto)
+            ready += zip(times[:cut], counts[:cut])
+            if cut == len(times):
+                self.waiting.removeKey((block,))
+                continue
+            if cut:
+                self.waiting.updateValue((block,), (times[cut:], counts[cut:]))
+            return ready, times[cut]
+        return ready, -1
 
     def _due(self, opened: int, out: int) -> int:
         return opened + self.wait if opened >= 0 else out + self.tick if out >= 0 and self.tick else -1
 
-    def _settle(self, key, changes: list[tuple[int, int]], upto: int) -> pd.DataFrame:
+    def _settle(self, key, changes: list[tuple[int, int]], upto: int, later: int = -1) -> pd.DataFrame:
         opened, n, out, armed = tuple(self.state.get()) if self.state.exists() else (-1, 0, -1, -1)
         rows = []
         for at, held in [*changes, (upto, 0)]:
@@ -127,9 +146,8 @@ class Debounce(StatefulProcessor):
             if held:
                 opened, n = (at if opened < 0 else opened), n + held
         due = self._due(opened, out)
-        if self.event_time:
-            later = [k[0] + 1 for k in self.waiting.keys()]
-            due = min([*later, *([due] if due >= 0 else [])], default=-1)
+        if later >= 0:
+            due = min(later + 1, due) if due >= 0 else later + 1
         if due != armed:
             if armed > upto:
                 self.handle.deleteTimer(armed)

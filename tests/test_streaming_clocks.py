@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,71 @@ def test_debounce_over_batches_and_a_restart_equals_one_pass(spark):
     assert all(sum(n for _, _, n in want[p]) == len(times[p]) for p in "xyz")
 
 
+class CountedState:
+    """Stands for the state of one person, and counts the calls that would each go to Spark."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = 0, {}, set()
+
+    def getMapState(self, name, *_):
+        return self
+
+    def getValueState(self, name, *_):
+        return Value(self)
+
+    def __getattr__(self, name):
+        do = {"keys": lambda: iter(list(self.values)), "iterator": lambda: iter(list(self.values.items())), "getValue": lambda k: self.values[k], "containsKey": lambda k: k in self.values,
+              "updateValue": lambda k, v: self.values.__setitem__(k, v), "removeKey": lambda k: self.values.pop(k), "registerTimer": self.timers.add, "deleteTimer": self.timers.discard}[name]
+
+        def call(*args):
+            self.calls += 1
+            return do(*args)
+
+        return call
+
+
+class Value:
+    def __init__(self, handle):
+        self.handle, self.held = handle, None
+
+    def exists(self):
+        self.handle.calls += 1
+        return self.held is not None
+
+    def get(self):
+        self.handle.calls += 1
+        return self.held
+
+    def update(self, v):
+        self.handle.calls += 1
+        self.held = v
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_debounce_calls_its_state_by_time_and_not_by_change():
+    hour, got = 3_600_000, {}
+    for step in (3_600, 36):  # a thousand and a hundred thousand changes of an hour
+        handle = CountedState()
+        p = A.Debounce(3, 60, True)
+        p.init(handle)
+        times = list(range(0, hour, step))
+        first, second = pd.DataFrame({"ms": times[::2] + times[:1]}), pd.DataFrame({"ms": times[1::2]})
+        out = [*p.handleInputRows(("y",), iter([first]), Clock(0)), *p.handleInputRows(("y",), iter([second]), Clock(hour // 2))]
+        out += p.handleExpiredTimer(("y",), Clock(hour - 10_000), None)
+        rows = [r for pdf in out for r in pdf.itertuples(index=False)]
+        want = debounced([t for t in [times[0], *times] if t < hour - 10_000], hour - 10_000, 3000, 60_000)
+        assert [(r.at_ms, r.reason, r.n) for r in rows] == want
+        got[step] = handle.calls
+    assert got[36] == got[3_600] < 100
+
+
 def test_debounce_by_the_clock_ticks_without_input(spark):
     path = scratch_path(spark, "live")
     deliver(spark, path, 0, [(at(0), "p")] * 5, "ts timestamp, person string")
