@@ -84,7 +84,13 @@ def looks_direct(entity_id: Column) -> Column:
 
 def heuristic_bindings(entities: DataFrame, order: str) -> DataFrame:
     """PRD-20: suggested, gated and uniquely named bindings; the n-th use of a name gets n − 1 "_2"."""
-    e = entities.withColumn("role", suggest_role(F.col("entity_id"), F.col("friendly_name"), F.col("device_class"), F.col("unit")))
+    from ..session import materialise
+
+    spark = entities.sparkSession
+    # the patterns cost far more than reading the rows, and names grow with their number: both are spread into a given
+    # number of parts, as adaptive plans see only short rows; the rows are written, or filters by pattern would move before the spread
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    e = materialise(entities.repartition(parts, order), "entities").withColumn("role", suggest_role(F.col("entity_id"), F.col("friendly_name"), F.col("device_class"), F.col("unit")))
     # 13 roles and their fixed domains, as a lookup the role column is joined to
     pairs = [(r, d) for r, ds in L.ROLE_DOMAINS.items() for d in ds]
     domains = entities.sparkSession.createDataFrame(pairs, "role string, _domain string")
@@ -93,7 +99,8 @@ def heuristic_bindings(entities: DataFrame, order: str) -> DataFrame:
     ok = e.withColumn("_domain", dom).where(~barred).join(F.broadcast(domains), ["role", "_domain"]).drop("_domain")
     slug = slugify(F.col("entity_id"))
     rn = F.row_number().over(Window.partitionBy("slug").orderBy(order))
-    return ok.withColumn("slug", slug).withColumn("name", F.concat("slug", F.repeat(F.lit("_2"), rn - 1))).drop("slug")
+    numbered = ok.withColumn("slug", slug).withColumn("_n", rn).repartition(parts, "slug", "_n")
+    return numbered.withColumn("name", F.concat("slug", F.repeat(F.lit("_2"), F.col("_n") - 1))).drop("slug", "_n")
 
 
 # --- scope and ownership (PRD-07..09) -----------------------------------------------------------

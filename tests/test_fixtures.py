@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from dayweave.functions import ranks, segments
 from dayweave.functions.predicates import compile_predicate, with_composites
 from dayweave.operators import chains, insight, joins, recipes, runs, scoring, stats, timeline, windows
+from dayweave.operators import metadata as M
 
 
 def minute_rows(spark, rows):
@@ -199,3 +200,12 @@ def test_a_user_recipe_is_a_column_of_the_features(spark):
     assert out[300].sofa_weighted_square == pytest.approx(sum((i % 3) ** 2 for i in range(30)) / 30) and out[300].gone_weighted_square == -5.0
     with pytest.raises(ValueError):
         recipes.user_recipe("nothing", "x")
+
+
+def test_equal_names_are_numbered_and_made_in_many_tasks(spark):
+    rows = spark.range(300).coalesce(1).select(F.col("id").alias("part_id"), F.lit("binary_sensor.bed_occupancy").alias("entity_id"), F.lit("Bed").alias("friendly_name"), F.lit("occupancy").alias("device_class"), F.lit(None).cast("string").alias("unit"))
+    got = M.heuristic_bindings(rows, "part_id").withColumn("task", F.spark_partition_id()).select("part_id", "name", "task").collect()
+    slug = min((r.name for r in got), key=len)
+    assert len(got) == 300 and {r.part_id: r.name for r in got} == {i: slug + "_2" * i for i in range(300)}
+    # one slug was one task before
+    assert len({r.task for r in got}) > 4
