@@ -35,6 +35,26 @@ def test_scope_and_gates_of_one_home_are_spread(spark):
     assert sorted(map(tuple, scoring.earned_gates(facts, verdicts, people).collect())) == gates
 
 
+def test_frequent_columns_are_matched_in_many_tasks(spark):
+    """A column of most rows, with a binding or without, and rows without a column are not left to one task."""
+    said = {"hour_of_day": None, "hall_door_1_max_w": "hall_door_1", "hall_2_on_frac_lag1": "hall_2", None: None}
+    rows = [(i, [*said][i % 7 % 3] if i % 10 else None) for i in range(20_000)] + [(20_000 + i, f"hall_{i % 9}_mean") for i in range(100)]
+    names = spark.createDataFrame([("hall", 7), *[(f"hall_{i}", i) for i in range(5)], ("hall_door_1", 9)], "name string, role int")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for c, v in zip(kept, ("false", "-1")):
+            spark.conf.set(c, v)
+        got = metadata.match_binding(spark.createDataFrame(rows, "id int, feature string"), names).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    want = lambda f: said[f] if f in said else f[:6] if int(f[5]) < 5 else "hall"
+    assert sorted((r.id, r.name) for r in got) == sorted((i, want(f)) for i, f in rows)
+    assert {r.suffix for r in got if r.feature == "hall_door_1_max_w"} == {"max_w"} and {r.role for r in got if r.feature == "hall_2_on_frac_lag1"} == {2}
+    held = [r.task for r in got]
+    assert max(held.count(t) for t in set(held)) < 0.4 * len(rows)
+
+
 @pytest.fixture(scope="module")
 def cards(spark):
     rng = random.Random(3)
