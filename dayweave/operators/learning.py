@@ -18,6 +18,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import scoring, stats
 from .boosting import SoftmaxBooster
 
@@ -369,18 +370,32 @@ def reduce_dims(df: DataFrame, n_columns: int, variance: float = 0.9, most: int
     return model.transform(df).withColumn(out, array_to_vector(cut)).drop("_pc"), k
 
 
-def _near(pdf, radius: float):
-    """Index pairs within the radius of one task: a block against itself, or two blocks."""
+def _near(x, left, right, radius: float):
+    """Index pairs within the radius, of the rows `left` and `right` of a task, and their distances."""
     import numpy as np
 
-    x, side = np.stack(pdf["x"].to_numpy()), pdf["side"].to_numpy()
+    norm, step = (x**2).sum(1), max(1, (1 << 20) // max(1, len(right)))
+    for at in range(0, len(left) if len(right) else 0, step):
+        rows = left[at : at + step]
+        square = ((x[rows, None, :] - x[None, right, :]) ** 2).sum(-1) if x.shape[1] <= 4 else (norm[rows][:, None] + norm[right][None]) - 2 * x[rows] @ x[right].T
+        # roots of the few near ones only; the margin is above their rounding
+        i, j = np.nonzero(square <= radius**2 * (1 + 1e-9))
+        d = np.sqrt(np.maximum(square[i, j], 0))
+        near = d <= radius
+        yield rows[i[near]], right[j[near]], d[near]
+
+
+def _sides(pdf):
+    """Vectors of a task and the places of its rows: a block against itself, or two blocks."""
+    import numpy as np
+
+    side = pdf["side"].to_numpy()
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    right = right if len(right) else left
-    for at in range(0, len(left), 512):
-        rows = left[at : at + 512]
-        d = np.sqrt(np.maximum(((x[rows, None, :] - x[None, right, :]) ** 2).sum(-1), 0)) if x.shape[1] <= 4 else np.sqrt(np.maximum((x[rows] ** 2).sum(1)[:, None] + (x[right] ** 2).sum(1)[None] - 2 * x[rows] @ x[right].T, 0))
-        i, j = np.nonzero(d <= radius)
-        yield rows[i], right[j], d[i, j], right is left
+    return np.stack(pdf["x"].to_numpy()), left, right if len(right) else left, not len(right)
+
+
+#: Blocks that all rows are cut into, so that a row goes to so many tasks; a block has at most so many rows.
+SIDE_BLOCKS, MOST_IN_BLOCK = 32, 200_000
 
 
 def density_clusters(df: DataFrame, key: str, radius: float, min_points: int, col: str = "reduced", min_cluster: int = 1, block: int = 2_000) -> DataFrame:
@@ -392,17 +407,20 @@ def density_clusters(df: DataFrame, key: str, radius: float, min_points: int, co
 
     Rows meet in cells of side `radius` over the two leading components, which never hides a pair, and
     distances are over all of them. Equal vectors are one row, crowded cells are cut into blocks, a task
-    compares two blocks, and reports counts and a spanning forest, never the pairs.
+    compares two blocks, and reports counts and a spanning forest, never the pairs. Blocks grow with the
+    rows, from `block` on, so that what is shuffled grows as the rows do; blocks without a core meet no
+    other such block a second time.
     """
     import pandas as pd
 
     from ..functions.components import components
-    from ..session import materialise
 
     rows = df.withColumn("_x", vector_to_array(col))
     cell = F.transform(F.slice("_x", 1, 2), lambda v: F.floor(v / radius).cast("long"))
     points = rows.groupBy("_x").agg(F.min(F.col(key).cast("long")).alias("node"), F.count(F.lit(1)).alias("n")).withColumn("cell", cell)
-    sized = points.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    points = materialise(points, "distinct-points")
+    most = max(block, min(MOST_IN_BLOCK, -(-points.count() // SIDE_BLOCKS)))
+    sized = points.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("blocks"))
     placed = materialise(points.join(sized, "cell").select("node", "n", F.col("_x").alias("x"), F.struct("cell", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("b")).alias("home")), "points")
     # one row per pair of neighbouring blocks
     blocks = sized.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"))
@@ -417,16 +435,18 @@ def density_clusters(df: DataFrame, key: str, radius: float, min_points: int, co
         import numpy as np
 
         n, total = pdf["n"].to_numpy(), np.zeros(len(pdf))
-        for i, j, _, same in _near(pdf, radius):
-            np.add.at(total, i, n[j])
+        x, left, right, same = _sides(pdf)
+        for i, j, _ in _near(x, left, right, radius):
+            total += np.bincount(i, n[j], len(pdf))
             if not same:
-                np.add.at(total, j, n[i])
+                total += np.bincount(j, n[i], len(pdf))
         return pd.DataFrame({"node": pdf["node"], "held": total.astype("int64")})
 
     def links(pdf):
         import numpy as np
 
         node, core = pdf["node"].to_numpy(), pdf["core"].to_numpy()
+        x, left, right, same = _sides(pdf)
         up = np.arange(len(pdf))
 
         def root(k):
@@ -436,23 +456,29 @@ def density_clusters(df: DataFrame, key: str, radius: float, min_points: int, co
             return k
 
         tree, near = [], {}
-        for i, j, d, same in _near(pdf, radius):
-            both = core[i] & core[j] & (i != j)
-            for x, y in zip(i[both].tolist(), j[both].tolist()):
-                x, y = root(x), root(y)
-                if x != y:
-                    up[max(x, y)] = min(x, y)
-                    tree.append((node[x], node[y]))
-            for x, y in ((i, j),) if same else ((i, j), (j, i)):
-                one = ~core[x] & core[y]
-                for k, c, v in zip(node[x[one]].tolist(), node[y[one]].tolist(), d[one].tolist()):
+        # pairs with a core: all rows against the cores, and of two blocks also the cores against the others
+        for some, others in ((left, right[core[right]]), *(() if same else ((left[core[left]], right[~core[right]]),))):
+            for i, j, d in _near(x, some, others, radius):
+                both = core[i] & core[j]
+                a, b = up[i[both]], up[j[both]]
+                apart = np.unique(np.minimum(a, b)[a != b] * len(pdf) + np.maximum(a, b)[a != b])
+                for one, two in zip((apart // len(pdf)).tolist(), (apart % len(pdf)).tolist()):
+                    one, two = root(one), root(two)
+                    if one != two:
+                        up[max(one, two)] = min(one, two)
+                        tree.append((node[one], node[two]))
+                while (up != up[up]).any():
+                    up = up[up]
+                border, held = np.where(core[i], j, i)[~both], np.where(core[i], i, j)[~both]
+                for k, c, v in zip(node[border].tolist(), node[held].tolist(), d[~both].tolist()):
                     near[k] = min(near.get(k, (v, c)), (v, c))
         out = [(max(x, y), min(x, y), None) for x, y in tree] + [(k, c, v) for k, (v, c) in near.items()]
         return pd.DataFrame(out, columns=["a", "b", "d"])
 
     held = placed.join(tasks, "home").groupBy("task").applyInPandas(counts, "node long, held long").groupBy("node").agg(F.sum("held").alias("held"))
     cored = materialise(placed.join(held, "node").withColumn("core", F.col("held") >= min_points), "cores")
-    found = materialise(cored.join(tasks, "home").groupBy("task").applyInPandas(links, "a long, b long, d double"), "core-links")
+    linking = tasks.join(tasks.join(cored.where("core").select("home").distinct(), "home", "left_semi").select("task").distinct(), "task")
+    found = materialise(cored.join(linking, "home").groupBy("task").applyInPandas(links, "a long, b long, d double"), "core-links")
     roots = components(found.where("d is null").select("a", "b"))
     cores = cored.where("core").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("cluster"))
     borders = found.where("d is not null").groupBy(F.col("a").alias("border")).agg(F.min_by("b", F.struct("d", "b")).alias("node")).join(cores, "node").select(F.col("border").alias("node"), "cluster")
@@ -492,6 +518,7 @@ def pattern_cards(clustered: DataFrame, columns: list[str], minute: str = "minut
     """ML-32: per cluster its size, signature, hour histogram and member windows (the first `most`, all if None)."""
     from . import insight, topk
 
+    clustered = materialise(clustered.select("cluster", *dict.fromkeys([minute, *columns])), "clustered")
     known = clustered.where(F.col("cluster") != -1)
     long = stats.unpivot(clustered.select("cluster", *[F.col(c).cast("double").alias(c) for c in columns]), ["cluster"], columns)
     sig = topk.signature(long, ["cluster"]).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda e: e["feature"]).alias("features"))

@@ -186,6 +186,26 @@ def test_density_equals_brute_force_in_any_dimension(spark, dims, block):
     assert small.where("cluster <> -1").count() == 0
 
 
+def test_blocks_of_rows_grow_with_their_number(spark, monkeypatch):
+    """A row goes to as many tasks as there are blocks; they were as many as the rows need at one size."""
+    import numpy as np
+
+    x = np.random.default_rng(9).normal(0, 0.3, (600, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, x array<double>").withColumn("reduced", array_to_vector("x"))
+    kept, sizes = N.materialise, {}
+
+    def watched(df, name):
+        out = kept(df, name)
+        sizes[name] = out.count() if name != "block-pairs" else out.select("home").distinct().count()
+        return out
+
+    monkeypatch.setattr(N, "materialise", watched)
+    monkeypatch.setattr(N, "SIDE_BLOCKS", 4)
+    got = N.density_clusters(df, "row_id", 0.8, 5, block=10).select("row_id", "cluster").collect()
+    assert {r.row_id: r.cluster for r in got} == brute_clusters(dict(enumerate(x.tolist())), 0.8, 5)
+    assert sizes["block-pairs"] <= 4 + 2 * 4  # four cells, each with a block that is not full
+
+
 def test_a_large_cluster_keeps_all_its_windows(spark):
     df = spark.range(1500).select("id", (F.col("id") * 30).alias("minute"), F.lit(7).cast("long").alias("cluster"), F.col("id").cast("double").alias("v"))
     r = N.pattern_cards(df, ["v"]).first()
