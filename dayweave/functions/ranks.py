@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 SPLITS = 64
 STEP = 8
 
@@ -38,7 +40,8 @@ def value_cdf(df: DataFrame, keys: list[str], value: str, extra=None, weight: st
         F.sum("n").alias("n_total"),
     )
     every = F.filter("_all", lambda c, i: i % STEP == STEP - 1)
-    cuts = sketch.select(*keys, F.struct(F.col("_all").alias("all"), every.alias("every")).alias("_cuts"), "n_total")
+    # written once: a sketch depends on the order in which its parts arrive, and rows and offsets need the same cuts
+    cuts = materialise(sketch.select(*keys, F.struct(F.col("_all").alias("all"), every.alias("every")).alias("_cuts"), "n_total"), "rank-cuts")
     if keys:
         joined = counted.join(cuts, keys)
     else:

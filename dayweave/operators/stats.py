@@ -39,11 +39,11 @@ def psi(long: DataFrame, keys: list[str], bins: int = PSI_BINS) -> DataFrame:
     long: (keys, side in {expected, actual}, value). Values outside the expected range fall in no
     bin but stay in the denominator.
     """
-    # equal values collapse once; quantiles, totals and bins are read from what is left
-    rows = materialise(long.where(F.col("value").isNotNull()).groupBy(*keys, "side", "value").agg(F.count(F.lit(1)).alias("_n")), "drift-values")
-    exp = rows.where(F.col("side") == "expected")
+    # equal values collapse once, of both sides; quantiles, totals and bins are read from what is left
+    sides = {"_e": F.count_if(F.col("side") == "expected"), "_a": F.count_if(F.col("side") != "expected")}
+    rows = materialise(long.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(*[c.alias(n) for n, c in sides.items()]), "drift-values")
     names = {f"q{i}": i / bins for i in range(bins + 1)}
-    q = quantiles(exp, keys, "value", names, weight="_n")
+    q = quantiles(rows.where("_e > 0"), keys, "value", names, weight="_e")
     edges = q.select(*keys, F.array_sort(F.array_distinct(F.array(*names))).alias("edges")).where(F.size("edges") >= 3)
     # one row of at most 11 edges per key: the row side is never the small one
     cut = rows.join(edges, keys)
@@ -52,11 +52,8 @@ def psi(long: DataFrame, keys: list[str], bins: int = PSI_BINS) -> DataFrame:
         (F.col("value") < last) & (F.col("value") >= F.element_at("edges", 1)),
         F.size(F.filter("edges", lambda e: e <= F.col("value"))),
     )
-    is_exp = F.col("side") == "expected"
-    counts = cut.groupBy(*keys, idx.alias("bin"), F.size("edges").alias("m")).agg(
-        F.sum(F.when(is_exp, F.col("_n")).otherwise(0)).alias("e"), F.sum(F.when(~is_exp, F.col("_n")).otherwise(0)).alias("a")
-    )
-    tot = rows.groupBy(*keys).agg(F.sum(F.when(is_exp, F.col("_n")).otherwise(0)).alias("ne"), F.sum(F.when(~is_exp, F.col("_n")).otherwise(0)).alias("na"))
+    counts = cut.groupBy(*keys, idx.alias("bin"), F.size("edges").alias("m")).agg(F.sum("_e").alias("e"), F.sum("_a").alias("a"))
+    tot = rows.groupBy(*keys).agg(F.sum("_e").alias("ne"), F.sum("_a").alias("na"))
     shape = edges.select(*keys, F.explode(F.sequence(F.lit(1), F.size("edges") - 1)).alias("bin"))
     full = shape.join(counts.where("bin is not null"), [*keys, "bin"], "left").join(tot, keys)
     pe = F.greatest(F.coalesce("e", F.lit(0)) / F.col("ne"), F.lit(1e-6))

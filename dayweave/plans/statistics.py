@@ -37,10 +37,10 @@ def sta_wilson(spark, sf):
 
 
 def drift_long(spark, sf):
-    li = T.load(spark, sf, "lineitem").select("l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    long = X.unpivot(li, ["l_shipdate"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    # the side of a line is found once, not for each of its four values
     side = F.when(F.col("l_shipdate") < F.lit("1998-06-01").cast("timestamp_ntz"), "expected").otherwise("actual")
-    return long.select("feature", side.alias("side"), "value")
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return X.unpivot(T.load(spark, sf, "lineitem").select(side.alias("side"), *columns), ["side"], columns)
 
 
 PSI_SQL = """WITH q AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, [0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1]))) AS e FROM lilong WHERE side='expected' GROUP BY feature),

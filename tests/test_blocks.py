@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
-from dayweave.functions import blocks
-from dayweave.operators import boosting, joins, metadata, scoring, topk
+from dayweave.functions import blocks, ranks
+from dayweave.operators import boosting, joins, metadata, scoring, stats, topk
+from dayweave.streaming import corrections
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -55,6 +57,66 @@ def test_frequent_columns_are_matched_in_many_tasks(spark):
     assert max(held.count(t) for t in set(held)) < 0.4 * len(rows)
 
 
+def test_drift_reads_a_value_once_and_cuts_ranks_once(spark, monkeypatch):
+    """Both sides of a value are one row, and rows and offsets have the same cuts, however a sketch comes out again."""
+    long = spark.range(4000).select(F.lit("v").alias("feature"), F.when(F.col("id") % 2 == 0, "expected").otherwise("actual").alias("side"), (F.floor(F.col("id") / 2) % 500).cast("double").alias("value"))
+    kept, rows = stats.materialise, []
+
+    def watched(df, name):
+        out = kept(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(stats, "materialise", watched)
+    got = stats.psi(long, ["feature"]).first()
+    assert (round(got.psi, 9), got.n_expected, got.n_actual) == (0, 2000, 2000) and rows == [500]
+    plan = ranks.value_cdf(long, ["feature"], "value")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in plan
+
+
+class _Handle:
+    """The state of one series, with a count of the calls to it."""
+
+    def __init__(self):
+        self.map, self.calls, self.timers = {}, 0, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def registerTimer(self, _):
+        self.timers += 1
+
+    def _called(self, value):
+        self.calls += 1
+        return value
+
+    def keys(self):
+        return self._called(iter(list(self.map)))
+
+    def containsKey(self, k):
+        return self._called(k in self.map)
+
+    def getValue(self, k):
+        return self._called(self.map[k])
+
+    def updateValue(self, k, v):
+        self.map[k] = self._called(v)
+
+
+def test_corrections_ask_the_state_once_for_the_windows_held():
+    got = corrections.LastWrite(False, 30)
+    got.init(handle := _Handle())
+    at = 1_800_000_000 * np.arange(200)
+    first = pd.DataFrame({"us": at, "write_seq": range(200), "num": [None, *[1.0] * 199], "str": ["on", *[None] * 199]})
+    (out,) = got.handleInputRows(("p", "b"), iter([first]), None)
+    assert len(out) == 200 and handle.calls <= 201 and handle.timers == 200
+    later = first.assign(num=[None, 2.0, *[1.0] * 198], write_seq=first["write_seq"] + 500)
+    (out,) = got.handleInputRows(("p", "b"), iter([later]), None)
+    assert [tuple(r) for r in out[["us", "op", "num"]].to_numpy()] == [(at[1], -1, 1.0), (at[1], 1, 2.0)]
+    (out,) = got.handleInputRows(("p", "b"), iter([later, first]), None)
+    assert len(out) == 0 and handle.timers == 200
+
+
 @pytest.fixture(scope="module")
 def cards(spark):
     rng = random.Random(3)
