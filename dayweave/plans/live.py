@@ -197,11 +197,12 @@ def corrected_stream(spark, sf):
     """Readings, then corrections of some of them, then a part of both once more: three deliveries, one micro-batch each."""
     rows = T.readings(spark, sf).select("person", "binding", "ts", "num", "str", "write_seq")
     later = rows.where("write_seq % 5 = 0").withColumns({"num": F.col("num") * 2, "write_seq": F.col("write_seq") + 1_000_000_000})
-    path = scratch_path(spark, "deliveries")
+    path, files = scratch_path(spark, "deliveries"), spark.sparkContext.defaultParallelism
     for i, part in enumerate((rows, later, rows.where("write_seq % 3 = 0").unionByName(later.where("write_seq % 2 = 0")))):
-        part.coalesce(1).write.parquet(f"{path}/{i}")
+        # as many files each, so that one micro-batch is one delivery, written and read by many tasks
+        part.repartition(files, "write_seq").write.parquet(f"{path}/{i}")
     S.use_rocksdb(spark)
-    return S.file_source(spark, f"{path}/*", rows.schema, files_per_trigger=1)
+    return S.file_source(spark, f"{path}/*", rows.schema, files_per_trigger=files)
 
 
 @query("str_corrected_readings", "STR-08", f"WITH {LAST_SQL} SELECT person, binding, epoch_us(ts) AS us, r.num AS num, r.str AS str FROM l")

@@ -17,13 +17,20 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 CHANGES = "person string, binding string, us long, op int, num double, str string, write_seq long"
 WINDOWS = "person string, binding string, window_start long, n long, total double, vmax double, last double, version long"
+#: Windows that are one entry of the state.
+TOGETHER = 24
+#: With more blocks of windows than these in a batch, the state is asked once which of them it holds.
+FEW = 16
 
 
 class LastWrite(StatefulProcessor):
-    """State of a series: the rows of a window are one entry, so a batch touches only the windows it brings."""
+    """State of a series: the rows of a block of windows are one entry, so a batch touches only the blocks it brings.
+
+    The calls to the state grow with the time that is held and not with the windows; rows are held until their block ends.
+    """
 
     def __init__(self, windows: bool, width_min: int):
-        self.windows, self.width = windows, width_min
+        self.windows, self.width, self.block = windows, width_min, width_min * TOGETHER
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -32,31 +39,35 @@ class LastWrite(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fresh: dict[int, list[tuple]] = {}
         for pdf in rows:
-            for us, seq, num, text in zip(pdf["us"], pdf["write_seq"], pdf["num"], pdf["str"]):
-                at = int(us) // 60_000_000
-                fresh.setdefault(at - at % self.width, []).append((int(us), int(seq), None if pd.isna(num) else float(num), None if pd.isna(text) else str(text)))
+            us, num, text = pdf["us"].astype("int64"), pdf["num"].astype("float64"), pdf["str"].astype("object")
+            at = us // 60_000_000
+            lists = (at - at % self.block).tolist(), us.tolist(), pdf["write_seq"].astype("int64").tolist(), num.tolist(), text.where(text.notna(), None).tolist()
+            for start, *row in zip(*lists):
+                fresh.setdefault(start, []).append(row)
+        # one call for the blocks that are held, and not one for each that comes
+        held = {k[0] for k in self.held.keys()} if len(fresh) > FEW else None
         out = []
         for start, new in sorted(fresh.items()):
-            before = self._read(start)
+            before = self._read(start) if held is None or start in held else {}
             after = dict(before)
             for us, seq, num, text in new:
                 # equal numbers are one write delivered twice
                 if us not in after or seq > after[us][0]:
-                    after[us] = (seq, num, text)
-            changed = sorted(us for us in after if us not in before or before[us][1:] != after[us][1:])
-            if after != before:
+                    after[us] = (seq, None if num != num else num, text)
+            written = sorted({r[0] for r in new if r[0] not in before or before[r[0]] != after[r[0]]})
+            changed = [us for us in written if us not in before or before[us][1:] != after[us][1:]]
+            if written:
                 times = sorted(after)
                 self.held.updateValue((start,), (times, [after[t][0] for t in times], [after[t][1] for t in times], [after[t][2] for t in times]))
                 if not before:
-                    self.handle.registerTimer((start + self.width) * 60_000)
-            if changed:
-                out += [self._window(key, start, after)] if self.windows else self._changes(key, changed, before, after)
+                    self.handle.registerTimer((start + self.block) * 60_000)
+            out += self._windows(key, changed, after) if self.windows else self._changes(key, changed, before, after)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in (WINDOWS if self.windows else CHANGES).split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # the watermark has passed these windows: no correction can come any more
+        # the watermark has passed these blocks: no correction can come any more
         done = timerValues.getCurrentWatermarkInMs()
-        for start in [k[0] for k in self.held.keys() if (k[0] + self.width) * 60_000 <= done]:
+        for start in [k[0] for k in self.held.keys() if (k[0] + self.block) * 60_000 <= done]:
             self.held.removeKey((start,))
         yield pd.DataFrame([], columns=[c.split()[0] for c in (WINDOWS if self.windows else CHANGES).split(", ")])
 
@@ -75,6 +86,14 @@ class LastWrite(StatefulProcessor):
             out.append((*key, us, 1, after[us][1], after[us][2], after[us][0]))
         return out
 
+    def _windows(self, key, changed: list[int], after: dict) -> list[tuple]:
+        start_of = lambda us: us // 60_000_000 - us // 60_000_000 % self.width
+        parts: dict[int, dict] = {start_of(us): {} for us in changed}
+        for us, row in after.items() if parts else ():
+            if (start := start_of(us)) in parts:
+                parts[start][us] = row
+        return [self._window(key, start, rows) for start, rows in parts.items()]
+
     def _window(self, key, start: int, rows: dict) -> tuple:
         nums = [(us, r[1]) for us, r in sorted(rows.items()) if r[1] is not None]
         values = [n for _, n in nums]
