@@ -3,7 +3,7 @@
 The last write of a (series, time) wins, by the number of the write. A later write replaces the value
 downstream: the change log retracts the old row and adds the new one, and a window whose rows changed in
 a micro-batch is given out again, once. A row delivered again changes nothing. Rows are held until
-the watermark is `keep` past their window; corrections that come later are dropped.
+the watermark is `keep` past their block of windows; corrections that come later are dropped.
 """
 
 from __future__ import annotations
