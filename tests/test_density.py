@@ -1,6 +1,7 @@
 """Hierarchical density clusters against a dense reference."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -120,3 +121,41 @@ def test_default_size_follows_the_group(spark):
     # seven rows are below the least size of eight
     assert {got[i] for i in range(60, 67)} == {-1} and sum(got[i] == 0 for i in range(60)) > 40 and len({got[i] for i in range(67, 87)} - {-1}) == 1
     assert D.density_tree(df.where("id < 0"), "id", "person").agg(F.count("*")).first()[0] == 0
+
+
+@pytest.mark.parametrize("least, lattice", [(75, False), (75, True), (9_000, False)])
+def test_core_distances_of_a_large_group_need_few_distances(least, lattice):
+    """Two blocks of a group of 3,000: what tasks hand on does not grow with the rank of the core distance."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 12, (3000, 3)).astype(float) if lattice else rng.normal(0, 1, (3000, 6)) * rng.choice([0.1, 3], (3000, 1))
+    n = rng.integers(1, 4, 3000)
+    pdf = pd.DataFrame({"no": np.arange(3000), "x": list(x), "n": n, "block": np.arange(3000) % 2, "least": least, "total": n.sum(), "far": (x**2).sum(1).max()})
+    pairs = lambda t: [t[t.block.isin(p)].assign(one=min(p), two=max(p)) for p in ((0,), (1,), (0, 1))]
+    beside = lambda t, fn, found: pd.concat([b.merge(fn(b, found[found.block == k] if "block" in found else found), on="no") for k, b in t.groupby("block")])
+    bordered = beside(pdf, D.borders, pdf.sample(1000, random_state=1)[["x", "n"]])
+    narrow = beside(bordered, D.next_borders, pd.concat([D.counts_between(p) for p in pairs(bordered)]))
+    near = pd.concat([D.near_rank(p) for p in pairs(narrow)])
+    got = beside(narrow, D.ranked_cores, near).sort_values("no")["core"].to_numpy()
+    d = np.sqrt(sum((x[:, None, c] - x[None, :, c]) ** 2 for c in range(x.shape[1])))
+    order = np.argsort(d, axis=1, kind="stable")
+    want = np.take_along_axis(d, order, 1)[np.arange(3000), (np.cumsum(n[order], axis=1) >= min(least, n.sum())).argmax(1)]
+    assert (got == want).all()
+    # a fortieth of the group for every row would be 225,000
+    assert sum(map(len, near["d"])) / 8 < 60_000 or least > 3000
+
+
+def test_rows_hang_on_neighbours_and_the_rest_is_joined_to_the_smallest_tree():
+    x = clouds(5)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = np.sort(d, axis=1)[:, 11]
+    m = np.maximum(np.maximum(d, core[:, None]), core[None])
+    pdf = pd.DataFrame({"node": np.arange(len(x)), "x": list(x), "core": core, "block": 0, "one": 0, "two": 0, "far": (x**2).sum(1).max()})
+    hung = D.hung_on(pdf)
+    assert (m[hung.node, hung.to] == hung.core).all() and len(hung) > 0.8 * len(x)
+    part = np.arange(len(x))
+    for r in hung.sort_values(["core", "node"]).itertuples():
+        part[r.node] = part[r.to]
+    edges = D.spanning_edges(pdf.assign(part=part))
+    whole = D.spanning_edges(pdf.assign(part=pdf.node))
+    assert len(edges) + len(hung) == len(x) - 1 == len(whole)
+    assert np.isclose(np.sort(np.append(edges.w, hung.core).astype(float)), np.sort(whole.w.astype(float))).all() and (m[edges.lo, edges.hi] == edges.w).all()
