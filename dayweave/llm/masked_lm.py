@@ -30,6 +30,8 @@ DIMS = 24
 HIDDEN = 32
 ROUNDS = 2
 STEP = 4096
+#: Exponents that far apart still add up in four bytes.
+SPAN = 80
 
 SHAPES = {"embed": (VOCAB + 1, DIMS), "place": (2 * REACH, DIMS), "mix": (DIMS, HIDDEN), "mix_bias": (HIDDEN,), "group": (HIDDEN, CLASSES), "group_bias": (CLASSES,), "word": (CLASSES, HIDDEN, CLASSES), "word_bias": (CLASSES, CLASSES)}
 
@@ -93,25 +95,24 @@ def contexts(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _lower(z: np.ndarray) -> None:
+    """Takes from each row what keeps its exponents finite; one top does for all rows unless their exponents could vanish."""
+    z -= z.max(1, keepdims=True) if len(z) and z.max() - z.min() > SPAN else z.max(initial=-np.inf)
 
 
-def _hidden(m: dict, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    total = np.zeros((len(around), DIMS), np.float32)
-    for k in range(2 * REACH):
-        total += m["embed"][around[:, k]] * m["place"][k]
-    return total, np.tanh(total @ m["mix"] + m["mix_bias"])
+def _row_sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def _sums(z: np.ndarray) -> np.ndarray:
+    return np.ones(len(z), z.dtype) @ z
 
 
 def _log_pick(z: np.ndarray, want: np.ndarray) -> np.ndarray:
-    """The log-softmax of one column in every row."""
-    top = z.max(1)
-    picked = z[np.arange(len(z)), want] - top
-    z -= top[:, None]
-    np.exp(z, out=z)
-    return picked - np.log(z.sum(1))
+    """The log-softmax of one column in every row; z is used up."""
+    _lower(z)
+    picked = z[np.arange(len(z)), want]
+    return picked - np.log(_row_sums(np.exp(z, out=z)))
 
 
 def log_chances(m: dict, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -119,59 +120,110 @@ def log_chances(m: dict, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     out = np.empty(len(ids))
     # what a word adds to the hidden layer at every place of the window
     adds = [(m["embed"] * m["place"][k]) @ m["mix"] for k in range(2 * REACH)]
+    words = _with_bias(m)
     for at in range(0, len(ids), 4 * STEP):
         part = slice(at, at + 4 * STEP)
         want, near = ids[part], around[part]
-        hidden = adds[0][near[:, 0]] + m["mix_bias"]
+        hidden = adds[0].take(near[:, 0], 0)
         for k in range(1, 2 * REACH):
-            hidden += adds[k][near[:, k]]
+            hidden += adds[k].take(near[:, k], 0)
+        hidden += m["mix_bias"]
         np.tanh(hidden, out=hidden)
         # ids are dealt to classes by remainder, so frequent words spread over all of them
         group, word = want % CLASSES, want // CLASSES
         got = _log_pick(hidden @ m["group"] + m["group_bias"], group).astype(float)
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for g in range(CLASSES):
-            own = order[bounds[g] : bounds[g + 1]]
-            if len(own):
-                got[own] += _log_pick(hidden[own] @ m["word"][g] + m["word_bias"][g], word[own])
+        order, held = _by_class(group)
+        mine, z = _with_one(hidden.take(order, 0)), np.empty((len(want), CLASSES), np.float32)
+        for g, own in held:
+            np.matmul(mine[own], words[g], out=z[own])
+        got[order] += _log_pick(z, word[order])
         out[part] = got
     return out
 
 
+def _with_one(hidden: np.ndarray) -> np.ndarray:
+    """hidden with a column of ones, which meets the biases."""
+    return np.concatenate([hidden, np.ones((len(hidden), 1), hidden.dtype)], axis=1)
+
+
+def _with_bias(m: dict) -> np.ndarray:
+    return np.concatenate([m["word"], m["word_bias"][:, None]], axis=1)
+
+
+def _by_class(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order in which the rows of a class lie side by side, and where those of each class lie."""
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    bounds = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(g, slice(lo, hi)) for g, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])) if lo < hi]
+
+
+def _gaps(z: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Softmax of every row less one in the wanted column, in place."""
+    _lower(z)
+    np.exp(z, out=z)
+    z /= _row_sums(z)[:, None]
+    z[np.arange(len(z)), want] -= 1
+    return z
+
+
+def _adagrad(w: np.ndarray, total: np.ndarray, g: np.ndarray, n: int, rate: float) -> None:
+    g = g / n
+    square = g * g
+    total += square
+    np.add(total, 1e-8, out=square)
+    np.sqrt(square, out=square)
+    g *= rate
+    g /= square
+    w -= g
+
+
 def learn(m: dict, ids: np.ndarray, around: np.ndarray, sums: dict, rate: float) -> None:
     """One pass of Adagrad steps over the tokens, STEP at a time."""
     for at in range(0, len(ids), STEP):
         want, near = ids[at : at + STEP], around[at : at + STEP]
-        total, hidden = _hidden(m, near)
-        group, word, n = want % CLASSES, want // CLASSES, np.arange(len(want))
-        gap = np.exp(_log_softmax(hidden @ m["group"] + m["group_bias"]))
-        gap[n, group] -= 1
+        total = (m["embed"] * m["place"][0]).take(near[:, 0], 0)
+        for k in range(1, 2 * REACH):
+            total += (m["embed"] * m["place"][k]).take(near[:, k], 0)
+        hidden = np.tanh(total @ m["mix"] + m["mix_bias"])
+        group, word = want % CLASSES, want // CLASSES
+        gap = _gaps(hidden @ m["group"] + m["group_bias"], group)
         back = gap @ m["group"].T
-        grads = {"group": hidden.T @ gap, "group_bias": gap.sum(0), "word": np.zeros_like(m["word"]), "word_bias": np.zeros_like(m["word_bias"])}
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for g in range(CLASSES):
-            own = order[bounds[g] : bounds[g + 1]]
-            if len(own):
-                gap = np.exp(_log_softmax(hidden[own] @ m["word"][g] + m["word_bias"][g]))
-                gap[np.arange(len(own)), word[own]] -= 1
-                back[own] += gap @ m["word"][g].T
-                grads["word"][g], grads["word_bias"][g] = hidden[own].T @ gap, gap.sum(0)
+        grads = {"group": hidden.T @ gap, "group_bias": _sums(gap)}
+        # only the products are taken class by class
+        order, held = _by_class(group)
+        mine, z, turned = _with_one(hidden.take(order, 0)), np.empty((len(want), CLASSES), np.float32), np.empty_like(hidden)
+        words, steps = _with_bias(m), np.zeros((CLASSES, HIDDEN + 1, CLASSES), np.float32)
+        for g, own in held:
+            np.matmul(mine[own], words[g], out=z[own])
+        gap = _gaps(z, word[order])
+        for g, own in held:
+            np.matmul(gap[own], m["word"][g].T, out=turned[own])
+            np.matmul(mine[own].T, gap[own], out=steps[g])
+        grads["word"], grads["word_bias"] = steps[:, :HIDDEN], steps[:, HIDDEN]
+        back[order] += turned
         back *= 1 - hidden * hidden
-        grads["mix"], grads["mix_bias"] = total.T @ back, back.sum(0)
+        grads["mix"], grads["mix_bias"] = total.T @ back, _sums(back)
         back = back @ m["mix"].T
-        grads["place"], grads["embed"] = np.zeros_like(m["place"]), np.zeros_like(m["embed"])
-        for k in range(2 * REACH):
-            grads["place"][k] = (m["embed"][near[:, k]] * back).sum(0)
-        flat, shares = near.T.ravel(), (back[None] * m["place"][:, None]).reshape(-1, DIMS)
-        for d in range(DIMS):
-            grads["embed"][:, d] = np.bincount(flat, weights=shares[:, d], minlength=VOCAB + 1)
-        grads["embed"][VOCAB] = 0
+        grads["place"] = np.stack([_sums(m["embed"].take(near[:, k], 0) * back) for k in range(2 * REACH)])
+        # what every place of the text gets from the tokens around it, then added up by word; other places than words get none
+        share = np.zeros((len(want) + 2 * REACH, DIMS), np.float32)
+        for k, step in enumerate([*range(REACH), *range(REACH + 1, 2 * REACH + 1)]):
+            part = back * m["place"][k]
+            part[near[:, k] == VOCAB] = 0
+            share[step : step + len(want)] += part
+        place = np.arange(at - REACH, at + len(want) + REACH)
+        inside = (place >= 0) & (place < len(ids))
+        word, share = ids[place[inside]], share[inside]
+        order = np.argsort(word.astype(np.uint16), kind="stable")
+        word = word[order]
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        # only words that occur have a gradient
+        rows, embed = word[first], np.add.reduceat(share.take(order, 0), first)
+        part, upto = m["embed"][rows], sums["embed"][rows]
+        _adagrad(part, upto, embed, len(want), rate)
+        m["embed"][rows], sums["embed"][rows] = part, upto
         for name, g in grads.items():
-            g = g / len(want)
-            sums[name] += g * g
-            m[name] -= rate * g / np.sqrt(sums[name] + 1e-8)
+            _adagrad(m[name], sums[name], g, len(want), rate)
 
 
 def _fit_share(flat: np.ndarray, known: np.ndarray, rate: float):

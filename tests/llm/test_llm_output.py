@@ -1,5 +1,6 @@
 """Token files, mixing, packing, chat, masked LM and the pipeline."""
 
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -225,6 +226,57 @@ def test_masked_lm_against_plain_formulas():
         assert abs(got[i] - want) < 1e-3
 
 
+@pytest.mark.parametrize("scale", [0.3, 40])
+def test_masked_lm_step_follows_plain_gradients(scale):
+    """One step over two texts, against softmax and sums written out; also where exponents are far apart."""
+    M, rng = masked_lm, np.random.default_rng(2)
+    flat = rng.normal(0, 0.3, len(M.start_model())).astype(np.float32)
+    m = M.opened(flat)
+    m["group_bias"] *= scale
+    m["word_bias"] *= scale
+    ids, row = rng.integers(0, 200, 300), np.repeat([0, 1], [120, 180])
+    around, was = M.contexts(ids, row), {k: v.astype(float) for k, v in m.items()}
+    total = sum(was["embed"][around[:, k]] * was["place"][k] for k in range(2 * M.REACH))
+    hidden = np.tanh(total @ was["mix"] + was["mix_bias"])
+    want = {k: np.zeros_like(v) for k, v in was.items()}
+    for i, (h, t) in enumerate(zip(hidden, ids)):
+        group, word = t % M.CLASSES, t // M.CLASSES
+        soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        a = soft(h @ was["group"] + was["group_bias"]) - np.eye(M.CLASSES)[group]
+        b = soft(h @ was["word"][group] + was["word_bias"][group]) - np.eye(M.CLASSES)[word]
+        want["group"] += np.outer(h, a)
+        want["group_bias"] += a
+        want["word"][group] += np.outer(h, b)
+        want["word_bias"][group] += b
+        back = (was["group"] @ a + was["word"][group] @ b) * (1 - h * h)
+        want["mix"] += np.outer(total[i], back)
+        want["mix_bias"] += back
+        back = was["mix"] @ back
+        for k in range(2 * M.REACH):
+            want["place"][k] += was["embed"][around[i, k]] * back
+            want["embed"][around[i, k]] += was["place"][k] * back
+    want["embed"][M.VOCAB] = 0
+    sums = {k: np.zeros_like(v) for k, v in m.items()}
+    M.learn(m, ids, around, sums, 0.1)
+    for name, g in want.items():
+        g = g / len(ids)
+        assert np.allclose(sums[name], g * g, rtol=1e-3, atol=1e-7), name
+        assert np.allclose(m[name], was[name] - 0.1 * g / np.sqrt(g * g + 1e-8), atol=2e-3), name
+
+
+def test_masked_lm_step_makes_few_calls():
+    """Softmax, sums and word gradients are taken over a whole step, not class by class: over 900 calls a step before."""
+    ids, row = np.arange(masked_lm.STEP) % masked_lm.VOCAB, np.arange(masked_lm.STEP) // 100
+    m = masked_lm.opened(masked_lm.start_model())
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(arg) if event == "c_call" else None)
+    try:
+        masked_lm.learn(m, ids, masked_lm.contexts(ids, row), {k: np.zeros_like(v) for k, v in m.items()}, 0.1)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 300
+
+
 def test_masked_lm_prefers_word_order(spark):
     rng = np.random.default_rng(9)
     rows = [(i, " ".join(f"k{(s + j) % 40}" for j in range(200))) for i, s in enumerate(rng.integers(0, 40, 400))]
