@@ -136,15 +136,18 @@ def neighbours(texts: DataFrame, idf: np.ndarray, mean: float, n_docs: int) -> D
     shingle, best the text with the highest score over the rarest shared words.
     """
     spread = texts.mapInArrow(_postings(idf, mean), "node long, term long, part float").repartition("term")
-    posts = materialise(spread.groupBy("term", "node").agg(F.max("part").alias("part")), "postings")
-    words = posts.where("part > 0")
-    held = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, RARE))
-    shared = materialise(words.join(held, "term"), "shared-words")
+    posts = spread.groupBy("term", "node").agg(F.max("part").alias("part"))
+    # both sides of the join lie by term already; only what ties texts is written
+    held = posts.groupBy("term").agg(F.count(F.when(F.col("part") > 0, 1)).alias("n"), F.count(F.when(F.col("part") == 0, 1)).alias("grams"))
+    rare = F.col("n").between(2, RARE)
+    tying = posts.join(held.where(rare | (F.col("grams") > 1)), "term").where(((F.col("part") > 0) & rare) | ((F.col("part") == 0) & (F.col("grams") > 1)))
+    tying = materialise(tying.drop("grams"), "tying-terms")
+    shared = tying.where("part > 0")
     picked = shared.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term"))), 1, TERMS).alias("t")).select(F.col("node").alias("a"), F.explode("t.term").alias("term"))
     scored = picked.join(shared, "term").where("a <> node").groupBy("a", "node").agg(F.sum(F.log((F.lit(n_docs) + 1.0) / F.col("n")) * F.col("part")).alias("score"))
     best = scored.groupBy("a").agg(F.max_by("node", F.struct("score", "node")).alias("best")).withColumnRenamed("a", "node")
-    grams = posts.where("part = 0")
-    hubs = grams.groupBy("term").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    grams = tying.where("part = 0")
+    hubs = grams.groupBy("term").agg(F.min("node").alias("hub"))
     return grams.join(hubs, "term").select("node", "hub").join(best, "node", "full_outer")
 
 

@@ -144,6 +144,26 @@ def test_packing_finds_neighbours_in_all_partitions(spark, monkeypatch):
     assert np.mean([bool(own[k] & own[400 + k]) for k in range(400)]) > 0.93
 
 
+def test_packing_writes_only_terms_that_tie_texts(spark, monkeypatch):
+    """Words of one text and smallest shingles that no other text has are not written."""
+    written = {}
+
+    def keep(df, name):
+        written[name] = materialise(df, name)
+        return written[name]
+
+    monkeypatch.setattr(packing, "materialise", keep)
+    rows = [(1, "a b c shared"), (2, "d e f shared"), (3, "g h i j"), (4, "k l m n o"), (5, "k l m n o"), (6, ""), (7, "solo")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = docs.select(F.xxhash64(F.col("text").cast("binary")).alias("node"), F.col("text").cast("binary").alias("text"))
+    got = packing.neighbours(texts, *packing.term_weights(docs))
+    assert {t for r in got.collect() for t in (r.hub, r.best) if t is not None} <= {r.node for r in texts.collect()}
+    by_id = {r.doc_id: r.node for r in docs.select("doc_id", F.xxhash64(F.col("text").cast("binary")).alias("node")).collect()}
+    assert {r.node: r.best for r in got.collect() if r.best} == {by_id[1]: by_id[2], by_id[2]: by_id[1]}
+    # one word in two texts; copies are one text
+    assert sum(df.count() for df in written.values()) == 2
+
+
 def test_mixing_meets_targets(docs, texts):
     got = mixing.mix(docs).toPandas()
     size = got.groupby("source")["size"].sum()
