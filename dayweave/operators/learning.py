@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from . import scoring, stats
+from . import forest, scoring, stats
 from .boosting import SoftmaxBooster
+from .forest import GrownForest
 
 # Fixed values of the estimators.
 FOREST = {"numTrees": 300, "minInstancesPerNode": 5, "maxDepth": 20, "seed": 42}
@@ -28,8 +29,8 @@ BOOSTING = {"maxIter": 200, "stepSize": 0.05, "maxDepth": 3}
 MIN_CHILD_WINDOWS, MIN_CHILD_FINE = 60, 20
 #: Rows of a partition of a fold.
 FOLD_ROWS = 20_000
-#: Up to so many rows a forest is one fit; beyond that groups of so many trees are fitted at the same time.
-ONE_FIT_ROWS, TREE_GROUP = 1_000, 25
+#: Up to so many rows a forest is one fit of Spark; beyond that its trees are grown by tasks.
+ONE_FIT_ROWS = 1_000
 TEMPORAL = ["hour_of_day", "day_of_week", "is_weekend", "time_bucket"]
 
 
@@ -58,21 +59,21 @@ class ClassModel:
     def score(self, df: DataFrame) -> DataFrame:
         ready = df if "features" in df.columns else align(df, self.columns)
         got = self.model.transform(ready)
-        parts = self.forests()
-        if len(parts) > 1:
-            # a tree's votes sum to 1, so the votes of all groups over all trees are the shares of the whole forest
-            trees, votes = sum(m.getNumTrees for m in parts), {f"_v{g}": vector_to_array(m.getRawPredictionCol()) for g, m in enumerate(parts)}
-            wide = got.withColumns(votes).withColumns({f"p_{c}": reduce(lambda a, b: a + b, [F.col(v)[i] for v in votes]) / trees for i, c in enumerate(self.classes)})
-            return wide.drop(*votes, *[c for m in parts for c in (m.getRawPredictionCol(), m.getProbabilityCol(), m.getPredictionCol())], "label")
         wide = got.withColumn("_p", vector_to_array("probability")).withColumns({f"p_{c}": F.col("_p")[i] for i, c in enumerate(self.classes)})
         return wide.drop("_p", "rawPrediction", "probability", "prediction", "label")
 
-    def forests(self) -> list[RandomForestClassificationModel]:
+    def grown(self) -> GrownForest | None:
+        """The forest that tasks have grown, if it is one."""
+        return next((m for m in self.model.stages if isinstance(m, GrownForest)), None)
+
+    def forests(self) -> list[RandomForestClassificationModel | forest.TreeGroup]:
         """The groups of trees of a forest, in order."""
-        return [m for m in self.model.stages if isinstance(m, RandomForestClassificationModel)]
+        return self.grown().groups() if self.grown() else [m for m in self.model.stages if isinstance(m, RandomForestClassificationModel)]
 
     def save(self, path: str) -> None:
         """Writes the fitted pipeline with its classes and columns to a new folder of shared storage."""
+        if self.grown():
+            self.grown().copy_trees(f"{path}/trees")
         self.model.write().save(f"{path}/pipeline")
         spark = SparkSession.active()
         spark.createDataFrame([(self.classes, self.columns)], "classes array<string>, columns array<string>").coalesce(1).write.parquet(f"{path}/names")
@@ -80,7 +81,10 @@ class ClassModel:
     @classmethod
     def load(cls, path: str) -> ClassModel:
         names = SparkSession.active().read.parquet(f"{path}/names").first()
-        return cls(PipelineModel.load(f"{path}/pipeline"), list(names.classes), list(names.columns))
+        model = cls(PipelineModel.load(f"{path}/pipeline"), list(names.classes), list(names.columns))
+        if model.grown():
+            model.grown()._set(path=f"{path}/trees")
+        return model
 
 
 def fit_classifier(df: DataFrame, columns: list[str], family: str = "random_forest", label: str = "y", weight: str | None = None,
@@ -91,7 +95,7 @@ def fit_classifier(df: DataFrame, columns: list[str], family: str = "random_fore
     extra = {"weightCol": weight} if weight else {}
     if family == "random_forest":
         first = [embed] if embed is not None else []
-        return ClassModel(fit_forest(ready, first, **{**FOREST, **params}, **extra), classes, columns)
+        return ClassModel(fit_forest(ready, first, len(classes), **{**FOREST, **params}, **extra), classes, columns)
     if family == "boosting":
         est = SoftmaxBooster(numClasses=len(classes), **{**BOOSTING, **params}, **extra)
     else:
@@ -101,25 +105,14 @@ def fit_classifier(df: DataFrame, columns: list[str], family: str = "random_fore
     return ClassModel(model, classes, columns)
 
 
-def fit_forest(ready: DataFrame, first: list[Transformer], **params) -> PipelineModel:
-    """A forest behind fitted stages; with many rows as one stage for each group of trees.
-
-    Trees do not need each other, but one fit of Spark finds the splits of all trees in as many tasks as
-    the rows have partitions, and every further partition sends sums of all nodes. So groups of trees, with seeds of
-    their own, are fitted at the same time on few partitions.
-    """
-    trees = params["numTrees"]
-    if trees <= TREE_GROUP or (rows := ready.count()) <= ONE_FIT_ROWS:
-        est = RandomForestClassifier(**params)
+def fit_forest(ready: DataFrame, first: list[Transformer], classes: int, **params) -> PipelineModel:
+    """A forest behind fitted stages: one fit of Spark for few rows, trees grown by tasks for many."""
+    weight = params.pop("weightCol", None)
+    if not set(params) <= forest.KNOWN or ready.count() <= ONE_FIT_ROWS:
+        est = RandomForestClassifier(**params, **({"weightCol": weight} if weight else {}))
         return Pipeline(stages=[*first, est.setFeaturesCol(first[-1].getOutputCol()) if first else est]).fit(ready)
-    from ..session import materialise
-
     features = first[-1].getOutputCol() if first else "features"
-    named = [features, "label", *([params["weightCol"]] if "weightCol" in params else [])]
-    held = materialise(reduce(lambda df, t: t.transform(df), first, ready).select(*named).coalesce(max(1, rows // FOLD_ROWS)), "forest-rows")
-    jobs = [RandomForestClassifier(**{**params, "numTrees": min(TREE_GROUP, trees - at), "seed": params["seed"] + g}, featuresCol=features, rawPredictionCol=f"_raw{g}", probabilityCol=f"_prob{g}", predictionCol=f"_pred{g}")
-            for g, at in enumerate(range(0, trees, TREE_GROUP))]
-    return PipelineModel([*first, *at_once([lambda e=e: e.fit(held) for e in jobs], ready.sparkSession, len(jobs))])
+    return PipelineModel([*first, *forest.grow(reduce(lambda df, t: t.transform(df), first, ready), [params], classes, features, weight)])
 
 
 def logistic_importance(model: ClassModel) -> dict[str, float]:
@@ -185,8 +178,6 @@ def binned_folds(df: DataFrame, columns: list[str], folds: list[dict], classes:
 
     A tree looks for splits between bins of its columns in any case; here all fits of a search share them.
     """
-    from ..session import materialise
-
     named = [f"{c}_bin" for c in columns]
     out = []
     for f in folds:
