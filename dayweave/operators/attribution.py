@@ -17,8 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-from . import stats
+from ..session import materialise, scratch_path
+from . import forest, stats
 
 
 class Nodes:
@@ -72,6 +72,8 @@ def path_attribution(model, rows: DataFrame, key: str) -> DataFrame:
 
     weights: one number for each column of the model, in order; base + sum(weights) = confidence.
     """
+    if model.grown():
+        return _grown_attribution(model, rows, key)
     spark = rows.sparkSession
     nodes = spark.sparkContext.broadcast(node_table(model, spark))
     scored = stats.with_prediction(model.score(rows), model.classes)
@@ -88,6 +90,18 @@ def path_attribution(model, rows: DataFrame, key: str) -> DataFrame:
     return asked.mapInArrow(walk, f"`{key}` long, predicted string, confidence double, base double, weights array<double>")
 
 
+def _grown_attribution(model, rows: DataFrame, key: str) -> DataFrame:
+    """The same over a grown forest: its trees meet the rows in tasks, no table of nodes is sent."""
+    grown = model.grown()
+    n, trees = grown.width(), grown.getOrDefault("numTrees")
+    scored = stats.with_prediction(model.score(rows), model.classes)
+    place = F.create_map(*[F.lit(v) for i, c in enumerate(model.classes) for v in (c, i)])[F.col("predicted")]
+    asked = materialise(scored.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("_key"), "predicted", F.col("conf").alias("confidence"), place.cast("int").alias("label"), grown.codes().alias("codes")), "attribution-rows")
+    got = forest.over_trees([grown], asked, forest.paths, n + 1, "label")
+    weights = F.transform(F.slice("v", 1, n), lambda v: v / trees)
+    return asked.join(got, "row").select(F.col("_key").alias(key), "predicted", "confidence", (F.element_at("v", -1) / trees).alias("base"), weights.alias("weights"))
+
+
 def strongest(attributed: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """The k columns that moved a row's prediction most, as (…, rank, feature, weight)."""
     named = F.transform("weights", lambda w, i: F.struct((-F.abs(w)).alias("o"), F.element_at(F.array(*map(F.lit, columns)), i + 1).alias("feature"), w.alias("weight")))

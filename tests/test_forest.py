@@ -131,6 +131,24 @@ def test_a_grown_forest_scores_as_well_as_that_of_spark(world, monkeypatch):
     assert abs(hit(N.fit_classifier(train, COLS, numTrees=60, maxDepth=6)) - usual) < 0.05
 
 
+def test_paths_add_up_and_are_those_of_the_trees(grown, world):
+    got = path_attribution(grown, world, "row_id").collect()
+    assert len(got) == 600 and max(abs(r.base + sum(r.weights) - r.confidence) for r in got) < 1e-9
+    assert all(r.weights[3] == 0 for r in got)
+    edges = json.loads(grown.grown().getOrDefault("edges"))
+    rows, trees = {r.row_id: r.features.toArray() for r in world.collect()}, [t for _, t in grown.grown().trees()]
+    for r in got[:20]:
+        want, label = np.zeros(4), grown.classes.index(r.predicted)
+        for t in trees:
+            at = 0
+            while t.feature[at] >= 0:
+                f = t.feature[at]
+                to = t.child[at] + (0 if rows[r.row_id][f] <= edges[f][t.cut[at]] else 1)
+                want[f] += (t.share[to, label] - t.share[at, label]) / 60
+                at = to
+        assert np.allclose(want, r.weights)
+
+
 def test_empty_and_untyped_rows_are_scored(grown, world):
     got = grown.score(world.limit(0).withColumn("none", F.lit(None)))
     assert got.count() == 0 and "none" in got.columns
