@@ -286,6 +286,8 @@ def shuffled_partners(df: DataFrame, key: str, rows_per_bucket: int = 1000, seed
 
 def permutation_importance(model: ClassModel, val: DataFrame, key: str, repeats: int = 2, seed: int = 42) -> DataFrame:
     """ML-16: mean accuracy lost when a column is shuffled; all columns scored in one batch per repeat."""
+    if model.grown() and len(model.model.stages) == 1:
+        return _grown_importance(model, val, key, repeats, seed)
     base = val.withColumn("_x", vector_to_array("features"))
     acc = stats.with_prediction(model.score(val), model.classes).agg(F.avg("correct")).scalar()
     names = F.array(*map(F.lit, model.columns))
@@ -301,6 +303,24 @@ def permutation_importance(model: ClassModel, val: DataFrame, key: str, repeats:
     return every.groupBy("feature").agg(F.avg("acc").alias("acc")).select("feature", (acc - F.col("acc")).alias("importance"))
 
 
+def _grown_importance(model: ClassModel, val: DataFrame, key: str, repeats: int, seed: int) -> DataFrame:
+    """The same over a grown forest: a task walks its trees with every column shuffled, rows are not spread by column."""
+    grown, classes, n = model.grown(), len(model.classes), len(model.columns)
+    base = materialise(val.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("_key"), "y", grown.codes().alias("_x")), "importance-rows")
+    said = materialise(forest.over_trees([grown], base.select("row", F.col("_x").alias("codes")), forest.votes, classes).select("row", F.col("v").alias("votes")).join(base.select("row", "y"), "row"), "importance-votes")
+    named = lambda at: [at(i).alias(f"p_{c}") for i, c in enumerate(model.classes)]
+    acc = stats.with_prediction(said.select("y", *named(lambda i: F.col("votes")[i])), model.classes).agg(F.avg("correct")).scalar()
+    parts = []
+    for r in range(repeats):
+        pairs = materialise(shuffled_partners(base, "_key", seed=seed + r).select("row", F.col("_x").alias("codes"), F.col("_partner").alias("other")), "importance-pairs")
+        moved = forest.over_trees([grown], pairs, forest.replaced_votes, n * classes, "other")
+        spread = said.join(moved, "row").withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        scored = stats.with_prediction(spread.select("y", "_j", *named(lambda i: F.col("votes")[i] + F.get("v", F.col("_j") * classes + i))), model.classes)
+        parts.append(scored.groupBy("_j").agg(F.avg("correct").alias("acc")))
+    every = reduce(lambda a, b: a.unionByName(b), parts).withColumn("feature", F.element_at(F.array(*map(F.lit, model.columns)), F.col("_j") + 1))
+    return every.groupBy("feature").agg(F.avg("acc").alias("acc")).select("feature", (acc - F.col("acc")).alias("importance"))
+
+
 def ablation(model: ClassModel, rows: DataFrame, key: str, background: DataFrame | None = None) -> DataFrame:
     """ML-19: p(predicted) minus p(predicted) with a feature at its background mean, per row and feature."""
     base = rows.withColumn("_x", vector_to_array("features"))

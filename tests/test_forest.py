@@ -131,6 +131,14 @@ def test_a_grown_forest_scores_as_well_as_that_of_spark(world, monkeypatch):
     assert abs(hit(N.fit_classifier(train, COLS, numTrees=60, maxDepth=6)) - usual) < 0.05
 
 
+def test_importance_by_paths_equals_scoring_of_spread_rows(grown, world, monkeypatch):
+    fast = {r.feature: r.importance for r in N.permutation_importance(grown, world, "row_id").collect()}
+    monkeypatch.setattr(N.ClassModel, "grown", lambda self: None)
+    slow = {r.feature: r.importance for r in N.permutation_importance(grown, world, "row_id").collect()}
+    assert fast.keys() == slow.keys() == set(COLS) and all(fast[c] == pytest.approx(slow[c], abs=1e-9) for c in COLS)
+    assert fast["bed"] > 0.1 and fast["flat"] == 0
+
+
 def test_paths_add_up_and_are_those_of_the_trees(grown, world):
     got = path_attribution(grown, world, "row_id").collect()
     assert len(got) == 600 and max(abs(r.base + sum(r.weights) - r.confidence) for r in got) < 1e-9
