@@ -323,6 +323,8 @@ def _grown_importance(model: ClassModel, val: DataFrame, key: str, repeats: int,
 
 def ablation(model: ClassModel, rows: DataFrame, key: str, background: DataFrame | None = None) -> DataFrame:
     """ML-19: p(predicted) minus p(predicted) with a feature at its background mean, per row and feature."""
+    if model.grown() and len(model.model.stages) == 1:
+        return _grown_ablation(model, rows, key, background)
     base = rows.withColumn("_x", vector_to_array("features"))
     n = len(model.columns)
     usual = base if background is None else background.withColumn("_x", vector_to_array("features"))
@@ -339,6 +341,21 @@ def ablation(model: ClassModel, rows: DataFrame, key: str, background: DataFrame
     return scored.select(key, "feature", (F.col("_conf") - after).alias("weight"))
 
 
+def _grown_ablation(model: ClassModel, rows: DataFrame, key: str, background: DataFrame | None) -> DataFrame:
+    """The same over a grown forest: a task walks its trees with every column at its mean, rows are not spread by column."""
+    grown, n = model.grown(), len(model.columns)
+    x = vector_to_array(grown.getFeaturesCol())
+    means = (rows if background is None else background).agg(F.array(*[F.coalesce(F.avg(x[i]), F.lit(float("nan"))) for i in range(n)]).alias("m"))
+    usual = means.select(array_to_vector("m").alias(grown.getFeaturesCol())).select(grown.codes()).first()[0]
+    base = materialise(rows.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("_key"), grown.codes().alias("codes")), "ablation-rows")
+    said = forest.over_trees([grown], base, forest.votes, len(model.classes)).select("row", F.expr("array_position(v, array_max(v)) - 1").cast("int").alias("label"))
+    asked = materialise(base.join(said, "row").withColumn("other", F.lit(bytes(usual))), "ablation-asked")
+    moved = forest.over_trees([grown], asked, forest.replaced_share, n, "other, label")
+    weights = F.transform("v", lambda v: -v / grown.getOrDefault("numTrees"))
+    spread = asked.select("row", "_key").join(moved.select("row", weights.alias("v")), "row").select(F.col("_key").alias(key), F.posexplode("v").alias("_j", "weight"))
+    return spread.select(key, F.element_at(F.array(*map(F.lit, model.columns)), F.col("_j") + 1).alias("feature"), "weight")
+
+
 def prune_trial(train: DataFrame, val: DataFrame, columns: list[str], candidates: list[str], min_columns: int = 20, margin: float = 0.02, **kw) -> DataFrame:
     """ML-18: champion with all columns against a challenger without the candidates, by lower bound."""
     kept = [c for c in columns if c not in set(candidates)]

@@ -131,6 +131,28 @@ def test_a_grown_forest_scores_as_well_as_that_of_spark(world, monkeypatch):
     assert abs(hit(N.fit_classifier(train, COLS, numTrees=60, maxDepth=6)) - usual) < 0.05
 
 
+def spread_scores(model, rows, n):
+    """(row_id, column) → votes of the classes with the column replaced, scored row by row as models of other kinds are."""
+    got = model.score(rows).select("row_id", "_j", *[f"p_{c}" for c in model.classes]).collect()
+    return {(r.row_id, r._j): [r[f"p_{c}"] for c in model.classes] for r in got}
+
+
+def test_ablation_by_paths_equals_scoring_of_spread_rows(grown, world):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    mean = world.agg(*[F.avg(c) for c in COLS]).first()
+    x = vector_to_array("features")
+    spread = world.select("row_id", x.alias("x")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    cut = F.transform("x", lambda v, i: F.when(i == F.col("_j"), F.element_at(F.array(*map(F.lit, mean)), F.col("_j") + 1)).otherwise(v))
+    after = spread_scores(grown, spread.withColumn("features", array_to_vector(cut)), 4)
+    whole = {r.row_id: [r[f"p_{c}"] for c in grown.classes] for r in grown.score(world).collect()}
+    got = N.ablation(grown, world, "row_id").collect()
+    assert len(got) == 2400
+    for r in got:
+        k = int(np.argmax(whole[r.row_id]))
+        assert r.weight == pytest.approx(whole[r.row_id][k] - after[r.row_id, COLS.index(r.feature)][k], abs=1e-9)
+
+
 def test_importance_by_paths_equals_scoring_of_spread_rows(grown, world, monkeypatch):
     fast = {r.feature: r.importance for r in N.permutation_importance(grown, world, "row_id").collect()}
     monkeypatch.setattr(N.ClassModel, "grown", lambda self: None)
