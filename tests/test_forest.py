@@ -179,6 +179,16 @@ def test_paths_add_up_and_are_those_of_the_trees(grown, world):
         assert np.allclose(want, r.weights)
 
 
+def test_the_search_grows_the_trees_of_all_draws(world, monkeypatch):
+    folds = N.folds_of(world, 600 * 30, 2, 3)
+    few = N.search(world, COLS, folds, n_draws=3, trees=30)
+    monkeypatch.setattr(N, "ONE_FIT_ROWS", 100)
+    fits = []
+    monkeypatch.setattr(N, "RandomForestClassifier", lambda **p: fits.append(p))
+    params, f1 = N.search(world, COLS, folds, n_draws=3, trees=30)
+    assert not fits and params["numTrees"] == 30 and abs(f1 - few[1]) < 0.1
+
+
 def test_empty_and_untyped_rows_are_scored(grown, world):
     got = grown.score(world.limit(0).withColumn("none", F.lit(None)))
     assert got.count() == 0 and "none" in got.columns
