@@ -216,3 +216,13 @@ def no_driver_fit(monkeypatch):
 
 
 FAST = {"numTrees": 30, "maxDepth": 5}
+
+
+def test_nodes_of_many_rows_are_grown(spark, world, no_driver_fit):
+    parents = spark.createDataFrame([("sleeping", None), ("movie", "home"), ("home", "home")], "y string, parent string")
+    models = N.train_nodes(world, COLS, parents, **FAST)
+    assert {k: m.classes for k, m in models.items()} == {"root": ["home", "sleeping"], "home": ["home", "movie"]}
+    root = models["root"].score(world).select("row_id", "p_home", "p_sleeping")
+    child = models["home"].score(world).select("row_id", F.lit("home").alias("node"), F.col("p_home").alias("q_home"), F.col("p_movie").alias("q_movie"))
+    got = N.top_down(root, child, ["row_id"], ["home", "sleeping"], ["home", "movie"]).join(world, "row_id")
+    assert got.count() == 600 and got.where("predicted = y").count() > 500
