@@ -226,3 +226,10 @@ def test_nodes_of_many_rows_are_grown(spark, world, no_driver_fit):
     child = models["home"].score(world).select("row_id", F.lit("home").alias("node"), F.col("p_home").alias("q_home"), F.col("p_movie").alias("q_movie"))
     got = N.top_down(root, child, ["row_id"], ["home", "sleeping"], ["home", "movie"]).join(world, "row_id")
     assert got.count() == 600 and got.where("predicted = y").count() > 500
+
+
+def test_folds_of_many_rows_are_grown_and_pooled(world, no_driver_fit):
+    folds = N.folds_of(world, 600 * 30, 2, 3)
+    scored, last = N.pooled_scores(world, COLS, folds, N.classes_of(world), **FAST)
+    r = scored.agg(F.count("*"), F.avg("correct"), F.count_distinct("row_id")).first()
+    assert (r[0], r[2]) == (288, 288) and r[1] > 0.75 and last.grown() is not None
