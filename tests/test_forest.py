@@ -233,3 +233,10 @@ def test_folds_of_many_rows_are_grown_and_pooled(world, no_driver_fit):
     scored, last = N.pooled_scores(world, COLS, folds, N.classes_of(world), **FAST)
     r = scored.agg(F.count("*"), F.avg("correct"), F.count_distinct("row_id")).first()
     assert (r[0], r[2]) == (288, 288) and r[1] > 0.75 and last.grown() is not None
+
+
+def test_the_flat_baseline_of_many_rows_keeps_every_pooled_row(world, no_driver_fit):
+    rows = world.withColumns({"provenance": F.when(F.col("row_id") % 3 == 0, "confirmed").otherwise("bootstrap"), "gold": F.col("row_id") % 2 == 0})
+    scored, _ = N.pooled_scores(rows, COLS, N.folds_of(rows, 600 * 30, 2, 3), N.classes_of(rows), **FAST)
+    got = X.accuracy_by_provenance(scored, []).collect()
+    assert got and {r.provenance: r[1] for r in scored.groupBy("provenance").count().collect()} == {"confirmed": 96, "bootstrap": 192}
