@@ -240,3 +240,11 @@ def test_the_flat_baseline_of_many_rows_keeps_every_pooled_row(world, no_driver_
     scored, _ = N.pooled_scores(rows, COLS, N.folds_of(rows, 600 * 30, 2, 3), N.classes_of(rows), **FAST)
     got = X.accuracy_by_provenance(scored, []).collect()
     assert got and {r.provenance: r[1] for r in scored.groupBy("provenance").count().collect()} == {"confirmed": 96, "bootstrap": 192}
+
+
+def test_both_sides_of_a_prune_trial_are_grown(world, no_driver_fit):
+    wide = world.select("*", *[(F.pmod(F.xxhash64("row_id", F.lit(i)), F.lit(50)) / 50).alias(f"x{i}") for i in range(20)])
+    columns = [*COLS, *[f"x{i}" for i in range(20)]]
+    r = N.prune_trial(N.align(wide, columns).where("row_id % 4 <> 0"), N.align(wide, columns).where("row_id % 4 = 0"), columns, ["x18", "x19"], **FAST).first()
+    assert 0 < r.champion < 1 and 0 < r.challenger < 1 and r.prune == (r.challenger >= r.champion - 0.02)
+    assert not N.prune_trial(N.align(wide, columns), world, columns, columns[:10], **FAST).first().prune  # too few columns stay
