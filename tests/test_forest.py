@@ -248,3 +248,11 @@ def test_both_sides_of_a_prune_trial_are_grown(world, no_driver_fit):
     r = N.prune_trial(N.align(wide, columns).where("row_id % 4 <> 0"), N.align(wide, columns).where("row_id % 4 = 0"), columns, ["x18", "x19"], **FAST).first()
     assert 0 < r.champion < 1 and 0 < r.challenger < 1 and r.prune == (r.challenger >= r.champion - 0.02)
     assert not N.prune_trial(N.align(wide, columns), world, columns, columns[:10], **FAST).first().prune  # too few columns stay
+
+
+def test_what_if_of_a_grown_forest_scores_the_edited_rows(world, no_driver_fit):
+    model = N.fit_classifier(world, COLS, **FAST)
+    got = {r.row_id: r for r in N.what_if(model, world, {"bed": 0.9}).collect()}
+    want = {r.row_id: r for r in model.score(N.align(world.withColumn("bed", F.lit(0.9)), COLS)).collect()}
+    assert len(got) == 600 and all(got[k].p_sleeping == want[k].p_sleeping for k in got)
+    assert sum(r.p_sleeping for r in got.values()) > 300
