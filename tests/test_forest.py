@@ -256,3 +256,12 @@ def test_what_if_of_a_grown_forest_scores_the_edited_rows(world, no_driver_fit):
     want = {r.row_id: r for r in model.score(N.align(world.withColumn("bed", F.lit(0.9)), COLS)).collect()}
     assert len(got) == 600 and all(got[k].p_sleeping == want[k].p_sleeping for k in got)
     assert sum(r.p_sleeping for r in got.values()) > 300
+
+
+def test_windows_are_scored_by_a_grown_forest(world, no_driver_fit):
+    rows = world.withColumns({"person": F.concat(F.lit("p"), F.col("row_id") % 4), "w": F.col("minute")})
+    model = N.fit_classifier(rows, COLS, **FAST)
+    out = N.score_windows(model, rows, F.when(F.col("row_id") % 20 == 0, "away"), F.lit(None).cast("string"), F.lit(0.6), F.lit(0.7)).collect()
+    assert len(out) == 600 and sum(r.basis == "fact" for r in out) == 30 and {r.predicted for r in out if r.basis == "fact"} == {"away"}
+    p = {r.w: max(r.p_home, r.p_movie, r.p_sleeping) for r in model.score(rows).collect()}
+    assert all(r.confidence == pytest.approx(p[r.w]) for r in out if r.basis == "model")
