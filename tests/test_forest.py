@@ -265,3 +265,12 @@ def test_windows_are_scored_by_a_grown_forest(world, no_driver_fit):
     assert len(out) == 600 and sum(r.basis == "fact" for r in out) == 30 and {r.predicted for r in out if r.basis == "fact"} == {"away"}
     p = {r.w: max(r.p_home, r.p_movie, r.p_sleeping) for r in model.score(rows).collect()}
     assert all(r.confidence == pytest.approx(p[r.w]) for r in out if r.basis == "model")
+
+
+def test_calibration_of_a_grown_forest_keeps_all_rows(world, no_driver_fit):
+    model = N.fit_classifier(world.where("row_id % 4 <> 0"), COLS, **FAST)
+    scored = model.score(world.where("row_id % 4 = 0"))
+    got = N.calibrate(scored, N.fit_calibrators(scored, model.classes))
+    total = F.col("p_home") + F.col("p_movie") + F.col("p_sleeping")
+    r = got.agg(F.count("*"), F.min(total), F.max(total)).first()
+    assert r[0] == 150 and r[1] == pytest.approx(1) and r[2] == pytest.approx(1)
