@@ -359,12 +359,15 @@ def _grown_ablation(model: ClassModel, rows: DataFrame, key: str, background: Da
     means = (rows if background is None else background).agg(F.array(*[F.coalesce(F.avg(x[i]), F.lit(float("nan"))) for i in range(n)]).alias("m"))
     usual = means.select(array_to_vector("m").alias(grown.getFeaturesCol())).select(grown.codes()).first()[0]
     base = materialise(rows.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("_key"), grown.codes().alias("codes")), "ablation-rows")
-    said = forest.over_trees([grown], base, forest.votes, len(model.classes)).select("row", F.expr("array_position(v, array_max(v)) - 1").cast("int").alias("label"))
-    asked = materialise(base.join(said, "row").withColumn("other", F.lit(bytes(usual))), "ablation-asked")
+    trees, many = grown.getOrDefault("numTrees"), len(model.classes)
+    said = materialise(base.join(forest.over_trees([grown], base.select("row", "codes"), forest.votes, many).select("row", F.col("v").alias("votes")), "row"), "ablation-votes")
+    top = said.select("_key", F.expr("array_position(votes, array_max(votes)) - 1").cast("int").alias("label"), (F.array_max("votes") / trees).alias("_conf"))
+    # as rows and their predictions meet by key in the other form, a repeated key gives every pair here as well
+    met = said.join(top, "_key").withColumn("_less", F.col("_conf") - F.get("votes", F.col("label")) / trees)
+    asked = materialise(met.select(F.monotonically_increasing_id().alias("row"), "_key", "codes", "label", "_less", F.lit(bytes(usual)).alias("other")), "ablation-asked")
     moved = forest.over_trees([grown], asked, forest.replaced_share, n, "other, label")
-    weights = F.transform("v", lambda v: -v / grown.getOrDefault("numTrees"))
-    spread = asked.select("row", "_key").join(moved.select("row", weights.alias("v")), "row").select(F.col("_key").alias(key), F.posexplode("v").alias("_j", "weight"))
-    return spread.select(key, F.element_at(F.array(*map(F.lit, model.columns)), F.col("_j") + 1).alias("feature"), "weight")
+    spread = asked.select("row", "_key", "_less").join(moved.select("row", "v"), "row").select(F.col("_key").alias(key), "_less", F.posexplode("v").alias("_j", "_v"))
+    return spread.select(key, F.element_at(F.array(*map(F.lit, model.columns)), F.col("_j") + 1).alias("feature"), (F.col("_less") - F.col("_v") / trees).alias("weight"))
 
 
 def prune_trial(train: DataFrame, val: DataFrame, columns: list[str], candidates: list[str], min_columns: int = 20, margin: float = 0.02, **kw) -> DataFrame:

@@ -153,6 +153,16 @@ def test_ablation_by_paths_equals_scoring_of_spread_rows(grown, world):
         assert r.weight == pytest.approx(whole[r.row_id][k] - after[r.row_id, COLS.index(r.feature)][k], abs=1e-9)
 
 
+def test_ablation_of_repeated_and_missing_keys_is_that_of_spread_rows(grown, world, monkeypatch):
+    odd = world.unionByName(world.where("row_id < 40")).withColumn("row_id", F.when(F.col("row_id") % 50 != 7, F.floor(F.col("row_id") / 2)))
+    table = lambda: sorted((r.row_id, r.feature, round(r.weight, 9) + 0.0) for r in N.ablation(grown, odd, "row_id").collect())
+    fast = table()
+    monkeypatch.setattr(N.ClassModel, "grown", lambda self: None)
+    slow = table()
+    assert len(fast) == len(slow) > 600 * 4
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-9 for a, b in zip(fast, slow))
+
+
 def test_importance_by_paths_equals_scoring_of_spread_rows(grown, world, monkeypatch):
     fast = {r.feature: r.importance for r in N.permutation_importance(grown, world, "row_id").collect()}
     monkeypatch.setattr(N.ClassModel, "grown", lambda self: None)
